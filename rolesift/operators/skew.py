@@ -1,0 +1,46 @@
+"""Equi-join of a skewed fact table with a table that is unique per key."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Rows of one key that a single reducer may see.
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(key_counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and the number of parts to cut them into.
+
+    ``key_counts`` holds the number of rows ``n`` per key, itself a map-side
+    combined count. At most (all rows / hot_rows) keys can qualify, so even
+    10^12 rows give at most a million short entries: safe to broadcast.
+    """
+    return key_counts.filter(F.col("n") > hot_rows).select(
+        *keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
+
+
+def join_unique(
+    facts: DataFrame, dims: DataFrame, hot: DataFrame, keys: list[str], row_key: Column, how: str = "inner",
+) -> DataFrame:
+    """``facts`` joined with ``dims`` (one row per key), hot keys cut into parts.
+
+    ``row_key`` spreads the rows of a hot key over its parts, and the one
+    dimension row of that key is copied once per part. Every fact row therefore
+    meets its dimension row exactly once. ``hot`` comes from :func:`hot_keys`.
+    """
+    hot = F.broadcast(hot)
+    fact_columns = facts.columns
+    dim_columns = [c for c in dims.columns if c not in keys]
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    left = facts.join(hot, keys, "left").select(
+        *fact_columns, F.pmod(F.xxhash64(row_key), parts).cast("int").alias("part"))
+    right = dims.join(hot, keys, "left").select(
+        *keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *dim_columns)
+    return left.join(right, [*keys, "part"], how).select(*fact_columns, *dim_columns)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
