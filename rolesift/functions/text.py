@@ -60,12 +60,16 @@ def contains_word(value: Column | str, *phrases: str) -> Column:
     return col(value).rlike(word_boundary_pattern(phrases))
 
 
-def titles_match(a: Column | str, b: Column | str) -> Column:
-    """Either text contains the other after normalising; blanks never match."""
-    a, b = normalize(a), normalize(b)
+def overlap_match(a: Column | str, b: Column | str) -> Column:
+    """Either normalised text contains the other; blanks never match."""
+    a, b = col(a), col(b)
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
+def titles_match(a: Column | str, b: Column | str) -> Column:
+    return overlap_match(normalize(a), normalize(b))
+
+
 def word_tokens(value: Column | str) -> Column:
     """The set of [a-z0-9]+ runs of the lower-cased text."""
     return F.array_distinct(F.regexp_extract_all(F.lower(or_empty(value)), F.lit("[a-z0-9]+"), F.lit(0)))

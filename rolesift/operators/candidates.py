@@ -26,80 +26,125 @@ def profile_hash(candidate: Column) -> Column:
     return F.sha2(F.to_json(candidate), 256)
 
 
-def capability_relevance(capabilities: Column | str) -> Column:
-    """map family -> what the family asks of the candidate's capabilities.
+def with_capability_lists(candidates: DataFrame) -> DataFrame:
+    """Parallel lists cap_keys, cap_strengths and cap_proofs (first evidence), and
+    cap_spare, the generic capabilities any employer may value.
 
-    Nine entries per candidate, whatever the number of postings.
+    Looking a key up in a list is a native loop, which a filter() with a lambda
+    per look-up is not.
     """
-    capabilities = F.coalesce(col(capabilities), F.expr(f"cast(array() as array<{schemas.CAPABILITY.simpleString()}>)"))
-    scores = F.create_map(*[F.lit(x) for pair in rules.STRENGTH_SCORE.items() for x in pair])
-    none = text_array([])
-
-    def record(key: Column) -> Column:
-        return F.get(F.filter(capabilities, lambda c: c["key"] == key), F.lit(0))
-
-    def strength(key: Column) -> Column:
-        return F.coalesce(record(key)["strength"], F.lit("none"))
-
-    def is_gap(key: Column) -> Column:
-        return ~strength(key).isin("professional", "practical")
-
-    def summed(keys: Column, start: Column, factor: int) -> Column:
-        return F.aggregate(keys, start, lambda total, k: total + F.coalesce(
-            F.try_element_at(scores, strength(k)), F.lit(0.0)) * factor)
-
-    def proofs(needed: Column, wanted: str, prefix: str) -> Column:
-        return F.transform(
-            F.filter(needed, lambda k: strength(k) == wanted),
-            lambda k: F.concat(F.lit(prefix), F.get(record(k)["evidence"], F.lit(0))))
-
-    def facts(needs: Column) -> Column:
-        primary, secondary = needs["primary"], needs["secondary"]
-        needed = F.concat(primary, secondary)
-        weight = F.size(primary) * 2 + F.size(secondary)
-        fraction = F.when(weight > 0, summed(secondary, summed(primary, F.lit(0.0), 2), 1) / weight).otherwise(0.0)
-        spare = F.filter(capabilities, lambda c: (
-            c["key"].isin(rules.TRANSFERABLE_CAPABILITIES) & ~F.array_contains(needed, c["key"])
-            & (F.coalesce(c["strength"], F.lit("none")) != "none")))
+    listed = F.coalesce(col("capabilities"), F.expr(f"cast(array() as array<{schemas.CAPABILITY.simpleString()}>)"))
+    return candidates.withColumn("capabilities", listed).withColumns({
+        "cap_keys": F.col("capabilities.key"),
+        "cap_strengths": F.transform("capabilities", lambda c: F.coalesce(c["strength"], F.lit("none"))),
+        "cap_proofs": F.transform("capabilities", lambda c: F.get(c["evidence"], F.lit(0))),
+        "cap_spare": F.transform(
+            F.filter("capabilities", lambda c: c["key"].isin(rules.TRANSFERABLE_CAPABILITIES) & (
+                F.coalesce(c["strength"], F.lit("none")) != "none")),
+            lambda c: F.struct(c["key"].alias("key"), F.get(c["evidence"], F.lit(0)).alias("proof"))),
+    })
+
+
+def _place(key: Column) -> Column:
+    return (F.array_position("cap_keys", key) - 1).cast("int")
+
+
+def _strength(key: Column) -> Column:
+    return F.coalesce(F.get("cap_strengths", _place(key)), F.lit("none"))
+
+
+def _held(keys: Column) -> Column:
+    """The capabilities behind some keys: array<struct<key, strength, proof>>."""
+    return F.transform(keys, lambda k: F.struct(
+        k.alias("key"), _strength(k).alias("strength"), F.get("cap_proofs", _place(k)).alias("proof")))
+
+
+def _per_family(facts) -> Column:
+    """map family -> facts(held); nine entries per candidate, each key looked up once."""
+    held = F.transform(family_needs(), lambda needs: F.struct(
+        needs["family"].alias("family"), _held(needs["primary"]).alias("primary"),
+        _held(needs["secondary"]).alias("secondary")))
+    return F.map_from_entries(F.transform(
+        held, lambda h: F.struct(h["family"].alias("family"), facts(h).alias("facts"))))
+
+
+def capability_points() -> Column:
+    """map family -> raw capability points, primary needs counting twice."""
+    scores = rules.STRENGTH_SCORE
+
+    def summed(held: Column, start: Column, factor: int) -> Column:
+        return F.aggregate(held, start, lambda total, c: total + (
+            F.when(c["strength"] == "professional", scores["professional"])
+            .when(c["strength"] == "practical", scores["practical"]).otherwise(scores["none"])) * factor)
+
+    def raw(held: Column) -> Column:
+        weight = F.size(held["primary"]) * 2 + F.size(held["secondary"])
+        total = summed(held["secondary"], summed(held["primary"], F.lit(0.0), 2), 1)
+        return F.when(
+            weight > 0, F.lit(float(rules.WEIGHTS["capability_score"])) * (total / weight)).otherwise(0.0)
+
+    return _per_family(raw)
+
+
+def capability_relevance() -> Column:
+    """map family -> matches, gaps and proofs, for the explanations."""
+    def having(held: Column, wanted: str) -> Column:
+        return F.filter(held, lambda c: c["strength"] == wanted)
+
+    def gaps(held: Column) -> Column:
+        return F.filter(held, lambda c: ~c["strength"].isin("professional", "practical"))
+
+    def facts(held: Column) -> Column:
+        needed = F.concat(held["primary"], held["secondary"])
+        professional, practical = having(needed, "professional"), having(needed, "practical")
         return F.struct(
-            (F.lit(float(rules.WEIGHTS["capability_score"])) * fraction).alias("raw_score"),
-            F.filter(needed, lambda k: strength(k) == "professional").alias("professional_matches"),
-            F.filter(needed, lambda k: strength(k) == "practical").alias("practical_matches"),
-            F.filter(needed, is_gap).alias("capability_gaps"),
+            professional["key"].alias("professional_matches"), practical["key"].alias("practical_matches"),
+            gaps(needed)["key"].alias("capability_gaps"),
             F.array_compact(F.concat(
-                none, proofs(needed, "professional", ""),
-                proofs(needed, "practical", "(project/practical, not professional) "))).alias("relevant_evidence"),
-            F.array_compact(F.transform(spare, lambda c: F.get(c["evidence"], F.lit(0)))).alias(
-                "transferable_evidence"),
-            F.transform(F.filter(primary, is_gap), lambda k: F.concat(
-                F.lit("No demonstrated experience in '"), F.replace(k, F.lit("_"), F.lit(" ")),
+                professional["proof"],
+                F.transform(practical, lambda c: F.concat(
+                    F.lit("(project/practical, not professional) "), c["proof"])))).alias("relevant_evidence"),
+            F.array_compact(F.filter(
+                "cap_spare", lambda c: ~F.array_contains(needed["key"], c["key"]))["proof"]
+            ).alias("transferable_evidence"),
+            F.transform(gaps(held["primary"]), lambda c: F.concat(
+                F.lit("No demonstrated experience in '"), F.replace(c["key"], F.lit("_"), F.lit(" ")),
                 F.lit("', which this role family primarily needs"))).alias("missing_capabilities"),
         )
 
-    return F.map_from_entries(F.transform(
-        family_needs(), lambda needs: F.struct(needs["family"].alias("family"), facts(needs).alias("facts"))))
+    return _per_family(facts)
+
+
+def _normalized(values: Column | str) -> Column:
+    return F.transform(or_no_items(values), normalize)
+
+
+def _keyed(titles: Column | str) -> Column:
+    """array<struct<text, key>> with normalised keys."""
+    return F.transform(or_no_items(titles), lambda t: F.struct(t.alias("text"), normalize(t).alias("key")))
 
 
 def candidate_features(candidates: DataFrame) -> DataFrame:
     """One narrow row per candidate with everything pair scoring looks up."""
     titles = F.concat(or_no_items("target_titles"), or_no_items("secondary_titles"))
     minimum = F.coalesce(col("min_acceptable_salary_inr_per_year"), F.lit(0.0))
-    return candidates.select(
+    return with_capability_lists(candidates).select(
         "candidate_id",
         F.coalesce(col("total_experience_years"), F.lit(0.0)).alias("years"),
-        or_no_items("target_titles").alias("target_titles"),
-        or_no_items("secondary_titles").alias("secondary_titles"),
+        _keyed("target_titles").alias("target_titles"),
+        _keyed("secondary_titles").alias("secondary_titles"),
         target_families("target_titles", "secondary_titles").alias("target_families"),
         normalize_words(F.flatten(F.transform(titles, word_tokens))).alias("known_words"),
-        F.transform(or_no_items("preferred_work_modes"), normalize).alias("preferred_modes"),
-        or_no_items("preferred_locations").alias("preferred_locations"),
-        or_no_items("preferred_industries").alias("preferred_industries"),
-        or_no_items("avoid_industries").alias("avoid_industries"),
-        F.transform(or_no_items("preferred_company_sizes"), normalize).alias("preferred_sizes"),
+        _normalized("preferred_work_modes").alias("preferred_modes"),
+        _normalized("preferred_locations").alias("preferred_places"),
+        _normalized("preferred_industries").alias("preferred_industries"),
+        _normalized("avoid_industries").alias("avoid_industries"),
+        _normalized("preferred_company_sizes").alias("preferred_sizes"),
         minimum.alias("salary_floor"),
         F.coalesce(col("target_salary_min_inr_per_year"), minimum).alias("salary_target"),
         evidence_blob("skills", "capabilities").alias("blob"),
-        capability_relevance("capabilities").alias("capability_facts"),
+        capability_points().alias("capability_points"),
+        capability_relevance().alias("capability_facts"),
     )
 
 

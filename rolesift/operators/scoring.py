@@ -15,7 +15,7 @@ from rolesift import rules
 from rolesift.functions import fit
 from rolesift.functions.pyformat import quoted
 from rolesift.functions.roles import career_level, career_level_fit, role_family, title_family
-from rolesift.functions.text import col, or_empty, or_no_items, title_tokens
+from rolesift.functions.text import col, normalize, or_empty, or_no_items, strip, title_tokens
 from rolesift.operators.candidates import candidate_features
 
 PARTS = list(rules.WEIGHTS)
@@ -29,7 +29,10 @@ RESULT_COLUMNS = [
 def posting_features(postings: DataFrame, *carried: str) -> DataFrame:
     """Posting-only part of the rules. The description is read here and dropped."""
     return postings.select(
-        *carried, col("id").alias("job_id"), "title", "location", "work_mode", "industry", "company_size",
+        *carried, col("id").alias("job_id"), "title", "location", "work_mode", "industry",
+        normalize("title").alias("title_key"), normalize("location").alias("place_key"),
+        normalize("work_mode").alias("mode_key"), normalize("industry").alias("industry_key"),
+        normalize("company_size").alias("size_key"),
         "salary_min", "salary_max", "min_experience_years", "max_experience_years",
         role_family("title", "description").alias("role_family"),
         title_family("title").alias("title_family"),
@@ -53,42 +56,47 @@ def pair_rows(postings: DataFrame, candidates: DataFrame, pairs: DataFrame) -> D
     return with_posting.join(candidate_features(candidates), "candidate_id")
 
 
-def _with_parts(rows: DataFrame) -> DataFrame:
-    """The nine parts as struct columns, each evaluated once."""
+def with_parts(rows: DataFrame) -> DataFrame:
+    """The nine parts and what they rest on.
+
+    List functions come first, one column each, so that the points and the
+    messages read plain columns; what a caller does not select is not computed.
+    """
+    family = fit.role_family_score("role_family", "target_families")
+    experience = fit.experience_fit("min_experience_years", "max_experience_years", "years", "career_level")
+    salary = fit.salary_fit("salary_min", "salary_max", "salary_floor", "salary_target")
+    alignment = fit.title_alignment(
+        "title", "title_key", "title_family", "title_words", "target_titles", "secondary_titles",
+        "target_families", "known_words")
     return (
         rows.withColumns({
-            "family": fit.role_family_score("role_family", "target_families"),
-            "capability": F.element_at("capability_facts", col("role_family")),
+            "is_mismatch": family["is_mismatch"], "family_status": family["status"],
+            "role_family_score": family["score"],
+            "capability": F.try_element_at("capability_facts", col("role_family")),
+            "capability_raw": F.try_element_at("capability_points", col("role_family")),
             "required_cov": fit.phrase_coverages("required_words", "blob"),
             "preferred_cov": fit.phrase_coverages("preferred_words", "blob"),
-            "alignment": fit.title_alignment(
-                "title", "title_family", "title_words", "target_titles", "secondary_titles",
-                "target_families", "known_words"),
-            "experience": fit.experience_fit(
-                "min_experience_years", "max_experience_years", "years", "career_level"),
-            "place": fit.location_fit("work_mode", "location", "preferred_modes", "preferred_locations"),
-            "domain": fit.industry_fit(
-                "industry", "company_size", "preferred_industries", "avoid_industries", "preferred_sizes"),
-            "salary": fit.salary_fit("salary_min", "salary_max", "salary_floor", "salary_target"),
+            "title_alignment_score": alignment["score"],
+            "experience_fit_score": experience["score"], "experience_status": experience["status"],
+            "experience_gap_years": experience["gap"], "experience_detail": experience["detail"],
+            "work_mode_status": fit.work_mode_status("mode_key", "preferred_modes"),
+            "location_status": fit.place_status("mode_key", "place_key", "preferred_places"),
+            "industry_status": fit.industry_status("industry_key", "preferred_industries", "avoid_industries"),
+            "company_size_status": fit.company_size_status("size_key", "preferred_sizes"),
+            "salary_fit": salary["score"], "salary_status": salary["status"], "salary_detail": salary["detail"],
+            "career_level_fit": career_level_fit("career_level"),
         })
-        .drop("capability_facts", "blob", "required_words", "preferred_words")
         .withColumns({
             "evidence": fit.relevant_evidence("required_cov", "preferred_cov"),
-            "damp": fit.dampening("role_family", F.col("family.is_mismatch")),
+            "damp": fit.dampening("role_family", "is_mismatch"),
+            "location_fit": fit.location_fit("work_mode_status", "location_status"),
+            "industry_fit": fit.industry_fit("industry_status", "company_size_status"),
         })
-        .drop("required_cov", "preferred_cov")
         .withColumns({
-            "role_family_score": F.col("family.score"),
-            "capability_score": fit.points(F.col("capability.raw_score") * F.col("damp")),
+            "capability_score": fit.points(F.col("capability_raw") * F.col("damp")),
             "evidence_score": fit.points(F.col("evidence.raw_score") * F.col("damp")),
-            "title_alignment_score": F.col("alignment.score"),
-            "experience_fit_score": F.col("experience.score"),
-            "career_level_fit": career_level_fit("career_level"),
-            "location_fit": F.col("place.score"),
-            "industry_fit": F.col("domain.score"),
-            "salary_fit": F.col("salary.score"),
             "critical": fit.critical_missing(
-                F.col("domain.is_avoided_industry"), F.col("salary.status"), F.col("evidence")),
+                F.col("industry_status") == "avoided industry", F.col("salary_status"), F.col("evidence")),
         })
     )
 
@@ -105,14 +113,14 @@ def explanations() -> dict[str, Column]:
         F.col("capability.missing_capabilities"),
         _listed(
             F.when(F.size(weak) > 0, F.concat(F.lit("Little to no evidence for: "), joined(weak))),
-            F.when(F.col("family.is_mismatch"), F.col("family.status")),
-            F.when(F.col("place.work_mode_status") == "not in preferred work modes", F.concat(
+            F.when(F.col("is_mismatch"), F.col("family_status")),
+            F.when(F.col("work_mode_status") == "not in preferred work modes", F.concat(
                 F.lit("Work mode "), quoted("work_mode"), F.lit(" is not in your preferred work modes"))),
-            F.when(F.col("place.location_status") == "outside preferred locations", F.concat(
+            F.when(F.col("location_status") == "outside preferred locations", F.concat(
                 F.lit("Location "), quoted("location"), F.lit(" is outside your preferred locations"))),
-            F.when(F.col("domain.is_avoided_industry"), F.concat(
+            F.when(F.col("industry_status") == "avoided industry", F.concat(
                 F.lit("Industry "), quoted("industry"), F.lit(" is on your avoid list"))),
-            F.when(F.col("salary.status") == "below minimum acceptable", F.col("salary.detail")),
+            F.when(F.col("salary_status") == "below minimum acceptable", F.col("salary_detail")),
         ),
     )
     return {
@@ -121,14 +129,14 @@ def explanations() -> dict[str, Column]:
         "transferable_evidence": F.col("capability.transferable_evidence"),
         "missing_requirements": missing,
         "experience_gaps": _listed(
-            F.when(F.col("experience.status") == "underqualified", F.col("experience.detail"))),
+            F.when(F.col("experience_status") == "underqualified", F.col("experience_detail"))),
         "risks": _listed(
             F.when(F.size(partial) > 0, F.concat(F.lit("Only partial evidence for: "), joined(partial))),
             F.when(F.col("career_level") == "MID_LEVEL",
                    F.lit("Career level reads as mid-level, above your primary target")),
             F.when(F.col("role_family") == "UNKNOWN",
                    F.lit("Could not reliably classify this job's role family from its title")),
-            F.when(F.col("experience.status") == "overqualified", F.col("experience.detail")),
+            F.when(F.col("experience_status") == "overqualified", F.col("experience_detail")),
             F.when(~F.col("legitimate"),
                    F.lit("Listing is missing an application URL or has an unusually thin description")),
         ),
@@ -137,17 +145,16 @@ def explanations() -> dict[str, Column]:
 
 def score_rows(rows: DataFrame, *carried: str) -> DataFrame:
     """Score rows that already hold posting and candidate features."""
-    scored = _with_parts(rows).withColumn("score", fit.total_score(*PARTS))
-    decided = scored.withColumn("outcome", fit.decide_application(
-        "score", "career_level", "family", F.col("experience.gap"), "critical", "legitimate"))
-    return decided.withColumns(explanations()).select(
-        *carried, "job_id", "candidate_id", "score", "role_family", "career_level",
-        F.col("outcome.decision").alias("application_decision"),
-        F.col("outcome.reason").alias("decision_reason"),
-        F.struct(*PARTS).alias("score_breakdown"),
-        F.col("experience.gap").alias("experience_gap_years"),
-        *[F.col(c) for c in RESULT_COLUMNS[9:14]],
-        F.when(F.col("outcome.decision").isin(rules.ACTIONABLE_DECISIONS), "shortlisted")
+    scored = with_parts(rows).withColumn("score", fit.total_score(*PARTS))
+    outcome = fit.decide_application(
+        "score", "career_level", "is_mismatch", "family_status", "experience_gap_years", "critical", "legitimate")
+    decided = scored.withColumns({
+        "application_decision": outcome["decision"], "decision_reason": outcome["reason"], **explanations()})
+    return decided.select(
+        *carried, "job_id", "candidate_id", "score", "role_family", "career_level", "application_decision",
+        "decision_reason", F.struct(*PARTS).alias("score_breakdown"), "experience_gap_years",
+        *RESULT_COLUMNS[9:14],
+        F.when(F.col("application_decision").isin(rules.ACTIONABLE_DECISIONS), "shortlisted")
         .otherwise("discovered").alias("status"),
     )
 
@@ -190,7 +197,7 @@ def auto_apply_preconditions(matches: DataFrame, applications: DataFrame) -> Dat
         ("not_already_applied", ~applied, F.lit("A record for this job already exists in applications.json")),
         ("valid_url", F.startswith(F.col("url"), F.lit("http")),
          F.lit("application_url is missing or not a valid http(s) URL")),
-        ("identifiable", (fit.strip(or_empty("company")) != "") & (fit.strip(or_empty("title")) != ""),
+        ("identifiable", (strip(or_empty("company")) != "") & (strip(or_empty("title")) != ""),
          F.lit("Company or title is missing")),
         ("appears_legitimate", (F.col("url") != "") & (
             F.length(or_empty("description")) > rules.LEGITIMATE_MIN_DESCRIPTION),

@@ -128,20 +128,22 @@ CAP_SQL = (
 def capability_relevance(spark, sf):
     return (
         candidate_features(views.candidates(spark, sf))
-        .select("candidate_id", F.explode("capability_facts").alias("family", "f"))
-        .select("candidate_id", "family", "f.raw_score", *[joined(F.col(f"f.{n}")).alias(n) for n in (
-            "professional_matches", "practical_matches", "capability_gaps")],
-            joined(F.col("f.relevant_evidence")).alias("evidence"),
-            joined(F.col("f.transferable_evidence")).alias("transferable"))
+        .select("candidate_id", "capability_points", F.explode("capability_facts").alias("family", "f"))
+        .select("candidate_id", "family", F.try_element_at("capability_points", F.col("family")).alias("raw_score"),
+                *[joined(F.col(f"f.{n}")).alias(n) for n in (
+                    "professional_matches", "practical_matches", "capability_gaps")],
+                joined(F.col("f.relevant_evidence")).alias("evidence"),
+                joined(F.col("f.transferable_evidence")).alias("transferable"))
     )
 
 
 @query("capability_fraction", f"WITH {o.CF} SELECT family, count(*) AS candidates, max(cap_raw / 20) AS best, "
        "min(cap_raw / 20) AS worst FROM capfacts GROUP BY 1")
 def capability_fraction(spark, sf):
-    facts = candidate_features(views.candidates(spark, sf)).select(F.explode("capability_facts").alias("family", "f"))
-    fraction = F.col("f.raw_score") / 20
-    return facts.groupBy("family").agg(
+    points = candidate_features(views.candidates(spark, sf)).select(
+        F.explode("capability_points").alias("family", "points"))
+    fraction = F.col("points") / 20
+    return points.groupBy("family").agg(
         F.count(F.lit(1)).alias("candidates"), F.max(fraction).alias("best"), F.min(fraction).alias("worst"))
 
 
@@ -197,7 +199,7 @@ TITLE_DETAIL = f"""CASE WHEN t_match IS NOT NULL THEN concat('Title matches targ
 @query("title_alignment", f"WITH {o.MATCHES} SELECT job_id, candidate_id, title_alignment_score AS score, {TITLE_DETAIL} AS detail FROM x3")
 def title_alignment(spark, sf):
     result = fit.title_alignment(
-        "title", "title_family", "title_words", "target_titles", "secondary_titles", "target_families", "known_words")
+        "title", "title_key", "title_family", "title_words", "target_titles", "secondary_titles", "target_families", "known_words")
     return rows(spark, sf).withColumn("r", result).select("job_id", "candidate_id", "r.score", "r.detail")
 
 
@@ -210,7 +212,7 @@ def title_overlap(spark, sf):
 @query("titles_match", f"WITH {o.MATCHES} SELECT job_id, candidate_id, t_match IS NOT NULL AS target, "
        "s_match IS NOT NULL AS secondary FROM x2")
 def titles_match_query(spark, sf):
-    found = lambda c: F.exists(c, lambda t: titles_match("title", t))
+    found = lambda c: F.exists(c, lambda t: titles_match("title", t["text"]))
     return rows(spark, sf).select(
         "job_id", "candidate_id", found("target_titles").alias("target"), found("secondary_titles").alias("secondary"))
 
@@ -227,8 +229,8 @@ def experience_fit(spark, sf):
   CASE WHEN mode = 'remote' THEN 'remote (location not applicable)' WHEN place = '' THEN 'not specified'
     WHEN place_points = 4 THEN 'matches preference' ELSE 'outside preferred locations' END AS location_status FROM x4""")
 def location_fit(spark, sf):
-    result = fit.location_fit("work_mode", "location", "preferred_modes", "preferred_locations")
-    return rows(spark, sf).withColumn("r", result).select("job_id", "candidate_id", "r.*")
+    return scoring.with_parts(rows(spark, sf)).select(
+        "job_id", "candidate_id", F.col("location_fit").alias("score"), "work_mode_status", "location_status")
 
 
 @query("industry_fit", f"""WITH {o.MATCHES} SELECT job_id, candidate_id, industry_fit AS score,
@@ -237,9 +239,9 @@ def location_fit(spark, sf):
   CASE WHEN size_word = '' THEN 'not specified' WHEN size_points = 1 THEN 'preferred' ELSE 'not a preferred size' END AS company_size_status,
   avoided AS is_avoided_industry FROM x4""")
 def industry_fit(spark, sf):
-    result = fit.industry_fit(
-        "industry", "company_size", "preferred_industries", "avoid_industries", "preferred_sizes")
-    return rows(spark, sf).withColumn("r", result).select("job_id", "candidate_id", "r.*")
+    return scoring.with_parts(rows(spark, sf)).select(
+        "job_id", "candidate_id", F.col("industry_fit").alias("score"), "industry_status", "company_size_status",
+        (F.col("industry_status") == "avoided industry").alias("is_avoided_industry"))
 
 
 @query("salary_fit", f"""WITH {o.MATCHES} SELECT job_id, candidate_id, salary_fit AS score,
@@ -262,8 +264,7 @@ def total_score(spark, sf):
 
 @query("critical_missing", f"WITH {o.MATCHES} SELECT job_id, candidate_id, critical, legitimate FROM x4")
 def critical_missing(spark, sf):
-    result = scoring._with_parts(rows(spark, sf))
-    return result.select("job_id", "candidate_id", "critical", "legitimate")
+    return scoring.with_parts(rows(spark, sf)).select("job_id", "candidate_id", "critical", "legitimate")
 
 
 @query("appears_legitimate", f"WITH {o.PF} SELECT id, legitimate FROM pf")

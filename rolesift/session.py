@@ -22,6 +22,8 @@ def build_session(app_name: str = "rolesift", master: str | None = None, **setti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Rows are short and the work per row is long: keep small tasks apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # Recording a Python call site per expression costs more than building it.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
