@@ -18,7 +18,7 @@ FILTER_PATHS = {
     "lever": ("$.text", "$.id", "$.categories.location"),
     "ashby": ("$.title", "$.id", "$.location"),
     "smartrecruiters": ("$.name", "$.id", "$.location.fullLocation"),
-    "workday": ("$.title", "$.externalPath", "$.bulletFields[1]"),
+    "workday": ("$.title", "$.externalPath", "$.bulletFields"),
 }
 SOURCE = ["candidate_id", "connector", "source_key"]
 POSITION = ["query_no", "page_no", "pos"]
@@ -69,7 +69,10 @@ def filter_fields(raw: DataFrame) -> DataFrame:
             chain = chain.when(F.col("connector") == connector, F.get_json_object("payload", paths[n]))
         return chain
 
-    return raw.withColumns({"f_title": pick(0), "f_id": pick(1), "f_place": pick(2)})
+    # The place of a search hit is the second entry of a list that may be short.
+    place = F.when(
+        F.col("connector") == "workday", F.get(F.from_json(pick(2), "array<string>"), F.lit(1))).otherwise(pick(2))
+    return raw.withColumns({"f_title": pick(0), "f_id": pick(1), "f_place": place})
 
 
 def classify(raw: DataFrame, phrase_tokens: Column, places: Column) -> DataFrame:

@@ -82,10 +82,10 @@ POSTINGS = [
     ("description", "CASE WHEN p_partkey % 13 = 0 THEN 'Short text' ELSE concat('We build ', p_name, ' for ', "
      f"p_brand, '. ', {pick(['Our sales group grows.', 'You write reports for many clients.', 'The staff is friendly.'], 'p_size % 3')}"
      ", ' Apply when this sounds like you.') END"),
-    ("application_url", "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat('https://Jobs.Example.com/', "
-     "replace(p_brand, '#', '-'), '/', p_partkey % 4000, '?ref=', p_size) END"),
-    ("source", f"concat({pick(['lever', 'greenhouse', 'ashby'], 'p_partkey % 3')}, ':', p_brand)"),
-    ("source_job_id", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE concat('J', p_partkey % 5000) END"),
+    ("application_url", "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE concat('https://Jobs.Example.com/job/', "
+     "p_partkey % 300, '?ref=', p_size) END"),
+    ("source", f"concat({pick(['lever', 'greenhouse', 'ashby'], 'p_partkey % 3')}, ':board', p_size % 3)"),
+    ("source_job_id", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE concat('J', p_partkey % 400) END"),
     ("date_discovered", f"{DATE} + CAST(p_partkey % 60 AS INT)"),
     ("discovered_at", f"{DATE} + CAST(p_partkey % 60 AS INT)"),
     ("first_seen_at", f"CASE WHEN p_size % 4 <> 1 THEN {DATE} + CAST(p_partkey % 60 AS INT) END"),

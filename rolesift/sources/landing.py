@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.errors import AnalysisException
 
 from rolesift import schemas
 
@@ -60,24 +60,29 @@ def read_raw_postings(spark: SparkSession, path: str) -> DataFrame:
     return explode_responses(response_pages(read_responses(spark, path)))
 
 
-def read_json_objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tolerant import of JSON list files.
+def parse_json_objects(lists: DataFrame, schema: T.StructType, *kept: str) -> DataFrame:
+    """Objects of the JSON lists in column ``value``, with their place in the list.
 
-    A missing path, an empty file, broken JSON or a top level that is no list
-    give no rows; entries that are no objects are dropped; sparse objects stay.
+    Text that is no JSON list gives no rows, entries that are no objects are
+    dropped, sparse objects stay.
     """
+    entries = F.posexplode(F.from_json("value", "array<string>")).alias("ordinal", "entry")
+    return (
+        lists.select(*kept, entries)
+        .filter(F.json_object_keys("entry").isNotNull())
+        .select(*kept, "ordinal", F.from_json("entry", schema).alias("row")).select(*kept, "row.*", "ordinal")
+    )
+
+
+def read_json_objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Tolerant import of files that hold one JSON list each; a missing path is empty."""
     try:
         files = spark.read.option("wholetext", True).text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    entries = F.posexplode(F.from_json("value", "array<string>"))
-    return (
-        files.select(entries.alias("ordinal", "entry"))
-        .filter(F.json_object_keys("entry").isNotNull())
-        .select("ordinal", F.from_json("entry", schema).alias("row")).select("row.*", "ordinal")
-    )
+        return parse_json_objects(spark.createDataFrame([], "value string"), schema)
+    return parse_json_objects(files, schema)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
