@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.operators.identity import key_rows
-from rolesift.operators.skew import HOT_ROWS, hot_keys, join_unique
+from rolesift.operators.skew import HOT_ROWS, hot_keys, join_unique, union_all
 from rolesift.session import cut_lineage
 
 
@@ -25,54 +25,39 @@ def existing_holders(existing: DataFrame, scope: list[str] | None = None) -> Dat
     return key_rows(existing, scope).groupBy("key").agg(F.max("ordinal").alias("existing_ordinal"))
 
 
-def _per_key(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n"))
-
-
-def _kept_and_rest(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def _round(rows: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """One round: rows first under all their keys are kept, their followers go.
 
-    Returns the kept rows (ordinal) and the undecided key rows (ordinal, key).
+    Returns the kept ordinals and the still undecided key rows.
     """
-    firsts = _per_key(rows)
-    hot = hot_keys(firsts, ["key"], hot_rows)
-    seen = join_unique(rows, firsts.drop("n"), hot, ["key"], F.col("ordinal"))
-    kept = (
+    firsts = rows.groupBy("key").agg(F.min("ordinal").alias("first"))
+    seen = join_unique(rows, firsts, hot, ["key"], F.col("ordinal"))
+    kept = cut_lineage(
         seen.groupBy("ordinal").agg(F.min(F.col("first") == F.col("ordinal")).alias("kept"))
-        .filter("kept").select("ordinal")
-    )
+        .filter("kept").select("ordinal"))
     # A kept row is the first of each of its keys, so every key is taken once.
     taken = rows.join(kept, "ordinal", "left_semi").select("key", F.lit(True).alias("is_taken"))
-    touched = join_unique(rows, taken, hot, ["key"], F.col("ordinal"), "left")
-    decided = touched.filter("is_taken").select("ordinal").distinct()
-    return kept, rows.join(decided, "ordinal", "left_anti")
+    touched = join_unique(rows, taken, hot, ["key"], F.col("ordinal"))
+    rest = rows.join(touched.select("ordinal").distinct(), "ordinal", "left_anti")
+    return kept, cut_lineage(rest)
 
 
-def dedupe_in_batch(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dedupe_in_batch(rows: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Ordinals kept from key rows ``(ordinal, key)`` by the first-come rule.
 
-    Rows that share no key with another row are settled at once. The rest goes
-    through rounds; each keeps at least the smallest undecided row, so the loop
-    ends, and every round works on the still undecided rows only. Rounds are
-    checkpointed so that a lost executor does not replay earlier rounds.
+    Every round keeps at least the smallest undecided row, so the loop ends; a
+    round works on the undecided rows only, and rows that share no key with
+    another row are settled in the first. Rounds are checkpointed so that a
+    lost executor does not replay earlier ones.
     """
-    rows = cut_lineage(rows.select("ordinal", "key"))
-    counts = _per_key(rows)
-    hot = hot_keys(counts, ["key"], hot_rows)
-    alone = (
-        join_unique(rows, counts.select("key", (F.col("n") == 1).alias("single")), hot, ["key"], F.col("ordinal"))
-        .groupBy("ordinal").agg(F.min("single").alias("single"))
-    )
-    kept = [alone.filter("single").select("ordinal")]
-    undecided = cut_lineage(rows.join(alone.filter(~F.col("single")), "ordinal", "left_semi"))
+    undecided = cut_lineage(rows.select("ordinal", "key"))
+    if hot is None:
+        hot = hot_keys(undecided, ["key"], hot_rows)
+    kept = []
     while not undecided.isEmpty():
-        winners, rest = _kept_and_rest(undecided, hot_rows)
-        kept.append(cut_lineage(winners))
-        undecided = cut_lineage(rest)
-    result = kept[0]
-    for more in kept[1:]:
-        result = result.union(more)
-    return result
+        winners, undecided = _round(undecided, hot)
+        kept.append(winners)
+    return union_all(kept) if kept else undecided.select("ordinal")
 
 
 def resolve(
@@ -86,30 +71,27 @@ def resolve(
     came by: a stored posting, or a kept posting with a smaller ordinal.
     """
     keys = cut_lineage(key_rows(incoming, scope))
+    hot = hot_keys(keys, ["key"], hot_rows)
     holders = existing_holders(existing, scope)
-    hot = hot_keys(_per_key(keys), ["key"], hot_rows)
     with_holder = cut_lineage(join_unique(keys, holders, hot, ["key"], F.col("ordinal"), "left"))
     old = with_holder.filter(F.col("existing_ordinal").isNotNull()).select("ordinal").distinct()
     fresh = with_holder.join(old, "ordinal", "left_anti").select("ordinal", "key")
-    kept = cut_lineage(dedupe_in_batch(fresh, hot_rows))
+    kept = dedupe_in_batch(fresh, hot_rows, hot)
     # Keys of kept rows are unique: no two kept rows share one.
     new_holders = fresh.join(kept, "ordinal", "left_semi").select("key", F.col("ordinal").alias("new_ordinal"))
     candidates = join_unique(with_holder, new_holders, hot, ["key"], F.col("ordinal"), "left").withColumn(
         "earlier", F.when(F.col("new_ordinal") < F.col("ordinal"), F.col("new_ordinal")))
     held = F.col("existing_ordinal").isNotNull() | F.col("earlier").isNotNull()
-    holder = F.struct("existing_ordinal", "earlier")
+    # A kept row holds its own keys and nothing else does.
     matches = candidates.groupBy("ordinal").agg(
+        F.max(F.coalesce(F.col("new_ordinal") == F.col("ordinal"), F.lit(False))).alias("is_kept"),
         F.min(F.when(held, F.col("tier"))).alias("matched_tier"),
-        F.min_by(F.when(held, holder), F.when(held, F.col("tier"))).alias("holder"),
-    )
-    return (
-        matches.join(kept.withColumn("is_kept", F.lit(True)), "ordinal", "left")
-        .select(
-            "ordinal", F.col("is_kept").isNull().alias("is_duplicate"),
-            F.when(F.col("is_kept").isNull(), F.col("matched_tier")).alias("matched_tier"),
-            F.when(F.col("is_kept").isNull(), F.col("holder.existing_ordinal")).alias("matched_existing"),
-            F.when(F.col("is_kept").isNull(), F.col("holder.earlier")).alias("matched_incoming"))
+        F.min_by(F.when(held, F.struct("existing_ordinal", "earlier")), F.when(held, F.col("tier"))).alias("holder"),
     )
+    return matches.select(
+        "ordinal", (~F.col("is_kept")).alias("is_duplicate"), "matched_tier",
+        F.col("holder.existing_ordinal").alias("matched_existing"),
+        F.col("holder.earlier").alias("matched_incoming"))
 
 
 def backfill_history(postings: DataFrame, run_date) -> DataFrame:

@@ -7,30 +7,38 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolesift.session import cut_lineage
+
 # Rows of one key that a single reducer may see.
 HOT_ROWS = 1_000_000
 
 
-def hot_keys(key_counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of parts to cut them into.
+def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and the parts to cut them into.
 
-    ``key_counts`` holds the number of rows ``n`` per key, itself a map-side
-    combined count. At most (all rows / hot_rows) keys can qualify, so even
-    10^12 rows give at most a million short entries: safe to broadcast.
+    The count combines on the map side. At most (all rows / hot_rows) keys can
+    qualify, so even 10^12 rows give at most a million short entries, which are
+    checkpointed and safe to broadcast. None when no key is hot, the usual case.
     """
-    return key_counts.filter(F.col("n") > hot_rows).select(
-        *keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
+    hot = cut_lineage(
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
+        .select(*keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")))
+    return None if hot.isEmpty() else hot
 
 
 def join_unique(
-    facts: DataFrame, dims: DataFrame, hot: DataFrame, keys: list[str], row_key: Column, how: str = "inner",
+    facts: DataFrame, dims: DataFrame, hot: DataFrame | None, keys: list[str], row_key: Column,
+    how: str = "inner",
 ) -> DataFrame:
     """``facts`` joined with ``dims`` (one row per key), hot keys cut into parts.
 
     ``row_key`` spreads the rows of a hot key over its parts, and the one
     dimension row of that key is copied once per part. Every fact row therefore
-    meets its dimension row exactly once. ``hot`` comes from :func:`hot_keys`.
+    meets its dimension row exactly once. ``hot`` comes from :func:`hot_keys`
+    over the same or more rows; without hot keys this is an ordinary join.
     """
+    if hot is None:
+        return facts.join(dims, keys, how)
     hot = F.broadcast(hot)
     fact_columns = facts.columns
     dim_columns = [c for c in dims.columns if c not in keys]

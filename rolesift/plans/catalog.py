@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rolesift.plans import collect_queries, scoring_queries, text_queries
+from rolesift.plans import artifact_queries, collect_queries, scoring_queries, text_queries
 
-MODULES = [scoring_queries, text_queries, collect_queries]
+MODULES = [scoring_queries, text_queries, collect_queries, artifact_queries]
 
 
 def queries() -> dict:

@@ -376,7 +376,7 @@ def normalize_postings(spark, sf):
 
 # --- identity against history and inside a batch ---------------------------------------
 
-INCOMING, STORED = "ordinal % 3 <> 0", "ordinal % 3 = 0"
+INCOMING, STORED = "ordinal % 7 <> 0", "ordinal % 7 = 0"
 # First-come rounds in SQL: state 0 undecided, 1 kept, 2 dropped.
 ROUNDS = f"""RECURSIVE p AS (SELECT * FROM {views.POSTINGS_SQL}), k AS (SELECT ordinal, tier, concat(tier, chr(31), key) AS key FROM ({KEYS_SQL}) WHERE key IS NOT NULL),
 old AS (SELECT key, max(ordinal) AS holder FROM k WHERE {STORED} GROUP BY 1),
