@@ -15,8 +15,9 @@ LANDING_KEYS = ["candidate_id", "connector", "source_key", "source_no", "query_n
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed response file.
 
-    Files lie in partition folders named by LANDING_KEYS; an empty file records
-    a failed request. A file is one API response and therefore small.
+    Files lie in partition folders named by LANDING_KEYS. A file is one API
+    response and therefore small. A failed request is landed as a blank line,
+    since Spark does not see files of no bytes.
     """
     keys = T.StructType([f for f in schemas.RESPONSES.fields if f.name != "body"])
     schema = T.StructType([T.StructField("value", T.StringType()), *keys.fields])
