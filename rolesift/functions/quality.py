@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolesift import rules
 from rolesift.functions.pyformat import quoted
 from rolesift.functions.spans import match_spans, snippet
-from rolesift.functions.text import col, or_empty, strip, text_array
+from rolesift.functions.text import col, let, or_empty, strip, text_array
 
 
 def normalize_whitespace(value: Column | str) -> Column:
@@ -27,8 +27,11 @@ def mask_safe_spans(value: Column | str) -> Column:
         lambda u: F.repeat(F.lit("#"), F.length(u)),
     )
     pieces = F.split(value, rules.URL_OR_EMAIL)
+    possible = F.lit(False)
+    for mark in ("@", "http", "www."):
+        possible = possible | F.contains(value, F.lit(mark))
     return F.when(
-        value.rlike(rules.URL_OR_EMAIL),
+        possible,
         F.array_join(F.zip_with(pieces, masks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""),
     ).otherwise(value)
 
@@ -41,19 +44,18 @@ def _ends_in_abbreviation(text: Column) -> Column:
 def whitespace_issues(value: Column | str) -> Column:
     """array<string>: one message per suspected missing or repeated space."""
     text = or_empty(value)
-    masked = mask_safe_spans(text)
+    return let(F.struct(text.alias("text"), mask_safe_spans(text).alias("masked")), lambda t: _issues(
+        t["text"], t["masked"]))
 
-    def report(label: str, spans: Column) -> Column:
-        return F.transform(
-            spans, lambda s: F.concat(F.lit(label), quoted(snippet(text, s, rules.SNIPPET_CHARS)))
-        )
 
+def _issues(text: Column, masked: Column) -> Column:
     def found(source: Column, pattern: str, label: str, keep=None) -> Column:
         spans = match_spans(source, pattern)
         if keep is not None:
             spans = F.filter(spans, keep)
-        none = text_array([])
-        return F.when(source.rlike(pattern), report(label, spans)).otherwise(none)
+        messages = F.transform(
+            spans, lambda s: F.concat(F.lit(label), quoted(snippet(text, s, rules.SNIPPET_CHARS))))
+        return F.when(source.rlike(pattern), messages).otherwise(text_array([]))
 
     def no_abbreviation(span: Column) -> Column:
         # The longest abbreviation has four letters; eight characters hold it

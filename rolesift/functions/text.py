@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sql_text(value: str) -> str:
     """A Spark SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -156,18 +161,21 @@ def canonical_url(url: Column | str) -> Column:
 def parse_experience(value: Column | str) -> Column:
     """struct(min, max) years: a range, else 'N+ years', else 'minimum N years'."""
     value = or_empty(value)
+    # Most texts state no years at all; a plain search spares them the patterns.
+    stated = F.when(F.contains(F.lower(value), F.lit("year")), value)
 
     def number(pattern: str, group: int) -> Column:
-        return blank_to_null(F.regexp_extract(value, pattern, group)).try_cast("double")
+        return blank_to_null(F.regexp_extract(stated, pattern, group)).try_cast("double")
 
     low, high = number(rules.EXPERIENCE_RANGE, 1), number(rules.EXPERIENCE_RANGE, 2)
-    single = F.coalesce(number(rules.EXPERIENCE_PLUS, 1), number(rules.EXPERIENCE_MINIMUM, 1))
-    return F.struct(F.coalesce(low, single).alias("min"), high.alias("max"))
+    return F.struct(
+        F.coalesce(low, number(rules.EXPERIENCE_PLUS, 1), number(rules.EXPERIENCE_MINIMUM, 1)).alias("min"),
+        high.alias("max"))
 
 
 def is_experience_line(value: Column | str) -> Column:
     value = or_empty(value)
-    return (
+    return F.contains(F.lower(value), F.lit("year")) & (
         value.rlike(rules.EXPERIENCE_RANGE) | value.rlike(rules.EXPERIENCE_PLUS)
         | value.rlike(rules.EXPERIENCE_MINIMUM)
     )
@@ -196,10 +204,17 @@ def parse_salary(value: Column | str) -> Column:
 
 def work_mode(value: Column | str) -> Column:
     text = F.lower(or_empty(value))
+
+    def has(*words: str) -> Column:
+        test = F.lit(False)
+        for word in words:
+            test = test | F.contains(text, F.lit(word))
+        return test
+
     return (
-        F.when(F.contains(text, F.lit("hybrid")), "hybrid")
-        .when(contains_word(text, "remote"), "remote")
-        .when(text.rlike("onsite|on-site|based at|based in"), "onsite")
+        F.when(has("hybrid"), "hybrid")
+        .when(has("remote") & contains_word(text, "remote"), "remote")
+        .when(has("onsite", "on-site", "based at", "based in"), "onsite")
     )
 
 

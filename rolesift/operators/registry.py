@@ -31,9 +31,11 @@ def board_relevance(checked: DataFrame, probes: DataFrame, titles: DataFrame, ph
     ``probes(connector, source_key, exists, error)`` is the outcome of the one
     request per board, ``titles(connector, source_key, title)`` what it listed.
     """
-    counts = titles.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("total_jobs"),
-        F.count_if(F.coalesce(title_is_relevant("title", phrase_tokens), F.lit(False))).alias("relevant_jobs"))
+    # Boards repeat titles; each distinct one is judged once.
+    per_title = titles.groupBy(*KEY, "title").agg(F.count(F.lit(1)).alias("n"))
+    relevant = F.coalesce(title_is_relevant("title", phrase_tokens), F.lit(False))
+    counts = per_title.groupBy(*KEY).agg(
+        F.sum("n").alias("total_jobs"), F.sum(F.when(relevant, F.col("n")).otherwise(0)).alias("relevant_jobs"))
     exists = F.coalesce(F.col("exists"), F.lit(False))
     rows = checked.join(probes, KEY, "left").join(counts, KEY, "left")
     total = F.when(exists, F.coalesce("total_jobs", F.lit(0)))

@@ -168,9 +168,23 @@ TURNS = [
 ]
 
 
-def spark_view(spark: SparkSession, sf: str, table: str, columns: list[tuple[str, str]]) -> DataFrame:
-    source = spark.read.parquet(f"{sf}/{table}.parquet")
-    return source.selectExpr(*[f"{_words(e, SPARK_WORDS)} AS `{n}`" for n, e in columns])
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a file too small to be read by all cores, dealt out to them.
+
+    Text rules cost far more than reading. A larger table already has more
+    scan partitions than cores and is left alone, so nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def spark_view(spark: SparkSession, sf: str, name: str, columns: list[tuple[str, str]]) -> DataFrame:
+    exprs = [f"{_words(e, SPARK_WORDS)} AS `{n}`" for n, e in columns]
+    return spread(table(spark, sf, name)).selectExpr(*exprs)
 
 
 def ansi_view(table: str, columns: list[tuple[str, str]]) -> str:
@@ -197,10 +211,6 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 POSTINGS_SQL = ansi_view("part", POSTINGS)
 CANDIDATES_SQL = ansi_view("customer", [*CANDIDATES, ("capabilities", capabilities("ansi"))])
 PAIRS_SQL = (
