@@ -30,7 +30,8 @@ def with_ordinal(raw: DataFrame, run_no: int = 0) -> DataFrame:
     """Total order of postings: run, connector, source, query, page, place."""
     rank = F.array_position(F.array(*[F.lit(c) for c in rules.CONNECTOR_ORDER]), F.col("connector"))
     return raw.withColumn("ordinal", F.struct(
-        "candidate_id", F.lit(run_no).alias("run_no"), rank.cast("int").alias("rank"), "source_no", *POSITION))
+        "candidate_id", F.lit(run_no).alias("run_no"), rank.cast("int").alias("rank"), "source_no",
+        "source_key", *POSITION))
 
 
 def admissible_pages(pages: DataFrame, page_size: Column | int, max_pages: int = rules.MAX_PAGES_PER_SOURCE) -> DataFrame:
@@ -154,7 +155,9 @@ def normalize_postings(parsed: DataFrame, details: DataFrame, run_date: date) ->
         rows = parsed.filter(F.col("connector") == connector)
         if connector == "workday":
             rows = rows.select(*CARRIED, col("f_id").alias("path"))
-            rows = rows.join(details.select("source_key", "path", "payload"), ["source_key", "path"])
+            # A detail that was landed twice must not multiply its posting.
+            single = details.groupBy("source_key", "path").agg(F.max("payload").alias("payload"))
+            rows = rows.join(single, ["source_key", "path"])
             schema = schemas.WORKDAY_DETAIL
         else:
             schema = schemas.PAYLOADS[connector]

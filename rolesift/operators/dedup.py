@@ -17,12 +17,19 @@ from rolesift.operators.skew import HOT_ROWS, hot_keys, join_unique, union_all
 from rolesift.session import cut_lineage
 
 
-def existing_holders(existing: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def existing_holders(existing: DataFrame, wanted: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(key, existing_ordinal): the stored posting that answers for a key.
 
-    Where several stored postings share a key the last one answers.
+    Where several stored postings share a key the last one answers. Only keys
+    in ``wanted(key)`` are looked at: a run is small beside the history, so the
+    semi-join comes before the aggregation and keeps the history from being
+    shuffled when the run's keys are small enough to broadcast.
     """
-    return key_rows(existing, scope).groupBy("key").agg(F.max("ordinal").alias("existing_ordinal"))
+    keys = wanted.select("key").distinct()
+    return (
+        key_rows(existing, scope).join(keys, "key", "left_semi")
+        .groupBy("key").agg(F.max("ordinal").alias("existing_ordinal"))
+    )
 
 
 def _round(rows: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +79,7 @@ def resolve(
     """
     keys = cut_lineage(key_rows(incoming, scope))
     hot = hot_keys(keys, ["key"], hot_rows)
-    holders = existing_holders(existing, scope)
+    holders = existing_holders(existing, keys, scope)
     with_holder = cut_lineage(join_unique(keys, holders, hot, ["key"], F.col("ordinal"), "left"))
     old = with_holder.filter(F.col("existing_ordinal").isNotNull()).select("ordinal").distinct()
     fresh = with_holder.join(old, "ordinal", "left_anti").select("ordinal", "key")

@@ -17,6 +17,7 @@ from rolesift.functions.pyformat import quoted
 from rolesift.functions.roles import career_level, career_level_fit, role_family, title_family
 from rolesift.functions.text import col, normalize, or_empty, or_no_items, strip, title_tokens
 from rolesift.operators.candidates import candidate_features
+from rolesift.operators.skew import hot_keys, join_unique
 
 PARTS = list(rules.WEIGHTS)
 RESULT_COLUMNS = [
@@ -170,9 +171,10 @@ def annotate_match(postings: DataFrame, candidates: DataFrame) -> DataFrame:
     No join on the posting id is involved, so equal ids cannot mix postings up.
     """
     fields = [c for c in postings.columns if c != "candidate_id"]
-    rows = postings.withColumn("posting", F.struct(*fields))
-    features = posting_features(rows, "posting", "candidate_id").join(
-        candidate_features(candidates), "candidate_id")
+    rows = posting_features(postings.withColumn("posting", F.struct(*fields)), "posting", "candidate_id")
+    # One candidate may own most postings, and these rows carry whole texts.
+    hot = hot_keys(postings, ["candidate_id"])
+    features = join_unique(rows, candidate_features(candidates), hot, ["candidate_id"], F.col("job_id"))
     return score_rows(features, "posting").select("posting.*", *RESULT_COLUMNS[1:])
 
 

@@ -13,7 +13,7 @@ from rolesift.plans import views
 from rolesift.plans.collect_queries import BROWSE, BROWSE_SQL, browse_rows
 from rolesift.plans.text_queries import SPARK_PROFILE, VALIDATION, _gap_issue, issues_cte
 from rolesift.plans.text_queries import EMP_ISSUES, NUM_ISSUES, YEARS_ISSUES
-from rolesift.sources.landing import latest_artifacts
+from rolesift.sources.landing import latest_artifacts, parse_candidates
 
 QUERIES: dict = {}
 
@@ -502,3 +502,27 @@ def write_reviews_split(spark, sf):
     valid, invalid = reviews.split_valid(views.spark_view(spark, sf, "events", RECORDS), reviews.validate_review())
     flagged = valid.select(F.lit(True).alias("valid")).unionByName(invalid.select(F.lit(False).alias("valid")))
     return flagged.groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("already_applied", f"""WITH a AS (SELECT concat('P', o_orderkey * 5) AS job_id, concat('https://Jobs.Example.com/job/', o_custkey % 100, '?ref=', o_orderkey % 50) AS url FROM orders)
+  SELECT id, id IN (SELECT job_id FROM a) OR coalesce(application_url, '') IN (SELECT url FROM a) AS applied FROM {BROWSE_SQL}""")
+def already_applied(spark, sf):
+    applications = views.table(spark, sf, "orders").selectExpr(
+        "concat('P', o_orderkey * 5) AS job_id", "concat('https://Jobs.Example.com/job/', o_custkey % 100, '?ref=', o_orderkey % 50) AS application_url")
+    return scoring.auto_apply_preconditions(browse_rows(spark, sf), applications).select(
+        "id", (~F.col("not_already_applied")).alias("applied"))
+
+
+@query("read_candidates", f"""WITH {o.CF} SELECT candidate_id, name, total_experience_years, array_to_string(target_titles, '|') AS titles,
+  array_to_string(list_transform(capabilities, lambda c: concat(c.key, '=', coalesce(c.strength, '?'), ':', array_to_string(c.evidence, ','))), '|') AS capabilities FROM cf""")
+def read_candidates(spark, sf):
+    """Candidates written as JSON objects with a capability map and read back."""
+    rows = views.candidates(spark, sf)
+    as_map = F.map_from_entries(F.transform("capabilities", lambda c: F.struct(
+        c["key"].alias("key"), F.struct(c["strength"].alias("strength"), c["evidence"].alias("evidence")).alias("value"))))
+    objects = rows.withColumn("capabilities", as_map).select(F.to_json(F.struct("*")).alias("value"))
+    shown = F.transform("capabilities", lambda c: F.concat(
+        c["key"], F.lit("="), F.coalesce(c["strength"], F.lit("?")), F.lit(":"), F.array_join(c["evidence"], ",")))
+    return parse_candidates(objects).select(
+        "candidate_id", "name", "total_experience_years", F.array_join("target_titles", "|").alias("titles"),
+        F.array_join(shown, "|").alias("capabilities"))

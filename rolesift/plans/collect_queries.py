@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from rolesift import rules, schemas
 from rolesift.functions.text import phrase_token_sets, text_array
-from rolesift.operators import browse, collect, dedup, normalize, registry
+from rolesift.operators import browse, collect, dedup, discovery, normalize, registry
 from rolesift.operators.identity import key_rows
 from rolesift.plans import oracle as o
 from rolesift.plans import views
 from rolesift.plans.text_queries import (
     KEYS_SQL, PHRASES, REQUIREMENT, html_sql, mode_sql, slug_sql, years_sql, _HI, _LO, _relevant_sql,
 )
-from rolesift.sources.landing import explode_responses, parse_json_objects, response_pages
+from rolesift.session import cut_lineage
+from rolesift.sources.landing import explode_responses, parse_json_objects, parse_sources, response_pages
 
 QUERIES: dict = {}
 RUN_DATE = date(2026, 2, 1)
@@ -39,7 +40,7 @@ LANDED = [
     ("candidate_id", "concat('C', p_size % 3)"),
     ("connector", views.pick(["greenhouse", "lever", "ashby", "smartrecruiters", "workday"], "p_partkey % 5")),
     ("source_key", "p_brand"),
-    ("source_no", "CAST(length(p_brand) AS INT)"),
+    ("source_no", "CAST(replace(p_brand, 'Brand#', '') AS INT)"),
     ("query_no", "0"),
     ("page_no", "CAST(floor(p_partkey / 500) AS INT)"),
     ("title", f"CASE WHEN p_partkey % 17 = 0 THEN '' ELSE {views.pick(views.TITLES, 'p_partkey % 16')} END"),
@@ -410,7 +411,8 @@ def dedupe_in_batch(spark, sf):
 @query("match_existing", f"""WITH {ROUNDS.replace('RECURSIVE ', 'RECURSIVE ', 1)} SELECT ordinal, min(tier) AS tier, arg_min(holder, tier) AS holder FROM inc WHERE holder IS NOT NULL GROUP BY 1""")
 def match_existing(spark, sf):
     incoming, stored = split(spark, sf)
-    hits = key_rows(incoming).join(dedup.existing_holders(stored), "key")
+    keys = key_rows(incoming)
+    hits = keys.join(dedup.existing_holders(stored, keys), "key")
     return hits.groupBy("ordinal").agg(
         F.min("tier").alias("tier"), F.min_by("existing_ordinal", "tier").alias("holder"))
 
@@ -453,12 +455,11 @@ def refresh_last_seen(spark, sf):
   SELECT candidate_id, count(*) AS fetched, count(*) FILTER (WHERE ordinal % 3 = 0) AS duplicates, count(*) FILTER (WHERE ordinal % 6 = 0) AS rediscovered,
     count(*) FILTER (WHERE ordinal % 3 <> 0) AS new, count(*) FILTER (WHERE ordinal % 3 = 1) AS shortlisted FROM p GROUP BY 1""")
 def run_totals(spark, sf):
-    from rolesift.operators.discovery import run_totals as totals
     rows = views.postings(spark, sf).withColumns({
         "candidate_id": F.concat(F.lit("C"), F.col("ordinal") % 7), "is_duplicate": F.col("ordinal") % 3 == 0,
         "rediscovered": F.col("ordinal") % 6 == 0,
         "status": F.when(F.col("ordinal") % 3 == 1, "shortlisted").otherwise("discovered")})
-    return totals(rows, rows, rows.filter(~F.col("is_duplicate")))
+    return discovery.run_totals(rows, rows, rows.filter(~F.col("is_duplicate")))
 
 
 @query("append_new", f"""WITH {ROUNDS} SELECT source, count(*) AS postings FROM p WHERE {STORED} OR ordinal IN (SELECT ordinal FROM kept) GROUP BY 1""")
@@ -702,3 +703,51 @@ def read_postings(spark, sf):
         "CASE WHEN p_size % 2 = 0 THEN p_size END)), ',\"stray\",null,{\"id\":\"Q', p_partkey, '\"}]') WHEN p_size % 6 = 4 THEN '{\"id\": 1}' ELSE 'not json' END AS value")
     return parse_json_objects(rows, schemas.STORED_POSTINGS, "p_partkey").select(
         "p_partkey", "ordinal", "id", "title", "salary_max")
+
+
+@query("read_sources", """SELECT s_suppkey, connector, source_key, ordinal FROM (SELECT s_suppkey, 'greenhouse' AS connector, unnest([concat('g', s_nationkey), 'g2']) AS source_key, unnest([0, 1]) AS ordinal FROM supplier
+  UNION ALL SELECT s_suppkey, 'lever', s_name, 0 FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'workday', concat('W', s_suppkey), 0 FROM supplier)""")
+def read_sources(spark, sf):
+    rows = views.table(spark, sf, "supplier").selectExpr(
+        "s_suppkey", "to_json(named_struct('greenhouse_boards', array(concat('g', s_nationkey), 'g2'), 'lever_companies', "
+        "CASE WHEN s_suppkey % 2 = 0 THEN array(s_name) END, 'workday', array(named_struct('name', concat('W', s_suppkey))))) AS value")
+    return parse_sources(rows, "s_suppkey")
+
+
+# --- whole runs: checked by tests against a hand-worked case -------------------------
+
+def _details(spark, sf):
+    return views.spark_view(spark, sf, "part", LANDED).filter("connector = 'workday' AND id IS NOT NULL").selectExpr(
+        "source_key", "id AS path", "to_json(named_struct('jobPostingInfo', named_struct('title', title, 'location', place, 'jobReqId', id))) AS payload")
+
+
+@query("run_discovery")
+def run_discovery(spark, sf):
+    """Landed responses of three candidates to new, scored postings."""
+    empty = spark.createDataFrame([], schemas.DISCOVERED)
+    result = discovery.run_discovery(
+        responses(spark, sf), _details(spark, sf), empty, views.candidates(spark, sf), RUN_DATE, 0)
+    return result.new.select("candidate_id", "source", "id", "title", "score", "application_decision", "first_seen_at")
+
+
+@query("incremental_discovery", "SELECT 0::BIGINT AS added, 0::BIGINT AS lost, 0::BIGINT AS rescored, 0::BIGINT AS unseen")
+def incremental_discovery(spark, sf):
+    """The same responses landed again on a stored table that holds them all.
+
+    Nothing is added, lost or scored anew, and every stored posting was seen.
+    """
+    landed, details, people = responses(spark, sf), _details(spark, sf), views.candidates(spark, sf)
+    _, _, normalized = discovery.collect_run(landed, details, people, date(2026, 1, 1), 0, discovery.Limits())
+    normalized = cut_lineage(normalized)
+    kept = dedup.dedupe_in_batch(key_rows(normalized, discovery.SCOPE))
+    stored = cut_lineage(spark.createDataFrame([], schemas.DISCOVERED).unionByName(
+        normalized.join(kept, "ordinal", "left_semi"), allowMissingColumns=True))
+    again = discovery.run_discovery(landed, details, stored, people, RUN_DATE, 1)
+    later = again.postings.select("ordinal", "score", "last_seen_at", F.lit(True).alias("found"))
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    moved = stored.select("ordinal").join(later, "ordinal", "left").select(
+        F.lit(0).alias("added"), one(F.col("found").isNull()).alias("lost"), one(F.col("score").isNotNull()).alias("rescored"),
+        one(F.col("last_seen_at") != F.lit(RUN_DATE)).alias("unseen"))
+    zero = [F.lit(0).alias(c) for c in ("lost", "rescored", "unseen")]
+    rows = again.new.select(F.lit(1).alias("added"), *zero).unionByName(moved)
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("added", "lost", "rescored", "unseen")])

@@ -433,3 +433,33 @@ def employers_distinct(spark, sf):
 @query("role_family_of_texts", f"SELECT doc_id, {o.family('source', 'text')} AS family FROM documents")
 def role_family_of_texts(spark, sf):
     return views.spread(views.table(spark, sf, "documents")).select("doc_id", roles.role_family("source", "text").alias("family"))
+
+
+LISTS = [("p_partkey", "p_partkey"), ("lines", "concat('- ', p_name, chr(10), chr(10), ' • ', p_type, ' -', chr(10), '3+ Years of work', chr(9))")]
+LISTS_SQL = views.ansi_view("part", LISTS)
+SPARK_LISTS = [(n, e.replace("chr(", "char(")) for n, e in LISTS]
+
+
+@query("bullets", f"SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(lines, chr(10)), lambda l: trim(l, concat('-• ', chr(9)))), lambda l: l <> ''), '|') AS items FROM {LISTS_SQL}")
+def bullets(spark, sf):
+    return views.spark_view(spark, sf, "part", SPARK_LISTS).select("p_partkey", F.array_join(text.bullets("lines"), "|").alias("items"))
+
+
+@query("is_experience_line", f"SELECT p_partkey, {years_sql('note')[0]} IS NOT NULL AS stated FROM {REQUIREMENT_SQL}")
+def is_experience_line(spark, sf):
+    return views.spark_view(spark, sf, "part", REQUIREMENT).select("p_partkey", text.is_experience_line("note").alias("stated"))
+
+
+@query("workday_field", "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN concat(p_name, ', SQL') END AS field FROM part")
+def workday_field(spark, sf):
+    note = F.expr("concat('About us', char(10), CASE WHEN p_partkey % 3 <> 0 THEN concat('Must have skills :  ', p_name, ', SQL ') ELSE 'Nothing' END, char(10), p_type)")
+    return views.table(spark, sf, "part").select("p_partkey", text.labelled_field(note, rules.WORKDAY_REQUIRED_LABEL).alias("field"))
+
+
+@query("lever_list_text", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('SQL', chr(10), source) WHEN 1 THEN lang END AS needs FROM documents")
+def lever_list_text(spark, sf):
+    """First list whose label fits; a later list with a fitting label is ignored."""
+    from rolesift.operators.normalize import lever_list_text as first_list
+    lists = F.expr("array(named_struct('text', 'Perks', 'content', text), named_struct('text', CASE WHEN doc_id % 3 = 0 THEN 'Key Skills' END, 'content', "
+                   "concat('<li>SQL</li><li>', source, '</li>')), named_struct('text', CASE WHEN doc_id % 3 < 2 THEN 'SKILLSET' ELSE 'Place' END, 'content', lang))")
+    return views.spread(views.table(spark, sf, "documents")).select("doc_id", first_list(lists, rules.LEVER_SKILL_LABELS).alias("needs"))

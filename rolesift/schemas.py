@@ -70,7 +70,7 @@ POSTINGS = T.StructType([
 ])
 # Place of a posting in the order of all runs.
 ORDINAL = _struct(
-    candidate_id=_S, run_no=_I, rank=_I, source_no=_I, query_no=_I, page_no=_I, pos=_I,
+    candidate_id=_S, run_no=_I, rank=_I, source_no=_I, source_key=_S, query_no=_I, page_no=_I, pos=_I,
 )
 HISTORY_FIELDS = [T.StructField("first_seen_at", T.DateType()), T.StructField("last_seen_at", T.DateType())]
 STORED_POSTINGS = T.StructType([*POSTINGS.fields, *HISTORY_FIELDS])

@@ -90,16 +90,28 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return read_json_objects(spark, path, schemas.STORED_POSTINGS)
 
 
-def read_candidates(spark: SparkSession, path: str, candidate_id: Column | None = None) -> DataFrame:
-    """Candidate objects; the capability map becomes a list in file order."""
+def _candidate_schema() -> T.StructType:
     fields = [f for f in schemas.CANDIDATES.fields if f.name != "capabilities"]
     facts = T.StructType(schemas.CAPABILITY.fields[1:])
-    source = T.StructType([*fields, T.StructField("capabilities", T.MapType(T.StringType(), facts))])
-    rows = spark.read.schema(source).json(path, multiLine=True)
+    return T.StructType([*fields, T.StructField("capabilities", T.MapType(T.StringType(), facts))])
+
+
+def _shape_candidates(rows: DataFrame) -> DataFrame:
+    """The capability map becomes a list in file order; the id defaults to the name."""
     listed = F.transform(F.map_entries("capabilities"), lambda e: F.struct(
         e["key"].alias("key"), e["value"]["strength"].alias("strength"), e["value"]["evidence"].alias("evidence")))
-    name = candidate_id if candidate_id is not None else F.coalesce("candidate_id", "name")
-    return rows.withColumns({"capabilities": listed, "candidate_id": name})
+    return rows.withColumns({"capabilities": listed, "candidate_id": F.coalesce("candidate_id", "name")})
+
+
+def parse_candidates(rows: DataFrame) -> DataFrame:
+    """Candidates from JSON objects in column ``value``."""
+    parsed = rows.select(F.from_json("value", _candidate_schema()).alias("c")).select("c.*")
+    return _shape_candidates(parsed)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate objects from JSON files."""
+    return _shape_candidates(spark.read.schema(_candidate_schema()).json(path, multiLine=True))
 
 
 REGISTRY_FIELDS = {
@@ -108,29 +120,42 @@ REGISTRY_FIELDS = {
 }
 
 
-def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """sources(connector, source_key, ordinal) from a registry object per file."""
-    lists = {name: T.ArrayType(T.StringType()) for name in REGISTRY_FIELDS}
+def _registry_schema() -> T.StructType:
     workday = T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))
-    schema = T.StructType([T.StructField(n, t) for n, t in {**lists, "workday": workday}.items()])
-    try:
-        rows = spark.read.schema(schema).json(path, multiLine=True)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schemas.SOURCES)
+    lists = [T.StructField(name, T.ArrayType(T.StringType())) for name in REGISTRY_FIELDS]
+    return T.StructType([*lists, T.StructField("workday", workday)])
+
+
+def _shape_sources(rows: DataFrame, *kept: str) -> DataFrame:
     entries = [
         F.struct(F.lit(connector).alias("connector"), F.col(field).alias("keys"))
         for field, connector in REGISTRY_FIELDS.items()
     ]
     entries.append(F.struct(F.lit("workday").alias("connector"), F.col("workday.name").alias("keys")))
     return (
-        rows.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.connector", F.posexplode("e.keys").alias("ordinal", "source_key"))
-        .select("connector", "source_key", "ordinal")
+        rows.select(*kept, F.explode(F.array(*entries)).alias("e"))
+        .select(*kept, "e.connector", F.posexplode("e.keys").alias("ordinal", "source_key"))
+        .select(*kept, "connector", "source_key", "ordinal")
     )
 
 
+def parse_sources(rows: DataFrame, *kept: str) -> DataFrame:
+    """sources(connector, source_key, ordinal) from registry objects in column ``value``."""
+    parsed = rows.select(*kept, F.from_json("value", _registry_schema()).alias("r")).select(*kept, "r.*")
+    return _shape_sources(parsed, *kept)
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Registry lists per connector from JSON files; a missing path is empty."""
+    try:
+        rows = spark.read.schema(_registry_schema()).json(path, multiLine=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.SOURCES)
+    return _shape_sources(rows)
+
+
 read_source_seeds = read_sources
 
 

@@ -41,7 +41,8 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    # A whole run has no short SQL form; test_discovery works one out by hand.
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"run_discovery"}
 
 
 def test_flagship(spark):
