@@ -175,11 +175,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a file too small to be read by all cores, dealt out to them.
 
-    Text rules cost far more than reading. A larger table already has more
-    scan partitions than cores and is left alone, so nothing is shuffled.
+    Text rules cost far more than reading. A table of at least as many files as
+    cores is left alone, so nothing is shuffled at scale.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def spark_view(spark: SparkSession, sf: str, name: str, columns: list[tuple[str, str]]) -> DataFrame:
