@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from rolesift import rules, schemas
 from rolesift.functions.text import (
-    blank_to_null, bullets, col, contains_word, epoch_millis_to_date, is_experience_line, iso_date10,
-    labelled_field, make_id, or_empty, or_no_items, parse_experience, parse_salary, strip, strip_html,
+    blank_to_null, bullets, col, epoch_millis_to_date, is_experience_line, iso_date10,
+    labelled_field, make_id, or_empty, parse_experience, parse_salary, strip, strip_html,
     text_array, work_mode,
 )
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rolesift import rules, schemas
+from rolesift import rules
 from rolesift.functions.notes import shortlist_note
 from rolesift.operators import artifacts, reviews, scoring
 from rolesift.operators.candidates import candidate_context, profile_hash
 from rolesift.plans import oracle as o
 from rolesift.plans import views
-from rolesift.plans.collect_queries import BROWSE, BROWSE_SQL, browse_rows
+from rolesift.plans.collect_queries import BROWSE_SQL, browse_rows
 from rolesift.plans.text_queries import SPARK_PROFILE, VALIDATION, _gap_issue, issues_cte
 from rolesift.plans.text_queries import EMP_ISSUES, NUM_ISSUES, YEARS_ISSUES
 from rolesift.sources.landing import latest_artifacts, parse_candidates
@@ -70,11 +70,6 @@ def intake_analysis(spark, sf):
         F.array_join("analysis.resume_keywords", "|").alias("keywords"))
 
 
-JSON_FORMS = """CASE n % 5 WHEN 0 THEN '{"answer": "x"}' WHEN 1 THEN '```json
-{"answer": "x", "extra": [1]}
-```' WHEN 2 THEN '{"answer": "x"} trailing' WHEN 3 THEN '{"answer": ' ELSE '' END"""
-
-
 @query("parse_generated_json", "SELECT event_id, event_id % 4 IN (2, 3) AS failed, CASE WHEN event_id % 4 IN (0, 1) THEN regexp_extract(props, '[0-9]+') END AS k FROM events")
 def parse_generated_json(spark, sf):
     """events.props as responses: plain, fenced, with trailing text, and cut off."""

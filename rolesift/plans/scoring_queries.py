@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesift import rules
 from rolesift.functions import fit
-from rolesift.functions.roles import career_level, career_level_fit, role_family, target_families
+from rolesift.functions.roles import career_level, career_level_fit, target_families
 from rolesift.functions.text import normalize_words, title_tokens, titles_match, word_tokens
 from rolesift.operators import browse, scoring
 from rolesift.operators.candidates import candidate_features, evidence_blob, search_phrases
