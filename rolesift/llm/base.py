@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.session import checkpoint_folder
@@ -21,7 +21,7 @@ SALTS = 16
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it survives lost executors and its size is known."""
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -82,3 +82,8 @@ def look_up(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how:
 def held(docs: DataFrame) -> Column:
     """All columns of a row as one struct, out of the way of the operator's own names; ``row.*`` gives them back."""
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

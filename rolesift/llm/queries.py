@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import line_dedup, mixing, repetition, secret_scan
+from rolesift.llm import line_dedup, mixing, packing, repetition, secret_scan, warc_index
+from rolesift.llm.base import scratch_path
 
 MIX_WEIGHTS = [5, 2, 1]
 
@@ -37,6 +38,15 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.find_secrets(table(spark, folder, "documents")))
 
 
+def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), with_ids=False)
+
+
+def capture_histories(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc_index.capture_index(table(spark, folder, "pages"), scratch_path(spark, "archives"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -111,9 +121,26 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(size * (passes + CASE WHEN hash < coalesce(threshold, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source LEFT JOIN h ON r.source IS NOT DISTINCT FROM h.source"""
 
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload,
+    regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS u FROM pages),
+d AS (SELECT page_id, payload, u, octet_length(encode(payload)) AS payload_bytes,
+    translate(list_aggregate(list_transform(range(8), lambda i:
+      to_base(CAST('0x' || substr(sha1(payload), CAST(1 + 5 * i AS BIGINT), 5) AS BIGINT), 32, 4)), 'string_agg', ''),
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || ')' || coalesce(nullif(lower(u.path), ''), '/')
+    || lower(u.query) AS urlkey,
+  strftime(make_timestamp((1767225600 + page_id % 31536000) * 1000000), '%Y%m%d%H%M%S') AS timestamp
+FROM f"""
+
 QUERIES = {
     "op1_repetition_rules": (repetition_rules, REPETITION_SQL),
+    "op2_packing": (packed_sequences, None),
     "op3_line_dedup": (incremental_line_dedup, LINE_DEDUP_SQL),
+    "op4_warc_index": (capture_histories, WARC_SQL),
     "op5_source_mix": (source_mix, MIX_SQL),
     "op7_secret_scan": (secrets, None),
 }
