@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import line_dedup, mixing, packing, repetition, secret_scan, warc_index
+from rolesift.llm import line_dedup, mixing, near_dups, packing, repetition, secret_scan, warc_index
 from rolesift.llm.base import scratch_path
 
 MIX_WEIGHTS = [5, 2, 1]
@@ -47,6 +47,11 @@ def capture_histories(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
 
 
+def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"), shingle_words=2).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -136,11 +141,27 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
   strftime(make_timestamp((1767225600 + page_id % 31536000) * 1000000), '%Y%m%d%H%M%S') AS timestamp
 FROM f"""
 
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words ELSE
+    list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (shingle)
+  WHERE x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m USING (doc_id)"""
+
 QUERIES = {
     "op1_repetition_rules": (repetition_rules, REPETITION_SQL),
     "op2_packing": (packed_sequences, None),
     "op3_line_dedup": (incremental_line_dedup, LINE_DEDUP_SQL),
     "op4_warc_index": (capture_histories, WARC_SQL),
     "op5_source_mix": (source_mix, MIX_SQL),
+    "op6_near_duplicates": (near_duplicate_classes, NEAR_SQL),
     "op7_secret_scan": (secrets, None),
 }
