@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import line_dedup, mixing, near_dups, packing, repetition, secret_scan, warc_index
+from rolesift.llm import license_scan, line_dedup, mixing, near_dups, packing, repetition, secret_scan, unit_dedup, warc_index
 from rolesift.llm.base import scratch_path
 
 MIX_WEIGHTS = [5, 2, 1]
@@ -52,6 +52,14 @@ def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return unit_dedup.repeated_units(table(spark, folder, "documents")).drop("key")
+
+
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents"))
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -156,6 +164,35 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m USING (doc_id)"""
 
+def _license_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    known = ", ".join(f"({quoted(s)}, {quoted(f'<{i}>')})" for i, s in license_scan.SENTENCES.items())
+    steps, last = [], "s0"
+    for number, (licence, ids) in enumerate(license_scan.RULES, 1):
+        sequence = quoted("".join(f"<{i}>" for i in ids))
+        steps.append(f"""s{number} AS (SELECT doc_id, n_sentences, replace(seq, {sequence}, '') AS seq,
+  CASE WHEN contains(seq, {sequence}) AND NOT list_contains(found, {quoted(licence)}) THEN list_append(found, {quoted(licence)}) ELSE found END AS found FROM {last})""")
+        last = f"s{number}"
+
+    def reading(name: str, end: str) -> str:
+        return f"""{name}_p AS (SELECT doc_id, unnest(string_split_regex(t, '{end}')) AS s, generate_subscripts(string_split_regex(t, '{end}'), 1) AS i FROM d),
+{name} AS (SELECT doc_id, string_agg(id, '' ORDER BY i) AS seq, count(*) AS n FROM {name}_p JOIN k
+  ON k.s = trim(regexp_replace(translate({name}_p.s, {_LOWER}), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id)"""
+
+    lines, sentences = reading("a", license_scan.LINE_END), reading("b", license_scan.SENTENCE_END)
+    return f"""
+WITH k(s, id) AS (VALUES {known}), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{lines},
+{sentences},
+s0 AS (SELECT d.doc_id, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS n_sentences,
+  CASE WHEN coalesce(b.n, 0) > coalesce(a.n, 0) THEN b.seq ELSE coalesce(a.seq, '') END AS seq, CAST([] AS VARCHAR[]) AS found
+  FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)),
+{', '.join(steps)}
+SELECT doc_id, array_to_string(found, ',') AS licences, n_sentences, CAST(length(seq) - length(replace(seq, '<', '')) AS BIGINT) AS n_left FROM {last}"""
+
+
 QUERIES = {
     "op1_repetition_rules": (repetition_rules, REPETITION_SQL),
     "op2_packing": (packed_sequences, None),
@@ -164,4 +201,6 @@ QUERIES = {
     "op5_source_mix": (source_mix, MIX_SQL),
     "op6_near_duplicates": (near_duplicate_classes, NEAR_SQL),
     "op7_secret_scan": (secrets, None),
+    "op8_unit_dedup": (repeated_passages, None),
+    "op9_license_scan": (licenses, _license_sql()),
 }
