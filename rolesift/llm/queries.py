@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import license_scan, line_dedup, mixing, near_dups, packing, repetition, secret_scan, unit_dedup, warc_index
+from rolesift.llm import license_scan, line_dedup, mixing, near_dups, packing, repetition, secret_scan, topk_search, unit_dedup, warc_index
 from rolesift.llm.base import scratch_path
 
 MIX_WEIGHTS = [5, 2, 1]
@@ -60,6 +60,11 @@ def licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, folder, "documents"))
 
 
+def best_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return topk_search.search(topk_search.build_index(docs), docs.filter("doc_id % 100 = 0"))
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -193,6 +198,20 @@ s0 AS (SELECT d.doc_id, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS n_senten
 SELECT doc_id, array_to_string(found, ',') AS licences, n_sentences, CAST(length(seq) - length(replace(seq, '<', '')) AS BIGINT) AS n_left FROM {last}"""
 
 
+SEARCH_SQL = f"""
+WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM w GROUP BY doc_id, term),
+l AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+g AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(n) FROM l)::DOUBLE / (SELECT count(*) FROM documents) AS mean),
+f AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
+i AS (SELECT p.doc_id, p.term, CAST(round_even(1000000 * (ln(1 + (g.n - df + 0.5) / (df + 0.5))
+    * (tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l.n / g.mean)))), 0) AS BIGINT) AS impact
+  FROM p JOIN f USING (term) JOIN l USING (doc_id), g),
+s AS (SELECT q.doc_id AS query_id, i.doc_id, CAST(sum(impact) AS BIGINT) AS score FROM p q JOIN i USING (term)
+  WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, i.doc_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= 10"""
+
 QUERIES = {
     "op1_repetition_rules": (repetition_rules, REPETITION_SQL),
     "op2_packing": (packed_sequences, None),
@@ -203,4 +222,5 @@ QUERIES = {
     "op7_secret_scan": (secrets, None),
     "op8_unit_dedup": (repeated_passages, None),
     "op9_license_scan": (licenses, _license_sql()),
+    "op10_topk_search": (best_documents, SEARCH_SQL),
 }
