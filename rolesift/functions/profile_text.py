@@ -14,7 +14,6 @@ EMPLOYER_LINE = (
 )
 ROLE_LINE = r"(?mdU)^\s*-\s+([^\n]+)$"
 PLACE_SEPARATOR = r"(?U)\s+—\s+|\s+-\s+(?=[A-Z])"
-OPEN_BLOCK_CHARS = 500
 
 
 def md_section(text: Column | str, heading: str) -> Column:
@@ -44,7 +43,7 @@ def verified_employers(markdown: Column | str) -> Column:
         rest = F.substring(text, span["end"] + 1, F.length(text))
         block = F.when(
             F.contains(rest, F.lit("\n## ")), F.regexp_extract(rest, r"(?s)^(.*?)\n## ", 1)
-        ).otherwise(F.substring(rest, 1, OPEN_BLOCK_CHARS))
+        ).otherwise(rest)
         listed = F.transform(F.regexp_extract_all(block, F.lit(ROLE_LINE), F.lit(1)), _employer)
         return F.concat(F.array(F.when(~F.endswith(role, F.lit(":")), _employer(role))), listed)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesift import rules
 from rolesift.functions.pyformat import quoted
-from rolesift.functions.spans import match_spans, snippet
+from rolesift.functions.spans import between, match_spans, pieces, snippet
 from rolesift.functions.text import col, let, or_empty, strip, text_array
 
 
@@ -44,23 +44,25 @@ def _ends_in_abbreviation(text: Column) -> Column:
 def whitespace_issues(value: Column | str) -> Column:
     """array<string>: one message per suspected missing or repeated space."""
     text = or_empty(value)
-    return let(F.struct(text.alias("text"), mask_safe_spans(text).alias("masked")), lambda t: _issues(
-        t["text"], t["masked"]))
+    both = let(F.struct(text.alias("text"), mask_safe_spans(text).alias("masked")), lambda t: F.struct(
+        t["text"].alias("text"), t["masked"].alias("masked"), pieces(t["text"]).alias("parts"), pieces(t["masked"]).alias("masked_parts")))
+    return let(both, lambda t: _issues(t["text"], t["masked"], t["parts"], t["masked_parts"]))
 
 
-def _issues(text: Column, masked: Column) -> Column:
+def _issues(text: Column, masked: Column, parts: Column, masked_parts: Column) -> Column:
     def found(source: Column, pattern: str, label: str, keep=None) -> Column:
         spans = match_spans(source, pattern)
         if keep is not None:
             spans = F.filter(spans, keep)
         messages = F.transform(
-            spans, lambda s: F.concat(F.lit(label), quoted(snippet(text, s, rules.SNIPPET_CHARS))))
+            spans, lambda s: F.concat(F.lit(label), quoted(snippet(parts, s, rules.SNIPPET_CHARS))))
         return F.when(source.rlike(pattern), messages).otherwise(text_array([]))
 
     def no_abbreviation(span: Column) -> Column:
         # The longest abbreviation has four letters; eight characters hold it
         # with its period and the character in front of it.
-        tail = F.substring(masked, F.greatest(span["end"] - 9, F.lit(1)), F.least(F.lit(8), span["end"] - 2))
+        begin = F.greatest(span["end"] - 10, F.lit(0))
+        tail = between(masked_parts, begin, begin + F.least(F.lit(8), span["end"] - 2))
         return ~_ends_in_abbreviation(tail)
 
     fused = F.transform(

@@ -36,9 +36,14 @@ def title_family(title: Column | str) -> Column:
     )
 
 
-def role_family(title: Column | str, description: Column | str) -> Column:
-    """Title phrases, then title words, then phrases in title plus description head."""
-    head = F.substring(normalize(description), 1, rules.FAMILY_DESCRIPTION_CHARS)
+def role_family(title: Column | str, description: Column | str, head_chars: int | None = None) -> Column:
+    """Title phrases, then title words, then phrases in title plus description.
+
+    ``head_chars`` narrows the last step to the beginning of the description.
+    """
+    head = normalize(description)
+    if head_chars is not None:
+        head = F.substring(head, 1, head_chars)
     return F.coalesce(
         _phrase_family(normalize(title)),
         _token_family(title_tokens(title)),

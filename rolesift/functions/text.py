@@ -133,7 +133,7 @@ def strip_html(value: Column | str) -> Column:
 
 
 def make_id(*parts: Column | str) -> Column:
-    """Slug of every non-empty part joined by '-', at most 150 characters.
+    """Slug of every non-empty part joined by '-'.
 
     A part whose slug is empty still contributes its separator.
     """
@@ -141,7 +141,7 @@ def make_id(*parts: Column | str) -> Column:
         F.when(col(p) != "", F.btrim(F.regexp_replace(F.lower(col(p)), "[^a-z0-9]+", "-"), F.lit("-")))
         for p in parts
     ]
-    return F.substring(F.concat_ws("-", *slugs), 1, rules.ID_CHARS)
+    return F.concat_ws("-", *slugs)
 
 
 def canonical_url(url: Column | str) -> Column:

@@ -107,13 +107,13 @@ PACKAGE_COLUMNS = [
 
 
 def annotate_status(postings: DataFrame, packages: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Postings with package and review state; two joins instead of file reads."""
-    packages = packages.select(col("job_id").alias("id"), *PACKAGE_COLUMNS)
+    """Postings with package and review state of their own candidate; two joins instead of file reads."""
+    packages = packages.select("candidate_id", col("job_id").alias("id"), *PACKAGE_COLUMNS)
     reviews = reviews.select(
-        col("job_id").alias("id"), "review_status", col("overall_quality").alias("review_overall_quality"),
+        "candidate_id", col("job_id").alias("id"), "review_status", col("overall_quality").alias("review_overall_quality"),
         col("needs_regeneration").alias("review_needs_regeneration"))
     return (
-        postings.join(packages, "id", "left").join(reviews, "id", "left")
+        postings.join(packages, ["candidate_id", "id"], "left").join(reviews, ["candidate_id", "id"], "left")
         .withColumns({
             "intelligence_status": intelligence_status(),
             "review_status": F.coalesce("review_status", F.lit("NOT_REVIEWED")),
@@ -137,16 +137,22 @@ def build_payload(
     return decision_counts(postings, today), facets(postings), sort_postings(chosen, sort)
 
 
-def select_jobs(postings: DataFrame, job_id: str | None = None, max_jobs: int | None = None) -> DataFrame:
-    """Actionable postings in file order, or one id whatever its decision."""
+def select_jobs(
+    postings: DataFrame, job_id: str | None = None, max_jobs: int | None = None, candidate_id: str | None = None,
+) -> DataFrame:
+    """Actionable postings in file order, or one id whatever its decision; of one candidate if named."""
+    if candidate_id:
+        postings = postings.filter(F.col("candidate_id") == candidate_id)
     if job_id:
         return postings.filter(F.col("id") == job_id)
     chosen = postings.filter(F.col("application_decision").isin(rules.ACTIONABLE_DECISIONS))
     return chosen.orderBy("ordinal").limit(max_jobs) if max_jobs else chosen
 
 
-def find_job(postings: DataFrame, job_id: str) -> DataFrame:
-    """First posting with the id; empty when there is none."""
+def find_job(postings: DataFrame, job_id: str, candidate_id: str | None = None) -> DataFrame:
+    """First posting with the id, of one candidate if named; empty when there is none."""
+    if candidate_id:
+        postings = postings.filter(F.col("candidate_id") == candidate_id)
     return postings.filter(F.col("id") == job_id).orderBy("ordinal").limit(1)
 
 
@@ -164,8 +170,8 @@ def list_pending_review(postings: DataFrame, packages: DataFrame, reviews: DataF
     """Actionable postings that have a package, with their review state."""
     chosen = postings.filter(F.col("application_decision").isin(rules.ACTIONABLE_DECISIONS))
     return (
-        chosen.select(col("id").alias("job_id"), "company", "title", "score", "application_decision")
-        .join(packages.select("job_id", "readiness"), "job_id")
-        .join(reviews.select("job_id", "review_status"), "job_id", "left")
+        chosen.select("candidate_id", col("id").alias("job_id"), "company", "title", "score", "application_decision")
+        .join(packages.select("candidate_id", "job_id", "readiness"), ["candidate_id", "job_id"])
+        .join(reviews.select("candidate_id", "job_id", "review_status"), ["candidate_id", "job_id"], "left")
         .withColumn("review_status", F.coalesce("review_status", F.lit("PENDING")))
     )

@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.operators.identity import key_rows
-from rolesift.operators.skew import HOT_ROWS, hot_keys, join_unique, union_all
+from rolesift.operators.joins import salted_join, union_all
 from rolesift.session import cut_lineage
 
 
 def existing_holders(existing: DataFrame, wanted: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(key, existing_ordinal) of stored postings for the keys in ``wanted(key)``."""
+    return holders_of(key_rows(existing, scope), wanted)
+
+
+def holders_of(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, existing_ordinal): the stored posting that answers for a key.
 
     Where several stored postings share a key the last one answers. Only keys
@@ -26,50 +31,48 @@ def existing_holders(existing: DataFrame, wanted: DataFrame, scope: list[str] |
     shuffled when the run's keys are small enough to broadcast.
     """
     keys = wanted.select("key").distinct()
-    return (
-        key_rows(existing, scope).join(keys, "key", "left_semi")
-        .groupBy("key").agg(F.max("ordinal").alias("existing_ordinal"))
-    )
+    return stored.join(keys, "key", "left_semi").groupBy("key").agg(F.max("ordinal").alias("existing_ordinal"))
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """Keys that more than one row holds; only these can make duplicates."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
 
 
-def _round(rows: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """One round: rows first under all their keys are kept, their followers go.
+def _winners(rows: DataFrame) -> DataFrame:
+    """Ordinals of rows that come first under all their keys.
 
-    Returns the kept ordinals and the still undecided key rows.
+    A row leads as many keys as it holds; both numbers are map-side combined
+    sums, and no row meets the other rows of its key.
     """
-    firsts = rows.groupBy("key").agg(F.min("ordinal").alias("first"))
-    seen = join_unique(rows, firsts, hot, ["key"], F.col("ordinal"))
-    kept = cut_lineage(
-        seen.groupBy("ordinal").agg(F.min(F.col("first") == F.col("ordinal")).alias("kept"))
-        .filter("kept").select("ordinal"))
-    # A kept row is the first of each of its keys, so every key is taken once.
-    taken = rows.join(kept, "ordinal", "left_semi").select("key", F.lit(True).alias("is_taken"))
-    touched = join_unique(rows, taken, hot, ["key"], F.col("ordinal"))
-    rest = rows.join(touched.select("ordinal").distinct(), "ordinal", "left_anti")
-    return kept, cut_lineage(rest)
-
-
-def dedupe_in_batch(rows: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+    leads = rows.groupBy("key").agg(F.min("ordinal").alias("ordinal")).groupBy("ordinal").agg(F.count(F.lit(1)).alias("led"))
+    holds = rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("held"))
+    return leads.join(holds, "ordinal").filter("led = held").select("ordinal")
+
+
+def dedupe_in_batch(rows: DataFrame) -> DataFrame:
     """Ordinals kept from key rows ``(ordinal, key)`` by the first-come rule.
 
-    Every round keeps at least the smallest undecided row, so the loop ends; a
-    round works on the undecided rows only, and rows that share no key with
-    another row are settled in the first. Rounds are checkpointed so that a
-    lost executor does not replay earlier ones.
+    Rows that share no key are kept before the first round. A round keeps the
+    rows that lead all their keys and removes those that share a key with a
+    kept one; at least the smallest undecided row is settled, so the loop ends.
+    Rounds are checkpointed, so a lost executor does not replay earlier ones.
     """
-    undecided = cut_lineage(rows.select("ordinal", "key"))
-    if hot is None:
-        hot = hot_keys(undecided, ["key"], hot_rows)
-    kept = []
+    rows = rows.select("ordinal", "key")
+    contested = salted_join(rows, shared_keys(rows), ["key"], F.col("ordinal"), "left_semi").select("ordinal").distinct()
+    kept = [rows.select("ordinal").distinct().join(contested, "ordinal", "left_anti")]
+    undecided = cut_lineage(rows.join(contested, "ordinal", "left_semi"))
     while not undecided.isEmpty():
-        winners, undecided = _round(undecided, hot)
+        winners = cut_lineage(_winners(undecided))
         kept.append(winners)
-    return union_all(kept) if kept else undecided.select("ordinal")
+        # A kept row is the first of each of its keys, so every key is taken once.
+        taken = undecided.join(winners, "ordinal", "left_semi").select("key")
+        gone = salted_join(undecided, taken, ["key"], F.col("ordinal"), "left_semi").select("ordinal").distinct()
+        undecided = cut_lineage(undecided.join(gone, "ordinal", "left_anti"))
+    return union_all(kept)
 
 
-def resolve(
-    incoming: DataFrame, existing: DataFrame, scope: list[str] | None = None, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def resolve(incoming: DataFrame, existing: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Verdict per incoming posting.
 
     ``incoming`` and ``existing`` are postings with an ``ordinal`` each. Result:
@@ -77,26 +80,31 @@ def resolve(
     where the match is the holder of the strongest key at the time the posting
     came by: a stored posting, or a kept posting with a smaller ordinal.
     """
-    keys = cut_lineage(key_rows(incoming, scope))
-    hot = hot_keys(keys, ["key"], hot_rows)
-    holders = existing_holders(existing, keys, scope)
-    with_holder = cut_lineage(join_unique(keys, holders, hot, ["key"], F.col("ordinal"), "left"))
+    return resolve_keys(key_rows(incoming, scope), key_rows(existing, scope))
+
+
+def resolve_keys(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """:func:`resolve` on key rows ``(ordinal, tier, key)``, as stored beside the postings."""
+    keys = cut_lineage(incoming)
+    holders = holders_of(stored, keys)
+    with_holder = cut_lineage(salted_join(keys, holders, ["key"], F.col("ordinal"), "left"))
     old = with_holder.filter(F.col("existing_ordinal").isNotNull()).select("ordinal").distinct()
     fresh = with_holder.join(old, "ordinal", "left_anti").select("ordinal", "key")
-    kept = dedupe_in_batch(fresh, hot_rows, hot)
-    # Keys of kept rows are unique: no two kept rows share one.
-    new_holders = fresh.join(kept, "ordinal", "left_semi").select("key", F.col("ordinal").alias("new_ordinal"))
-    candidates = join_unique(with_holder, new_holders, hot, ["key"], F.col("ordinal"), "left").withColumn(
+    kept = cut_lineage(dedupe_in_batch(fresh))
+    # Keys of kept rows are unique: no two kept rows share one. A key that only
+    # one row holds has no second row to answer for.
+    new_holders = (
+        fresh.join(kept, "ordinal", "left_semi").join(shared_keys(keys), "key", "left_semi")
+        .select("key", F.col("ordinal").alias("new_ordinal")))
+    candidates = salted_join(with_holder, new_holders, ["key"], F.col("ordinal"), "left").withColumn(
         "earlier", F.when(F.col("new_ordinal") < F.col("ordinal"), F.col("new_ordinal")))
     held = F.col("existing_ordinal").isNotNull() | F.col("earlier").isNotNull()
-    # A kept row holds its own keys and nothing else does.
     matches = candidates.groupBy("ordinal").agg(
-        F.max(F.coalesce(F.col("new_ordinal") == F.col("ordinal"), F.lit(False))).alias("is_kept"),
         F.min(F.when(held, F.col("tier"))).alias("matched_tier"),
         F.min_by(F.when(held, F.struct("existing_ordinal", "earlier")), F.when(held, F.col("tier"))).alias("holder"),
-    )
+    ).join(kept.withColumn("is_kept", F.lit(True)), "ordinal", "left")
     return matches.select(
-        "ordinal", (~F.col("is_kept")).alias("is_duplicate"), "matched_tier",
+        "ordinal", F.col("is_kept").isNull().alias("is_duplicate"), "matched_tier",
         F.col("holder.existing_ordinal").alias("matched_existing"),
         F.col("holder.earlier").alias("matched_incoming"))
 

@@ -31,10 +31,6 @@ def _posting(rows: DataFrame, run_date: date, **fields: Column) -> DataFrame:
     return rows.select(*[c for c in CARRIED if c in rows.columns], *columns)
 
 
-def _cut(text: Column) -> Column:
-    return F.substring(text, 1, rules.DESCRIPTION_CHARS)
-
-
 def normalize_greenhouse(rows: DataFrame, run_date: date) -> DataFrame:
     board, title, place = col("source_key"), or_empty("raw.title"), or_empty("raw.location.name")
     rows = rows.withColumn("body", strip_html("raw.content")).withColumn("years", parse_experience("body"))
@@ -47,7 +43,7 @@ def normalize_greenhouse(rows: DataFrame, run_date: date) -> DataFrame:
         work_mode=F.coalesce(work_mode(body), work_mode(place)),
         min_experience_years=F.col("years.min"), max_experience_years=F.col("years.max"),
         required_skills=text_array([]), preferred_skills=text_array([]),
-        description=_cut(body), application_url=col("raw.absolute_url"), source_url=col("raw.absolute_url"),
+        description=body, application_url=col("raw.absolute_url"), source_url=col("raw.absolute_url"),
         source_job_id=blank_to_null(col("raw.id")), posted_date=iso_date10(changed),
         source=F.concat(F.lit("greenhouse:"), board),
     )
@@ -87,7 +83,7 @@ def normalize_lever(rows: DataFrame, run_date: date) -> DataFrame:
         min_experience_years=F.col("years.min"), max_experience_years=F.col("years.max"),
         required_skills=F.filter("skill_lines", lambda b: ~optional(b)),
         preferred_skills=F.filter("skill_lines", optional),
-        description=_cut(F.col("body")),
+        description=F.col("body"),
         application_url=F.coalesce(blank_to_null("raw.hostedUrl"), col("raw.applyUrl")),
         source_url=col("raw.hostedUrl"), source_job_id=col("raw.id"),
         posted_date=epoch_millis_to_date("raw.createdAt"), source=F.concat(F.lit("lever:"), slug),
@@ -113,7 +109,7 @@ def normalize_ashby(rows: DataFrame, run_date: date) -> DataFrame:
         work_mode=F.coalesce(work_mode("raw.workplaceType"), work_mode("body"), work_mode("place")),
         salary_min=F.col("pay.min"), salary_max=F.col("pay.max"), salary_currency=F.col("pay.currency"),
         min_experience_years=F.col("years.min"), max_experience_years=F.col("years.max"),
-        required_skills=text_array([]), preferred_skills=text_array([]), description=_cut(F.col("body")),
+        required_skills=text_array([]), preferred_skills=text_array([]), description=F.col("body"),
         application_url=F.coalesce(blank_to_null("raw.applyUrl"), col("raw.jobUrl")),
         source_url=col("raw.jobUrl"), source_job_id=col("raw.id"),
         posted_date=iso_date10("raw.publishedAt"), source=F.concat(F.lit("ashby:"), board),
@@ -157,7 +153,7 @@ def normalize_workday(rows: DataFrame, run_date: date) -> DataFrame:
         min_experience_years=parse_experience("body")["min"],
         required_skills=skill_list(rules.WORKDAY_REQUIRED_LABEL),
         preferred_skills=F.filter(skill_list(rules.WORKDAY_PREFERRED_LABEL), lambda s: F.upper(s) != "NA"),
-        description=_cut(F.col("body")), application_url=col(info + "externalUrl"),
+        description=F.col("body"), application_url=col(info + "externalUrl"),
         source_url=col(info + "externalUrl"), source_job_id=job_key,
         source=F.concat(F.lit("workday:"), F.lower(company)),
     )

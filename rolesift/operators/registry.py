@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift import rules
 from rolesift.functions.text import title_is_relevant
 
 KEY = ["connector", "source_key"]
@@ -16,8 +15,10 @@ def sources_anti_active(seeds: DataFrame, active: DataFrame) -> DataFrame:
     return seeds.join(active.select(*KEY), KEY, "left_anti")
 
 
-def check_cap(seeds: DataFrame, active: DataFrame, limit: int = rules.MAX_BOARDS_PER_CONNECTOR) -> DataFrame:
-    """First ``limit`` non-active seeds per connector, in list order."""
+def check_cap(seeds: DataFrame, active: DataFrame, limit: int | None = None) -> DataFrame:
+    """Non-active seeds; with a ``limit``, the first so many per connector, in list order."""
+    if limit is None:
+        return sources_anti_active(seeds, active)
     turn = Window.partitionBy("connector").orderBy("ordinal")
     return (
         sources_anti_active(seeds, active).withColumn("turn", F.row_number().over(turn))
@@ -48,25 +49,23 @@ def board_relevance(checked: DataFrame, probes: DataFrame, titles: DataFrame, ph
 
 
 def board_report(
-    seeds: DataFrame, active: DataFrame, results: DataFrame, limit: int = rules.MAX_BOARDS_PER_CONNECTOR,
+    seeds: DataFrame, active: DataFrame, results: DataFrame, limit: int | None = None,
 ) -> DataFrame:
     """Figures per connector.
 
-    Active seeds behind the point where the cap stopped the list were never
-    looked at and are not counted.
+    With a ``limit``, active seeds behind the point where it stopped the list
+    were never looked at and are not counted.
     """
-    turn = Window.partitionBy("connector").orderBy("ordinal")
-    stop = (
-        sources_anti_active(seeds, active).withColumn("turn", F.row_number().over(turn))
-        .filter(F.col("turn") <= limit + 1)
-        .groupBy("connector").agg(F.max(F.when(F.col("turn") == limit + 1, F.col("ordinal"))).alias("stop"))
-    )
+    known = seeds.join(active.select(*KEY).distinct(), KEY, "left_semi")
+    if limit is not None:
+        turn = Window.partitionBy("connector").orderBy("ordinal")
+        stop = (
+            sources_anti_active(seeds, active).withColumn("turn", F.row_number().over(turn))
+            .filter(F.col("turn") == limit + 1).select("connector", F.col("ordinal").alias("stop"))
+        )
+        known = known.join(stop, "connector", "left").filter(F.col("stop").isNull() | (F.col("ordinal") < F.col("stop")))
+    known = known.groupBy("connector").agg(F.count(F.lit(1)).alias("already_active"))
     listed = seeds.groupBy("connector").agg(F.count(F.lit(1)).alias("candidates_total"))
-    known = (
-        seeds.join(active.select(*KEY).distinct(), KEY, "left_semi").join(stop, "connector", "left")
-        .filter(F.col("stop").isNull() | (F.col("ordinal") < F.col("stop")))
-        .groupBy("connector").agg(F.count(F.lit(1)).alias("already_active"))
-    )
     buckets = ["verified_relevant", "verified_no_relevant_match", "not_found_or_unavailable"]
     sizes = results.groupBy("connector").agg(
         F.count(F.lit(1)).alias("checked"),
@@ -93,6 +92,14 @@ def promote_sources(active: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def check_boards(
+    seeds: DataFrame, active: DataFrame, probes: DataFrame, titles: DataFrame, phrase_tokens: Column, limit: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, report, registry): boards chosen, judged, counted and promoted in one go."""
+    results = board_relevance(check_cap(seeds, active, limit), probes, titles, phrase_tokens)
+    return results, board_report(seeds, active, results, limit), promote_sources(active, results)
+
+
 def sources_distinct(sources: DataFrame) -> DataFrame:
     """Every source once, at its first place."""
     return sources.groupBy(*KEY).agg(F.min("ordinal").alias("ordinal"))

@@ -55,7 +55,7 @@ def _latest(value: Column, seq: str = "seq") -> Column:
 
 
 def review_fold(actions: DataFrame) -> DataFrame:
-    """Current review per job.
+    """Current review per candidate and job.
 
     Starts from a blank PENDING record; 'save' keeps the status, and each field
     takes its last given value. ``max_by`` combines on the map side, so a job
@@ -64,7 +64,7 @@ def review_fold(actions: DataFrame) -> DataFrame:
     valid, _ = split_valid(actions, validate_action())
     status = F.create_map(*[F.lit(x) for pair in rules.REVIEW_ACTIONS.items() for x in pair])
     new_status = F.try_element_at(status, F.col("action"))
-    return valid.groupBy("job_id").agg(
+    return valid.groupBy("candidate_id", "job_id").agg(
         F.coalesce(_latest(new_status), F.lit("PENDING")).alias("review_status"),
         *[_latest(F.col(q)).alias(q) for q in rules.QUALITY_FIELDS],
         F.coalesce(_latest(F.col("issues")), text_array([])).alias("issues"),

@@ -17,7 +17,7 @@ from rolesift.functions.pyformat import quoted
 from rolesift.functions.roles import career_level, career_level_fit, role_family, title_family
 from rolesift.functions.text import col, normalize, or_empty, or_no_items, strip, title_tokens
 from rolesift.operators.candidates import candidate_features
-from rolesift.operators.skew import hot_keys, join_unique
+from rolesift.operators.joins import salted_join
 
 PARTS = list(rules.WEIGHTS)
 RESULT_COLUMNS = [
@@ -173,30 +173,31 @@ def annotate_match(postings: DataFrame, candidates: DataFrame) -> DataFrame:
     fields = [c for c in postings.columns if c != "candidate_id"]
     rows = posting_features(postings.withColumn("posting", F.struct(*fields)), "posting", "candidate_id")
     # One candidate may own most postings, and these rows carry whole texts.
-    hot = hot_keys(postings, ["candidate_id"])
-    features = join_unique(rows, candidate_features(candidates), hot, ["candidate_id"], F.col("job_id"))
+    features = salted_join(rows, candidate_features(candidates), ["candidate_id"], F.col("job_id"))
     return score_rows(features, "posting").select("posting.*", *RESULT_COLUMNS[1:])
 
 
 def auto_apply_preconditions(matches: DataFrame, applications: DataFrame) -> DataFrame:
     """Five checks, the reasons of the failed ones, and the verdict.
 
-    ``matches`` holds postings with their decision. An application counts for a
-    job when it names the same URL (blank equals blank) or the same id (absent
-    equals absent); the two tests are separate equi-joins.
+    ``matches`` holds postings with their decision. An application of the same
+    candidate counts for a job when it names the same URL (blank equals blank)
+    or the same id (absent equals absent). The two tests are separate joins;
+    blank URLs and absent ids, which very many postings may share, are cut into
+    parts like any other key.
     """
     same_url = applications.filter(F.col("application_url").isNotNull()).select(
-        F.col("application_url").alias("url")).distinct().withColumn("url_seen", F.lit(True))
-    same_id = applications.select(F.col("job_id").alias("seen_id")).distinct().withColumn("id_seen", F.lit(True))
-    rows = (
-        matches.withColumn("url", or_empty("application_url"))
-        .join(same_url, "url", "left")
-        .join(same_id, F.col("id").eqNullSafe(F.col("seen_id")), "left")
-    )
+        "candidate_id", F.col("application_url").alias("url")).distinct().withColumn("url_seen", F.lit(True))
+    seen_id = F.coalesce(F.concat(F.lit("="), "job_id"), F.lit("-"))
+    same_id = applications.select("candidate_id", seen_id.alias("seen_id")).distinct().withColumn("id_seen", F.lit(True))
+    rows = matches.withColumns({
+        "url": or_empty("application_url"), "seen_id": F.coalesce(F.concat(F.lit("="), "id"), F.lit("-"))})
+    rows = salted_join(rows, same_url, ["candidate_id", "url"], F.struct("title", "company", "id"), "left")
+    rows = salted_join(rows, same_id, ["candidate_id", "seen_id"], F.struct("title", "company", "url"), "left")
     applied = F.col("url_seen").isNotNull() | F.col("id_seen").isNotNull()
     decision = F.coalesce(F.col("application_decision"), F.lit("None"))
     checks = [
-        ("not_already_applied", ~applied, F.lit("A record for this job already exists in applications.json")),
+        ("not_already_applied", ~applied, F.lit("An application for this job exists")),
         ("valid_url", F.startswith(F.col("url"), F.lit("http")),
          F.lit("application_url is missing or not a valid http(s) URL")),
         ("identifiable", (strip(or_empty("company")) != "") & (strip(or_empty("title")) != ""),

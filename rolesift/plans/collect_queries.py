@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolesift import rules, schemas
@@ -16,8 +16,10 @@ from rolesift.plans import views
 from rolesift.plans.text_queries import (
     KEYS_SQL, PHRASES, REQUIREMENT, html_sql, mode_sql, slug_sql, years_sql, _HI, _LO, _relevant_sql,
 )
-from rolesift.session import cut_lineage
+from rolesift.session import scratch_folder
+from rolesift.sources import landing, sinks
 from rolesift.sources.landing import explode_responses, parse_json_objects, parse_sources, response_pages
+from rolesift.streaming import incremental
 
 QUERIES: dict = {}
 RUN_DATE = date(2026, 2, 1)
@@ -60,8 +62,12 @@ PAGE = ["candidate_id", "connector", "source_key", "source_no", "query_no", "pag
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.spark_view(spark, sf, "part", LANDED)
-    payload = F.expr("CASE connector " + " ".join(f"WHEN '{c}' THEN {e}" for c, e in PAYLOAD.items()) + " END")
+    return page_responses(views.spark_view(spark, sf, "part", LANDED), PAYLOAD)
+
+
+def page_responses(rows: DataFrame, payloads: dict[str, str]) -> DataFrame:
+    """One response body per page of rows."""
+    payload = F.expr("CASE connector " + " ".join(f"WHEN '{c}' THEN {e}" for c, e in payloads.items()) + " END")
     pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("p_partkey", payload.alias("j")))).alias("l"))
     entries = F.concat(F.lit("["), F.array_join(F.transform("l", lambda e: e["j"]), ","), F.lit("]"))
     body = F.when(F.col("connector") == "lever", entries)
@@ -184,22 +190,6 @@ def union_connectors(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("source_stats", f"""WITH c AS (SELECT *, {OUTCOME_SQL} AS outcome FROM {LANDED_SQL}),
-  pages AS (SELECT candidate_id, connector, source_key, page_no, count(*) AS n, page_no % 4 = 3 AS failed FROM c GROUP BY 1, 2, 3, 4)
-  SELECT candidate_id, concat(connector, ':', CASE WHEN connector = 'workday' THEN lower(source_key) ELSE source_key END) AS source,
-    count(DISTINCT page_no) AS attempted, count(*) FILTER (WHERE NOT failed) AS found, count(*) FILTER (WHERE outcome = 'parsed') AS parsed,
-    count(*) FILTER (WHERE outcome = 'malformed') AS malformed, count(*) FILTER (WHERE outcome = 'rejected') AS rejected,
-    count(*) FILTER (WHERE outcome = 'parsed' AND pos % 2 = 1) AS duplicates, count(*) FILTER (WHERE outcome = 'parsed' AND pos % 2 = 0) AS new_unique,
-    count(DISTINCT page_no) FILTER (WHERE failed) AS errors,
-    CASE WHEN count(*) FILTER (WHERE failed) > 0 THEN 'unavailable' ELSE 'ok' END AS status
-  FROM (SELECT *, page_no % 4 = 3 AS failed, {OUTCOME_SQL} AS outcome FROM {POSITIONED}) GROUP BY 1, 2""")
-def source_stats(spark, sf):
-    fetches = response_pages(responses(spark, sf)).withColumn("failed", F.col("page_no") % 4 == 3)
-    seen = classified(spark, sf)
-    decided = seen.filter(F.col("outcome") == "parsed").withColumn("is_duplicate", F.col("pos") % 2 == 1)
-    return collect.source_stats(fetches, seen, decided)
-
-
 # --- connector projections ----------------------------------------------------------
 
 def normalized(spark, sf, connector, rows):
@@ -231,7 +221,7 @@ def shown_sql(rows_sql: str, /, **fields: str) -> str:
 
 def id_sql(*parts: str) -> str:
     slugs = ", ".join(f"CASE WHEN {p} <> '' THEN {slug_sql(p)} END" for p in parts)
-    return f"left(array_to_string(list_filter([{slugs}], lambda z: z IS NOT NULL), '-'), 150)"
+    return f"array_to_string(list_filter([{slugs}], lambda z: z IS NOT NULL), '-')"
 
 
 def first_mode(*texts: str) -> str:
@@ -251,7 +241,7 @@ GH_SQL = f"(SELECT *, {html_sql('content')} AS body FROM {views.ansi_view('pages
 @query("normalize_greenhouse", shown_sql(
     GH_SQL, id=id_sql("'greenhouse'", "board", "title", "k::VARCHAR"), company="board", title="title", location="coalesce(place, '')",
     work_mode=first_mode("body", "place"), min_experience_years=years_sql("body")[0], max_experience_years=years_sql("body")[1],
-    description="left(body, 4000)", application_url="url", source_url="url", source_job_id="k::VARCHAR",
+    description="body", application_url="url", source_url="url", source_job_id="k::VARCHAR",
     source="concat('greenhouse:', board)", posted_date="left(coalesce(nullif(updated, ''), published), 10)::DATE"))
 def normalize_greenhouse(spark, sf):
     rows = views.spark_view(spark, sf, "pages", GH).selectExpr(
@@ -277,7 +267,7 @@ LV_ALL = "array_to_string(list_filter([nullif(body, ''), nullif(st, ''), nullif(
 @query("normalize_lever", shown_sql(
     LV_SQL, id=id_sql("'lever'", "slug", "title", "k::VARCHAR"), company="slug", title="title", location="coalesce(place, '')",
     work_mode=first_mode("body", "place"), min_experience_years=years_sql(LV_ALL)[0], max_experience_years=years_sql(LV_ALL)[1],
-    description="left(body, 4000)", application_url="CASE WHEN url <> '' THEN url ELSE concat('https://l.example.com/apply/', k) END",
+    description="body", application_url="CASE WHEN url <> '' THEN url ELSE concat('https://l.example.com/apply/', k) END",
     source_url="url", source_job_id="k::VARCHAR", source="concat('lever:', slug)", posted_date="make_timestamp((made * 1000)::BIGINT)::DATE",
     required_skills="array_to_string(list_filter([CASE WHEN skills IS NOT NULL THEN 'SQL' END, CASE WHEN skills IS NOT NULL THEN concat(lang, ' reports') END, "
     "CASE WHEN needs IS NOT NULL THEN concat(slug, ' tools') END], lambda z: z IS NOT NULL), '|')",
@@ -311,7 +301,7 @@ AS_SQL = (f"(SELECT *, {html_sql('coalesce(html, note)')} AS body, {AS_PLACE} AS
     AS_SQL, id=id_sql("'ashby'", "board", "title", "k"), company="board", title="title", location="spot",
     work_mode=first_mode("place_type", "body", "spot"), salary_min=f"CASE WHEN {_HI} IS NOT NULL THEN {_LO} END",
     salary_max=f"CASE WHEN {_LO} IS NOT NULL THEN {_HI} END", salary_currency=f"CASE WHEN {_LO} IS NOT NULL AND {_HI} IS NOT NULL THEN 'USD' END",
-    min_experience_years=years_sql("body")[0], max_experience_years=years_sql("body")[1], description="left(body, 4000)",
+    min_experience_years=years_sql("body")[0], max_experience_years=years_sql("body")[1], description="body",
     application_url="coalesce(apply, url)", source_url="url", source_job_id="k", source="concat('ashby:', board)", posted_date="left(day, 10)::DATE"))
 def normalize_ashby(spark, sf):
     rows = views.spark_view(spark, sf, "part", AS).selectExpr(
@@ -355,7 +345,7 @@ WD = [
 
 @query("normalize_workday", shown_sql(
     f"(SELECT *, {html_sql('html')} AS body FROM {views.ansi_view('part', WD)})", id=id_sql("'workday'", "company", "title", "coalesce(req, k)"), company="company",
-    title="title", location="coalesce(place, '')", work_mode=mode_sql("body"), min_experience_years=years_sql("body")[0], description="left(body, 4000)",
+    title="title", location="coalesce(place, '')", work_mode=mode_sql("body"), min_experience_years=years_sql("body")[0], description="body",
     application_url="url", source_url="url", source_job_id="coalesce(req, k)", source="concat('workday:', lower(company))",
     required_skills="concat('SQL|', kind, '|Excel')", preferred_skills="CASE WHEN p_partkey % 3 = 0 THEN 'Tableau' ELSE '' END"))
 def normalize_workday(spark, sf):
@@ -365,14 +355,18 @@ def normalize_workday(spark, sf):
     return shown(normalized(spark, sf, "workday", rows))
 
 
-@query("normalize_postings", f"""SELECT connector, source_key, count(*) AS n, count(DISTINCT title) AS titles FROM (SELECT *, {OUTCOME_SQL} AS outcome FROM {LANDED_SQL})
-  WHERE outcome = 'parsed' AND (connector <> 'workday' OR p_partkey % 2 = 0) GROUP BY 1, 2""")
+@query("normalize_postings", f"""SELECT candidate_id, connector, source_key, page_no, pos, title, id AS source_job_id
+  FROM (SELECT *, {OUTCOME_SQL} AS outcome FROM {POSITIONED}) WHERE outcome = 'parsed' AND (connector <> 'workday' OR p_partkey % 2 = 0)""")
 def normalize_postings(spark, sf):
+    """All parsed rows; every second search hit has a detail, landed twice."""
     parsed = collect.with_ordinal(classified(spark, sf)).filter(F.col("outcome") == "parsed")
-    details = views.spark_view(spark, sf, "part", LANDED).filter("connector = 'workday' AND p_partkey % 2 = 0").selectExpr(
+    details = views.spark_view(spark, sf, "part", LANDED).filter("connector = 'workday' AND p_partkey % 2 = 0 AND id IS NOT NULL").selectExpr(
         "source_key", "id AS path", "to_json(named_struct('jobPostingInfo', named_struct('title', title, 'jobReqId', id))) AS payload")
-    return collect.normalize_postings(parsed, details, RUN_DATE).groupBy("connector", "source_key").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("titles"))
+    details = details.withColumn("ordinal", F.lit(2)).unionByName(details.withColumns({"payload": F.lit('{"zzz": 1}'), "ordinal": F.lit(1)}))
+    hits = collect.with_details(parsed.filter("connector = 'workday'"), details).filter("payload IS NOT NULL")
+    rows = parsed.filter("connector <> 'workday'").unionByName(hits.select(*parsed.columns))
+    return collect.normalize_postings(rows, RUN_DATE).select(
+        "candidate_id", "connector", "source_key", "page_no", "pos", "title", "source_job_id")
 
 
 # --- identity against history and inside a batch ---------------------------------------
@@ -451,17 +445,6 @@ def refresh_last_seen(spark, sf):
     return dedup.refresh_last_seen(rows, verdicts, RUN_DATE).select("id", "last_seen_at", "rediscovered")
 
 
-@query("run_totals", f"""WITH p AS (SELECT *, concat('C', ordinal % 7) AS candidate_id FROM {views.POSTINGS_SQL})
-  SELECT candidate_id, count(*) AS fetched, count(*) FILTER (WHERE ordinal % 3 = 0) AS duplicates, count(*) FILTER (WHERE ordinal % 6 = 0) AS rediscovered,
-    count(*) FILTER (WHERE ordinal % 3 <> 0) AS new, count(*) FILTER (WHERE ordinal % 3 = 1) AS shortlisted FROM p GROUP BY 1""")
-def run_totals(spark, sf):
-    rows = views.postings(spark, sf).withColumns({
-        "candidate_id": F.concat(F.lit("C"), F.col("ordinal") % 7), "is_duplicate": F.col("ordinal") % 3 == 0,
-        "rediscovered": F.col("ordinal") % 6 == 0,
-        "status": F.when(F.col("ordinal") % 3 == 1, "shortlisted").otherwise("discovered")})
-    return discovery.run_totals(rows, rows, rows.filter(~F.col("is_duplicate")))
-
-
 @query("append_new", f"""WITH {ROUNDS} SELECT source, count(*) AS postings FROM p WHERE {STORED} OR ordinal IN (SELECT ordinal FROM kept) GROUP BY 1""")
 def append_new(spark, sf):
     incoming, stored = split(spark, sf)
@@ -471,8 +454,10 @@ def append_new(spark, sf):
 
 # --- browsing ----------------------------------------------------------------------------
 
+# Two candidates hold each id.
 BROWSE = [
-    *views.POSTINGS, ("application_decision", views.pick(["AUTO_APPLY", "REVIEW", "SKIP", None], "p_partkey % 4")),
+    *[c for c in views.POSTINGS if c[0] != "id"], ("id", "concat('P', p_partkey - p_partkey % 2)"), ("candidate_id", "concat('C', p_partkey % 2)"),
+    ("application_decision", views.pick(["AUTO_APPLY", "REVIEW", "SKIP", None], "p_partkey % 4")),
     ("score", "CASE WHEN p_partkey % 10 <> 9 THEN p_size END"),
     ("role_family", views.pick(["PRODUCT", "BUSINESS_ANALYSIS", "UNKNOWN", "", None], "p_partkey % 5")),
     ("decision_reason", "concat('Reason ', p_size)"),
@@ -505,9 +490,19 @@ def matches_filters(spark, sf):
 
 
 @query("filter_and_sort", f"""SELECT id, score FROM {BROWSE_SQL} WHERE {IS_TODAY_SQL} AND contains(lower(concat(title, ' ', company, ' ', description, ' ',
-  array_to_string(list_concat(required_skills, preferred_skills), ' '))), 'stakeholder') ORDER BY coalesce(score, -1) DESC, ordinal LIMIT 40""")
+  array_to_string(list_concat(required_skills, preferred_skills), ' '))), 'stakeholder')""")
 def filter_and_sort(spark, sf):
-    return browse.filter_and_sort(browse_rows(spark, sf), TODAY, "today", "score", search="Stakeholder").select("id", "score").limit(40)
+    return browse.filter_and_sort(browse_rows(spark, sf), TODAY, "today", "score", search="Stakeholder").select("id", "score")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their place in the order they come in, counted per partition first."""
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    ahead = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return rows.withColumn("part", part).join(ahead, "part").withColumn(
+        "place", F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "ahead", "at")
 
 
 ORDERS = {
@@ -517,9 +512,9 @@ ORDERS = {
 
 
 def _sort_query(key: str, order: str) -> None:
-    @query(f"sort_postings_{key}", f"SELECT id, ordinal FROM {BROWSE_SQL} ORDER BY {order}, ordinal LIMIT 100")
+    @query(f"sort_postings_{key}", f"SELECT id, ordinal, row_number() OVER (ORDER BY {order}, ordinal) AS place FROM {BROWSE_SQL}")
     def sort_postings(spark, sf):
-        return browse.sort_postings(browse_rows(spark, sf), key).select("id", "ordinal").limit(100)
+        return numbered(browse.sort_postings(browse_rows(spark, sf), key).select("id", "ordinal"))
 
 
 for _key, _order in ORDERS.items():
@@ -548,32 +543,32 @@ def limit(spark, sf):
     return browse.select_jobs(browse_rows(spark, sf), max_jobs=25).select("id")
 
 
-@query("find_job", f"SELECT id, title, score FROM {BROWSE_SQL} WHERE id = 'P7' ORDER BY ordinal LIMIT 1")
+@query("find_job", f"SELECT id, title, score FROM {BROWSE_SQL} WHERE id = 'P6' AND candidate_id = 'C1' ORDER BY ordinal LIMIT 1")
 def find_job(spark, sf):
-    return browse.find_job(browse_rows(spark, sf), "P7").select("id", "title", "score")
+    return browse.find_job(browse_rows(spark, sf), "P6", "C1").select("id", "title", "score")
 
 
 # --- packages and reviews beside the postings -------------------------------------------
 
 PACKAGES = [
-    ("job_id", "concat('P', o_orderkey)"), ("readiness", views.pick(["READY", "NOT_READY"], "o_orderkey % 2")),
+    ("candidate_id", "concat('C', o_orderkey % 2)"), ("job_id", "concat('P', o_orderkey - o_orderkey % 2)"), ("readiness", views.pick(["READY", "NOT_READY"], "o_orderkey % 2")),
     ("ready_for_browser_automation", "o_orderkey % 2 = 0"), ("requires_human_review", "o_custkey % 3 = 0"),
     ("analysis_status", views.pick(["COMPLETED", "FAILED", "NEEDS_REVIEW", "NOT_PROCESSED"], "o_custkey % 4")),
     ("resume_status", views.pick(["COMPLETED", "FAILED", "NEEDS_REVIEW"], "o_orderkey % 3")),
     ("cover_letter_status", views.pick(["COMPLETED", "FAILED", "NEEDS_REVIEW", "COMPLETED", "COMPLETED"], "o_orderkey % 5")),
 ]
 REVIEWS = [
-    ("job_id", "concat('P', c_custkey * 2)"), ("review_status", views.pick(["PENDING", "APPROVED", "REJECTED", None], "c_custkey % 4")),
+    ("candidate_id", "concat('C', c_custkey % 2)"), ("job_id", "concat('P', c_custkey * 2)"), ("review_status", views.pick(["PENDING", "APPROVED", "REJECTED", None], "c_custkey % 4")),
     ("overall_quality", "CAST(c_custkey % 5 + 1 AS INT)"), ("needs_regeneration", "CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 2 = 0 END"),
 ]
 STATUS_CASE = """CASE WHEN k.readiness IS NULL THEN 'NOT_PROCESSED' WHEN ready_for_browser_automation THEN 'READY_FOR_AUTOMATION' WHEN requires_human_review THEN 'READY_FOR_REVIEW'
   WHEN analysis_status = 'FAILED' THEN 'VALIDATION_FAILED' WHEN analysis_status = 'NEEDS_REVIEW' THEN 'NEEDS_USER_INPUT'
   WHEN resume_status = 'FAILED' THEN 'VALIDATION_FAILED' WHEN resume_status = 'NEEDS_REVIEW' THEN 'NEEDS_USER_INPUT'
   WHEN cover_letter_status = 'FAILED' THEN 'VALIDATION_FAILED' WHEN cover_letter_status = 'NEEDS_REVIEW' THEN 'NEEDS_USER_INPUT' ELSE 'PROCESSING' END"""
-ANNOTATED = f"""SELECT b.id, b.score, b.ordinal, {STATUS_CASE} AS intelligence_status, coalesce(r.review_status, 'NOT_REVIEWED') AS review_status,
+ANNOTATED = f"""SELECT b.candidate_id, b.id, b.score, b.ordinal, {STATUS_CASE} AS intelligence_status, coalesce(r.review_status, 'NOT_REVIEWED') AS review_status,
   r.overall_quality AS review_overall_quality, coalesce(r.needs_regeneration, false) AS review_needs_regeneration
-  FROM {BROWSE_SQL} b LEFT JOIN {views.ansi_view('orders', PACKAGES)} k ON k.job_id = b.id LEFT JOIN {views.ansi_view('customer', REVIEWS)} r ON r.job_id = b.id"""
-STATUS_COLUMNS = ["id", "score", "ordinal", "intelligence_status", "review_status", "review_overall_quality", "review_needs_regeneration"]
+  FROM {BROWSE_SQL} b LEFT JOIN {views.ansi_view('orders', PACKAGES)} k ON k.job_id = b.id AND k.candidate_id = b.candidate_id LEFT JOIN {views.ansi_view('customer', REVIEWS)} r ON r.job_id = b.id AND r.candidate_id = b.candidate_id"""
+STATUS_COLUMNS = ["candidate_id", "id", "score", "ordinal", "intelligence_status", "review_status", "review_overall_quality", "review_needs_regeneration"]
 
 
 def packages(spark, sf):
@@ -589,14 +584,14 @@ def annotate_status(spark, sf):
     return browse.annotate_status(browse_rows(spark, sf), packages(spark, sf), reviews(spark, sf)).select(*STATUS_COLUMNS)
 
 
-@query("intelligence_status", f"SELECT intelligence_status, count(*) AS n FROM ({ANNOTATED}) GROUP BY 1")
+@query("intelligence_status", f"SELECT candidate_id, id, intelligence_status FROM ({ANNOTATED})")
 def intelligence_status(spark, sf):
-    return annotate_status(spark, sf).groupBy("intelligence_status").agg(F.count(F.lit(1)).alias("n"))
+    return annotate_status(spark, sf).select("candidate_id", "id", "intelligence_status")
 
 
-@query("review_status", f"SELECT review_status, count(*) AS n FROM ({ANNOTATED}) GROUP BY 1")
+@query("review_status", f"SELECT candidate_id, id, review_status FROM ({ANNOTATED})")
 def review_status(spark, sf):
-    return annotate_status(spark, sf).groupBy("review_status").agg(F.count(F.lit(1)).alias("n"))
+    return annotate_status(spark, sf).select("candidate_id", "id", "review_status")
 
 
 @query("build_payload", f"SELECT * FROM ({ANNOTATED} WHERE b.score >= 20 AND b.application_decision = 'REVIEW')")
@@ -612,8 +607,8 @@ def postings_unchanged_projection(spark, sf):
     return rows.select("id", "company", "title", "location", "description", "source", "score")
 
 
-@query("list_pending_review", f"""SELECT b.id AS job_id, company, title, score, application_decision, readiness, coalesce(r.review_status, 'PENDING') AS review_status
-  FROM {BROWSE_SQL} b JOIN {views.ansi_view('orders', PACKAGES)} k ON k.job_id = b.id LEFT JOIN {views.ansi_view('customer', REVIEWS)} r ON r.job_id = b.id
+@query("list_pending_review", f"""SELECT b.candidate_id, b.id AS job_id, company, title, score, application_decision, readiness, coalesce(r.review_status, 'PENDING') AS review_status
+  FROM {BROWSE_SQL} b JOIN {views.ansi_view('orders', PACKAGES)} k ON k.job_id = b.id AND k.candidate_id = b.candidate_id LEFT JOIN {views.ansi_view('customer', REVIEWS)} r ON r.job_id = b.id AND r.candidate_id = b.candidate_id
   WHERE application_decision IN ('AUTO_APPLY', 'REVIEW')""")
 def list_pending_review(spark, sf):
     return browse.list_pending_review(browse_rows(spark, sf), packages(spark, sf), reviews(spark, sf))
@@ -634,7 +629,7 @@ def active(spark, sf):
     return seeds(spark, sf).filter("ordinal % 4 = 0")
 
 
-def board_results(spark, sf, cap=20):
+def board_inputs(spark, sf):
     probes = seeds(spark, sf).select("connector", "source_key", (F.col("ordinal") % 5 != 0).alias("exists"), F.when(
         F.col("ordinal") % 5 == 0, "HTTP Error 404").alias("error"))
     listed = views.table(spark, sf, "lineitem").select("l_suppkey", F.concat(F.lit("P"), "l_partkey").alias("id"))
@@ -642,12 +637,17 @@ def board_results(spark, sf, cap=20):
     titles = (
         listed.join(views.postings(spark, sf).select("id", "title"), "id")
         .join(names, F.col("l_suppkey") == F.col("s_suppkey")).select("connector", "source_key", "title"))
+    return probes, titles
+
+
+def board_results(spark, sf, cap=None):
+    probes, titles = board_inputs(spark, sf)
     checked = registry.check_cap(seeds(spark, sf), active(spark, sf), cap)
     return registry.board_relevance(checked, probes, titles, phrase_token_sets(text_array(PHRASES)))
 
 
 CHECKED_SQL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY connector ORDER BY ordinal) AS turn FROM {SEEDS_SQL} WHERE k % 4 <> 0) WHERE turn <= 20"
-BOARDS_SQL = f"""c AS ({CHECKED_SQL}), t AS (SELECT l_suppkey AS k, count(*) AS total, count(*) FILTER (WHERE {_relevant_sql()}) AS relevant
+BOARDS_SQL = f"""c AS (SELECT * FROM {SEEDS_SQL} WHERE k % 4 <> 0), t AS (SELECT l_suppkey AS k, count(*) AS total, count(*) FILTER (WHERE {_relevant_sql()}) AS relevant
   FROM lineitem JOIN {views.POSTINGS_SQL} ON id = concat('P', l_partkey) GROUP BY 1),
 b AS (SELECT connector, source_key, ordinal, CASE WHEN k % 5 <> 0 THEN coalesce(total, 0) END AS total_jobs, CASE WHEN k % 5 <> 0 THEN coalesce(relevant, 0) END AS relevant_jobs,
   CASE WHEN k % 5 = 0 THEN 'not_found_or_unavailable' WHEN coalesce(relevant, 0) > 0 THEN 'verified_relevant' ELSE 'verified_no_relevant_match' END AS bucket,
@@ -669,14 +669,24 @@ def board_relevance(spark, sf):
     return board_results(spark, sf)
 
 
-@query("board_report", f"""WITH {BOARDS_SQL}, stop AS (SELECT connector, min(ordinal) AS stop_at FROM (SELECT *, row_number() OVER (PARTITION BY connector ORDER BY ordinal) AS turn
-    FROM {SEEDS_SQL} WHERE k % 4 <> 0) WHERE turn = 21 GROUP BY 1)
-  SELECT s.connector, count(*) AS candidates_total, count(*) FILTER (WHERE k % 4 = 0 AND (stop_at IS NULL OR s.ordinal < stop_at)) AS already_active, count(b.bucket) AS checked,
+@query("board_report", f"""WITH {BOARDS_SQL} SELECT s.connector, count(*) AS candidates_total, count(*) FILTER (WHERE k % 4 = 0) AS already_active, count(b.bucket) AS checked,
     count(*) FILTER (WHERE bucket = 'verified_relevant') AS verified_relevant, count(*) FILTER (WHERE bucket = 'verified_no_relevant_match') AS verified_no_relevant_match,
     count(*) FILTER (WHERE bucket = 'not_found_or_unavailable') AS not_found_or_unavailable
-  FROM {SEEDS_SQL} s LEFT JOIN stop USING (connector) LEFT JOIN b ON b.source_key = s.source_key GROUP BY 1""")
+  FROM {SEEDS_SQL} s LEFT JOIN b ON b.source_key = s.source_key GROUP BY 1""")
 def board_report(spark, sf):
-    return registry.board_report(seeds(spark, sf), active(spark, sf), board_results(spark, sf), 20)
+    return registry.board_report(seeds(spark, sf), active(spark, sf), board_results(spark, sf))
+
+
+@query("board_report_capped", f"""WITH {BOARDS_SQL}, d AS (SELECT b.* FROM b JOIN ({CHECKED_SQL}) USING (connector, source_key)),
+  stop AS (SELECT connector, ordinal AS stop_at FROM (SELECT *, row_number() OVER (PARTITION BY connector ORDER BY ordinal) AS turn
+    FROM {SEEDS_SQL} WHERE k % 4 <> 0) WHERE turn = 21)
+  SELECT s.connector, count(*) AS candidates_total, count(*) FILTER (WHERE k % 4 = 0 AND (stop_at IS NULL OR s.ordinal < stop_at)) AS already_active, count(d.bucket) AS checked,
+    count(*) FILTER (WHERE bucket = 'verified_relevant') AS verified_relevant, count(*) FILTER (WHERE bucket = 'verified_no_relevant_match') AS verified_no_relevant_match,
+    count(*) FILTER (WHERE bucket = 'not_found_or_unavailable') AS not_found_or_unavailable
+  FROM {SEEDS_SQL} s LEFT JOIN stop USING (connector) LEFT JOIN d ON d.source_key = s.source_key GROUP BY 1""")
+def board_report_capped(spark, sf):
+    """The cap as a feature: 20 boards per connector."""
+    return registry.board_report(seeds(spark, sf), active(spark, sf), board_results(spark, sf, 20), 20)
 
 
 @query("promote_sources", f"""WITH {BOARDS_SQL} SELECT connector, source_key, 0 AS promoted, ordinal FROM {ACTIVE_SQL}
@@ -714,40 +724,184 @@ def read_sources(spark, sf):
     return parse_sources(rows, "s_suppkey")
 
 
-# --- whole runs: checked by tests against a hand-worked case -------------------------
+# --- whole runs ------------------------------------------------------------------------
+# Every part is landed for one of three candidates. Sources that page answer with
+# full pages and a short last one, some requests fail, every sixth detail is
+# missing, and the second day repeats most of the first and adds some.
+
+RUN_ROWS = [
+    *[c for c in LANDED if c[0] not in ("candidate_id", "page_no", "source_key", "source_no")],
+    ("candidate_id", "concat('C', p_size % 3 + 1)"), ("source_key", "concat('S', p_size % 4)"), ("source_no", "CAST(p_size % 4 AS INT)"),
+]
+RUN_PAYLOAD = PAYLOAD | {
+    "greenhouse": "to_json(named_struct('id', id, 'title', title, 'location', named_struct('name', place), 'absolute_url', concat('https://g.example.com/', p_partkey)))",
+    "lever": "to_json(named_struct('id', id, 'text', title, 'categories', named_struct('location', place), 'hostedUrl', concat('https://l.example.com/', p_partkey)))",
+    "ashby": "to_json(named_struct('id', id, 'title', title, 'location', place, 'isListed', listed, 'jobUrl', concat('https://a.example.com/', p_partkey)))",
+}
+RUN_DAYS = ["p_partkey % 10 <> 7", "p_partkey % 10 <> 2"]
+RUN_DATES = [RUN_DATE, date(2026, 2, 2)]
+RUN_PAGE = "CASE connector WHEN 'smartrecruiters' THEN 100 WHEN 'workday' THEN 20 ELSE 500 END"
+PAGE_FAILED = "(source_no + page_no + 1) % 5 = 4"
+NO_DETAIL = "p_partkey % 6 = 0"
+
+
+def landed_run(spark: SparkSession, sf: str, day: int) -> DataFrame:
+    rows = views.spark_view(spark, sf, "part", RUN_ROWS).filter(RUN_DAYS[day])
+    at = F.row_number().over(Window.partitionBy("candidate_id", "connector", "source_key").orderBy("p_partkey")) - 1
+    rows = rows.withColumn("at", at).withColumn("page_no", F.expr(f"CAST(floor(at / {RUN_PAGE}) AS INT)"))
+    return page_responses(rows, RUN_PAYLOAD).withColumn("body", F.when(~F.expr(PAGE_FAILED), F.col("body")))
+
+
+def run_details(spark, sf):
+    return views.spark_view(spark, sf, "part", RUN_ROWS).filter(f"connector = 'workday' AND id IS NOT NULL AND NOT ({NO_DETAIL})").selectExpr(
+        "source_key", "id AS path", "to_json(named_struct('jobPostingInfo', named_struct('title', title, 'location', place, 'jobReqId', id, "
+        "'externalUrl', concat('https://w.example.com/', p_partkey)))) AS payload")
+
 
-def _details(spark, sf):
-    return views.spark_view(spark, sf, "part", LANDED).filter("connector = 'workday' AND id IS NOT NULL").selectExpr(
-        "source_key", "id AS path", "to_json(named_struct('jobPostingInfo', named_struct('title', title, 'location', place, 'jobReqId', id))) AS payload")
+def run_candidates(spark, sf):
+    return views.candidates(spark, sf).filter("candidate_id IN ('C1', 'C2', 'C3')").withColumns({
+        "target_titles": text_array(PHRASES), "secondary_titles": text_array([]), "preferred_locations": text_array(["Pune"])})
 
 
-@query("run_discovery")
+def run_of(spark, sf, day: int, existing: DataFrame | None = None) -> discovery.Discovery:
+    stored = spark.createDataFrame([], schemas.DISCOVERED) if existing is None else existing
+    return discovery.run_discovery(
+        landed_run(spark, sf, day), run_details(spark, sf), stored, run_candidates(spark, sf), RUN_DATES[day], day)
+
+
+EXPANDED = list(dict.fromkeys([*PHRASES, *[v for _, variants in rules.TITLE_VARIANTS for v in variants]]))
+RUN_CANDIDATES_SQL = (
+    f"(SELECT * REPLACE ([{o.quoted_in(PHRASES)}] AS target_titles, []::VARCHAR[] AS secondary_titles, ['Pune'] AS preferred_locations) "
+    f"FROM {views.CANDIDATES_SQL} WHERE candidate_id IN ('C1', 'C2', 'C3'))")
+RUN_OUTCOME = (
+    f"CASE WHEN {BAD_SQL} THEN 'malformed' WHEN connector = 'ashby' AND NOT listed THEN 'rejected' "
+    f"WHEN ({_relevant_sql(EXPANDED)}) AND {PLACE_OK} THEN 'parsed' ELSE 'rejected' END")
+
+
+def run_sql(day: int) -> str:
+    """rows, requests, postings and lost hits of one day, named by it."""
+    d = str(day)
+    source = "candidate_id, connector, source_key, source_no"
+    return f"""n{d} AS (SELECT *, row_number() OVER (PARTITION BY {source} ORDER BY p_partkey) - 1 AS spot, {RUN_PAGE} AS size
+    FROM {views.ansi_view('part', RUN_ROWS)} WHERE {RUN_DAYS[day]}),
+pg{d} AS (SELECT *, (spot // size)::INT AS page_no, (spot % size)::INT AS pos, CASE connector WHEN 'lever' THEN 1 WHEN 'greenhouse' THEN 2 WHEN 'ashby' THEN 3
+    WHEN 'smartrecruiters' THEN 4 ELSE 5 END AS rank FROM n{d}),
+rq{d} AS (SELECT {source}, page_no, count(*) AS n, any_value(size) AS size, {PAGE_FAILED} AS failed FROM pg{d} GROUP BY {source}, page_no),
+en{d} AS (SELECT {source}, min(page_no) AS last_page FROM rq{d} WHERE connector IN ('smartrecruiters', 'workday') AND (n < size OR failed) GROUP BY {source}),
+ad{d} AS (SELECT rq{d}.* FROM rq{d} LEFT JOIN en{d} USING ({source}) WHERE page_no <= coalesce(last_page, page_no)),
+se{d} AS (SELECT pg{d}.*, {RUN_OUTCOME} AS outcome FROM pg{d} JOIN ad{d} USING ({source}, page_no) WHERE NOT failed),
+po{d} AS (SELECT *, lower(source_key) || '|' || lower(title) || '|' || trim(lower(coalesce(place, ''))) AS class FROM se{d}
+  WHERE outcome = 'parsed' AND NOT (connector = 'workday' AND {NO_DETAIL})),
+ki{d} AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, class ORDER BY rank, source_no, source_key, page_no, pos) AS turn FROM po{d})"""
+
+
+def run_postings_sql(rows: str) -> str:
+    """Postings as normalised from the landed payloads."""
+    slug = {c: id_sql(f"'{c}'", "source_key", "title", "id") for c in rules.CONNECTOR_ORDER}
+    return f"""(SELECT candidate_id, p_partkey AS ordinal, CASE connector {' '.join(f"WHEN '{c}' THEN {s}" for c, s in slug.items())} END AS id, source_key AS company, title,
+    coalesce(place, '') AS location, CASE WHEN connector <> 'workday' THEN {mode_sql("coalesce(place, '')")} END AS work_mode, NULL::VARCHAR AS industry, NULL::VARCHAR AS company_size,
+    NULL::DOUBLE AS salary_min, NULL::DOUBLE AS salary_max, NULL::DOUBLE AS min_experience_years, NULL::DOUBLE AS max_experience_years, []::VARCHAR[] AS required_skills,
+    []::VARCHAR[] AS preferred_skills, '' AS description, 'https://x.example.com' AS application_url, connector || ':' || CASE WHEN connector = 'workday' THEN lower(source_key) ELSE source_key END AS source
+  FROM {rows})"""
+
+
+FIRST_KEPT = "(SELECT * FROM ki0 WHERE turn = 1)"
+FIRST_MATCHES = o.MATCHES.replace(views.POSTINGS_SQL, f"(SELECT * EXCLUDE (candidate_id) FROM {run_postings_sql(FIRST_KEPT)})").replace(
+    views.PAIRS_SQL, f"(SELECT id AS job_id, candidate_id FROM {run_postings_sql(FIRST_KEPT)})").replace(
+    views.CANDIDATES_SQL, RUN_CANDIDATES_SQL)
+
+
+@query("run_discovery", f"""WITH {run_sql(0)}, {FIRST_MATCHES} SELECT x7.candidate_id, source, job_id AS id, title, score, application_decision, {RUN_DATE_SQL} AS first_seen_at FROM x7""")
 def run_discovery(spark, sf):
     """Landed responses of three candidates to new, scored postings."""
-    empty = spark.createDataFrame([], schemas.DISCOVERED)
-    result = discovery.run_discovery(
-        responses(spark, sf), _details(spark, sf), empty, views.candidates(spark, sf), RUN_DATE, 0)
-    return result.new.select("candidate_id", "source", "id", "title", "score", "application_decision", "first_seen_at")
+    return run_of(spark, sf, 0).new.select("candidate_id", "source", "id", "title", "score", "application_decision", "first_seen_at")
+
+
+@query("source_stats", f"""WITH {run_sql(0)}, s AS (SELECT candidate_id, connector, source_key, count(*) AS attempted, sum(CASE WHEN failed THEN 0 ELSE n END) AS found,
+    count(*) FILTER (WHERE failed) AS failures FROM ad0 GROUP BY ALL),
+  c AS (SELECT candidate_id, connector, source_key, count(*) FILTER (WHERE outcome = 'malformed') AS malformed, count(*) FILTER (WHERE outcome = 'rejected') AS rejected,
+    count(*) FILTER (WHERE outcome = 'parsed' AND connector = 'workday' AND {NO_DETAIL}) AS lost FROM se0 GROUP BY ALL),
+  k AS (SELECT candidate_id, connector, source_key, count(*) AS parsed, count(*) FILTER (WHERE turn > 1) AS duplicates, count(*) FILTER (WHERE turn = 1) AS new_unique FROM ki0 GROUP BY ALL)
+  SELECT s.candidate_id, concat(s.connector, ':', CASE WHEN s.connector = 'workday' THEN lower(s.source_key) ELSE s.source_key END) AS source, attempted, CAST(found AS BIGINT) AS found,
+    coalesce(parsed, 0) AS parsed, coalesce(malformed, 0) AS malformed, coalesce(rejected, 0) AS rejected, coalesce(duplicates, 0) AS duplicates, coalesce(new_unique, 0) AS new_unique,
+    failures + coalesce(lost, 0) AS errors, CASE WHEN failures > 0 THEN 'unavailable' ELSE 'ok' END AS status
+  FROM s LEFT JOIN c USING (candidate_id, connector, source_key) LEFT JOIN k USING (candidate_id, connector, source_key)""")
+def source_stats(spark, sf):
+    """Figures from landed responses: failed bodies, short pages and missing details."""
+    return run_of(spark, sf, 0).stats
+
 
+SECOND_RUN = f"""{run_sql(0)}, {run_sql(1)}, st AS (SELECT * FROM ki0 WHERE turn = 1),
+nw AS (SELECT * FROM ki1 WHERE turn = 1 AND (candidate_id, class) NOT IN (SELECT (candidate_id, class) FROM st)),
+hit AS (SELECT DISTINCT candidate_id, class FROM po1)"""
+SECOND_SQL = f"""SELECT candidate_id, p_partkey, {RUN_DATE_SQL} AS first_seen_at, CASE WHEN hit.class IS NULL THEN {RUN_DATE_SQL} ELSE DATE '2026-02-02' END AS last_seen_at
+  FROM st LEFT JOIN hit USING (candidate_id, class) UNION ALL SELECT candidate_id, p_partkey, DATE '2026-02-02', DATE '2026-02-02' FROM nw"""
 
-@query("incremental_discovery", "SELECT 0::BIGINT AS added, 0::BIGINT AS lost, 0::BIGINT AS rescored, 0::BIGINT AS unseen")
+
+def second_run(spark, sf) -> discovery.Discovery:
+    return run_of(spark, sf, 1, run_of(spark, sf, 0).postings)
+
+
+@query("run_totals", f"""WITH {SECOND_RUN}, f AS (SELECT candidate_id, count(*) AS fetched FROM po1 GROUP BY 1), n AS (SELECT candidate_id, count(*) AS new FROM nw GROUP BY 1),
+  r AS (SELECT candidate_id, count(*) AS rediscovered FROM st JOIN hit USING (candidate_id, class) GROUP BY 1), c AS (SELECT DISTINCT candidate_id FROM (SELECT candidate_id FROM st UNION SELECT candidate_id FROM po1))
+  SELECT candidate_id, coalesce(fetched, 0) AS fetched, coalesce(fetched, 0) - coalesce(new, 0) AS duplicates, coalesce(rediscovered, 0) AS rediscovered, coalesce(new, 0) AS new
+  FROM c LEFT JOIN f USING (candidate_id) LEFT JOIN n USING (candidate_id) LEFT JOIN r USING (candidate_id)""")
+def run_totals(spark, sf):
+    return second_run(spark, sf).totals.drop("shortlisted")
+
+
+@query("second_run", f"WITH {SECOND_RUN} {SECOND_SQL}")
+def second_run_postings(spark, sf):
+    """The history after a run that repeats most of the first and adds some."""
+    return second_run(spark, sf).postings.select(
+        "candidate_id", F.regexp_extract("source_job_id", "[0-9]+", 0).cast("long").alias("p_partkey"), "first_seen_at", "last_seen_at")
+
+
+@query("incremental_discovery", f"WITH {SECOND_RUN} {SECOND_SQL}")
 def incremental_discovery(spark, sf):
-    """The same responses landed again on a stored table that holds them all.
-
-    Nothing is added, lost or scored anew, and every stored posting was seen.
-    """
-    landed, details, people = responses(spark, sf), _details(spark, sf), views.candidates(spark, sf)
-    _, _, normalized = discovery.collect_run(landed, details, people, date(2026, 1, 1), 0, discovery.Limits())
-    normalized = cut_lineage(normalized)
-    kept = dedup.dedupe_in_batch(key_rows(normalized, discovery.SCOPE))
-    stored = cut_lineage(spark.createDataFrame([], schemas.DISCOVERED).unionByName(
-        normalized.join(kept, "ordinal", "left_semi"), allowMissingColumns=True))
-    again = discovery.run_discovery(landed, details, stored, people, RUN_DATE, 1)
-    later = again.postings.select("ordinal", "score", "last_seen_at", F.lit(True).alias("found"))
-    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    moved = stored.select("ordinal").join(later, "ordinal", "left").select(
-        F.lit(0).alias("added"), one(F.col("found").isNull()).alias("lost"), one(F.col("score").isNotNull()).alias("rescored"),
-        one(F.col("last_seen_at") != F.lit(RUN_DATE)).alias("unseen"))
-    zero = [F.lit(0).alias(c) for c in ("lost", "rescored", "unseen")]
-    rows = again.new.select(F.lit(1).alias("added"), *zero).unionByName(moved)
-    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("added", "lost", "rescored", "unseen")])
+    """Both days as a stream over landing files: a batch each, appended to the stored tables."""
+    base = scratch_folder(spark, "stream")
+    people, details = run_candidates(spark, sf), run_details(spark, sf)
+    for day in (0, 1):
+        landed_run(spark, sf, day).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+        incremental.incremental_discovery(
+            incremental.response_stream(spark, f"{base}/landed"), lambda: details, lambda: people, f"{base}/history", f"{base}/stats",
+            f"{base}/notes", f"{base}/progress", lambda day=day: RUN_DATES[day]).awaitTermination()
+    return landing.read_history(spark, f"{base}/history").select(
+        "candidate_id", F.regexp_extract("source_job_id", "[0-9]+", 0).cast("long").alias("p_partkey"), "first_seen_at", "last_seen_at")
+
+
+# --- sinks: written and read back --------------------------------------------------------
+
+@query("write_postings", f"WITH {run_sql(0)} SELECT candidate_id, p_partkey FROM ki0 WHERE turn = 1")
+def write_postings(spark, sf):
+    base, result = scratch_folder(spark, "postings"), run_of(spark, sf, 0)
+    for _ in range(2):  # a repeated write of a run leaves one set
+        sinks.append_run(result.new, result.keys, result.sightings, base, 0)
+    return landing.read_history(spark, base).select(
+        "candidate_id", F.regexp_extract("source_job_id", "[0-9]+", 0).cast("long").alias("p_partkey"))
+
+
+@query("write_sources", f"""WITH {BOARDS_SQL} SELECT connector, source_key, 0 AS promoted, ordinal FROM {ACTIVE_SQL}
+  UNION ALL SELECT connector, source_key, 1, ordinal FROM b WHERE bucket = 'verified_relevant'""")
+def write_sources(spark, sf):
+    """The board check as one operator, its registry written and the newest version read."""
+    base = scratch_folder(spark, "sources")
+    probes, titles = board_inputs(spark, sf)
+    sinks.write_sources(active(spark, sf).withColumn("promoted", F.lit(9)), base, 1)
+    _, _, promoted = registry.check_boards(seeds(spark, sf), active(spark, sf), probes, titles, phrase_token_sets(text_array(PHRASES)))
+    sinks.write_sources(promoted, base, 2)
+    return landing.read_latest(spark, base, promoted.schema)
+
+
+@query("write_shortlist", f"SELECT candidate_id, id, application_decision FROM {BROWSE_SQL} WHERE application_decision IN ('AUTO_APPLY', 'REVIEW')")
+def write_shortlist(spark, sf):
+    base = scratch_folder(spark, "notes")
+    lists = {c: text_array([]) for c in ("relevant_evidence", "transferable_evidence", "missing_requirements", "experience_gaps", "risks")}
+    parts = F.struct(*[F.lit(0).alias(p) for p in rules.WEIGHTS]).alias("score_breakdown")
+    rows = browse_rows(spark, sf).withColumns(lists | {
+        "career_level": F.lit("JUNIOR"), "experience_gap_years": F.lit(0.0), "score_breakdown": parts,
+        "status": F.when(F.col("application_decision").isin(rules.ACTIONABLE_DECISIONS), "shortlisted").otherwise("discovered")})
+    for _ in range(2):
+        sinks.write_shortlist(rows, base)
+    return spark.read.parquet(base).select("candidate_id", "id", "application_decision")

@@ -59,7 +59,7 @@ def family_of_title(title: str, otherwise: str = "'UNKNOWN'") -> str:
 
 
 def family(title: str, description: str) -> str:
-    both = f"concat({norm(title)}, ' ', left({norm(description)}, 300))"
+    both = f"concat({norm(title)}, ' ', {norm(description)})"
     phrases = " ".join(f"WHEN {has(both, p)} THEN '{f}'" for f, p in rules.FAMILY_PHRASES)
     return family_of_title(title, f"CASE {phrases} ELSE 'UNKNOWN' END")
 

@@ -39,14 +39,14 @@ def ascii_words(x: str) -> str:
 
 @query("strip_html", f"SELECT page_id, {html_sql('html')} AS text FROM pages")
 def strip_html(spark, sf):
-    return views.spread(views.table(spark, sf, "pages")).select("page_id", text.strip_html("html").alias("text"))
+    return views.table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("text"))
 
 
 @query("page_text_stats", f"WITH t AS (SELECT page_id, {html_sql('html')} AS x FROM pages) SELECT page_id, "
        "length(x)::INT AS chars, len(string_split(x, chr(10)))::INT AS lines, len(regexp_extract_all(lower(x), '[a-z0-9]+'))::INT AS words FROM t")
 def page_text_stats(spark, sf):
     words = F.regexp_extract_all(F.lower("x"), F.lit("[a-z0-9]+"), F.lit(0))
-    return views.spread(views.table(spark, sf, "pages")).select("page_id", text.strip_html("html").alias("x")).select(
+    return views.table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("x")).select(
         "page_id", F.length("x").alias("chars"), F.size(F.split("x", "\n")).alias("lines"), F.size(words).alias("words"))
 
 
@@ -113,7 +113,7 @@ def work_mode(spark, sf):
     f"regexp_matches({ascii_words('lower(text)')}, '\\b({p})\\b') AS {n}" for n, p in (("has_the", "the"), ("has_les", "les|la"), ("has_der", "der|die"))) + " FROM documents")
 def contains_word(spark, sf):
     low = F.lower("text")
-    return views.spread(views.table(spark, sf, "documents")).select(
+    return views.table(spark, sf, "documents").select(
         "doc_id", text.contains_word(low, "the").alias("has_the"), text.contains_word(low, "les", "la").alias("has_les"),
         text.contains_word(low, "der", "die").alias("has_der"))
 
@@ -122,11 +122,11 @@ def slug_sql(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query("make_id", f"SELECT page_id, left(array_to_string(list_filter(['greenhouse', CASE WHEN url <> '' THEN {slug_sql('url')} END, "
-       f"CASE WHEN html <> '' THEN {slug_sql('left(html, 60)')} END, page_id::VARCHAR], lambda z: z IS NOT NULL), '-'), 150) AS id FROM pages")
+@query("make_id", f"SELECT page_id, array_to_string(list_filter(['greenhouse', CASE WHEN url <> '' THEN {slug_sql('url')} END, "
+       f"CASE WHEN html <> '' THEN {slug_sql('html')} END, page_id::VARCHAR], lambda z: z IS NOT NULL), '-') AS id FROM pages")
 def make_id(spark, sf):
-    return views.spread(views.table(spark, sf, "pages")).select("page_id", text.make_id(
-        F.lit("greenhouse"), "url", F.substring("html", 1, 60), F.col("page_id").cast("string")).alias("id"))
+    return views.table(spark, sf, "pages").select("page_id", text.make_id(
+        F.lit("greenhouse"), "url", "html", F.col("page_id").cast("string")).alias("id"))
 
 
 LINKS = [("page_id", "page_id"), ("url", "CASE page_id % 6 WHEN 0 THEN concat(url, '/') WHEN 1 THEN concat('  ', upper(url), '?utm_x=1#frag') "
@@ -149,13 +149,13 @@ def canonical_url(spark, sf):
 
 @query("url_duplicates", f"SELECT {url_sql('url')} AS canonical, count(*) AS pages, min(page_id) AS first_page FROM pages GROUP BY 1")
 def url_duplicates(spark, sf):
-    return views.spread(views.table(spark, sf, "pages")).groupBy(text.canonical_url("url").alias("canonical")).agg(
+    return views.table(spark, sf, "pages").groupBy(text.canonical_url("url").alias("canonical")).agg(
         F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"))
 
 
 @query("word_tokens", f"SELECT doc_id, {o.joined('list_sort(' + o.tokens('text') + ')', ' ')} AS words FROM documents")
 def word_tokens(spark, sf):
-    return views.spread(views.table(spark, sf, "documents")).select(
+    return views.table(spark, sf, "documents").select(
         "doc_id", F.array_join(F.array_sort(text.word_tokens("text")), " ").alias("words"))
 
 
@@ -169,14 +169,14 @@ def normalize_word(spark, sf):
 @query("significant_words", f"SELECT doc_id, len({o.significant('text')})::INT AS n, md5({o.joined(o.significant('text'), ' ')}) AS digest FROM documents")
 def significant_words(spark, sf):
     words = text.significant_words("text")
-    return views.spread(views.table(spark, sf, "documents")).select(
+    return views.table(spark, sf, "documents").select(
         "doc_id", F.size(words).alias("n"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
 @query("normalize", f"SELECT doc_id, md5({o.norm('concat(chr(10), chr(160), text, chr(9))')}) AS digest FROM documents")
 def normalize(spark, sf):
     padded = F.concat(F.lit("\n\xa0"), "text", F.lit("\t"))
-    return views.spread(views.table(spark, sf, "documents")).select("doc_id", F.md5(text.normalize(padded)).alias("digest"))
+    return views.table(spark, sf, "documents").select("doc_id", F.md5(text.normalize(padded)).alias("digest"))
 
 
 @query("phrase_coverage", f"""SELECT a.conv_id, a.turn, {o.coverage('a.text', 'lower(b.text)')} AS coverage
@@ -192,9 +192,9 @@ def phrase_coverage(spark, sf):
 PHRASES = ["Product Manager", "Business Analyst", "Program Coordinator", "Technical Program Manager"]
 
 
-def _relevant_sql() -> str:
+def _relevant_sql(phrases: list[str] = PHRASES) -> str:
     words = o.word_forms(o.tokens("title"), rules.COLLECT_WORD_FORMS)
-    tests = [f"list_has_all({words}, {o.word_forms(o.tokens(o.quoted_in([p])), rules.COLLECT_WORD_FORMS)})" for p in PHRASES]
+    tests = [f"list_has_all({words}, {o.word_forms(o.tokens(o.quoted_in([p])), rules.COLLECT_WORD_FORMS)})" for p in phrases]
     return " OR ".join(tests)
 
 
@@ -218,7 +218,7 @@ def location_is_relevant(spark, sf):
     "'\\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda l: rtrim(l, " + o.WS + ")), chr(10))") + " AS text FROM documents")
 def normalize_whitespace(spark, sf):
     padded = F.concat("text", F.lit("\n\n\n  "), "source", F.lit("  "))
-    return views.spread(views.table(spark, sf, "documents")).select("doc_id", quality.normalize_whitespace(padded).alias("text"))
+    return views.table(spark, sf, "documents").select("doc_id", quality.normalize_whitespace(padded).alias("text"))
 
 
 # --- texts with claims ----------------------------------------------------------
@@ -284,7 +284,7 @@ def whitespace_issues_turns(spark, sf):
   SELECT doc_id, array_to_string(list_transform(found, lambda s: concat(s[1], '-', s[2])), ',') AS spans FROM s""")
 def match_spans(spark, sf):
     shown = F.transform(spans.match_spans("text", "[0-9]+"), lambda s: F.concat_ws("-", s["start"], s["end"]))
-    return views.spread(views.table(spark, sf, "documents")).select("doc_id", F.array_join(shown, ",").alias("spans"))
+    return views.table(spark, sf, "documents").select("doc_id", F.array_join(shown, ",").alias("spans"))
 
 
 def _gap_list(x: str) -> str:
@@ -426,13 +426,13 @@ def verified_employers(spark, sf):
 
 @query("employers_distinct", "SELECT doc_id % 50 AS grp, lower(source) AS name, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2")
 def employers_distinct(spark, sf):
-    return views.spread(views.table(spark, sf, "documents")).groupBy((F.col("doc_id") % 50).alias("grp"), F.lower("source").alias("name")).agg(
+    return views.table(spark, sf, "documents").groupBy((F.col("doc_id") % 50).alias("grp"), F.lower("source").alias("name")).agg(
         F.min("doc_id").alias("first_doc"))
 
 
 @query("role_family_of_texts", f"SELECT doc_id, {o.family('source', 'text')} AS family FROM documents")
 def role_family_of_texts(spark, sf):
-    return views.spread(views.table(spark, sf, "documents")).select("doc_id", roles.role_family("source", "text").alias("family"))
+    return views.table(spark, sf, "documents").select("doc_id", roles.role_family("source", "text").alias("family"))
 
 
 LISTS = [("p_partkey", "p_partkey"), ("lines", "concat('- ', p_name, chr(10), chr(10), ' • ', p_type, ' -', chr(10), '3+ Years of work', chr(9))")]
@@ -462,4 +462,4 @@ def lever_list_text(spark, sf):
     from rolesift.operators.normalize import lever_list_text as first_list
     lists = F.expr("array(named_struct('text', 'Perks', 'content', text), named_struct('text', CASE WHEN doc_id % 3 = 0 THEN 'Key Skills' END, 'content', "
                    "concat('<li>SQL</li><li>', source, '</li>')), named_struct('text', CASE WHEN doc_id % 3 < 2 THEN 'SKILLSET' ELSE 'Place' END, 'content', lang))")
-    return views.spread(views.table(spark, sf, "documents")).select("doc_id", first_list(lists, rules.LEVER_SKILL_LABELS).alias("needs"))
+    return views.table(spark, sf, "documents").select("doc_id", first_list(lists, rules.LEVER_SKILL_LABELS).alias("needs"))

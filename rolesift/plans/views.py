@@ -149,7 +149,7 @@ CANDIDATES = [
 CLAIMS = [
     " I have 7 years of professional experience at Acme Corp and cut costs by 45%.",
     " I only have 1.5 years experience; that is below the bar, fewer years than asked.",
-    " Worked for Tibi Labs LLP, see https://x.example.com/a,b:c or mail me@example.org now.",
+    " Worked for Orwell Data LLP, see https://x.example.com/a,b:c or mail me@example.org now.",
     " Used e.g.Tableau and Excel.Then wrote reports,charts for  3 teams in 2024.",
     " A stretch role that does not meet the required 12+ years; I lack the necessary experience.",
     " Ready at Google.",
@@ -159,7 +159,7 @@ DRAFTS = [
     ("draft", f"concat(text, {pick(CLAIMS, 'doc_id % 6')})"),
     ("years", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(doc_id % 5 AS DOUBLE) / 2 END"),
     ("company", pick(["Acme Corp", "Gamma", None], "doc_id % 3")),
-    ("employers", "CASE WHEN doc_id % 4 = 0 THEN NONE_LIST ELSE ARR('Tibi Labs', 'Beta') END"),
+    ("employers", "CASE WHEN doc_id % 4 = 0 THEN NONE_LIST ELSE ARR('Orwell Data', 'Beta') END"),
     ("blob", "concat(lower(source), ' 45 3 2024 reports')"),
 ]
 TURNS = [
@@ -172,19 +172,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a file too small to be read by all cores, dealt out to them.
-
-    Text rules cost far more than reading. A table of at least as many files as
-    cores is left alone, so nothing is shuffled at scale.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
-
-
 def spark_view(spark: SparkSession, sf: str, name: str, columns: list[tuple[str, str]]) -> DataFrame:
     exprs = [f"{_words(e, SPARK_WORDS)} AS `{n}`" for n, e in columns]
-    return spread(table(spark, sf, name)).selectExpr(*exprs)
+    return table(spark, sf, name).selectExpr(*exprs)
 
 
 def ansi_view(table: str, columns: list[tuple[str, str]]) -> str:

@@ -33,10 +33,6 @@ REVIEW_MAX_GAP = 2.0
 LEGITIMATE_MIN_DESCRIPTION = 50
 
 # --- Fixed values: role families ----------------------------------------------
-ROLE_FAMILIES = [
-    "PRODUCT", "BUSINESS_ANALYSIS", "PROJECT_PROGRAM", "OTHER_TECH", "SALES",
-    "LEGAL", "MARKETING", "HR", "UNKNOWN",
-]
 # First class whose phrase occurs wins; the order is part of the rule.
 FAMILY_PHRASES = [
     ("LEGAL", ["counsel", "attorney", "paralegal"]),
@@ -49,7 +45,6 @@ FAMILY_PHRASES = [
         "machine learning engineer",
     ]),
 ]
-FAMILY_DESCRIPTION_CHARS = 300
 # (primary, secondary) capabilities per family.
 FAMILY_NEEDS = {
     "PRODUCT": (["product_management", "analytics"],
@@ -124,14 +119,9 @@ TITLE_VARIANTS = [
 REMOTE_PSEUDO_LOCATIONS = ["Remote", "Remote India", "Work From Home India", "Hybrid India"]
 REMOTE_LOCATION_WORDS = ["remote", "work from home", "wfh"]
 
-# --- Fixed values: collection limits ------------------------------------------
+# --- Fixed values: connectors and pages -----------------------------------------
 CONNECTOR_ORDER = ["lever", "greenhouse", "ashby", "smartrecruiters", "workday"]
-MAX_PAGES_PER_SOURCE = 5
-MAX_JOBS_PER_SOURCE = 200
-MAX_BOARDS_PER_CONNECTOR = 60
 PAGE_SIZE = {"smartrecruiters": 100, "workday": 20}
-DESCRIPTION_CHARS = 4000
-ID_CHARS = 150
 BOARD_CONNECTORS = ["greenhouse", "lever", "ashby"]
 
 # --- Fixed values: extraction patterns ----------------------------------------
@@ -175,7 +165,6 @@ GAP_PATTERNS = [
 URL_OR_EMAIL = r"(?U)(https?://\S+|www\.\S+|\b[\w.+-]+@[\w-]+\.[\w.-]+\b)"
 REPEATED_WHITESPACE = r"[ \t]{2,}|\n{3,}"
 MISSING_SPACE_PUNCTUATION = r"[A-Za-z][,:;!?][A-Za-z]"
-MISSING_SPACE_PERIOD = r"[A-Za-z]+\.([A-Z][a-z])"
 FUSED_WORD = r"(?U)\b[a-z]{22,}\b"
 ABBREVIATIONS = [
     "e.g", "i.e", "etc", "vs", "mr", "mrs", "ms", "dr", "inc", "ltd", "llp", "llc", "corp",
@@ -196,10 +185,10 @@ RESUME_FIELDS = [
 ]
 COVER_LETTER_FIELDS = ["cover_letter_needed", "reason", "body"]
 VERSIONS = {
-    "analysis": "job_analysis_v1",
-    "resume": "resume_tailoring_v1",
-    "cover_letter": "cover_letter_v1",
-    "answer": "application_answers_v1",
+    "analysis": "fit-analysis/1",
+    "resume": "resume/1",
+    "cover_letter": "cover-letter/1",
+    "answer": "answer/1",
 }
 CONFIDENCE_LEVELS = ["HIGH", "MEDIUM", "LOW", "NEEDS_USER_INPUT"]
 STANDARD_QUESTIONS = [

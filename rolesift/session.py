@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,25 +35,24 @@ def build_session(app_name: str = "rolesift", master: str | None = None, **setti
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder for reliable checkpoints, as the cluster names it.
+    """The shared folder for checkpoints and tables between steps, as the cluster names it.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local master with
-    the setting absent gets a folder of its own; on a cluster a machine-local
-    folder would be lost with its executor, so a missing setting is an error.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a
+    folder beside the tables of the warehouse is used, which executors share
+    too; a machine-local folder would be lost with its executor.
     """
     context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="rolesift-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING) or context.getCheckpointDir()
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -57,6 +57,11 @@ def explode_responses(pages: DataFrame) -> DataFrame:
     return pages.select(*LANDING_KEYS, F.posexplode("entries").alias("pos", "payload"))
 
 
+def entries_of(pages: DataFrame) -> DataFrame:
+    """One row per entry with the figures of its page; a page without entries keeps one row without place."""
+    return pages.select(*LANDING_KEYS, "n_rows", "failed", F.posexplode_outer("entries").alias("pos", "payload"))
+
+
 def read_raw_postings(spark: SparkSession, path: str) -> DataFrame:
     return explode_responses(response_pages(read_responses(spark, path)))
 
@@ -177,6 +182,33 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType, before: in
     return versions.filter(F.col("version") == F.lit(newest)).drop("version")
 
 
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """Rows of all runs of an appended table, or of the runs before ``before``."""
+    numbered = T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])
+    try:
+        rows = spark.read.schema(numbered).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    if before is not None:
+        rows = rows.filter(F.col("version") < before)
+    return rows.drop("version")
+
+
+def read_history(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Stored postings as they stand: appended postings with their latest sighting."""
+    postings = read_runs(spark, f"{path}/postings", schemas.DISCOVERED, before)
+    seen = read_runs(spark, f"{path}/sightings", schemas.SIGHTINGS, before).groupBy("ordinal").agg(F.max("seen_at").alias("seen_at"))
+    return postings.join(seen, "ordinal", "left").withColumn(
+        "last_seen_at", F.greatest("last_seen_at", "seen_at")).select(*postings.columns)
+
+
+def read_keys(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Identity keys stored beside the postings."""
+    return read_runs(spark, f"{path}/keys", schemas.KEYS, before)
+
+
 def latest_artifacts(records: DataFrame, keys: list[str], written: str = "written_at") -> DataFrame:
     """Newest record per key of an append-only artifact table."""
     record = F.struct(*[c for c in records.columns if c not in keys])

@@ -26,6 +26,16 @@ def write_postings(postings: DataFrame, path: str, version: int, dry_run: bool =
 write_sources = write_version
 
 
+def append_run(new: DataFrame, keys: DataFrame, sightings: DataFrame, path: str, run_no: int) -> None:
+    """What a run adds to the stored history, in a folder of its own per table.
+
+    Writes grow with the run, not with the history. A run that is repeated after
+    a failure replaces its own folders only.
+    """
+    for name, rows in (("postings", new), ("keys", keys), ("sightings", sightings)):
+        write_version(rows, f"{path}/{name}", run_no)
+
+
 def write_shortlist(postings: DataFrame, path: str) -> None:
     """One note per shortlisted posting, in folders per decision.
 

@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rolesift import schemas
 from rolesift.operators.discovery import Limits, run_discovery
-from rolesift.sources.landing import LANDING_KEYS, read_latest
-from rolesift.sources.sinks import write_postings, write_shortlist, write_version
+from rolesift.sources.landing import LANDING_KEYS, read_history, read_keys
+from rolesift.sources.sinks import append_run, write_shortlist, write_version
 
 
 def response_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -25,15 +25,17 @@ def incremental_discovery(
 ) -> StreamingQuery:
     """Every micro-batch is one discovery run against the stored postings.
 
-    History must stay complete, so no watermark is used. A batch writes the
-    version named by its batch id; a batch replayed after a failure reads the
-    version before its own and overwrites its own, hence has no second effect.
+    History must stay complete, so no watermark is used. A batch appends its new
+    postings, their keys and its sightings in folders named by its batch id; a
+    batch replayed after a failure reads the runs before its own and replaces
+    its own, hence has no second effect.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = read_latest(spark, postings_path, schemas.DISCOVERED, before=batch_id)
-        result = run_discovery(batch, details(), stored, candidates(), run_date(), batch_id, limits)
-        write_postings(result.postings, postings_path, batch_id)
+        stored = read_history(spark, postings_path, before=batch_id)
+        result = run_discovery(
+            batch, details(), stored, candidates(), run_date(), batch_id, limits, read_keys(spark, postings_path, before=batch_id))
+        append_run(result.new, result.keys, result.sightings, postings_path, batch_id)
         write_version(result.stats, stats_path, batch_id)
         write_shortlist(result.new, f"{shortlist_path}/version={batch_id:010d}")
 

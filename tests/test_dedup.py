@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rolesift.operators import dedup, skew
+from rolesift.operators import dedup, joins
 from rolesift.operators.identity import key_rows
 
 SCHEMA = ("ordinal long, source string, source_job_id string, application_url string, company string, "
@@ -50,12 +50,12 @@ def random_rows(rng, first, n):
         rng.choice([[], ["s"], ["s", "r"], ["r", "s"]])) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed,hot_rows", [(1, 10**6), (2, 3), (3, 1), (4, 10**6)])
-def test_resolve_equals_sequential_rule(spark, seed, hot_rows):
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_resolve_equals_sequential_rule(spark, seed):
     rng = random.Random(seed)
     stored, incoming = random_rows(rng, 0, 5), random_rows(rng, 100, 120)
     got = dedup.resolve(
-        spark.createDataFrame(incoming, SCHEMA), spark.createDataFrame(stored, SCHEMA), hot_rows=hot_rows).collect()
+        spark.createDataFrame(incoming, SCHEMA), spark.createDataFrame(stored, SCHEMA)).collect()
     assert len(got) == len(incoming)
     duplicates = {r["ordinal"]: (r["matched_tier"], r["matched_existing"], r["matched_incoming"])
                   for r in got if r["is_duplicate"]}
@@ -71,7 +71,7 @@ def test_chain_keeps_every_second_row(spark):
 
 def test_one_key_with_most_rows(spark):
     rows = [(i, "hot") for i in range(500)] + [(i, f"own{i}") for i in range(700)]
-    kept = dedup.dedupe_in_batch(spark.createDataFrame(rows, "ordinal long, key string"), hot_rows=10)
+    kept = dedup.dedupe_in_batch(spark.createDataFrame(rows, "ordinal long, key string"))
     assert sorted(r[0] for r in kept.collect()) == [0, *range(500, 700)]
 
 
@@ -80,15 +80,23 @@ def test_nothing_to_do(spark):
     assert dedup.resolve(empty, empty).count() == 0
 
 
-def test_join_unique_splits_hot_keys(spark):
+def test_salted_join_cuts_a_key(spark):
     facts = spark.range(1000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     dims = facts.select("k").distinct().withColumn("name", F.concat(F.lit("n"), F.col("k")))
-    hot = skew.hot_keys(facts, ["k"], 50)
-    assert [tuple(r) for r in hot.collect()] == [(0, 7)]
-    joined = skew.join_unique(facts, dims, hot, ["k"], F.col("row"))
+    joined = joins.salted_join(facts, dims, ["k"], F.col("row"))
     assert joined.count() == 1000
     assert joined.filter(F.col("name") != F.concat(F.lit("n"), F.col("k"))).count() == 0
-    assert skew.hot_keys(facts, ["k"], 5000) is None
+    salts = facts.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(joins.SALTS))).filter("k = 0").groupBy("s").count()
+    assert salts.agg(F.max("count")).first()[0] < 60
+
+
+def test_look_up_beyond_the_broadcast_bound(spark, monkeypatch):
+    facts = spark.range(100).select(F.col("id").alias("row"), (F.col("id") % 3).alias("k"))
+    dims = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
+    rows = lambda: sorted(tuple(r) for r in joins.look_up(facts, dims, ["k"], F.col("row")).collect())
+    small = rows()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    assert rows() == small and len(small) == 67
 
 
 def test_scope_separates_candidates(spark):

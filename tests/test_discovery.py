@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolesift import schemas
-from rolesift.operators.discovery import Limits, run_discovery
+from rolesift.operators import collect
+from rolesift.operators.discovery import Limits, collect_run, run_discovery
 from rolesift.sources import landing, sinks
 from rolesift.streaming.incremental import incremental_discovery, response_stream
 from tests.test_scoring import CANDIDATE
@@ -89,8 +90,9 @@ def test_first_run_figures(first):
     assert pick("ashby:gamma") == (1, 2, 1, 0, 1, 0, 1, 0, "ok")
     # The first page is short, so the second would never have been requested.
     assert pick("smartrecruiters:delta") == (1, 1, 1, 0, 0, 0, 1, 0, "ok")
-    # /a is taken once, /c has no detail, misses count each time.
-    assert pick("workday:omega") == (3, 25, 1, 1, 20, 0, 1, 0, "ok")
+    # /a is taken once, misses count each time, the missing detail of /c is an error.
+    assert pick("workday:omega") == (3, 25, 1, 1, 20, 0, 1, 1, "ok")
+    assert [(r["source_key"], r["f_id"]) for r in first.lost.collect()] == [("Omega", "/c")]
     assert first.totals.first().asDict() == {
         "candidate_id": "c1", "fetched": 6, "duplicates": 2, "rediscovered": 0, "new": 4,
         "shortlisted": first.new.filter("status = 'shortlisted'").count()}
@@ -114,6 +116,47 @@ def test_job_cap(inputs):
     stats = {r["source"]: r for r in capped.stats.collect()}
     # Rows behind the first kept one of a source are not counted at all.
     assert (stats["greenhouse:acme"]["parsed"], stats["greenhouse:acme"]["rejected"], stats["greenhouse:acme"]["found"]) == (1, 0, 6)
+    # The path behind the first detail is not asked for, so it is no error.
+    assert (stats["workday:omega"]["parsed"], stats["workday:omega"]["errors"]) == (1, 0)
+
+
+def numbered_pages(connector, n_pages, size):
+    body = lambda p: json.dumps({"content": [{"id": f"{p}-{i}", "name": "Program Manager"} for i in range(size)]} if connector == "smartrecruiters"
+                                else {"jobs": [{"id": p * size + i, "title": "Program Manager"} for i in range(size)]})
+    return [("c1", connector, "big", 0, 0, p, body(p)) for p in range(n_pages)]
+
+
+def test_nothing_is_cut_unless_asked(spark, inputs):
+    """Eight pages and 800 postings of a source that pages, 2,100 in 7 landed pages of one that does not."""
+    _, details, candidates, empty = inputs
+    landed = spark.createDataFrame(numbered_pages("smartrecruiters", 8, 100) + numbered_pages("greenhouse", 7, 300), schemas.RESPONSES)
+    figures = lambda limits: {r["source"]: (r["attempted"], r["found"], r["parsed"]) for r in run_discovery(
+        landed, details, empty, candidates, DAY, 0, limits).stats.collect()}
+    assert figures(Limits()) == {"smartrecruiters:big": (8, 800, 800), "greenhouse:big": (7, 2100, 2100)}
+    # The limit is looked at between pages; a connector without pages has none to leave out.
+    assert figures(Limits(max_jobs=50)) == {"smartrecruiters:big": (1, 100, 50), "greenhouse:big": (7, 2100, 50)}
+    assert figures(Limits(max_pages=3)) == {"smartrecruiters:big": (3, 300, 300), "greenhouse:big": (7, 2100, 2100)}
+
+
+def test_unlisted_and_latest_detail(spark):
+    flags = ["{}", '{"isListed": null}', '{"isListed": false}', '{"isListed": true}', '{"isListed": 0}', '{"isListed": ""}']
+    df = spark.createDataFrame([(f,) for f in flags], "p string")
+    assert [r[0] for r in df.select(collect.is_unlisted(F.lit("ashby"), F.col("p"))).collect()] == [False, True, True, False, True, True]
+    details = spark.createDataFrame([("s", "/a", "z-first", 1), ("s", "/a", "a-later", 2)], "source_key string, path string, payload string, ordinal int")
+    hits = spark.createDataFrame([("s", "/a", "x"), ("s", "/b", "y")], "source_key string, f_id string, payload string")
+    assert sorted((r["f_id"], r["payload"]) for r in collect.with_details(hits, details).collect()) == [("/a", "a-later"), ("/b", None)]
+
+
+def test_landing_is_read_once_and_not_moved(spark, inputs, tmp_path):
+    """Neither body nor entries go through a shuffle, and one scan serves postings and figures."""
+    responses, details, candidates, _ = inputs
+    responses.write.parquet(str(tmp_path / "landed"))
+    landed = spark.read.schema(schemas.RESPONSES).parquet(str(tmp_path / "landed"))
+    collected = collect_run(landed, details, candidates, DAY, 0)
+    for frame in (collected.requests, collected.seen, collected.postings):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" not in plan
+        assert "entries" not in plan
 
 
 def test_streaming_run_is_idempotent(spark, inputs, tmp_path):
@@ -128,13 +171,15 @@ def test_streaming_run_is_idempotent(spark, inputs, tmp_path):
 
     responses.coalesce(1).write.mode("append").parquet(landed)
     drain()
-    stored = landing.read_latest(spark, paths["postings"], schemas.DISCOVERED)
-    assert stored.count() == 4
+    stored = landing.read_history(spark, paths["postings"])
+    assert stored.count() == 4 and landing.read_keys(spark, paths["postings"]).count() > 4
     responses.filter("connector = 'lever'").coalesce(1).write.mode("append").parquet(landed)
     drain()
     drain()
-    assert landing.read_latest(spark, paths["postings"], schemas.DISCOVERED).count() == 4
-    assert landing.read_latest(spark, paths["postings"], schemas.DISCOVERED, before=1).count() == 4
+    assert landing.read_history(spark, paths["postings"]).count() == 4
+    # The second batch appended a sighting and no posting.
+    appended = lambda name: spark.read.parquet(f"{paths['postings']}/{name}").filter("version = 1").count()
+    assert (appended("postings"), appended("keys"), appended("sightings")) == (0, 0, 1)
     assert spark.read.parquet(paths["stats"]).select("version").distinct().count() == 2
 
 

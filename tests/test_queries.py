@@ -1,23 +1,15 @@
-"""Registered queries beside their SQL statements on the smallest tables.
-
-A few queries of every kind run by default; ROLESIFT_ALL_QUERIES=1 runs all.
-"""
+"""Registered queries beside their SQL statements on the smallest tables."""
 
 import datetime as dt
-import os
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+from rolesift.plans import catalog
 
 DIR = Path("/root/testdata/sf0.001")
-SOME = [
-    "decisions_by_family", "relevant_evidence", "strip_html", "parse_salary", "whitespace_issues", "validate_content",
-    "collect_filter", "cap_per_source", "normalize_lever", "normalize_workday", "resolve_duplicates", "board_report",
-    "annotate_status", "intake_cover_letter", "deterministic_answer", "pending_requests", "assemble_package", "review_fold",
-]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ROLESIFT_ALL_QUERIES") else SOME
+NAMES = sorted(catalog.oracle_sql())
 TABLES = ["customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"]
 
 pytestmark = pytest.mark.skipif(not DIR.exists(), reason="test tables are not here")
@@ -41,8 +33,8 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    # A whole run has no short SQL form; test_discovery works one out by hand.
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"run_discovery"}
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(catalog.oracle_sql()) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
@@ -51,10 +43,10 @@ def test_flagship(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, database, name):
-    frame = entry.queries()[name](spark, str(DIR))
+    frame = catalog.queries()[name](spark, str(DIR))
     columns = sorted(frame.columns)
     got = sorted(repr([plain(r[c]) for c in columns]) for r in frame.collect())
-    cursor = database.execute(entry.oracle_sql()[name])
+    cursor = database.execute(catalog.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     want = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in cursor.fetchall())

@@ -120,8 +120,8 @@ def test_explanations(spark):
 def test_auto_apply_preconditions(spark):
     rows = [("1", "http://a", "A", "T", LONG, "AUTO_APPLY"), ("2", None, "A", "T", LONG, "AUTO_APPLY"),
             (None, "http://c", " ", "T", "x", "REVIEW"), ("4", "http://d", "A", "T", LONG, "AUTO_APPLY")]
-    matches = spark.createDataFrame(rows, "id string, application_url string, company string, title string, description string, application_decision string")
-    applied = spark.createDataFrame([("9", "http://a"), (None, ""), ("4", "http://zzz")], "job_id string, application_url string")
+    matches = spark.createDataFrame([("c1", *r) for r in rows], "candidate_id string, id string, application_url string, company string, title string, description string, application_decision string")
+    applied = spark.createDataFrame([("c1", "9", "http://a"), ("c1", None, ""), ("c1", "4", "http://zzz"), ("c2", "1", "http://d")], "candidate_id string, job_id string, application_url string")
     got = {r["id"]: r for r in scoring.auto_apply_preconditions(matches, applied).collect()}
     assert [got[i]["not_already_applied"] for i in ("1", "2", None, "4")] == [False, False, False, False]
     none = spark.createDataFrame([], applied.schema)
