@@ -35,7 +35,8 @@ from rolesift.llm.base import aside, look_up, slices, written
 END_ID = 2
 WINDOW, UNIT, DEPTH = 4096, 64, 3
 BUCKET_ROWS = 20_000
-CACHED_PARTS = 1_000_000
+#: Parts of words a process remembers: some 50 MB.
+CACHED_PARTS = 250_000
 SLICE = 8_000_000
 
 
