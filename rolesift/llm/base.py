@@ -1,27 +1,22 @@
-"""What the operators share: words, tables written between steps, salted joins."""
+"""What the operators share: words, tables written between steps, slices of Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.session import checkpoint_folder
+from rolesift.session import scratch_folder
 
 #: ASCII white space; everything else belongs to a word.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Parts into which the rows of one key are cut in a salted join.
-SALTS = 16
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it survives lost executors and its size is known."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -36,18 +31,6 @@ def row_key(*values: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:
-    """Equality join of a large side with one row per key, in which no key owns a task.
-
-    ``salt`` deals the rows of ``left`` over SALTS parts of each key; ``right``
-    has at most one row per key and is repeated once per part. Keys compare as
-    Spark compares them: NULL meets nothing.
-    """
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def slices(batches: Iterable[pa.RecordBatch], text: str, characters: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into runs of rows of about so many bytes of text; one long text is a run of its own."""
     for batch in batches:
@@ -68,22 +51,6 @@ def aside(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
-#: A table of one row per key is sent to every executor up to this many rows; beyond, rows meet in a salted join.
-BROADCAST_ROWS = 100_000
-
-
-def look_up(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:
-    """``left`` with the columns of ``right``, a written table with one row per key; its rows are counted first."""
-    if right.count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, salt, how)
-
-
 def held(docs: DataFrame) -> Column:
     """All columns of a row as one struct, out of the way of the operator's own names; ``row.*`` gives them back."""
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

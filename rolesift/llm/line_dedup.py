@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import let
-from rolesift.llm.base import BLANKS, SALTS, aside, ascii_lower, held, row_key, salted_join, written
+from rolesift.llm.base import BLANKS, aside, ascii_lower, held, row_key, written
+from rolesift.operators.joins import SALTS, salted_join
 
 SLOTS = 4
 MAX_KICKS = 200

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import BLANKS, WORD, aside, held, look_up, written
+from rolesift.llm.base import BLANKS, WORD, aside, held, written
+from rolesift.operators.joins import look_up
 
 LEVELS, BITS = 4, 10
 DEPTH = LEVELS * BITS

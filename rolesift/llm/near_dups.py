@@ -32,7 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import aside, held, look_up, row_key, salted_join, slices, written
+from rolesift.llm.base import aside, held, row_key, slices, written
+from rolesift.operators.joins import look_up, salted_join
 
 TREES, PREFIX, NEIGHBOURS = 20, 4, 3
 VALUES = TREES * PREFIX

@@ -30,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import aside, look_up, slices, written
+from rolesift.llm.base import aside, slices, written
+from rolesift.operators.joins import look_up
 
 END_ID = 2
 WINDOW, UNIT, DEPTH = 4096, 64, 3

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.llm import license_scan, line_dedup, mixing, near_dups, packing, repetition, secret_scan, topk_search, unit_dedup, warc_index
-from rolesift.llm.base import scratch_path
+from rolesift.session import scratch_folder
 
 MIX_WEIGHTS = [5, 2, 1]
 
@@ -43,7 +43,7 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def capture_histories(spark: SparkSession, folder: str) -> DataFrame:
-    index = warc_index.capture_index(table(spark, folder, "pages"), scratch_path(spark, "archives"))
+    index = warc_index.capture_index(table(spark, folder, "pages"), scratch_folder(spark, "archives"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
 
 

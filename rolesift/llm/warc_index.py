@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import look_up, written
+from rolesift.llm.base import written
+from rolesift.operators.joins import look_up
 
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rolesift.llm import (
     license_scan, line_dedup, mixing, near_dups, packing, repetition, secret_scan, topk_search, unit_dedup, warc_index,
 )
-from rolesift.llm.base import scratch_path, written
+from rolesift.llm.base import written
+from rolesift.session import scratch_folder
 from tests.llm import odd
 
 TEXTS = odd.texts()
@@ -108,7 +109,7 @@ def test_warc(spark):
     rows = [(1, "http://a.example/x", "same"), (2, "http://a.example/x", "same"), (3, None, None), (4, "http://b.example/\r\nz", ""),
             (5, "http://b.example/", "WARC/1.1\r\n\r\n\r\n"), (None, "http://c.example/", "same"), (6, "", "é" * 100_000), (6, "", "é" * 100_000)]
     pages = spark.createDataFrame([(*r, "d", "t") for r in rows], "page_id long, url string, html string, digest string, time string")
-    path = scratch_path(spark, "warc-test")
+    path = scratch_folder(spark, "warc-test")
     out = warc_index.capture_index(pages, path).collect()
     first = {"same": 1, "": 3, "é" * 100_000: 6}
     want = []
@@ -121,9 +122,9 @@ def test_warc(spark):
     assert all(r.intact for r in out)
     assert [r.urlkey for r in out] == sorted(r.urlkey for r in out)
     assert sum(f.name.endswith(".gz") for f in _files(path)) > 0
-    large = warc_index.capture_index(pages, scratch_path(spark, "warc-test"), least_bytes=5)
+    large = warc_index.capture_index(pages, scratch_folder(spark, "warc-test"), least_bytes=5)
     assert {r.page_id for r in large.collect() if r.record_type == "revisit"} == set()
-    assert warc_index.capture_index(pages.limit(0), scratch_path(spark, "warc-test")).count() == 0
+    assert warc_index.capture_index(pages.limit(0), scratch_folder(spark, "warc-test")).count() == 0
 
 
 def _files(path):
