@@ -40,7 +40,7 @@ VALUES = TREES * PREFIX
 #: Of VALUES four-bit values at least so many agree in a pair at the limit, but for 1 in 10,000.
 LEAST_MATCHES = 52
 #: Best candidates per set that are confirmed in the first rounds; then all that are left.
-QUOTAS = (2, None)
+QUOTAS = (1, 1, None)
 EDGES_PER_TASK = 500_000
 RESULT = "a binary, b binary, ca binary, cb binary, similarity double, linked boolean"
 SETS = "doc_id long, key binary, n_shingles long, digest binary, signature binary, shingles binary"
@@ -215,15 +215,18 @@ def _confirm(percent: int) -> Callable:
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hubs: DataFrame | None = None) -> DataFrame:
-    """``pairs`` (a, b, ca, cb) with similarity and linked, from the full sets. With ``hubs``, each b is one of these few."""
-    left = pairs.select("a", "b", "ca", "cb").join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a")
-    right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b"))
-    if hubs is None:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hubs: bool = False) -> DataFrame:
+    """``pairs`` (a, b, ca, cb), a written table, with similarity and linked, from the full sets. With ``hubs``, b is one of a few."""
+    # Only sets that these pairs ask for are moved.
+    needed = {c: look_up(sets, written(pairs.select(F.col(c).alias("digest")).distinct(), "needed"), ["digest"], F.col("digest"), "left_semi")
+              for c in ("a", "b")}
+    left = pairs.select("a", "b", "ca", "cb").join(needed["a"].select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a")
+    right = needed["b"].select(F.col("digest").alias("b"), F.col("shingles").alias("set_b"))
+    if not hubs:
         both = left.join(right, "b")
     else:
         # All pairs of a large class share its hub.
-        both = salted_join(left, right.join(hubs.select(F.col("hub").alias("b")).distinct(), "b", "left_semi"), ["b"], F.col("a"))
+        both = salted_join(left, right, ["b"], F.col("a"))
     return written(both.mapInArrow(_confirm(percent), RESULT), "confirmed")
 
 
@@ -338,7 +341,7 @@ def classes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         again = written(
             retried.unionByName(known[0]).unionByName(known[1]).groupBy("a", "b").agg(
                 F.max("ca").alias("ca"), F.max("cb").alias("cb"), F.every("fresh").alias("fresh")).filter("fresh").drop("fresh"), "again")
-        if again.isEmpty() or settle(confirmed(again, sets, percent, central)) is None:
+        if again.isEmpty() or settle(confirmed(again, sets, percent, hubs=True)) is None:
             return label
 
 
