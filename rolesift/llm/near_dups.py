@@ -9,6 +9,11 @@ follows the region, and each set has a bounded number of neighbours, however
 many sets share its prefix. A tree is cut by range, so a crowded region is
 spread over tasks; the rows at the cuts are compared once more.
 
+Where a prefix is shared by sets that are no neighbours, pairs may be missing.
+All such sets are joined exactly at the end, whatever tree they met in, on the
+shingles of each that are rarest among them: two sets at the limit share one of
+the first few in any fixed order. Pairs inside one class are not formed.
+
 A candidate counts only when the full sets reach the similarity. First each
 set's best candidates are confirmed, then those between classes that are still
 apart, finally all. A pair that fails, of which one side belongs to a class, is
@@ -42,8 +47,11 @@ LEAST_MATCHES = 52
 #: Best candidates per set that are confirmed in the first rounds; then all that are left.
 QUOTAS = (1, 1, None)
 EDGES_PER_TASK = 500_000
+#: Counts that order shingles by rarity; shingles that share one only cost time.
+COUNTS = 1 << 20
 RESULT = "a binary, b binary, ca binary, cb binary, similarity double, linked boolean"
 SETS = "doc_id long, key binary, n_shingles long, digest binary, signature binary, shingles binary"
+RARE = "token long, digest binary, n int, pos int, indexed boolean"
 NODE = "tree int, k1 long, k2 long, digest binary, n long, bits binary"
 
 
@@ -140,7 +148,11 @@ def tree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(percent: int, with_edges: bool) -> Callable:
-    """Candidates among rows in tree order: rows up to NEIGHBOURS apart that share the prefix."""
+    """Candidates among rows in tree order: rows up to NEIGHBOURS apart that share the prefix.
+
+    Rows that share it with one further away leave their digest, without a partner.
+    """
+    reach = NEIGHBOURS + 1
     fields = [("tree", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bits", pa.binary())]
     node = pa.struct(fields)
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("matches", pa.int32()), ("edge", node)])
@@ -157,8 +169,8 @@ def _neighbours(percent: int, with_edges: bool) -> Callable:
             if not batch.num_rows:
                 continue
             fresh = batch.select(names)
-            if with_edges and seen < NEIGHBOURS:
-                yield edges(fresh.slice(0, NEIGHBOURS - seen))
+            if with_edges and seen < reach:
+                yield edges(fresh.slice(0, reach - seen))
             seen += fresh.num_rows
             rows = fresh if carried is None else pa.Table.from_batches([carried, fresh]).combine_chunks().to_batches()[0]
             begin = 0 if carried is None else carried.num_rows
@@ -179,15 +191,26 @@ def _neighbours(percent: int, with_edges: bool) -> Callable:
                     a, b, m = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(m, pa.int32()), pa.nulls(len(a), node)], schema=schema)
-            carried = rows.slice(max(0, rows.num_rows - NEIGHBOURS))
+            j = np.arange(max(begin, reach), len(tree))
+            i = j - reach
+            far = (tree[i] == tree[j]) & (k1[i] == k1[j])
+            crowded = list({digest[x] for x in np.concatenate((i[far], j[far])).tolist()})
+            if crowded:
+                none = pa.nulls(len(crowded), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(crowded, pa.binary()), none, pa.nulls(len(crowded), pa.int32()), pa.nulls(len(crowded), node)], schema=schema)
+            carried = rows.slice(max(0, rows.num_rows - reach))
         if with_edges and carried is not None:
             yield edges(carried)
 
     return run
 
 
-def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """a < b (digests) and matches: neighbours in any tree, each pair once. ``nodes``: digest, n, signature."""
+def candidate_pairs(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """a < b (digests) and matches: neighbours in any tree, each pair once. ``nodes``: digest, n, signature.
+
+    Beside them the digests of sets that share a prefix with sets beyond their neighbours.
+    """
     order = ["tree", "k1", "k2", "digest"]
     schema = "a binary, b binary, matches int, edge struct<tree:int,k1:long,k2:long,digest:binary,n:long,bits:binary>"
     trees = nodes.mapInArrow(tree_rows, NODE)
@@ -195,8 +218,71 @@ def candidate_pairs(nodes: DataFrame, percent: int) -> DataFrame:
         trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(percent, True), schema), "neighbours")
     # The first and last rows of every range meet again, so no neighbour is lost at a cut.
     cuts = found.filter("edge IS NOT NULL").select("edge.*").distinct().repartition("tree").sortWithinPartitions(*order)
-    pairs = found.filter("edge IS NULL").unionByName(cuts.mapInArrow(_neighbours(percent, False), schema))
-    return pairs.groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    every = found.filter("edge IS NULL").unionByName(written(cuts.mapInArrow(_neighbours(percent, False), schema), "cuts"))
+    pairs = every.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    return pairs, every.filter("b IS NULL").select(F.col("a").alias("digest")).distinct()
+
+
+def _counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall on each count."""
+    total = np.zeros(COUNTS, np.int64)
+    for batch in batches:
+        for blob in batch.column("shingles").to_pylist():
+            np.add.at(total, (_mix(_unpack(blob)) % np.uint64(COUNTS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, rarest first, and how many of them meet a larger set.
+
+    A pair of that similarity has a shingle in common among all of the larger
+    set and the second number of the smaller one.
+    """
+    n = len(shingles)
+    spread = _mix(shingles)
+    order = np.lexsort((spread, counts[(spread % np.uint64(COUNTS)).astype(np.int64)]))
+    most = min(n, n + (-percent * n) // 100 + 1)
+    return shingles[order[:most]], min(n, n + (-2 * percent * n) // (100 + percent) + 1)
+
+
+def _rare_rows(counts, percent: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, blob in zip(batch.column("digest").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                token, indexed = rarest(_unpack(blob), counts.value, percent)
+                size, at = len(token), np.arange(len(token), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(token.astype(np.int64)), pa.array([digest] * size, pa.binary()), pa.array(np.full(size, len(blob) // 6, np.int32)),
+                    pa.array(at), pa.array(at < indexed)], names=["token", "digest", "n", "pos", "indexed"])
+
+    return run
+
+
+def crowded_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """a < b, ca, cb: every pair of ``sets`` (digest, shingles) in two classes that may reach the similarity."""
+    context = sets.sparkSession.sparkContext
+    found = sets.select("shingles").mapInArrow(_counter, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTS, np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    shared = context.broadcast(counts)
+    rare = sets.select("digest", "shingles").mapInArrow(_rare_rows(shared, percent), RARE)
+    rare = written(look_up(rare, label.withColumnRenamed("node", "digest"), ["digest"], F.col("token")), "rare")
+    shared.destroy()
+    # Of each shingle that is in several classes, rows outside its largest class meet all rows.
+    largest = rare.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(
+        F.max(F.struct("size", "class")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", F.col("m.class").alias("largest"))
+    rare = written(look_up(rare, written(largest, "largest"), ["token"], F.col("digest")), "shared")
+    names = ["digest", "n", "pos", "indexed", "class"]
+    other = rare.filter("class <> largest").select("token", *[F.col(c).alias(f"o_{c}") for c in names])
+    # The smaller set is met by few shingles; sizes and places must leave room for enough common ones.
+    fits = (
+        "class <> o_class AND IF(n > o_n OR n = o_n AND digest > o_digest, o_indexed, indexed) "
+        f"AND 100 * least(n, o_n) >= {percent} * greatest(n, o_n) AND {100 + percent} * least(n - pos, o_n - o_pos) >= {percent} * (n + o_n)")
+    met = salted_join(rare.drop("largest"), other, ["token"], F.col("digest")).filter(fits)
+    turned = F.col("digest") < F.col("o_digest")
+    return met.select(*[F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (
+        ("a", "digest", "o_digest"), ("b", "o_digest", "digest"), ("ca", "class", "o_class"), ("cb", "o_class", "class"))]).distinct()
 
 
 def _confirm(percent: int) -> Callable:
@@ -293,9 +379,11 @@ def _relabelled(df: DataFrame, columns: list[str], roots: DataFrame, salt: str)
 
 def classes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, class for every digest that is linked with another. ``sets``: digest, doc_id, shingles, a row per document."""
-    left = written(candidate_pairs(nodes, percent).withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), "candidates")
-    # Only sets that have a candidate are carried on; few such digests are sent to the sets, not the sets to them.
-    ends = written(left.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "ends")
+    pairs, crowded = candidate_pairs(nodes, percent)
+    left = written(pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), "candidates")
+    crowded = written(crowded, "crowded")
+    # Only sets that have a candidate or a crowd are carried on; few such digests are sent to the sets, not the sets to them.
+    ends = written(left.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(crowded).distinct(), "ends")
     sets = written(look_up(sets, ends, ["digest"], F.col("doc_id"), "left_semi").select("digest", "shingles").dropDuplicates(["digest"]), "sets")
     label = written(sets.select(F.col("digest").alias("node"), F.col("digest").alias("class")), "classes")
     tested = None
@@ -342,7 +430,12 @@ def classes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             retried.unionByName(known[0]).unionByName(known[1]).groupBy("a", "b").agg(
                 F.max("ca").alias("ca"), F.max("cb").alias("cb"), F.every("fresh").alias("fresh")).filter("fresh").drop("fresh"), "again")
         if again.isEmpty() or settle(confirmed(again, sets, percent, hubs=True)) is None:
-            return label
+            break
+
+    if not crowded.isEmpty():
+        rest = written(look_up(sets, crowded, ["digest"], F.col("digest"), "left_semi"), "crowded-sets")
+        settle(confirmed(written(crowded_pairs(rest, label, percent), "crowded-pairs"), sets, percent))
+    return label
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_column: str = "doc_id",

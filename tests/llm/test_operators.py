@@ -197,6 +197,22 @@ def test_near_duplicates_around_one_centre(spark):
     assert {r.doc_id: r.component_id for r in out.collect()} == odd.classes(rows, 2)
 
 
+def test_near_duplicates_among_filled_in_forms(spark):
+    """Copies of one form that resemble each other below the limit, each with one true partner."""
+    frame = odd.prose(71, 220).split(" ")
+    rows = []
+    for n in range(200):
+        for half in (0, 1):
+            words = list(frame)
+            for field in range(16):
+                words[6 + 13 * field] = f"f{n}x{field}" + (f"y{half}" if field < 11 else "")
+            rows.append((2 * n + half, " ".join(words)))
+    want = odd.classes(rows, 2)
+    assert all(want[i] == i - i % 2 for i, _ in rows)
+    out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2)
+    assert {r.doc_id: r.component_id for r in out.collect()} == want
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 180)] + [(200, 200), (301, 300)]
     df = spark.createDataFrame(edges, "a int, b int").select(*[F.unhex(F.lpad(F.hex(c), 4, "0")).alias(c) for c in "ab"])
