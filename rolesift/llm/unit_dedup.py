@@ -5,7 +5,9 @@ segments. Segments end where the hash of two neighbouring words is the least
 among RADIUS places either side, so they depend on the words around them only:
 a passage spliced into another line falls into the same segments there. Units
 are normalised (ASCII lower case, white space between words ignored) and
-compared by 128-bit digests over their words.
+compared by 128-bit digests over their words. A unit of a few words means little
+alone: it is compared together with the words before it, and again with the
+words after it, on whatever lines they stand.
 
 Per digest the first occurrence is a minimum, combined before the shuffle. Units
 then meet the digests that occur again in a join that adaptive execution splits
@@ -58,7 +60,11 @@ def _unit_digests(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> li
 
 
 def split_units(texts: list[str | None], least: int) -> dict[str, np.ndarray | list]:
-    """Units of some texts: text number, line, whole line or segment, code point span, words and digest."""
+    """Units of some texts: text number, line, whole line or segment, code point span, words and digest.
+
+    Units of fewer than ``least`` words have up to two rows, with digests over
+    ``least`` more words before or after them.
+    """
     joined = "\n".join(t or "" for t in texts)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t or "") for t in texts], dtype=np.int64)
@@ -98,13 +104,23 @@ def split_units(texts: list[str | None], least: int) -> dict[str, np.ndarray | l
     seg_begin, seg_end = seg_begin[~whole_line], seg_end[~whole_line]
     b, e = np.concatenate((line_begin, seg_begin)), np.concatenate((line_end, seg_end))
     whole = np.arange(len(b)) < len(line_begin)
-    big = e - b >= least
-    b, e, whole = b[big], e[big], whole[big]
-    text = np.searchsorted(text_start, begin[b], side="right") - 1
+    owner = np.searchsorted(text_start, begin, side="right") - 1
+    short = e - b < least
+    before = np.maximum(b - least, np.searchsorted(owner, owner[b], side="left"))
+    after = np.minimum(e + least, np.searchsorted(owner, owner[b], side="right"))
+    rows, froms, tos, marks = [], [], [], []
+    for chosen, lo, hi, mark in ((~short, b, e, b""), (short & (e - before >= least), before, e, b"<"), (short & (after - b >= least), b, after, b">")):
+        rows.append(np.flatnonzero(chosen))
+        froms.append(lo[chosen])
+        tos.append(hi[chosen])
+        marks.extend([mark] * len(rows[-1]))
+    at, froms, tos = np.concatenate(rows), np.concatenate(froms), np.concatenate(tos)
+    b, e, whole = b[at], e[at], whole[at]
+    text = owner[b]
     return {
         "text": text, "line": line[b] - line_of_char[np.maximum(text_start[text] - 1, 0)] * (text_start[text] > 0),
         "whole": whole, "start": begin[b] - text_start[text], "end": end[e - 1] - text_start[text], "word": b, "n_words": e - b,
-        "digest": _unit_digests(words, b, e) if len(b) else []}
+        "digest": [d + m for d, m in zip(_unit_digests(words, froms, tos), marks, strict=True)] if len(b) else []}
 
 
 def _splitter(least: int) -> Callable:
@@ -128,8 +144,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int
 
     Occurrences rank by document id, then offset; rows without id rank last, by
     a hash of their text. Rows that repeat an id and its text are one document.
-    Units of fewer than ``min_words`` words stay, and so do those that make no
-    passage of ``min_passage`` words with their neighbours. A segment inside a line that
+    Units of fewer than ``min_words`` words are repeated if they are so with as
+    many words before or after them. Units stay that make no passage of
+    ``min_passage`` words with their neighbours. A segment inside a line that
     goes as a whole has no row of its own. NULL and empty texts have no units.
     """
     rows = aside(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -139,9 +156,13 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int
     again = units.join(first, "digest").filter(rank > F.col("first"))
     unit = F.struct(
         F.when(F.col("whole"), "line").otherwise("segment").alias("unit"), "start", "end", "word", "n_words",
-        F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+        F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     # The units of one line of one document meet here.
-    lines = again.groupBy("doc_id", "key", "line").agg(F.collect_set(unit).alias("units"), F.max("whole").alias("whole"))
+    lines = again.groupBy("doc_id", "key", "line").agg(
+        F.sort_array(F.collect_set(unit)).alias("units"), F.max("whole").alias("whole"))
+    # A unit of a few words may be found by the words on either side; the earlier place counts.
+    once = F.filter("units", lambda u, i: (i == 0) | (F.get("units", i - 1)["start"] != u["start"]) | (F.get("units", i - 1)["unit"] != u["unit"]))
+    lines = lines.withColumn("units", once)
     kept = F.when(F.col("whole"), F.filter("units", lambda u: u["unit"] == "line")).otherwise(F.col("units"))
     gone = lines.select("doc_id", "key", F.explode(kept).alias("u")).select("doc_id", "key", "u.*")
     # Passages inside one document: units of which each begins where the one before ends.

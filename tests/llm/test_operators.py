@@ -248,6 +248,20 @@ def test_repeated_units(docs, nothing):
     assert unit_dedup.repeated_units(nothing).count() == 0 and unit_dedup.without_repeats(nothing).count() == 0
 
 
+def test_repeated_passages_of_short_lines(spark):
+    words = odd.prose(80, 400).split(" ")
+    verse = "\n".join(" ".join(words[i:i + 4]) for i in range(0, 200, 4))
+    listed = "\n".join(f"{' '.join(words[i:i + 2])}\n{' '.join(words[i + 2:i + 14])}" for i in range(200, 396, 14))
+    single = "\n".join(str(n % 7) for n in range(60))
+    own = [odd.prose(81 + n, 40) for n in range(4)]
+    rows = [(1, f"{own[0]}\n{verse}\n{listed}\n{own[1]}"), (2, f"{own[2]}\n{verse}\n{own[3]}"), (3, listed), (4, verse),
+            (5, "\n".join(reversed(verse.split("\n")))), (6, single)]
+    left = {r.doc_id: r.text for r in unit_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == rows[0][1] and left[2] == f"{own[2]}\n{own[3]}" and left[3] == "" and left[4] == ""
+    # The same lines in another order are no passage; a list that repeats itself keeps its first turn.
+    assert left[5] == rows[4][1] and single.startswith(left[6]) and left[6]
+
+
 def test_licenses(docs, spark, nothing):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert got[18].licences == "MIT" and got[18].n_left == 0 and got[4].licences == "" and got[4].n_sentences == 0
