@@ -51,11 +51,38 @@ SENTENCES = {
                  "version",
     "gpl_warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
                     "warranty of merchantability or fitness for a particular purpose",
+    # The same notices as sentences: they are cut at colons and semicolons.
+    "gpl3_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+                  "software foundation either version 3 of the license or at your option any later version",
+    "gpl_terms_any": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+                     "software foundation",
+    "lgpl3_terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the "
+                   "free software foundation either version 3 of the license or at your option any later version",
+    "lgpl_terms_any": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by "
+                      "the free software foundation",
+    "version2": "either version 2 of the license or at your option any later version",
+    "version2_1": "either version 2 1 of the license or at your option any later version",
+    "gpl_no_warranty": "this program is distributed in the hope that it will be useful but without any warranty",
+    "lgpl_no_warranty": "this library is distributed in the hope that it will be useful but without any warranty",
+    "gpl_implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl_see": "see the gnu lesser general public license for more details",
+    "gpl_received": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl_received": "you should have received a copy of the gnu lesser general public license along with this library",
+    "mpl2_terms": "this source code form is subject to the terms of the mozilla public license v",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+                 "provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_grant_and": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
+                     "provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all "
+                    "implied warranties of merchantability and fitness",
+    "bsd_neither": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                   "derived from this software without specific prior written permission",
     "gpl_see": "see the gnu general public license for more details",
     "ccbync4_named": "licensed under cc by nc 4 0",
     "ccby4_named": "licensed under cc by 4 0",
     "ccbysa4_named": "licensed under cc by sa 4 0",
     "all_rights": "copyright all rights reserved",
+    "rights_reserved": "all rights reserved",
 }
 # Ordered: a rule comes before those whose sequences are parts of its own.
 RULES = [
@@ -65,16 +92,33 @@ RULES = [
     ("Apache-2.0", ["apache2_full", "apache2_use", "apache2_copy", "apache2_as_is", "apache2_see"]),
     ("Apache-2.0", ["apache2_full", "apache2_use"]),
     ("Apache-2.0", ["apache2_named"]),
+    ("BSD-3-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_neither"]),
     ("BSD-2-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary"]),
     ("GPL-3.0-or-later", ["gpl_terms", "gpl_warranty", "gpl_see"]),
     ("GPL-3.0-or-later", ["gpl_terms"]),
+    ("GPL-3.0-or-later", ["gpl3_terms", "gpl_no_warranty", "gpl_implied", "gpl_see", "gpl_received"]),
+    ("GPL-3.0-or-later", ["gpl3_terms", "gpl_no_warranty", "gpl_implied", "gpl_see"]),
+    ("GPL-3.0-or-later", ["gpl3_terms"]),
+    ("GPL-2.0-or-later", ["gpl_terms_any", "version2", "gpl_no_warranty", "gpl_implied", "gpl_see", "gpl_received"]),
+    ("GPL-2.0-or-later", ["gpl_terms_any", "version2", "gpl_no_warranty", "gpl_implied", "gpl_see"]),
+    ("GPL-2.0-or-later", ["gpl_terms_any", "version2"]),
+    ("LGPL-3.0-or-later", ["lgpl3_terms", "lgpl_no_warranty", "gpl_implied", "lgpl_see", "lgpl_received"]),
+    ("LGPL-3.0-or-later", ["lgpl3_terms"]),
+    ("LGPL-2.1-or-later", ["lgpl_terms_any", "version2_1", "lgpl_no_warranty", "gpl_implied", "lgpl_see", "lgpl_received"]),
+    ("LGPL-2.1-or-later", ["lgpl_terms_any", "version2_1"]),
+    ("MPL-2.0", ["mpl2_terms"]),
+    ("ISC", ["isc_grant", "isc_warranty"]),
+    ("ISC", ["isc_grant_and", "isc_warranty"]),
+    ("ISC", ["isc_grant"]),
+    ("ISC", ["isc_grant_and"]),
     ("GPL-3.0", ["gpl3_named"]),
     ("CC-BY-NC-4.0", ["ccbync4_named"]),
     ("CC-BY-SA-4.0", ["ccbysa4_named"]),
     ("CC-BY-4.0", ["ccby4_named"]),
     ("All rights reserved", ["all_rights"]),
+    ("All rights reserved", ["rights_reserved"]),
 ]
-KEYWORDS = ["licen", "permission", "redistribut", "warrant", "copyright"]
+KEYWORDS = ["licen", "permission", "redistribut", "warrant", "copyright", "rights reserved"]
 KEYWORD = "|".join(KEYWORDS)
 LINE_END = r"\n+"
 SENTENCE_END = r"[.!?:;]+(?:\s+|$)|\n\s*\n"

@@ -277,6 +277,36 @@ def test_licenses(docs, spark, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def test_published_notices(spark):
+    free = "This {0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2} as published by\n" \
+        "the Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version.\n\n" \
+        "This {0} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n" \
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {2} for more details.\n\n" \
+        "You should have received a copy of the GNU {2}\nalong with this {0}{5}"
+    general, lesser = "General Public License", "Lesser General Public\nLicense"
+    bsd = "Copyright (c) 2020, A. Holder\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted " \
+        "provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n" \
+        "   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n" \
+        "   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    third = "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived " \
+        "from\n   this software without specific prior written permission.\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that " \
+        "the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR " \
+        "DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n" \
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    notices = {
+        "GPL-3.0-or-later": free.format("program", ":", general, ",", "3", ".  If not, see <https://www.gnu.org/licenses/>."),
+        "GPL-2.0-or-later": free.format("program", ";", general, ";", "2", "; if not, write to the Foundation."),
+        "LGPL-2.1-or-later": free.format("library", ";", lesser, ";", "2.1", "; if not, write to the Foundation."),
+        "LGPL-3.0-or-later": free.format("library", ":", lesser, ",", "3", "."),
+        "BSD-2-Clause": bsd, "BSD-3-Clause": bsd + third, "ISC": isc, "MPL-2.0": mpl,
+        "All rights reserved": "Copyright (c) 2020 A. Holder. All rights reserved."}
+    rows = list(enumerate(notices.values()))
+    got = {r.doc_id: (r.licences, r.n_left) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (licence, 0) for i, licence in enumerate(notices)}
+
+
 def test_search(docs, nothing, monkeypatch):
     index = topk_search.build_index(docs)
     queries = docs.filter("doc_id % 2 = 0 OR doc_id IS NULL")
