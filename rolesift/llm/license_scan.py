@@ -2,8 +2,10 @@
 
 A text is read twice, as lines and as sentences that may run over lines.
 Sentences are normalised (ASCII lower case, everything but letters and digits
-is one blank) and looked up among the known ones. The identifiers of a text, in
-order, form a sequence; each rule in turn takes all places where its own
+is one blank) and looked up among the known ones. What both readings know is
+merged by its place, counted in letters and digits, which line ends and full
+stops do not change; of two that overlap the one that holds the other counts.
+The identifiers of a text, in order, form a sequence; each rule in turn takes all places where its own
 sequence stands and reports its licence. What no rule takes is left over.
 
 Only Column functions; nothing is shuffled. Every known sentence holds one of
@@ -130,11 +132,32 @@ def normalised(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(ascii_lower(sentence), "[^a-z0-9]+", " "))
 
 
-def sequence_of(text: Column, end: str) -> Column:
-    """Identifiers of the known sentences of a text, in order, as one string."""
+def known_in(text: Column, end: str) -> Column:
+    """at, back and id of the known sentences of a text, in order; back is the negative place of the end."""
     known = F.expr("map(" + ", ".join(f"{sql_text(s)}, {sql_text(f'<{i}>')}" for i, s in SENTENCES.items()) + ")")
-    sentences = F.filter(F.split(text, end, -1), lambda s: ascii_lower(s).rlike(KEYWORD))
-    return F.array_join(F.transform(sentences, lambda s: known[normalised(s)]), "")
+    pieces = F.transform(F.split(text, end, -1), lambda s: F.struct(
+        F.length(F.regexp_replace(s, "[^A-Za-z0-9]+", "")).alias("size"),
+        F.when(ascii_lower(s).rlike(KEYWORD), known[normalised(s)]).alias("id")))
+    start = F.expr("struct(0 AS at, CAST(array() AS array<struct<at: int, back: int, id: string>>) AS found)")
+
+    def step(state: Column, piece: Column) -> Column:
+        stop = state["at"] + piece["size"]
+        entry = F.struct(state["at"].alias("at"), (-stop).alias("back"), piece["id"].alias("id"))
+        return F.struct(stop.alias("at"), F.when(piece["id"].isNull(), state["found"]).otherwise(F.array_append(state["found"], entry)).alias("found"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["found"])
+
+
+def sequence_of(text: Column) -> Column:
+    """Identifiers of the known sentences of both readings of a text, in order, as one string."""
+    every = F.sort_array(F.concat(known_in(text, LINE_END), known_in(text, SENTENCE_END)))
+
+    def step(state: Column, entry: Column) -> Column:
+        # In this order an entry that ends no later than one before it is held by that one.
+        fresh = F.struct((-entry["back"]).alias("stop"), F.concat(state["ids"], entry["id"]).alias("ids"))
+        return F.when(-entry["back"] > state["stop"], fresh).otherwise(state)
+
+    return F.aggregate(every, F.expr("struct(0 AS stop, '' AS ids)"), step, lambda state: state["ids"])
 
 
 def matched(sequence: Column) -> Column:
@@ -156,15 +179,13 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     NULL and empty texts have none. Rows are read alone: repeated rows and NULL
     ids give a row each, other columns are not read. ``n_sentences`` counts
-    known sentences in the reading, by lines or by sentences, that found more.
+    known sentences of both readings, each place once.
     """
     rows = aside(docs, {"doc_id": id_column, "text": text_column})
     text = F.when(ascii_lower(F.col("text")).rlike(KEYWORD), F.col("text")).otherwise("")
-    read = rows.select(F.col("doc_id"), let(text, lambda t: F.struct(
-        sequence_of(t, LINE_END).alias("lines"), sequence_of(t, SENTENCE_END).alias("sentences"))).alias("s"))
-    size = {c: F.length(f"s.{c}") - F.length(F.replace(F.col(f"s.{c}"), F.lit("<"), F.lit(""))) for c in ("lines", "sentences")}
-    better = F.when(size["sentences"] > size["lines"], F.col("s.sentences")).otherwise(F.col("s.lines"))
-    out = read.select("doc_id", F.greatest(size["lines"], size["sentences"]).cast("long").alias("n_sentences"), matched(better).alias("m"))
+    read = rows.select(F.col("doc_id"), let(text, sequence_of).alias("s"))
+    size = F.length("s") - F.length(F.replace(F.col("s"), F.lit("<"), F.lit("")))
+    out = read.select("doc_id", size.cast("long").alias("n_sentences"), let(F.col("s"), matched).alias("m"))
     left = F.length("m.left") - F.length(F.replace(F.col("m.left"), F.lit("<"), F.lit("")))
     return out.select(
         "doc_id", F.array_join(F.array_distinct("m.found"), ",").alias("licences"), "n_sentences", left.cast("long").alias("n_left"))

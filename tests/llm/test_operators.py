@@ -307,6 +307,17 @@ def test_published_notices(spark):
     assert got == {i: (licence, 0) for i, licence in enumerate(notices)}
 
 
+def test_both_readings_of_a_text_count(spark):
+    line = "some words before\nReleased under the MIT License\nand words without a stop behind them\n"
+    wrapped = "\nLicensed under the Apache License,\nVersion 2.0 (the \"License\");\nyou may not use this file except in compliance\nwith " \
+        "the License.\n"
+    bare = "Released under the MIT License\n" * 3
+    rows = [(1, line + wrapped), (2, wrapped + line), (3, bare + wrapped), (4, "Released under the MIT License.\n\n" + bare)]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(license_scan.scan_licenses(some), "doc_id", "licences", "n_sentences", "n_left") == [
+        (1, "MIT,Apache-2.0", 3, 0), (2, "MIT,Apache-2.0", 3, 0), (3, "MIT,Apache-2.0", 5, 0), (4, "MIT", 4, 0)]
+
+
 def test_search(docs, nothing, monkeypatch):
     index = topk_search.build_index(docs)
     queries = docs.filter("doc_id % 2 = 0 OR doc_id IS NULL")
