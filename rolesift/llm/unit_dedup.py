@@ -28,7 +28,7 @@ from rolesift.llm.base import aside, held, row_key, slices, written
 RADIUS = 5
 MIN_WORDS = 6
 RUN_WORDS = 16
-#: Removed units that follow each other make a passage; shorter passages stay.
+#: Removed units that follow each other make a passage; segments of shorter passages stay.
 MIN_PASSAGE = 25
 UNITS = "doc_id long, key binary, line long, whole boolean, start long, end long, word long, n_words long, digest binary"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -114,6 +114,12 @@ def split_units(texts: list[str | None], least: int) -> dict[str, np.ndarray | l
         froms.append(lo[chosen])
         tos.append(hi[chosen])
         marks.extend([mark] * len(rows[-1]))
+    # A text of fewer words is compared as a whole, place by place.
+    alone = np.flatnonzero(short & (after - before < least))
+    rows.append(alone)
+    froms.append(before[alone])
+    tos.append(after[alone])
+    marks.extend(b"=%02d" % place for place in (b - before)[alone].tolist())
     at, froms, tos = np.concatenate(rows), np.concatenate(froms), np.concatenate(tos)
     b, e, whole = b[at], e[at], whole[at]
     text = owner[b]
@@ -145,8 +151,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int
     Occurrences rank by document id, then offset; rows without id rank last, by
     a hash of their text. Rows that repeat an id and its text are one document.
     Units of fewer than ``min_words`` words are repeated if they are so with as
-    many words before or after them. Units stay that make no passage of
-    ``min_passage`` words with their neighbours. A segment inside a line that
+    many words before or after them. Segments stay that make no passage of
+    ``min_passage`` words with their neighbours, and lines that make none of
+    ``min_words``, but for copies of whole texts. A segment inside a line that
     goes as a whole has no row of its own. NULL and empty texts have no units.
     """
     rows = aside(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -155,7 +162,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int
     first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     again = units.join(first, "digest").filter(rank > F.col("first"))
     unit = F.struct(
-        F.when(F.col("whole"), "line").otherwise("segment").alias("unit"), "start", "end", "word", "n_words",
+        F.when(F.col("whole"), "line").otherwise("segment").alias("unit"), "start", "end", "word", "n_words", (F.length("digest") > 17).alias("copy"),
         F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     # The units of one line of one document meet here.
     lines = again.groupBy("doc_id", "key", "line").agg(
@@ -169,8 +176,10 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int
     document = Window.partitionBy("doc_id", "key").orderBy("word", "start")
     begins = F.coalesce(F.lag(F.col("word") + F.col("n_words")).over(document) != F.col("word"), F.lit(True))
     numbered = gone.withColumn("begins", begins.cast("int")).withColumn("passage", F.sum("begins").over(document))
-    total = F.sum("n_words").over(Window.partitionBy("doc_id", "key", "passage"))
-    return numbered.withColumn("total", total).filter(F.col("total") >= min_passage).select(
+    passage = Window.partitionBy("doc_id", "key", "passage")
+    in_lines = F.sum(F.when(F.col("unit") == "line", F.col("n_words"))).over(passage)
+    numbered = numbered.withColumns({"total": F.sum("n_words").over(passage), "in_lines": in_lines})
+    return numbered.filter((F.col("total") >= min_passage) | (F.col("unit") == "line") & (F.col("copy") | (F.col("in_lines") >= min_words))).select(
         "doc_id", "key", "unit", "start", "end", "n_words", "first_doc_id", "first_start")
 
 

@@ -262,6 +262,15 @@ def test_repeated_passages_of_short_lines(spark):
     assert left[5] == rows[4][1] and single.startswith(left[6]) and left[6]
 
 
+def test_repeated_lines_and_short_copies(spark):
+    own = [odd.prose(90 + n, 30) for n in range(4)]
+    line = odd.prose(95, 9)
+    rows = [(1, f"{own[0]}\n{line}\n{own[1]}"), (2, f"{own[2]}\n{line}\n{own[3]}"), (3, "only four\nwords here"), (4, "only four\nwords here"),
+            (5, "three lines of\nfour words each\nand some more words"), (6, "three lines of\nfour words each\nand some more words"), (7, "words here")]
+    left = {r.doc_id: r.text for r in unit_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == dict(rows) | {2: f"{own[2]}\n{own[3]}", 4: "", 6: ""}
+
+
 def test_licenses(docs, spark, nothing):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert got[18].licences == "MIT" and got[18].n_left == 0 and got[4].licences == "" and got[4].n_sentences == 0
