@@ -327,6 +327,15 @@ def test_both_readings_of_a_text_count(spark):
         (1, "MIT,Apache-2.0", 3, 0), (2, "MIT,Apache-2.0", 3, 0), (3, "MIT,Apache-2.0", 5, 0), (4, "MIT", 4, 0)]
 
 
+def test_every_query_row_has_its_own_ranks(spark):
+    texts = [odd.prose(100 + n % 2, 30) for n in range(8)]
+    index = topk_search.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    queries = spark.createDataFrame([(q, texts[n]) for q in (7, None) for n in (0, 1)], "doc_id long, text string")
+    got = as_rows(topk_search.search(index, queries, k=3), "query_id", "rank", "doc_id")
+    want = [(q, rank, 2 * (rank - 1) + n) for q in (7, None) for n in (0, 1) for rank in (1, 2, 3)]
+    assert got == sorted(want, key=repr)
+
+
 def test_search(docs, nothing, monkeypatch):
     index = topk_search.build_index(docs)
     queries = docs.filter("doc_id % 2 = 0 OR doc_id IS NULL")
