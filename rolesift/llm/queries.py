@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm import license_scan, line_dedup, mixing, near_dups, packing, repetition, secret_scan, topk_search, unit_dedup, warc_index
+from rolesift.llm import audit_queries, license_scan, line_dedup, mixing, near_dups, packing, repetition, secret_scan, topk_search, unit_dedup, warc_index
 from rolesift.session import scratch_folder
 
 MIX_WEIGHTS = [5, 2, 1]
@@ -223,4 +223,4 @@ QUERIES = {
     "op8_unit_dedup": (repeated_passages, None),
     "op9_license_scan": (licenses, _license_sql()),
     "op10_topk_search": (best_documents, SEARCH_SQL),
-}
+} | audit_queries.QUERIES
