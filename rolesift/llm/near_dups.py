@@ -1,27 +1,30 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Each distinct shingle set gets a signature of TREES x PREFIX values. Every tree
-sorts the sets by its own order of the signature: the first PREFIX values of a
-tree are its own, those of the next tree follow. Sets next to each other that
-share at least the prefix are candidates. In a crowded region the order goes on
-into the following values, so neighbours there share longer prefixes: the depth
-follows the region, and each set has a bounded number of neighbours, however
-many sets share its prefix. A tree is cut by range, so a crowded region is
-spread over tasks; the rows at the cuts are compared once more.
-
-Where a prefix is shared by sets that are no neighbours, pairs may be missing.
-All such sets are joined exactly at the end, whatever tree they met in, on the
-shingles of each that are rarest among them: two sets at the limit share one of
-the first few in any fixed order. Pairs inside one class are not formed.
+Each distinct shingle set gets a signature of VALUES values. Every tree sorts the
+sets by its own order of the signature: PREFIX values as the root, then all
+others, four bits of each, so rows beside each other have the longest common
+prefixes. Depth follows the region: sets that share a root with at most SMALL
+sets are compared with all of them; in a more crowded region the order goes on
+through the signature and a set is compared with the sets beside it. A tree is
+cut by range, so a crowded region is spread over tasks; the rows at the cuts are
+compared once more.
+
+Sets of a crowded region agree in most values (a form, a page frame), so those
+values tell its sets apart badly. Such sets get MORE values and are sorted once
+more, in one order per value in which a set differs from most of its region,
+rooted in that value alone: sets that share a filled-in part stand beside each
+other there, whatever the size of the region. Each set has a bounded number of
+neighbours in every order, so candidates grow with the sets.
 
 A candidate counts only when the full sets reach the similarity. First each
-set's best candidates are confirmed, then those between classes that are still
-apart, finally all. A pair that fails, of which one side belongs to a class, is
-tried again against that class's most central member, since a set may be close
-to the centre of a class and to nobody else in it; this goes on until no link is
-new. Copies count once from the start: a set stands for all its documents.
-
-At similarity 0.8 a pair shares the prefix of at least one of 20 trees with
+set's best candidates are confirmed, twice; then all between classes that are
+still apart. After each step a set beside a member of another class is compared
+with that class's hub, the member with most links, since a set may be close to
+the centre of a class and to nobody else in it; this goes on until no link is
+new, once per set and hub. Copies count once from the start: a set stands for
+all its documents.
+
+At similarity 0.8 a pair shares the root of at least one of 20 trees with
 probability 1 - (1 - 0.8^4)^20, more than 0.9999.
 """
 
@@ -40,19 +43,25 @@ from pyspark.sql import functions as F
 from rolesift.llm.base import aside, held, row_key, slices, written
 from rolesift.operators.joins import look_up, salted_join
 
-TREES, PREFIX, NEIGHBOURS = 20, 4, 3
+TREES, PREFIX = 20, 4
 VALUES = TREES * PREFIX
+#: Values of sets in crowded regions beyond those.
+MORE = 160
+#: A region of so many sets is compared pair by pair; a larger one row by row in its order.
+SMALL = 8
+#: Trees whose crowded regions say in which values their sets differ.
+REGION_TREES = range(0, TREES, 5)
 #: Of VALUES four-bit values at least so many agree in a pair at the limit, but for 1 in 10,000.
 LEAST_MATCHES = 52
 #: Best candidates per set that are confirmed in the first rounds; then all that are left.
 QUOTAS = (1, 1, None)
 EDGES_PER_TASK = 500_000
-#: Counts that order shingles by rarity; shingles that share one only cost time.
-COUNTS = 1 << 20
 RESULT = "a binary, b binary, ca binary, cb binary, similarity double, linked boolean"
 SETS = "doc_id long, key binary, n_shingles long, digest binary, signature binary, shingles binary"
-RARE = "token long, digest binary, n int, pos int, indexed boolean"
-NODE = "tree int, k1 long, k2 long, digest binary, n long, bits binary"
+NODE = "tree int, root long, bits binary, digest binary, n long"
+ORDER = ["tree", "root", "bits", "digest"]
+FIELDS = [("tree", pa.int32()), ("root", pa.int64()), ("bits", pa.binary()), ("digest", pa.binary()), ("n", pa.int64())]
+FOUND = "a binary, b binary, matches int, region struct<tree:int,root:long>, edge struct<tree:int,root:long,bits:binary,digest:binary,n:long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,20 +94,20 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    base = _mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return base[:VALUES] | np.uint64(1), base[VALUES:]
+def _seeds(count: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    base = _mix(np.arange(first, first + 2 * count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return base[:count] | np.uint64(1), base[count:]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """VALUES 32-bit MinHash values per set; an empty set has zeros."""
-    out = np.zeros((len(sets), VALUES), np.uint32)
+def signatures(sets: list[np.ndarray], count: int = VALUES, first: int = 1) -> np.ndarray:
+    """``count`` 32-bit MinHash values per set; an empty set has zeros."""
+    out = np.zeros((len(sets), count), np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     if not full:
         return out
     flat = np.concatenate([sets[i] for i in full])
     starts = np.cumsum([0, *[len(sets[i]) for i in full[:-1]]])
-    for k, (a, b) in enumerate(zip(*_seeds(), strict=True)):
+    for k, (a, b) in enumerate(zip(*_seeds(count, first), strict=True)):
         out[full, k] = np.minimum.reduceat(flat * a + b, starts) >> np.uint64(32)
     return out
 
@@ -128,174 +137,169 @@ def _sketcher(size: int) -> Callable:
     return run
 
 
+def _nodes(part: pa.RecordBatch, rows: np.ndarray, tree: np.ndarray, root: np.ndarray, low: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    """Rows of orders: the four-bit values follow from place ``first`` on, round to the one before it."""
+    turned = low[rows[:, None], (first[:, None] + np.arange(VALUES)) % VALUES]
+    bits = turned[:, ::2] << 4 | turned[:, 1::2]
+    at = pa.array(rows)
+    return pa.RecordBatch.from_arrays([
+        pa.array(tree.astype(np.int32)), pa.array(root.view(np.int64)), pa.array([r.tobytes() for r in bits], pa.binary()),
+        part.column("digest").take(at), part.column("n").take(at)], names=[f[0] for f in FIELDS])
+
+
 def tree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per set and tree: prefix, the order behind it, and four bits of every value."""
+    """One row per set and tree: hash of the root's values, then four bits of every value from behind the root on."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 2_000):
             part = batch.slice(begin, 2_000)
             values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES)
-            low = (values & 15).astype(np.uint8)
-            bits = pa.array([row.tobytes() for row in (low[:, ::2] << 4 | low[:, 1::2])], pa.binary())
+            low, rows = (values & 15).astype(np.uint8), np.arange(len(values))
             for tree in range(TREES):
-                own = np.roll(values, -tree * PREFIX, axis=1).astype(np.uint64)
-                k1, k2 = np.zeros(len(own), np.uint64), np.zeros(len(own), np.uint64)
-                for i in range(PREFIX):
-                    k1 = _mix(k1 + own[:, i] + np.uint64(1))
-                    k2 = k2 << np.uint64(16) | own[:, PREFIX + i] >> np.uint64(16)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(own), tree, np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                    part.column("digest"), part.column("n"), bits], names=["tree", "k1", "k2", "digest", "n", "bits"])
+                root = np.zeros(len(values), np.uint64)
+                for i in range(tree * PREFIX, tree * PREFIX + PREFIX):
+                    root = _mix(root + values[:, i] + np.uint64(1))
+                yield _nodes(part, rows, np.full(len(rows), tree), root, low, np.full(len(rows), tree * PREFIX + PREFIX))
+
+
+def differing(low: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Which four-bit values of a set differ from most sets of its region, a run of rows; alone it differs in all."""
+    out = np.ones(low.shape, bool)
+    bounds = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if end - begin > 2:
+            counts = np.stack([(low[begin:end] == v).sum(axis=0) for v in range(16)])
+            out[begin:end] = low[begin:end] != counts.argmax(axis=0)
+    return out
+
+
+def differing_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per set and value in which it differs from its region, rooted in that value; sets of a region follow each other."""
+    for part in slices(batches, "shingles"):
+        sets = [_unpack(b) for b in part.column("shingles").to_pylist()]
+        values = np.concatenate((signatures(sets), signatures(sets, MORE, 1 + 2 * VALUES)), axis=1)
+        low = (values & 15).astype(np.uint8)
+        region = _mix(part.column("root").to_numpy().view(np.uint64) + part.column("tree").to_numpy().astype(np.uint64))
+        rows, column = np.nonzero(differing(low, region))
+        for begin in range(0, len(rows), 20_000):
+            at, c = rows[begin:begin + 20_000], column[begin:begin + 20_000]
+            yield _nodes(part, at, TREES + c, _mix(values[at, c] + np.uint64(1)), low[:, :VALUES], np.where(c < VALUES, c + 1, 0))
 
 
 def _neighbours(percent: int, with_edges: bool) -> Callable:
-    """Candidates among rows in tree order: rows up to NEIGHBOURS apart that share the prefix.
+    """Candidates among rows in the order of trees, sets of crowded regions, and the rows at both ends."""
+    names = [f[0] for f in FIELDS]
+    node, region = pa.struct(FIELDS), pa.struct(FIELDS[:2])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("matches", pa.int32()), ("region", region), ("edge", node)])
 
-    Rows that share it with one further away leave their digest, without a partner.
-    """
-    reach = NEIGHBOURS + 1
-    fields = [("tree", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bits", pa.binary())]
-    node = pa.struct(fields)
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("matches", pa.int32()), ("edge", node)])
-    names = [f[0] for f in fields]
+    def out(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def edges(rows: pa.RecordBatch) -> pa.RecordBatch:
-        n = rows.num_rows
-        column = pa.StructArray.from_arrays([rows.column(c) for c in names], fields=[pa.field(*f) for f in fields])
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), column], schema=schema)
+        column = pa.StructArray.from_arrays([rows.column(c) for c in names], fields=[pa.field(*f) for f in FIELDS])
+        return pa.RecordBatch.from_arrays([*[pa.nulls(rows.num_rows, f.type) for f in list(schema)[:4]], column], schema=schema)
+
+    def compared(rows: pa.RecordBatch, crowd: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole regions; with ``crowd`` the first row is the last one of a crowded region and was compared with those before it."""
+        if not rows.num_rows:
+            return
+        tree, root, n = (rows.column(c).to_numpy() for c in ("tree", "root", "n"))
+        digest = rows.column("digest").to_pylist()
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(tree), -1)
+        starts = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (root[1:] != root[:-1]))))
+        sizes = np.diff(np.append(starts, len(tree)))
+        of = np.repeat(np.arange(len(starts)), sizes)
+        crowded = sizes > SMALL
+        crowded[0] |= crowd
+        for apart in range(1, min(SMALL, len(tree))):
+            j = np.arange(apart, len(tree))
+            i = j - apart
+            near = (of[i] == of[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if apart > 1:
+                near &= ~crowded[of[j]]
+            i, j = i[near], j[near]
+            differ = bits[i] ^ bits[j]
+            matches = ((differ & 15 == 0).sum(axis=1) + (differ & 240 == 0).sum(axis=1)).astype(np.int32)
+            pairs = [(min(digest[x], digest[y]), max(digest[x], digest[y]), m)
+                     for x, y, m in zip(i.tolist(), j.tolist(), matches.tolist(), strict=True) if m >= LEAST_MATCHES and digest[x] != digest[y]]
+            if pairs:
+                a, b, m = zip(*pairs, strict=True)
+                yield out(len(a), a=a, b=b, matches=m)
+        for k in np.flatnonzero(crowded & (sizes > SMALL) & np.isin(tree[starts], REGION_TREES)).tolist():
+            at = slice(int(starts[k]), int(starts[k] + sizes[k]))
+            size = at.stop - at.start
+            yield out(size, a=digest[at], region=[{"tree": int(tree[at.start]), "root": int(root[at.start])}] * size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried, seen = None, 0
+        # The last region of a batch may go on in the next: a small one waits, of a crowded one the last row does.
+        waiting, crowd, seen, last = None, False, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             fresh = batch.select(names)
-            if with_edges and seen < reach:
-                yield edges(fresh.slice(0, reach - seen))
+            if with_edges and seen < SMALL:
+                yield edges(fresh.slice(0, SMALL - seen))
             seen += fresh.num_rows
-            rows = fresh if carried is None else pa.Table.from_batches([carried, fresh]).combine_chunks().to_batches()[0]
-            begin = 0 if carried is None else carried.num_rows
-            tree, k1, n = (rows.column(c).to_numpy() for c in ("tree", "k1", "n"))
-            digest = rows.column("digest").to_pylist()
-            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(tree), -1)
-            for apart in range(1, NEIGHBOURS + 1):
-                j = np.arange(max(begin, apart), len(tree))
-                i = j - apart
-                near = (tree[i] == tree[j]) & (k1[i] == k1[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                i, j = i[near], j[near]
-                differ = bits[i] ^ bits[j]
-                matches = ((differ & 15 == 0).sum(axis=1) + (differ & 240 == 0).sum(axis=1)).astype(np.int32)
-                found = [(min(digest[x], digest[y]), max(digest[x], digest[y]), m)
-                         for x, y, m in zip(i.tolist(), j.tolist(), matches.tolist(), strict=True)
-                         if m >= LEAST_MATCHES and digest[x] != digest[y]]
-                if found:
-                    a, b, m = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(m, pa.int32()), pa.nulls(len(a), node)], schema=schema)
-            j = np.arange(max(begin, reach), len(tree))
-            i = j - reach
-            far = (tree[i] == tree[j]) & (k1[i] == k1[j])
-            crowded = list({digest[x] for x in np.concatenate((i[far], j[far])).tolist()})
-            if crowded:
-                none = pa.nulls(len(crowded), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(crowded, pa.binary()), none, pa.nulls(len(crowded), pa.int32()), pa.nulls(len(crowded), node)], schema=schema)
-            carried = rows.slice(max(0, rows.num_rows - reach))
-        if with_edges and carried is not None:
-            yield edges(carried)
+            if with_edges:
+                last = fresh if last is None else _joined(last, fresh)
+                last = last.slice(max(0, last.num_rows - SMALL))
+            rows = fresh if waiting is None else _joined(waiting, fresh)
+            tree, root = rows.column("tree").to_numpy(), rows.column("root").to_numpy()
+            same = np.flatnonzero((tree != tree[-1]) | (root != root[-1]))
+            begin = int(same[-1]) + 1 if len(same) else 0
+            goes_on = crowd and begin == 0
+            if goes_on or rows.num_rows - begin > SMALL:
+                yield from compared(rows, crowd)
+                waiting, crowd = rows.slice(rows.num_rows - 1), True
+            else:
+                yield from compared(rows.slice(0, begin), crowd)
+                waiting, crowd = rows.slice(begin), False
+        if waiting is not None:
+            yield from compared(waiting, crowd)
+        if with_edges and last is not None:
+            yield edges(last)
 
     return run
 
 
-def candidate_pairs(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """a < b (digests) and matches: neighbours in any tree, each pair once. ``nodes``: digest, n, signature.
+def _joined(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.Table.from_batches([a, b]).combine_chunks().to_batches()[0]
 
-    Beside them the digests of sets that share a prefix with sets beyond their neighbours.
-    """
-    order = ["tree", "k1", "k2", "digest"]
-    schema = "a binary, b binary, matches int, edge struct<tree:int,k1:long,k2:long,digest:binary,n:long,bits:binary>"
-    trees = nodes.mapInArrow(tree_rows, NODE)
-    found = written(
-        trees.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(percent, True), schema), "neighbours")
-    # The first and last rows of every range meet again, so no neighbour is lost at a cut.
-    cuts = found.filter("edge IS NOT NULL").select("edge.*").distinct().repartition("tree").sortWithinPartitions(*order)
-    every = found.filter("edge IS NULL").unionByName(written(cuts.mapInArrow(_neighbours(percent, False), schema), "cuts"))
-    pairs = every.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("matches").alias("matches"))
-    return pairs, every.filter("b IS NULL").select(F.col("a").alias("digest")).distinct()
-
-
-def _counter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles fall on each count."""
-    total = np.zeros(COUNTS, np.int64)
-    for batch in batches:
-        for blob in batch.column("shingles").to_pylist():
-            np.add.at(total, (_mix(_unpack(blob)) % np.uint64(COUNTS)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
+def _ordered_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """What ``_neighbours`` finds in all orders of ``rows``, over the cuts between tasks too."""
+    found = written(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_neighbours(percent, True), FOUND), "neighbours")
+    cuts = found.filter("edge IS NOT NULL").select("edge.*").distinct().repartition("tree").sortWithinPartitions(*ORDER)
+    return found.filter("edge IS NULL").unionByName(written(cuts.mapInArrow(_neighbours(percent, False), FOUND), "cuts"))
 
-def rarest(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The rarest shingles of a set, rarest first, and how many of them meet a larger set.
 
-    A pair of that similarity has a shingle in common among all of the larger
-    set and the second number of the smaller one.
-    """
-    n = len(shingles)
-    spread = _mix(shingles)
-    order = np.lexsort((spread, counts[(spread % np.uint64(COUNTS)).astype(np.int64)]))
-    most = min(n, n + (-percent * n) // 100 + 1)
-    return shingles[order[:most]], min(n, n + (-2 * percent * n) // (100 + percent) + 1)
-
-
-def _rare_rows(counts, percent: int) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for digest, blob in zip(batch.column("digest").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                token, indexed = rarest(_unpack(blob), counts.value, percent)
-                size, at = len(token), np.arange(len(token), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(token.astype(np.int64)), pa.array([digest] * size, pa.binary()), pa.array(np.full(size, len(blob) // 6, np.int32)),
-                    pa.array(at), pa.array(at < indexed)], names=["token", "digest", "n", "pos", "indexed"])
-
-    return run
-
-
-def crowded_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """a < b, ca, cb: every pair of ``sets`` (digest, shingles) in two classes that may reach the similarity."""
-    context = sets.sparkSession.sparkContext
-    found = sets.select("shingles").mapInArrow(_counter, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTS, np.int64)
-    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    shared = context.broadcast(counts)
-    rare = sets.select("digest", "shingles").mapInArrow(_rare_rows(shared, percent), RARE)
-    rare = written(look_up(rare, label.withColumnRenamed("node", "digest"), ["digest"], F.col("token")), "rare")
-    shared.destroy()
-    # Of each shingle that is in several classes, rows outside its largest class meet all rows.
-    largest = rare.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(
-        F.max(F.struct("size", "class")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", F.col("m.class").alias("largest"))
-    rare = written(look_up(rare, written(largest, "largest"), ["token"], F.col("digest")), "shared")
-    names = ["digest", "n", "pos", "indexed", "class"]
-    other = rare.filter("class <> largest").select("token", *[F.col(c).alias(f"o_{c}") for c in names])
-    # The smaller set is met by few shingles; sizes and places must leave room for enough common ones.
-    fits = (
-        "class <> o_class AND IF(n > o_n OR n = o_n AND digest > o_digest, o_indexed, indexed) "
-        f"AND 100 * least(n, o_n) >= {percent} * greatest(n, o_n) AND {100 + percent} * least(n - pos, o_n - o_pos) >= {percent} * (n + o_n)")
-    met = salted_join(rare.drop("largest"), other, ["token"], F.col("digest")).filter(fits)
-    turned = F.col("digest") < F.col("o_digest")
-    return met.select(*[F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in (
-        ("a", "digest", "o_digest"), ("b", "o_digest", "digest"), ("ca", "class", "o_class"), ("cb", "o_class", "class"))]).distinct()
+def candidate_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a < b (digests) and matches: neighbours in any order, each pair once. ``nodes``: digest, n, signature; ``sets``: digest, shingles."""
+    found = _ordered_pairs(nodes.mapInArrow(tree_rows, NODE), percent)
+    crowds = written(found.filter("region IS NOT NULL").groupBy(F.col("a").alias("digest")).agg(
+        F.min("region").alias("r")).select("digest", "r.*"), "crowds")
+    pairs = found
+    if not crowds.isEmpty():
+        full = look_up(sets, crowds, ["digest"], F.col("doc_id")).dropDuplicates(["digest"]).withColumn(
+            "n", (F.octet_length("shingles") / 6).cast("long"))
+        by = ["tree", "root", "digest"]
+        again = full.select(*by, "n", "shingles").repartitionByRange(*by).sortWithinPartitions(*by)
+        pairs = pairs.unionByName(_ordered_pairs(again.mapInArrow(differing_rows, NODE), percent))
+    return pairs.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("matches").alias("matches"))
 
 
 def _confirm(percent: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common = [
-                len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
-                for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
-            union = [(len(x) + len(y)) // 6 - c for x, y, c in zip(
-                batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), common, strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                *[batch.column(c) for c in ("a", "b", "ca", "cb")], pa.array([c / u for c, u in zip(common, union, strict=True)], pa.float64()),
-                pa.array([100 * c >= percent * u for c, u in zip(common, union, strict=True)], pa.bool_())],
+        for part in slices(batches, "set_a"):
+            similarity, linked = [], []
+            for x, y in zip(part.column("set_a"), part.column("set_b"), strict=True):
+                x, y = _unpack(x.as_py()), _unpack(y.as_py())
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - common
+                similarity.append(common / union)
+                linked.append(100 * common >= percent * union)
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in ("a", "b", "ca", "cb")], pa.array(similarity, pa.float64()), pa.array(linked, pa.bool_())],
                 names=["a", "b", "ca", "cb", "similarity", "linked"])
 
     return run
@@ -350,7 +354,7 @@ def components(edges: DataFrame) -> DataFrame:
     no task.
     """
     parts = -(-edges.count() // EDGES_PER_TASK)
-    stars = written(edges.select("a", "b").coalesce(max(parts, 1)).mapInArrow(_forest, "node binary, root binary"), "stars")
+    stars = written(edges.select("a", "b").repartition(max(parts, 1)).mapInArrow(_forest, "node binary, root binary"), "stars")
     if parts <= 1:
         return stars
     edges = written(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v").distinct(), "edges")
@@ -379,62 +383,60 @@ def _relabelled(df: DataFrame, columns: list[str], roots: DataFrame, salt: str)
 
 def classes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, class for every digest that is linked with another. ``sets``: digest, doc_id, shingles, a row per document."""
-    pairs, crowded = candidate_pairs(nodes, percent)
-    left = written(pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b")), "candidates")
-    crowded = written(crowded, "crowded")
-    # Only sets that have a candidate or a crowd are carried on; few such digests are sent to the sets, not the sets to them.
-    ends = written(left.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(crowded).distinct(), "ends")
+    left = written(candidate_pairs(nodes, sets, percent).withColumns(
+        {"ca": F.col("a"), "cb": F.col("b"), "tested": F.lit(False)}), "candidates")
+    # Only sets that have a candidate are carried on; few such digests are sent to the sets, not the sets to them.
+    ends = written(left.select("a").unionByName(left.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "digest"), "ends")
     sets = written(look_up(sets, ends, ["digest"], F.col("doc_id"), "left_semi").select("digest", "shingles").dropDuplicates(["digest"]), "sets")
     label = written(sets.select(F.col("digest").alias("node"), F.col("digest").alias("class")), "classes")
-    tested = None
-
-    def settle(results: DataFrame) -> DataFrame | None:
-        """What classes of linked pairs become part of; None if nothing is new."""
-        nonlocal label, tested
-        tested = results if tested is None else tested.unionByName(results)
-        new = written(results.filter("linked AND ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    degrees, met = None, None
+
+    def settle(results: DataFrame) -> bool:
+        """Contract the classes of linked pairs; False if nothing is new."""
+        nonlocal label, left, degrees
+        linked = results.filter("linked")
+        ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("d"))
+        degrees = written((ends if degrees is None else degrees.unionByName(ends)).groupBy("node").agg(F.sum("d").alias("d")), "degrees")
+        new = written(linked.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
         if new.isEmpty():
-            return None
+            return False
         roots = components(new)
         label = written(_relabelled(label, ["class"], roots, "node"), "classes")
-        tested = written(_relabelled(tested, ["ca", "cb"], roots, "a"), "tested")
-        return roots
+        left = written(_relabelled(left, ["ca", "cb"], roots, "a").filter("ca <> cb"), "candidates")
+        return True
+
+    def by_hubs() -> None:
+        """Compare sets with the hubs of the classes they stand beside, until no link is new."""
+        nonlocal met
+        while True:
+            hubs = written(degrees.join(label, "node").groupBy("class").agg(F.max(F.struct("d", "node")).alias("m")).select(
+                "class", F.col("m.node").alias("hub")), "hubs")
+            sides = [
+                look_up(left.withColumn("class", F.col(there)), hubs, ["class"], F.col("a")).select(
+                    F.col(node).alias("a"), F.col("hub").alias("b"), F.col(here).alias("ca"), F.col(there).alias("cb"))
+                for node, here, there in (("a", "ca", "cb"), ("b", "cb", "ca"))]
+            again = sides[0].unionByName(sides[1]).distinct()
+            if met is not None:
+                again = again.join(met, ["a", "b"], "left_anti")
+            again = written(again, "again")
+            if again.isEmpty():
+                return
+            met = again.select("a", "b") if met is None else met.unionByName(again.select("a", "b"))
+            if not settle(confirmed(again, sets, percent, hubs=True)):
+                return
 
     for quota in QUOTAS:
-        if quota is not None:
-            # A set has at most 2 x NEIGHBOURS x TREES candidates, so these windows are small.
-            best = [F.row_number().over(Window.partitionBy(c).orderBy(F.col("matches").desc(), "a", "b")) <= quota for c in ("a", "b")]
-            left = written(left.withColumn("now", best[0] | best[1]), "candidates")
+        if quota is None:
+            now = ~F.col("tested")
         else:
-            left = left.withColumn("now", F.lit(True))
-        roots = settle(confirmed(left.filter("now"), sets, percent))
-        if quota is not None:
-            left = left.filter("NOT now").drop("now")
-            if roots is not None:
-                left = _relabelled(left, ["ca", "cb"], roots, "a").filter("ca <> cb")
-            left = written(left, "candidates")
-
-    while True:
-        flat = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("class")), F.struct(F.col("b").alias("node"), F.col("cb").alias("class"))))
-        excess = tested.select(flat.alias("e"), (F.col("similarity") - percent / 100).alias("d"))
-        central = written(
-            excess.groupBy("e.node", "e.class").agg(F.sum("d").alias("d")).groupBy("class").agg(
-                F.max(F.struct("d", "node")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("class", F.col("m.node").alias("hub")), "hubs")
-        failed = tested.filter("NOT linked AND ca <> cb").select("a", "b", "ca", "cb")
-        sides = failed.select("a", "ca", "cb").unionByName(failed.select(F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("ca").alias("cb")))
-        retried = look_up(sides.withColumn("class", F.col("cb")), central, ["class"], F.col("a")).select(
-            "a", F.col("hub").alias("b"), "ca", "cb", F.lit(True).alias("fresh"))
-        known = [tested.select(F.col(x).alias("a"), F.col(y).alias("b"), F.lit(None).cast("binary").alias("ca"),
-                               F.lit(None).cast("binary").alias("cb"), F.lit(False).alias("fresh")) for x, y in (("a", "b"), ("b", "a"))]
-        again = written(
-            retried.unionByName(known[0]).unionByName(known[1]).groupBy("a", "b").agg(
-                F.max("ca").alias("ca"), F.max("cb").alias("cb"), F.every("fresh").alias("fresh")).filter("fresh").drop("fresh"), "again")
-        if again.isEmpty() or settle(confirmed(again, sets, percent, hubs=True)) is None:
-            break
-
-    if not crowded.isEmpty():
-        rest = written(look_up(sets, crowded, ["digest"], F.col("digest"), "left_semi"), "crowded-sets")
-        settle(confirmed(written(crowded_pairs(rest, label, percent), "crowded-pairs"), sets, percent))
+            # A set has a bounded number of neighbours in a bounded number of orders, so these windows are small.
+            best = [F.row_number().over(Window.partitionBy(c).orderBy("tested", F.col("matches").desc(), "a", "b")) <= quota for c in ("a", "b")]
+            now = ~F.col("tested") & (best[0] | best[1])
+        left = written(left.withColumn("now", now), "candidates")
+        chosen = left.filter("now")
+        left = left.select("a", "b", "matches", "ca", "cb", (F.col("tested") | F.col("now")).alias("tested"))
+        if settle(confirmed(chosen, sets, percent)):
+            by_hubs()
     return label
 
 
