@@ -109,10 +109,15 @@ class CuckooFilter:
         return False
 
     def delete(self, digests: np.ndarray) -> None:
-        """Remove digests that were inserted before."""
+        """Remove digests that were inserted before.
+
+        The largest table that has the fingerprint loses it. Digests with equal
+        buckets there have equal buckets in all smaller tables too, so if the
+        entry was another digest's, that one is found by the entry left behind.
+        """
         prints, first, jump = self._hashes(digests)
         for p, f, j in zip(prints.tolist(), first.tolist(), jump.tolist(), strict=True):
-            for table in self.tables:
+            for table in reversed(self.tables):
                 mask = len(table) - 1
                 places = [(at, s) for at in {f & mask, ((f & mask) ^ j) & mask} for s in range(SLOTS) if table[at, s] == p]
                 if places:
@@ -166,7 +171,9 @@ def _changed(index: LineIndex, docs: DataFrame, sign: int, text_column: str) ->
     before = index.refs.select("digest", "refs", F.lit(0).cast("long").alias("delta"))
     counts = written(
         before.unionByName(batch).groupBy("digest").agg(F.sum("refs").alias("before"), F.sum("delta").alias("delta"))
-        .select("digest", "before", F.greatest(F.col("before") + F.col("delta"), F.lit(0)).alias("refs")), "line-counts")
+        .select("digest", "before", (F.col("before") + F.col("delta")).alias("refs")), "line-counts")
+    if sign < 0 and not counts.filter("refs < 0").isEmpty():
+        raise ValueError("documents to delete were not inserted before")
     limit = index.min_documents
     crossing = counts.filter((F.col("before") < limit) != (F.col("refs") < limit)).select(
         _shard(F.col("digest"), index.shards).alias("shard"), "digest", (F.col("refs") >= limit).alias("gained"))
@@ -190,7 +197,7 @@ def insert(index: LineIndex, docs: DataFrame, text_column: str = "text") -> Line
 
 
 def delete(index: LineIndex, docs: DataFrame, text_column: str = "text") -> LineIndex:
-    """The index without these documents, which were inserted before: the inverse of ``insert``."""
+    """The index without these documents, the inverse of ``insert``; ValueError if a line of theirs has fewer documents."""
     return _changed(index, docs, -1, text_column)
 
 
