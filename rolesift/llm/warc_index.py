@@ -16,7 +16,6 @@ import hashlib
 import io
 import re
 from collections.abc import Iterable, Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +27,9 @@ from rolesift.operators.joins import look_up
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
 RECORDS_PER_FILE = 2_000
+ROWS_PER_RANGE = 200_000
+#: Host, path and query of a URL.
+URL = re.compile(r"(?:[^:/?#]+:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", re.DOTALL)
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 # Fixed value: the profile name of the WARC standard for equal payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,10 +110,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, time: Colu
 
 
 def url_key(url: str) -> str:
-    """Host labels reversed, then path and query, in lower case: pages of a site are neighbours."""
-    parts = urlsplit(re.sub(r"[\[\]]", "_", url))
-    host = ",".join(reversed((parts.netloc.rpartition("@")[2]).lower().split(".")))
-    return f"{host}){parts.path.lower() or '/'}" + (f"?{parts.query.lower()}" if parts.query else "")
+    """Host labels reversed, then path and query, in lower case: pages of a site are neighbours.
+
+    Any text has a key: what has no scheme or host is all path.
+    """
+    host, path, query = URL.match(url).groups("")
+    host = ",".join(reversed(host.rpartition("@")[2].lower().split(".")))
+    return f"{host}){path.lower() or '/'}" + (f"?{query.lower()}" if query else "")
 
 
 def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -210,7 +215,9 @@ class LoserTree:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All captures in order of URL key, time, archive and offset, over all partitions in turn.
 
-    ``runs`` is a written table. Repeated captures stay; an empty table gives an empty index.
+    ``runs`` is a written table. Repeated captures stay; an empty table gives an
+    empty index. A range has some ROWS_PER_RANGE captures however many there
+    are; file and offset tell all apart, so no key owns a range.
     """
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
@@ -225,7 +232,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         order = [key[4] for key in LoserTree(list(parts.values()))]
         yield from table.take(order).to_batches(max_chunksize=10_000)
 
-    cut = runs.repartitionByRange("urlkey", "timestamp", "file", "offset").sortWithinPartitions("file", "seq")
+    ranges = max(-(-runs.count() // ROWS_PER_RANGE), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = runs.repartitionByRange(ranges, "urlkey", "timestamp", "file", "offset").sortWithinPartitions("file", "seq")
     return cut.mapInArrow(merged, CAPTURE)
 
 
