@@ -83,6 +83,14 @@ SENTENCES = {
     "ccbync4_named": "licensed under cc by nc 4 0",
     "ccby4_named": "licensed under cc by 4 0",
     "ccbysa4_named": "licensed under cc by sa 4 0",
+    "agpl3_terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the "
+                   "free software foundation either version 3 of the license or at your option any later version",
+    "agpl_see": "see the gnu affero general public license for more details",
+    "unlicense_domain": "this is free and unencumbered software released into the public domain",
+    "zlib_warranty": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+                  "redistribute it freely subject to the following restrictions",
+    "cc0_waived": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "all_rights": "copyright all rights reserved",
     "rights_reserved": "all rights reserved",
 }
@@ -108,6 +116,11 @@ RULES = [
     ("LGPL-3.0-or-later", ["lgpl3_terms"]),
     ("LGPL-2.1-or-later", ["lgpl_terms_any", "version2_1", "lgpl_no_warranty", "gpl_implied", "lgpl_see", "lgpl_received"]),
     ("LGPL-2.1-or-later", ["lgpl_terms_any", "version2_1"]),
+    ("AGPL-3.0-or-later", ["agpl3_terms", "gpl_no_warranty", "gpl_implied", "agpl_see"]),
+    ("AGPL-3.0-or-later", ["agpl3_terms"]),
+    ("Unlicense", ["unlicense_domain"]),
+    ("Zlib", ["zlib_warranty", "zlib_grant"]),
+    ("CC0-1.0", ["cc0_waived"]),
     ("MPL-2.0", ["mpl2_terms"]),
     ("ISC", ["isc_grant", "isc_warranty"]),
     ("ISC", ["isc_grant_and", "isc_warranty"]),
@@ -120,7 +133,19 @@ RULES = [
     ("All rights reserved", ["all_rights"]),
     ("All rights reserved", ["rights_reserved"]),
 ]
-KEYWORDS = ["licen", "permission", "redistribut", "warrant", "copyright", "rights reserved"]
+# One line of a file's head names a licence by its identifier.
+IDENTIFIERS = [
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "BSL-1.0", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+]
+for identifier in IDENTIFIERS:
+    words = re.sub("[^a-z0-9]+", " ", identifier.lower())
+    SENTENCES[f"spdx_{words.replace(' ', '_')}"] = f"spdx license identifier {words}"
+    RULES.append((identifier, [f"spdx_{words.replace(' ', '_')}"]))
+KEYWORDS = ["licen", "permission", "redistribut", "warrant", "copyright", "rights[^a-z0-9]+reserved", "unencumbered"]
+#: Stands where a rule took its sentences, so those around it do not become neighbours.
+TAKEN = "|"
 KEYWORD = "|".join(KEYWORDS)
 LINE_END = r"\n+"
 SENTENCE_END = r"[.!?:;]+(?:\s+|$)|\n\s*\n"
@@ -168,10 +193,10 @@ def matched(sequence: Column) -> Column:
 
     def apply(state: Column, rule: Column) -> Column:
         taken = F.struct(
-            F.replace(state["left"], rule["ids"], F.lit("")).alias("left"), F.array_append(state["found"], rule["licence"]).alias("found"))
+            F.replace(state["left"], rule["ids"], F.lit(TAKEN)).alias("left"), F.array_append(state["found"], rule["licence"]).alias("found"))
         return F.when(F.contains(state["left"], rule["ids"]), taken).otherwise(state)
 
-    return F.aggregate(rules, start, apply)
+    return F.when(sequence == "", start).otherwise(F.aggregate(rules, start, apply))
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

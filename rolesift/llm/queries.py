@@ -177,23 +177,26 @@ def _license_sql() -> str:
     steps, last = [], "s0"
     for number, (licence, ids) in enumerate(license_scan.RULES, 1):
         sequence = quoted("".join(f"<{i}>" for i in ids))
-        steps.append(f"""s{number} AS (SELECT doc_id, n_sentences, replace(seq, {sequence}, '') AS seq,
+        steps.append(f"""s{number} AS (SELECT doc_id, n_sentences, replace(seq, {sequence}, '{license_scan.TAKEN}') AS seq,
   CASE WHEN contains(seq, {sequence}) AND NOT list_contains(found, {quoted(licence)}) THEN list_append(found, {quoted(licence)}) ELSE found END AS found FROM {last})""")
         last = f"s{number}"
 
     def reading(name: str, end: str) -> str:
+        """Known sentences of a reading with the letters and digits before and up to their end."""
         return f"""{name}_p AS (SELECT doc_id, unnest(string_split_regex(t, '{end}')) AS s, generate_subscripts(string_split_regex(t, '{end}'), 1) AS i FROM d),
-{name} AS (SELECT doc_id, string_agg(id, '' ORDER BY i) AS seq, count(*) AS n FROM {name}_p JOIN k
-  ON k.s = trim(regexp_replace(translate({name}_p.s, {_LOWER}), '[^a-z0-9]+', ' ', 'g')) GROUP BY doc_id)"""
+{name}_s AS (SELECT doc_id, s, length(regexp_replace(s, '[^A-Za-z0-9]+', '', 'g')) AS size, sum(size) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM {name}_p),
+{name} AS (SELECT doc_id, stop - size AS start, stop, id FROM {name}_s JOIN k
+  ON k.s = trim(regexp_replace(translate({name}_s.s, {_LOWER}), '[^a-z0-9]+', ' ', 'g')))"""
 
     lines, sentences = reading("a", license_scan.LINE_END), reading("b", license_scan.SENTENCE_END)
     return f"""
 WITH k(s, id) AS (VALUES {known}), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {lines},
 {sentences},
-s0 AS (SELECT d.doc_id, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS n_sentences,
-  CASE WHEN coalesce(b.n, 0) > coalesce(a.n, 0) THEN b.seq ELSE coalesce(a.seq, '') END AS seq, CAST([] AS VARCHAR[]) AS found
-  FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)),
+u AS (SELECT *, stop > coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh
+  FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+g AS (SELECT doc_id, string_agg(id, '' ORDER BY start, stop DESC, id) AS seq, count(*) AS n FROM u WHERE fresh GROUP BY doc_id),
+s0 AS (SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(seq, '') AS seq, CAST([] AS VARCHAR[]) AS found FROM d LEFT JOIN g USING (doc_id)),
 {', '.join(steps)}
 SELECT doc_id, array_to_string(found, ',') AS licences, n_sentences, CAST(length(seq) - length(replace(seq, '<', '')) AS BIGINT) AS n_left FROM {last}"""
 
