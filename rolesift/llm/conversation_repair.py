@@ -162,19 +162,28 @@ def _auditor(id_type: pa.DataType) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, found = None, None
+        rows: list[tuple] = []
+        size = 0
 
-        def out() -> pa.RecordBatch:
+        def close() -> None:
+            nonlocal size
             cost, edits = repair(bytes(found["turns"]))
             gaps = found["last"] - found["first"] + 1 - found["distinct"] if found["distinct"] else 0
-            row = [found["id"], gaps, *found["faults"], found["illegal"], cost, edits]
-            return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            rows.append((found["id"], gaps, *found["faults"], found["illegal"], cost, edits))
+            size += len(edits)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("conv", "conv_id", "turn", "role", "digest", "blank", "cut", "again")]
             for key, conv_id, turn, role, digest, blank, cut, again in zip(*columns, strict=True):
                 if key != conv or found is None:
                     if found is not None:
-                        yield out()
+                        close()
+                        if size > 4_000_000 or len(rows) >= 5_000:
+                            yield out()
+                            rows, size = [], 0
                     conv, found = key, {"id": conv_id, "turns": bytearray(), "faults": [0, 0, 0], "illegal": 0, "distinct": 0,
                                         "first": 0, "last": None, "role": None, "digest": None}
                     continue
@@ -191,6 +200,7 @@ def _auditor(id_type: pa.DataType) -> Callable:
                 found["role"], found["digest"] = role[:1], (turn, digest)
                 found["turns"].append(symbol(role[:1], FINE if fault is None else CUT_OFF if fault == 2 else MUST_GO))
         if found is not None:
+            close()
             yield out()
 
     return run

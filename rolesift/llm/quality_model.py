@@ -1,6 +1,6 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, with a softmax on top.
 
-Features are characters n-grams inside words (white space counts as the mark of
+Features are character n-grams inside words (white space counts as the mark of
 a word's end), words, pairs of words, and words that come again within a few
 words: such a pair is named by its distance, whatever the word. Each is hashed
 to one of BUCKETS vectors. A document is the mean of its features' vectors; a
@@ -43,7 +43,7 @@ class Training:
 
     per_class: int = 1_000
     size: int = 16
-    epochs: int = 12
+    epochs: int = 8
     rate: float = 4.0
     seed: int = 11
 
@@ -128,7 +128,7 @@ def document_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Training, log_odds: float) -> Model:
-    """Vectors and softmax from (buckets, counts) and 0/1 labels; ``log_odds`` of label 1 among all labelled rows."""
+    """Vectors and softmax from (buckets, counts) and 0/1 labels; ``log_odds`` of label 1, for a sample with one label only."""
     rng = np.random.default_rng(settings.seed)
     ones = int(labels.sum())
     if not len(labels) or ones in (0, len(labels)):
@@ -155,7 +155,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, setting
             offset -= 0.1 * rate * error
             vectors[at] -= np.outer(rate * share, pull)
     direction = softmax[:, 1] - softmax[:, 0]
-    return Model((vectors @ direction).astype(np.float32), float(offset[1] - offset[0]) + log_odds)
+    return Model((vectors @ direction).astype(np.float32), float(offset[1] - offset[0]))
 
 
 def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
