@@ -38,7 +38,9 @@ WINDOW, UNIT, DEPTH = 4096, 64, 3
 BUCKET_ROWS = 20_000
 #: Parts of words a process remembers: some 50 MB.
 CACHED_PARTS = 250_000
-SLICE = 8_000_000
+SLICE = 2_000_000
+#: Words of every kind; a tokenizer that does not split them like WordEncoder encodes whole texts itself.
+PROBE = "The cat's 2,048 caf\u00e9s; na\u00efve x86-64 CPU <|x|> \u00df \u65e5\u672c a_b... (ok) 3rd\n\tEND! end#tag"
 
 
 def byte_letters() -> list[str]:
@@ -71,6 +73,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
+        self.by_words = True
+        want = self.tokenizer.encode(PROBE, add_special_tokens=False).ids
+        self.by_words = self.encode(pa.array([PROBE]))[0].tolist() == want and self.encode(pa.array([PROBE.lower()]))[0].tolist() == (
+            self.tokenizer.encode(PROBE.lower(), add_special_tokens=False).ids)
 
     @staticmethod
     def of_process(path: str | None) -> WordEncoder:
@@ -112,6 +118,9 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has; NULL has none."""
         texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(i) for i in ids], np.int64)
         # Names of special tokens are lower case: a text that has some keeps its case.
         marked = pc.any(pc.match_substring(texts, "<|")).as_py() or False
         lists = pc.ascii_split_whitespace(texts if marked else pc.ascii_lower(texts))
