@@ -355,18 +355,23 @@ def normalize_workday(spark, sf):
     return shown(normalized(spark, sf, "workday", rows))
 
 
-@query("normalize_postings", f"""SELECT candidate_id, connector, source_key, page_no, pos, title, id AS source_job_id
-  FROM (SELECT *, {OUTCOME_SQL} AS outcome FROM {POSITIONED}) WHERE outcome = 'parsed' AND (connector <> 'workday' OR p_partkey % 2 = 0)""")
+MISSING = "p_partkey % 37 = 0"
+
+
+@query("normalize_postings", f"""SELECT candidate_id, connector, source_key, page_no, pos, CASE WHEN NOT lost THEN title END AS title, id AS source_job_id, lost
+  FROM (SELECT *, {OUTCOME_SQL} AS outcome, connector = 'workday' AND {MISSING} AS lost FROM {POSITIONED}) WHERE outcome = 'parsed'""")
 def normalize_postings(spark, sf):
-    """All parsed rows; every second search hit has a detail, landed twice."""
+    """All parsed rows; details of search hits are landed twice but for a few, whose hits are listed as lost."""
     parsed = collect.with_ordinal(classified(spark, sf)).filter(F.col("outcome") == "parsed")
-    details = views.spark_view(spark, sf, "part", LANDED).filter("connector = 'workday' AND p_partkey % 2 = 0 AND id IS NOT NULL").selectExpr(
+    details = views.spark_view(spark, sf, "part", LANDED).filter(f"connector = 'workday' AND NOT ({MISSING}) AND id IS NOT NULL").selectExpr(
         "source_key", "id AS path", "to_json(named_struct('jobPostingInfo', named_struct('title', title, 'jobReqId', id))) AS payload")
     details = details.withColumn("ordinal", F.lit(2)).unionByName(details.withColumns({"payload": F.lit('{"zzz": 1}'), "ordinal": F.lit(1)}))
-    hits = collect.with_details(parsed.filter("connector = 'workday'"), details).filter("payload IS NOT NULL")
-    rows = parsed.filter("connector <> 'workday'").unionByName(hits.select(*parsed.columns))
-    return collect.normalize_postings(rows, RUN_DATE).select(
-        "candidate_id", "connector", "source_key", "page_no", "pos", "title", "source_job_id")
+    hits = collect.with_details(parsed.filter("connector = 'workday'"), details)
+    rows = parsed.filter("connector <> 'workday'").unionByName(hits.filter("payload IS NOT NULL").select(*parsed.columns))
+    place = ["candidate_id", "connector", "source_key", "page_no", "pos"]
+    return collect.normalize_postings(rows, RUN_DATE).select(*place, "title", "source_job_id", F.lit(False).alias("lost")).unionByName(
+        hits.filter("payload IS NULL").select(
+            *place, F.lit(None).cast("string").alias("title"), F.col("f_id").alias("source_job_id"), F.lit(True).alias("lost")))
 
 
 # --- identity against history and inside a batch ---------------------------------------
@@ -725,13 +730,16 @@ def read_sources(spark, sf):
 
 
 # --- whole runs ------------------------------------------------------------------------
-# Every part is landed for one of three candidates. Sources that page answer with
-# full pages and a short last one, some requests fail, every sixth detail is
-# missing, and the second day repeats most of the first and adds some.
+# Every block of parts is landed for three candidates of its own, from two sources
+# per connector, so sources and candidates grow with the table. Sources that page
+# answer with full pages and a short last one, one request in 97 fails, one detail
+# in 23 is missing, and the second day repeats most of the first and adds some.
 
+RUN_BLOCK = "CAST(floor(p_partkey / 6000) AS INT)"
 RUN_ROWS = [
     *[c for c in LANDED if c[0] not in ("candidate_id", "page_no", "source_key", "source_no")],
-    ("candidate_id", "concat('C', p_size % 3 + 1)"), ("source_key", "concat('S', p_size % 4)"), ("source_no", "CAST(p_size % 4 AS INT)"),
+    ("candidate_id", f"concat('C', 3 * {RUN_BLOCK} + p_size % 3 + 1)"), ("source_key", f"concat('S', 2 * {RUN_BLOCK} + p_size % 2)"),
+    ("source_no", f"CAST(2 * {RUN_BLOCK} + p_size % 2 AS INT)"),
 ]
 RUN_PAYLOAD = PAYLOAD | {
     "greenhouse": "to_json(named_struct('id', id, 'title', title, 'location', named_struct('name', place), 'absolute_url', concat('https://g.example.com/', p_partkey)))",
@@ -741,8 +749,8 @@ RUN_PAYLOAD = PAYLOAD | {
 RUN_DAYS = ["p_partkey % 10 <> 7", "p_partkey % 10 <> 2"]
 RUN_DATES = [RUN_DATE, date(2026, 2, 2)]
 RUN_PAGE = "CASE connector WHEN 'smartrecruiters' THEN 100 WHEN 'workday' THEN 20 ELSE 500 END"
-PAGE_FAILED = "(source_no + page_no + 1) % 5 = 4"
-NO_DETAIL = "p_partkey % 6 = 0"
+PAGE_FAILED = "(source_no * 11 + page_no * 5 + ascii(connector)) % 97 = 29"
+NO_DETAIL = "p_partkey % 23 = 0"
 
 
 def landed_run(spark: SparkSession, sf: str, day: int) -> DataFrame:
@@ -759,7 +767,7 @@ def run_details(spark, sf):
 
 
 def run_candidates(spark, sf):
-    return views.candidates(spark, sf).filter("candidate_id IN ('C1', 'C2', 'C3')").withColumns({
+    return views.candidates(spark, sf).withColumns({
         "target_titles": text_array(PHRASES), "secondary_titles": text_array([]), "preferred_locations": text_array(["Pune"])})
 
 
@@ -772,7 +780,7 @@ def run_of(spark, sf, day: int, existing: DataFrame | None = None) -> discovery.
 EXPANDED = list(dict.fromkeys([*PHRASES, *[v for _, variants in rules.TITLE_VARIANTS for v in variants]]))
 RUN_CANDIDATES_SQL = (
     f"(SELECT * REPLACE ([{o.quoted_in(PHRASES)}] AS target_titles, []::VARCHAR[] AS secondary_titles, ['Pune'] AS preferred_locations) "
-    f"FROM {views.CANDIDATES_SQL} WHERE candidate_id IN ('C1', 'C2', 'C3'))")
+    f"FROM {views.CANDIDATES_SQL})")
 RUN_OUTCOME = (
     f"CASE WHEN {BAD_SQL} THEN 'malformed' WHEN connector = 'ashby' AND NOT listed THEN 'rejected' "
     f"WHEN ({_relevant_sql(EXPANDED)}) AND {PLACE_OK} THEN 'parsed' ELSE 'rejected' END")
@@ -813,7 +821,7 @@ FIRST_MATCHES = o.MATCHES.replace(views.POSTINGS_SQL, f"(SELECT * EXCLUDE (candi
 
 @query("run_discovery", f"""WITH {run_sql(0)}, {FIRST_MATCHES} SELECT x7.candidate_id, source, job_id AS id, title, score, application_decision, {RUN_DATE_SQL} AS first_seen_at FROM x7""")
 def run_discovery(spark, sf):
-    """Landed responses of three candidates to new, scored postings."""
+    """Landed responses of all candidates to new, scored postings."""
     return run_of(spark, sf, 0).new.select("candidate_id", "source", "id", "title", "score", "application_decision", "first_seen_at")
 
 
@@ -863,7 +871,7 @@ def incremental_discovery(spark, sf):
     base = scratch_folder(spark, "stream")
     people, details = run_candidates(spark, sf), run_details(spark, sf)
     for day in (0, 1):
-        landed_run(spark, sf, day).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+        landed_run(spark, sf, day).write.mode("append").parquet(f"{base}/landed")
         incremental.incremental_discovery(
             incremental.response_stream(spark, f"{base}/landed"), lambda: details, lambda: people, f"{base}/history", f"{base}/stats",
             f"{base}/notes", f"{base}/progress", lambda day=day: RUN_DATES[day]).awaitTermination()
