@@ -6,12 +6,15 @@ among RADIUS places either side, so they depend on the words around them only:
 a passage spliced into another line falls into the same segments there. Units
 are normalised (ASCII lower case, white space between words ignored) and
 compared by 128-bit digests over their words. A unit of a few words means little
-alone: it is compared together with the words before it, and again with the
-words after it, on whatever lines they stand.
-
-Per digest the first occurrence is a minimum, combined before the shuffle. Units
-then meet the digests that occur again in a join that adaptive execution splits
-where one digest has very many rows; nothing is collected per digest.
+alone: a short line is compared together with the words before it, and again
+with the words after it, on whatever lines they stand; a short segment with the
+words of its own line, those behind it at the start of a line, else those before.
+
+Texts are split twice. The first pass leaves digests and ranks only: per digest
+the first occurrence is a minimum, combined before the shuffle. The units of the
+second pass meet the digests that occur again in a join that adaptive execution
+splits where one digest has very many rows; nothing is collected per digest, and
+units are never written.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolesift.llm.base import aside, held, row_key, slices, written
@@ -29,7 +32,7 @@ RADIUS = 5
 MIN_WORDS = 6
 RUN_WORDS = 16
 #: Removed units that follow each other make a passage; segments of shorter passages stay.
-MIN_PASSAGE = 25
+MIN_PASSAGE = 11
 UNITS = "doc_id long, key binary, line long, whole boolean, start long, end long, word long, n_words long, digest binary"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,8 +65,8 @@ def _unit_digests(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> li
 def split_units(texts: list[str | None], least: int) -> dict[str, np.ndarray | list]:
     """Units of some texts: text number, line, whole line or segment, code point span, words and digest.
 
-    Units of fewer than ``least`` words have up to two rows, with digests over
-    ``least`` more words before or after them.
+    Lines of fewer than ``least`` words have up to two rows, with digests over
+    ``least`` more words before or after them, such segments one.
     """
     joined = "\n".join(t or "" for t in texts)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -109,7 +112,10 @@ def split_units(texts: list[str | None], least: int) -> dict[str, np.ndarray | l
     before = np.maximum(b - least, np.searchsorted(owner, owner[b], side="left"))
     after = np.minimum(e + least, np.searchsorted(owner, owner[b], side="right"))
     rows, froms, tos, marks = [], [], [], []
-    for chosen, lo, hi, mark in ((~short, b, e, b""), (short & (e - before >= least), before, e, b"<"), (short & (after - b >= least), b, after, b">")):
+    back, ahead = short & (e - before >= least), short & (after - b >= least)
+    starts_line = first[b] & ~whole
+    back, ahead = back & ~(starts_line & ahead), ahead & ~(~whole & ~starts_line & back)
+    for chosen, lo, hi, mark in ((~short, b, e, b""), (back, before, e, b"<"), (ahead, b, after, b">")):
         rows.append(np.flatnonzero(chosen))
         froms.append(lo[chosen])
         tos.append(hi[chosen])
@@ -144,6 +150,11 @@ def _splitter(least: int) -> Callable:
     return run
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """Eight bytes that tell rows of one id apart, and rows without id."""
+    return F.substring(row_key(doc_id, text), 1, 8)
+
+
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE, id_column: str = "doc_id",
                    text_column: str = "text") -> DataFrame:
     """One row per unit to remove: doc_id, key, unit, start, end (code points), n_words, first_doc_id, first_start.
@@ -157,9 +168,9 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int
     goes as a whole has no row of its own. NULL and empty texts have no units.
     """
     rows = aside(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    units = written(rows.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(_splitter(min_words), UNITS), "units")
+    units = rows.withColumn("key", _key(F.col("doc_id"), F.col("text"))).mapInArrow(_splitter(min_words), UNITS)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("key")).alias("key"), "start")
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    first = written(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "first")
     again = units.join(first, "digest").filter(rank > F.col("first"))
     unit = F.struct(
         F.when(F.col("whole"), "line").otherwise("segment").alias("unit"), "start", "end", "word", "n_words", (F.length("digest") > 17).alias("copy"),
@@ -186,9 +197,11 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_passage: int = MIN_PASSAGE, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """``docs`` with the units cut out of the text; a line that goes takes its line end along."""
-    cuts = repeated_units(docs, min_words, min_passage, id_column, text_column).groupBy("key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end", "unit"))).alias("cuts"))
-    key = row_key(docs[f"`{id_column}`"].cast("long"), docs[f"`{text_column}`"])
+    cuts = repeated_units(docs, min_words, min_passage, id_column, text_column).groupBy("doc_id", "key").agg(
+        F.sort_array(F.collect_set(F.struct("start", "end", "unit"))).alias("cuts")).select(
+        F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "key").alias("key"), "cuts")
+    doc_id = docs[f"`{id_column}`"].cast("long")
+    key = F.struct(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"), _key(doc_id, docs[f"`{text_column}`"]).alias("key"))
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
