@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, characters: int = 1_500
         yield batch.slice(start)
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over the batches of a task; what it has freed goes back to the system at the end, since Python workers live on."""
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # Another C library: it keeps what it holds.
+
+    return over
+
+
 def aside(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, under the operator's own names: others cannot clash."""
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])

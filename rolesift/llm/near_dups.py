@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import aside, held, row_key, slices, written
+from rolesift.llm.base import aside, held, released, row_key, slices, written
 from rolesift.operators.joins import look_up, salted_join
 
 TREES, PREFIX = 20, 4
@@ -268,14 +268,14 @@ def _joined(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
 
 def _ordered_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """What ``_neighbours`` finds in all orders of ``rows``, over the cuts between tasks too."""
-    found = written(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(_neighbours(percent, True), FOUND), "neighbours")
+    found = written(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(released(_neighbours(percent, True)), FOUND), "neighbours")
     cuts = found.filter("edge IS NOT NULL").select("edge.*").distinct().repartition("tree").sortWithinPartitions(*ORDER)
     return found.filter("edge IS NULL").unionByName(written(cuts.mapInArrow(_neighbours(percent, False), FOUND), "cuts"))
 
 
 def candidate_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a < b (digests) and matches: neighbours in any order, each pair once. ``nodes``: digest, n, signature; ``sets``: digest, shingles."""
-    found = _ordered_pairs(nodes.mapInArrow(tree_rows, NODE), percent)
+    found = _ordered_pairs(nodes.mapInArrow(released(tree_rows), NODE), percent)
     crowds = written(found.filter("region IS NOT NULL").groupBy(F.col("a").alias("digest")).agg(
         F.min("region").alias("r")).select("digest", "r.*"), "crowds")
     pairs = found
@@ -284,7 +284,7 @@ def candidate_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
             "n", (F.octet_length("shingles") / 6).cast("long"))
         by = ["tree", "root", "digest"]
         again = full.select(*by, "n", "shingles").repartitionByRange(*by).sortWithinPartitions(*by)
-        pairs = pairs.unionByName(_ordered_pairs(again.mapInArrow(differing_rows, NODE), percent))
+        pairs = pairs.unionByName(_ordered_pairs(again.mapInArrow(released(differing_rows), NODE), percent))
     return pairs.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("matches").alias("matches"))
 
 
@@ -317,7 +317,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hubs: bool = Fals
     else:
         # All pairs of a large class share its hub.
         both = salted_join(left, right, ["b"], F.col("a"))
-    return written(both.mapInArrow(_confirm(percent), RESULT), "confirmed")
+    return written(both.mapInArrow(released(_confirm(percent)), RESULT), "confirmed")
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +450,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     without any id all rows stay. ``key`` tells (id, text) apart.
     """
     rows = aside(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = written(rows.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(_sketcher(shingle_words), SETS), "signatures")
+    rows = written(rows.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(released(_sketcher(shingle_words)), SETS), "signatures")
     some = rows.filter("digest IS NOT NULL")
     nodes = written(some.groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),

@@ -30,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import aside, slices, written
+from rolesift.llm.base import aside, released, slices, written
 from rolesift.operators.joins import look_up
 
 END_ID = 2
 WINDOW, UNIT, DEPTH = 4096, 64, 3
 BUCKET_ROWS = 20_000
-#: Parts of words a process remembers: some 50 MB.
-CACHED_PARTS = 250_000
+#: Parts of words a process remembers: some 16 MB.
+CACHED_PARTS = 80_000
 SLICE = 2_000_000
 #: Words of every kind; a tokenizer that does not split them like WordEncoder encodes whole texts itself.
 PROBE = "The cat's 2,048 caf\u00e9s; na\u00efve x86-64 CPU <|x|> \u00df \u65e5\u672c a_b... (ok) 3rd\n\tEND! end#tag"
@@ -177,7 +177,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str | None = None, window: in
     arrow = pa.schema([(n, pa.int64()) for n in names] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
     spark_schema = ", ".join(f"{n} long" for n in names) + (", ids array<int>" if with_ids else "")
     rows = aside(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(_cutter(tokenizer_path, window, unit, with_ids, arrow), spark_schema)
+    return rows.mapInArrow(released(_cutter(tokenizer_path, window, unit, with_ids, arrow)), spark_schema)
 
 
 def combinations(total: int, depth: int, largest: int) -> Iterator[tuple[int, ...]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.llm.base import aside, slices
+from rolesift.llm.base import aside, released, slices
 
 SYMBOLS = b"#*$%&|<>"
 ASCII_BLANKS = b" \t\n\x0b\f\r"
@@ -198,7 +198,7 @@ def measure(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id",
     of ``docs`` are not read. ``spans`` are the covered passages as code points.
     """
     rows = aside(docs, {"doc_id": id_column, "text": text_column}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    out = rows.mapInArrow(_measurer(rules.min_words, with_spans, _arrow_schema()), f"doc_id long, {MEASURES}")
+    out = rows.mapInArrow(released(_measurer(rules.min_words, with_spans, _arrow_schema())), f"doc_id long, {MEASURES}")
     return out.withColumn("base_failed", base_failed(rules)).withColumn("kept", ~F.col("base_failed") & acceptable(rules))
 
 
@@ -214,14 +214,18 @@ def acceptable(rules: Rules) -> Column:
 
 
 def keep_acceptable(docs: DataFrame, rules: Rules = Rules(), text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the verdict keeps, with all their columns, unchanged."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_column):
-            found = {k: np.array(v) for k, v in measure_texts(part.column(text_column).to_pylist(), rules.min_words, False).items()
-                     if k != "spans"}
+    """The rows of ``docs`` that the verdict keeps, with all their columns, unchanged.
+
+    Only texts go through Python; what comes back is a flag.
+    """
+    @F.arrow_udf("boolean")
+    def fine(texts: pa.Array) -> pa.Array:
+        flags = [np.zeros(0, bool)]
+        for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
+            found = {k: np.array(v) for k, v in measure_texts(part.column("text").to_pylist(), rules.min_words, False).items() if k != "spans"}
             n = found["n_words"]
             failed = (n < rules.least_words) | (100 * found["n_repeat_words"] > rules.max_repeat_percent * n)
-            fine = (100 * found["n_covered"] <= rules.max_covered_percent * n) & (found["longest_repeat"] <= rules.max_longest)
-            yield part.filter(pa.array(fine & ~failed))
+            flags.append(~failed & (100 * found["n_covered"] <= rules.max_covered_percent * n) & (found["longest_repeat"] <= rules.max_longest))
+        return pa.array(np.concatenate(flags))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(fine(docs[f"`{text_column}`"]))
