@@ -182,8 +182,21 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType, before: in
     return versions.filter(F.col("version") == F.lit(newest)).drop("version")
 
 
-def read_runs(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """Rows of all runs of an appended table, or of the runs before ``before``."""
+RUNS, RUNS_FOLDER = "run_no int", "runs"
+
+
+def complete_runs(spark: SparkSession, path: str) -> DataFrame:
+    """version: the runs below ``path`` whose manifest entry is written, one row each."""
+    try:
+        return spark.read.schema(f"{RUNS}, version int").parquet(f"{path}/{RUNS_FOLDER}").select("version")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "version int")
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Rows of all runs of an appended table, or of the runs before ``before``; with ``runs``, of those only."""
     numbered = T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])
     try:
         rows = spark.read.schema(numbered).parquet(path)
@@ -193,20 +206,23 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType, before: int
         return spark.createDataFrame([], schema)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
+    if runs is not None:
+        rows = rows.join(runs, "version", "left_semi")
     return rows.drop("version")
 
 
 def read_history(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Stored postings as they stand: appended postings with their latest sighting."""
-    postings = read_runs(spark, f"{path}/postings", schemas.DISCOVERED, before)
-    seen = read_runs(spark, f"{path}/sightings", schemas.SIGHTINGS, before).groupBy("ordinal").agg(F.max("seen_at").alias("seen_at"))
+    """Stored postings of complete runs as they stand: appended postings with their latest sighting."""
+    runs = complete_runs(spark, path)
+    postings = read_runs(spark, f"{path}/postings", schemas.DISCOVERED, before, runs)
+    seen = read_runs(spark, f"{path}/sightings", schemas.SIGHTINGS, before, runs).groupBy("ordinal").agg(F.max("seen_at").alias("seen_at"))
     return postings.join(seen, "ordinal", "left").withColumn(
         "last_seen_at", F.greatest("last_seen_at", "seen_at")).select(*postings.columns)
 
 
 def read_keys(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Identity keys stored beside the postings."""
-    return read_runs(spark, f"{path}/keys", schemas.KEYS, before)
+    """Identity keys stored beside the postings, of complete runs."""
+    return read_runs(spark, f"{path}/keys", schemas.KEYS, before, complete_runs(spark, path))
 
 
 def latest_artifacts(records: DataFrame, keys: list[str], written: str = "written_at") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesift.functions.notes import shortlist_note
 from rolesift.operators.reviews import split_valid, validate_review
+from rolesift.sources.landing import RUNS, RUNS_FOLDER
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
@@ -29,11 +30,17 @@ write_sources = write_version
 def append_run(new: DataFrame, keys: DataFrame, sightings: DataFrame, path: str, run_no: int) -> None:
     """What a run adds to the stored history, in a folder of its own per table.
 
-    Writes grow with the run, not with the history. A run that is repeated after
-    a failure replaces its own folders only.
+    Writes grow with the run, not with the history. The run's entry in the
+    manifest is written last, and readers take runs of the manifest only: a
+    failure between the tables leaves nothing to see. A run that is repeated
+    withdraws its entry, replaces its own folders and is entered again.
     """
+    spark = new.sparkSession
+    manifest = f"{path}/{RUNS_FOLDER}"
+    write_version(spark.createDataFrame([], RUNS), manifest, run_no)
     for name, rows in (("postings", new), ("keys", keys), ("sightings", sightings)):
         write_version(rows, f"{path}/{name}", run_no)
+    write_version(spark.createDataFrame([(run_no,)], RUNS), manifest, run_no)
 
 
 def write_shortlist(postings: DataFrame, path: str) -> None:

@@ -249,3 +249,35 @@ def test_sinks(spark, first, tmp_path):
     sinks.write_reviews(reviews, str(tmp_path / "reviews"), str(tmp_path / "bad"))
     assert [r["job_id"] for r in spark.read.parquet(str(tmp_path / "reviews")).collect()] == ["j1"]
     assert len(spark.read.parquet(str(tmp_path / "bad")).first()["errors"]) == 2
+
+
+def test_a_broken_run_is_not_seen(spark, tmp_path, monkeypatch):
+    """Readers take runs of the manifest only, which is written behind the tables."""
+    path = str(tmp_path / "history")
+    one = {name: spark.createDataFrame([tuple(None for _ in schema.fields)], schema)
+           for name, schema in (("new", schemas.DISCOVERED), ("keys", schemas.KEYS), ("sightings", schemas.SIGHTINGS))}
+
+    def stored():
+        return landing.read_history(spark, path).count(), landing.read_keys(spark, path).count()
+
+    assert stored() == (0, 0)
+    sinks.append_run(**one, path=path, run_no=0)
+    assert stored() == (1, 1)
+    written, plain = [], sinks.write_version
+
+    def failing(df, to, version):
+        if written:
+            raise OSError("lost")
+        written.append(to) if to.endswith("postings") else None
+        plain(df, to, version)
+
+    for run_no in (1, 0):  # a new run, and one that is written again
+        written.clear()
+        monkeypatch.setattr(sinks, "write_version", failing)
+        with pytest.raises(OSError, match="lost"):
+            sinks.append_run(**one, path=path, run_no=run_no)
+        monkeypatch.setattr(sinks, "write_version", plain)
+        assert stored() == ((1, 1) if run_no == 1 else (0, 0))
+    for run_no in (0, 1):
+        sinks.append_run(**one, path=path, run_no=run_no)
+    assert stored() == (2, 2)
