@@ -124,28 +124,40 @@ def _keyed(titles: Column | str) -> Column:
     return F.transform(or_no_items(titles), lambda t: F.struct(t.alias("text"), normalize(t).alias("key")))
 
 
-def candidate_features(candidates: DataFrame) -> DataFrame:
-    """One narrow row per candidate with everything pair scoring looks up."""
+def _known_words() -> Column:
     titles = F.concat(or_no_items("target_titles"), or_no_items("secondary_titles"))
-    minimum = F.coalesce(col("min_acceptable_salary_inr_per_year"), F.lit(0.0))
-    return with_capability_lists(candidates).select(
-        "candidate_id",
-        F.coalesce(col("total_experience_years"), F.lit(0.0)).alias("years"),
-        _keyed("target_titles").alias("target_titles"),
-        _keyed("secondary_titles").alias("secondary_titles"),
-        target_families("target_titles", "secondary_titles").alias("target_families"),
-        normalize_words(F.flatten(F.transform(titles, word_tokens))).alias("known_words"),
-        _normalized("preferred_work_modes").alias("preferred_modes"),
-        _normalized("preferred_locations").alias("preferred_places"),
-        _normalized("preferred_industries").alias("preferred_industries"),
-        _normalized("avoid_industries").alias("avoid_industries"),
-        _normalized("preferred_company_sizes").alias("preferred_sizes"),
-        minimum.alias("salary_floor"),
-        F.coalesce(col("target_salary_min_inr_per_year"), minimum).alias("salary_target"),
-        evidence_blob("skills", "capabilities").alias("blob"),
-        capability_points().alias("capability_points"),
-        capability_relevance().alias("capability_facts"),
-    )
+    return normalize_words(F.flatten(F.transform(titles, word_tokens)))
+
+
+def _minimum() -> Column:
+    return F.coalesce(col("min_acceptable_salary_inr_per_year"), F.lit(0.0))
+
+
+# Everything pair scoring looks up; expressions are built only for what is asked for.
+FEATURES = {
+    "years": lambda: F.coalesce(col("total_experience_years"), F.lit(0.0)),
+    "target_titles": lambda: _keyed("target_titles"),
+    "secondary_titles": lambda: _keyed("secondary_titles"),
+    "target_families": lambda: target_families("target_titles", "secondary_titles"),
+    "known_words": _known_words,
+    "preferred_modes": lambda: _normalized("preferred_work_modes"),
+    "preferred_places": lambda: _normalized("preferred_locations"),
+    "preferred_industries": lambda: _normalized("preferred_industries"),
+    "avoid_industries": lambda: _normalized("avoid_industries"),
+    "preferred_sizes": lambda: _normalized("preferred_company_sizes"),
+    "salary_floor": _minimum,
+    "salary_target": lambda: F.coalesce(col("target_salary_min_inr_per_year"), _minimum()),
+    "blob": lambda: evidence_blob("skills", "capabilities"),
+    "capability_points": capability_points,
+    "capability_facts": capability_relevance,
+}
+LISTED_FEATURES = {"capability_points", "capability_facts"}
+
+
+def candidate_features(candidates: DataFrame, *carried: str, names: tuple[str, ...] = tuple(FEATURES)) -> DataFrame:
+    """One row per candidate with ``carried`` columns and the features named."""
+    rows = with_capability_lists(candidates) if LISTED_FEATURES & set(names) else candidates
+    return rows.select(*carried, *[FEATURES[n]().alias(n) for n in names])
 
 
 def search_phrases(candidates: DataFrame) -> DataFrame:

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from rolesift import rules
 from rolesift.functions import fit
 from rolesift.functions.pyformat import quoted
-from rolesift.functions.roles import career_level, career_level_fit, role_family, title_family
-from rolesift.functions.text import col, normalize, or_empty, or_no_items, strip, title_tokens
+from rolesift.functions.roles import career_level_fit
+from rolesift.functions.text import col, or_empty, strip
+from rolesift.operators import factors
 from rolesift.operators.candidates import candidate_features
 from rolesift.operators.joins import salted_join
+from rolesift.operators.pair_rules import posting_features, setting_points, setting_status
 
 PARTS = list(rules.WEIGHTS)
 RESULT_COLUMNS = [
@@ -27,24 +29,6 @@ RESULT_COLUMNS = [
 ]
 
 
-def posting_features(postings: DataFrame, *carried: str) -> DataFrame:
-    """Posting-only part of the rules. The description is read here and dropped."""
-    return postings.select(
-        *carried, col("id").alias("job_id"), "title", "location", "work_mode", "industry",
-        normalize("title").alias("title_key"), normalize("location").alias("place_key"),
-        normalize("work_mode").alias("mode_key"), normalize("industry").alias("industry_key"),
-        normalize("company_size").alias("size_key"),
-        "salary_min", "salary_max", "min_experience_years", "max_experience_years",
-        role_family("title", "description").alias("role_family"),
-        title_family("title").alias("title_family"),
-        title_tokens("title").alias("title_words"),
-        career_level("title", "min_experience_years").alias("career_level"),
-        fit.phrase_words(or_no_items("required_skills")).alias("required_words"),
-        fit.phrase_words(or_no_items("preferred_skills")).alias("preferred_words"),
-        fit.appears_legitimate("application_url", "description").alias("legitimate"),
-    )
-
-
 def pair_rows(postings: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """Posting and candidate features side by side for every pair.
 
@@ -54,22 +38,20 @@ def pair_rows(postings: DataFrame, candidates: DataFrame, pairs: DataFrame) -> D
     posting or candidate that takes part in very many pairs.
     """
     with_posting = pairs.select("job_id", "candidate_id").join(posting_features(postings), "job_id")
-    return with_posting.join(candidate_features(candidates), "candidate_id")
+    return with_posting.join(candidate_features(candidates, "candidate_id"), "candidate_id")
 
 
 def with_parts(rows: DataFrame) -> DataFrame:
-    """The nine parts and what they rest on.
+    """The nine parts and what they rest on, of rows from :func:`pair_rows`.
 
     List functions come first, one column each, so that the points and the
     messages read plain columns; what a caller does not select is not computed.
     """
     family = fit.role_family_score("role_family", "target_families")
-    experience = fit.experience_fit("min_experience_years", "max_experience_years", "years", "career_level")
-    salary = fit.salary_fit("salary_min", "salary_max", "salary_floor", "salary_target")
     alignment = fit.title_alignment(
         "title", "title_key", "title_family", "title_words", "target_titles", "secondary_titles",
         "target_families", "known_words")
-    return (
+    return with_points(
         rows.withColumns({
             "is_mismatch": family["is_mismatch"], "family_status": family["status"],
             "role_family_score": family["score"],
@@ -78,20 +60,23 @@ def with_parts(rows: DataFrame) -> DataFrame:
             "required_cov": fit.phrase_coverages("required_words", "blob"),
             "preferred_cov": fit.phrase_coverages("preferred_words", "blob"),
             "title_alignment_score": alignment["score"],
+            **setting_status(),
+        })
+        .withColumns({"evidence": fit.relevant_evidence("required_cov", "preferred_cov"), **setting_points()})
+    )
+
+
+def with_points(rows: DataFrame) -> DataFrame:
+    """What is left to do per pair once lists and texts have been looked into: arithmetic on facts."""
+    experience = fit.experience_fit("min_experience_years", "max_experience_years", "years", "career_level")
+    salary = fit.salary_fit("salary_min", "salary_max", "salary_floor", "salary_target")
+    return (
+        rows.withColumns({
             "experience_fit_score": experience["score"], "experience_status": experience["status"],
             "experience_gap_years": experience["gap"], "experience_detail": experience["detail"],
-            "work_mode_status": fit.work_mode_status("mode_key", "preferred_modes"),
-            "location_status": fit.place_status("mode_key", "place_key", "preferred_places"),
-            "industry_status": fit.industry_status("industry_key", "preferred_industries", "avoid_industries"),
-            "company_size_status": fit.company_size_status("size_key", "preferred_sizes"),
             "salary_fit": salary["score"], "salary_status": salary["status"], "salary_detail": salary["detail"],
             "career_level_fit": career_level_fit("career_level"),
-        })
-        .withColumns({
-            "evidence": fit.relevant_evidence("required_cov", "preferred_cov"),
             "damp": fit.dampening("role_family", "is_mismatch"),
-            "location_fit": fit.location_fit("work_mode_status", "location_status"),
-            "industry_fit": fit.industry_fit("industry_status", "company_size_status"),
         })
         .withColumns({
             "capability_score": fit.points(F.col("capability_raw") * F.col("damp")),
@@ -144,14 +129,14 @@ def explanations() -> dict[str, Column]:
     }
 
 
-def score_rows(rows: DataFrame, *carried: str) -> DataFrame:
-    """Score rows that already hold posting and candidate features."""
-    scored = with_parts(rows).withColumn("score", fit.total_score(*PARTS))
+def decided(rows: DataFrame, *carried: str) -> DataFrame:
+    """Total, decision and explanations of rows that hold the parts."""
+    scored = rows.withColumn("score", fit.total_score(*PARTS))
     outcome = fit.decide_application(
         "score", "career_level", "is_mismatch", "family_status", "experience_gap_years", "critical", "legitimate")
-    decided = scored.withColumns({
+    explained = scored.withColumns({
         "application_decision": outcome["decision"], "decision_reason": outcome["reason"], **explanations()})
-    return decided.select(
+    return explained.select(
         *carried, "job_id", "candidate_id", "score", "role_family", "career_level", "application_decision",
         "decision_reason", F.struct(*PARTS).alias("score_breakdown"), "experience_gap_years",
         *RESULT_COLUMNS[9:14],
@@ -160,11 +145,28 @@ def score_rows(rows: DataFrame, *carried: str) -> DataFrame:
     )
 
 
+def score_rows(rows: DataFrame, *carried: str) -> DataFrame:
+    """Score rows that already hold posting and candidate features."""
+    return decided(with_parts(rows), *carried)
+
+
 def score_pairs(postings: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """match_results: one row per (job_id, candidate_id) of ``pairs``."""
     return score_rows(pair_rows(postings, candidates, pairs))
 
 
+def score_pairs_by_factors(postings: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of :func:`score_pairs` by factor tables.
+
+    Pair rows stay narrow and every rule over lists or texts runs once per pair
+    of values, for a price of some ten small jobs: for tables in which many
+    pairs share their titles, settings, skills and wishes.
+    """
+    keyed = pairs.select("job_id", "candidate_id").join(factors.posting_keys(postings), "job_id").join(
+        factors.person_keys(factors.people(candidates)), "candidate_id")
+    return decided(with_points(factors.with_factors(keyed, postings, candidates)))
+
+
 def annotate_match(postings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Postings, each with the match columns for its own ``candidate_id``.
 
@@ -173,7 +175,7 @@ def annotate_match(postings: DataFrame, candidates: DataFrame) -> DataFrame:
     fields = [c for c in postings.columns if c != "candidate_id"]
     rows = posting_features(postings.withColumn("posting", F.struct(*fields)), "posting", "candidate_id")
     # One candidate may own most postings, and these rows carry whole texts.
-    features = salted_join(rows, candidate_features(candidates), ["candidate_id"], F.col("job_id"))
+    features = salted_join(rows, candidate_features(candidates, "candidate_id"), ["candidate_id"], F.col("job_id"))
     return score_rows(features, "posting").select("posting.*", *RESULT_COLUMNS[1:])
 
 

@@ -48,6 +48,18 @@ def score_pairs(spark, sf):
         *[F.col(f"score_breakdown.{p}").alias(p) for p in rules.WEIGHTS], "experience_gap_years", "status")
 
 
+@query("score_pairs_by_factors", f"WITH {o.MATCHES} SELECT job_id, candidate_id, score, application_decision, decision_reason, "
+       f"{o.joined('relevant')} AS relevant_evidence, {o.joined('transferable')} AS transferable_evidence, "
+       f"{o.joined('missing')} AS missing_requirements, {o.joined('risk_list')} AS risks FROM x7")
+def score_pairs_by_factors(spark, sf):
+    scored = scoring.score_pairs_by_factors(
+        views.postings(spark, sf), views.candidates(spark, sf), views.pairs(spark, sf))
+    names = ["relevant_evidence", "transferable_evidence", "missing_requirements", "risks"]
+    return scored.select(
+        "job_id", "candidate_id", "score", "application_decision", "decision_reason",
+        *[joined(n).alias(n) for n in names])
+
+
 @query("decide_application", f"WITH {o.MATCHES} SELECT job_id, candidate_id, application_decision, decision_reason FROM x7")
 def decide_application(spark, sf):
     return matches(spark, sf).select("job_id", "candidate_id", "application_decision", "decision_reason")
@@ -127,7 +139,7 @@ CAP_SQL = (
 @query("capability_relevance", CAP_SQL)
 def capability_relevance(spark, sf):
     return (
-        candidate_features(views.candidates(spark, sf))
+        candidate_features(views.candidates(spark, sf), "candidate_id")
         .select("candidate_id", "capability_points", F.explode("capability_facts").alias("family", "f"))
         .select("candidate_id", "family", F.try_element_at("capability_points", F.col("family")).alias("raw_score"),
                 *[joined(F.col(f"f.{n}")).alias(n) for n in (
@@ -140,7 +152,7 @@ def capability_relevance(spark, sf):
 @query("capability_fraction", f"WITH {o.CF} SELECT family, count(*) AS candidates, max(cap_raw / 20) AS best, "
        "min(cap_raw / 20) AS worst FROM capfacts GROUP BY 1")
 def capability_fraction(spark, sf):
-    points = candidate_features(views.candidates(spark, sf)).select(
+    points = candidate_features(views.candidates(spark, sf), "candidate_id").select(
         F.explode("capability_points").alias("family", "points"))
     fraction = F.col("points") / 20
     return points.groupBy("family").agg(

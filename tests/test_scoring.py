@@ -1,7 +1,7 @@
 """Scoring of single postings with outcomes worked out by hand."""
 
 from rolesift import rules, schemas
-from rolesift.operators import scoring
+from rolesift.operators import factors, joins, scoring
 
 LONG = "Own the roadmap with the team and talk to clients every week. " * 2
 
@@ -136,3 +136,57 @@ def test_posting_side_is_read_once(spark):
     """The description must not travel with the pairs."""
     features = scoring.posting_features(spark.createDataFrame([], schemas.POSTINGS))
     assert "description" not in features.columns
+
+
+VARIANTS = [
+    {}, {"title": None}, {"title": ""}, {"title": "Product Counsel", "industry": "gambling "},
+    {"location": None, "work_mode": None, "industry": None, "company_size": None},
+    {"work_mode": "Onsite", "location": "Rome", "salary_max": 100000.0, "required_skills": ["Python tooling", "client calls"]},
+    {"required_skills": None, "preferred_skills": None, "description": None, "application_url": None},
+    {"required_skills": [], "preferred_skills": ["", "SQL"]}, {"title": "x " * 20_000, "description": "y " * 50_000},
+]
+
+
+def tables(spark, variants):
+    """Postings of the variants, two candidates and one without any fact, all pairs and one pair without posting."""
+    rows = [{**POSTING, **v, "id": f"p{i}"} for i, v in enumerate(variants)]
+    postings = spark.createDataFrame(
+        [tuple(r.get(f.name) for f in schemas.POSTINGS.fields) for r in rows], schemas.POSTINGS)
+    people = [CANDIDATE, {**CANDIDATE, "candidate_id": "c2", "target_titles": ["Counsel"], "preferred_locations": []},
+              {"candidate_id": "c3"}]
+    candidates = spark.createDataFrame(
+        [tuple(p.get(f.name) for f in schemas.CANDIDATES.fields) for p in people], schemas.CANDIDATES)
+    pairs = [(r["id"], p["candidate_id"]) for r in rows for p in people] + [("gone", "c1")]
+    return postings, candidates, spark.createDataFrame(pairs, "job_id string, candidate_id string")
+
+
+def plain(frame):
+    return sorted(repr(r.asDict(recursive=True)) for r in frame.collect())
+
+
+def test_factors_give_the_same_rows(spark):
+    given = tables(spark, VARIANTS)
+    want = plain(scoring.score_pairs(*given))
+    assert len(want) == 3 * len(VARIANTS) and plain(scoring.score_pairs_by_factors(*given)) == want
+
+
+def test_factors_beyond_the_broadcast_bound(spark, monkeypatch):
+    given = tables(spark, VARIANTS[:6])
+    want = plain(scoring.score_pairs(*given))
+    monkeypatch.setattr(factors, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    assert plain(scoring.score_pairs_by_factors(*given)) == want
+    monkeypatch.setattr(factors, "HOT_PAIRS", 0)
+    assert plain(scoring.score_pairs_by_factors(*given)) == want
+
+
+def test_factors_of_empty_tables(spark):
+    given = [frame.limit(0) for frame in tables(spark, [{}])]
+    assert scoring.score_pairs_by_factors(*given).count() == 0
+
+
+def test_pair_keys_carry_no_lists_or_maps(spark):
+    postings, candidates, _ = tables(spark, [{}])
+    persons = factors.person_keys(factors.people(candidates))
+    kinds = [kind for frame in (factors.posting_keys(postings), persons) for _, kind in frame.dtypes]
+    assert set(kinds) <= {"string", "boolean", "double", "binary"}
