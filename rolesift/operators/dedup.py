@@ -3,15 +3,20 @@
 Rule: postings are taken in order; one that shares any identity key with a
 stored posting or with an earlier *kept* posting is a duplicate and adds no
 keys. Duplicates of duplicates can therefore be kept, so neither distinct() nor
-connected components give the answer. The kept rows are found in rounds of
-aggregations per key, without forming pairs inside a key.
+connected components give the answer. But rows of different components do not touch, so a
+small component is settled by one ordered pass; large ones are made smaller in
+rounds of aggregations per key. Pairs inside a key are never formed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolesift.operators.components import with_components
 from rolesift.operators.identity import key_rows
 from rolesift.operators.joins import salted_join, union_all
 from rolesift.session import cut_lineage
@@ -50,25 +55,74 @@ def _winners(rows: DataFrame) -> DataFrame:
     return leads.join(holds, "ordinal").filter("led = held").select("ordinal")
 
 
-def dedupe_in_batch(rows: DataFrame) -> DataFrame:
+# Key rows that one ordered pass of a task settles: some 40 bytes each. Larger components go through rounds.
+SETTLED_AT_ONCE = 500_000
+
+
+def _round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept ordinals, undecided key rows): rows that lead all their keys are kept, those that share a key with them go."""
+    winners = cut_lineage(_winners(undecided))
+    # A kept row is the first of each of its keys, so every key is taken once.
+    taken = undecided.join(winners, "ordinal", "left_semi").select("key")
+    gone = salted_join(undecided, taken, ["key"], F.col("ordinal"), "left_semi").select("ordinal").distinct()
+    return winners, cut_lineage(undecided.join(gone, "ordinal", "left_anti"))
+
+
+def _first_come(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows kept of ordered (component, ordinal, keys) rows; keys taken are remembered for one component at a time."""
+    component, taken = None, set()
+    for batch in batches:
+        keep = []
+        for label, keys in zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist()):
+            if label != component:
+                component, taken = label, set()
+            free = taken.isdisjoint(keys)
+            if free:
+                taken.update(keys)
+            keep.append(free)
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["ordinal"])
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Ordinals kept of key rows ``(ordinal, key, component)``, each component in one ordered pass.
+
+    A pass holds the keys of one component, whose number the caller bounds.
+    """
+    whole = rows.groupBy("component", "ordinal").agg(F.collect_set("key").alias("keys"))
+    ordered = whole.repartition("component").sortWithinPartitions("component", "ordinal")
+    return ordered.mapInArrow(_first_come, rows.select("ordinal").schema)
+
+
+def dedupe_in_batch(rows: DataFrame, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
     """Ordinals kept from key rows ``(ordinal, key)`` by the first-come rule.
 
-    Rows that share no key are kept before the first round. A round keeps the
-    rows that lead all their keys and removes those that share a key with a
-    kept one; at least the smallest undecided row is settled, so the loop ends.
-    Rounds are checkpointed, so a lost executor does not replay earlier ones.
+    Rows that share no key are kept at once. Up to ``at_once`` contested key
+    rows are settled in one ordered pass. Of more, a round first keeps the rows
+    that lead all their keys and removes those that share a key with them, which
+    ends groups of copies; then components of shared keys are found, those of up
+    to ``at_once`` key rows are settled in a pass each, side by side, and only
+    larger ones go through further rounds, until what is left of them is small
+    enough. At least the smallest undecided row is settled in a round, so the
+    loop ends. Steps are checkpointed: a lost executor does not replay them.
     """
     rows = rows.select("ordinal", "key")
     contested = salted_join(rows, shared_keys(rows), ["key"], F.col("ordinal"), "left_semi").select("ordinal").distinct()
     kept = [rows.select("ordinal").distinct().join(contested, "ordinal", "left_anti")]
     undecided = cut_lineage(rows.join(contested, "ordinal", "left_semi"))
-    while not undecided.isEmpty():
-        winners = cut_lineage(_winners(undecided))
+    left = undecided.count()
+    if left > at_once:
+        winners, undecided = _round(undecided)
+        kept.append(winners)
+        left = undecided.count()
+    if left <= at_once:
+        return union_all([*kept, settle(undecided.withColumn("component", F.lit(0).cast("long")))])
+    labelled = cut_lineage(with_components(undecided, at_once))
+    while not labelled.isEmpty():
+        large = cut_lineage(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > at_once).select("component"))
+        is_large = lambda how: salted_join(labelled, large, ["component"], F.col("ordinal"), how)  # noqa: E731, B023
+        kept.append(cut_lineage(settle(is_large("left_anti"))))
+        winners, labelled = _round(cut_lineage(is_large("left_semi")))
         kept.append(winners)
-        # A kept row is the first of each of its keys, so every key is taken once.
-        taken = undecided.join(winners, "ordinal", "left_semi").select("key")
-        gone = salted_join(undecided, taken, ["key"], F.col("ordinal"), "left_semi").select("ordinal").distinct()
-        undecided = cut_lineage(undecided.join(gone, "ordinal", "left_anti"))
     return union_all(kept)
 
 
@@ -83,10 +137,13 @@ def resolve(incoming: DataFrame, existing: DataFrame, scope: list[str] | None =
     return resolve_keys(key_rows(incoming, scope), key_rows(existing, scope))
 
 
-def resolve_keys(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """:func:`resolve` on key rows ``(ordinal, tier, key)``, as stored beside the postings."""
+def resolve_keys(incoming: DataFrame, stored: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """:func:`resolve` on key rows ``(ordinal, tier, key)``, as stored beside the postings.
+
+    ``stored`` may be a function that finds the stored rows of wanted key rows.
+    """
     keys = cut_lineage(incoming)
-    holders = holders_of(stored, keys)
+    holders = holders_of(stored(keys) if callable(stored) else stored, keys)
     with_holder = cut_lineage(salted_join(keys, holders, ["key"], F.col("ordinal"), "left"))
     old = with_holder.filter(F.col("existing_ordinal").isNotNull()).select("ordinal").distinct()
     fresh = with_holder.join(old, "ordinal", "left_anti").select("ordinal", "key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -120,14 +121,15 @@ def run_totals(decided: DataFrame, refreshed: DataFrame, new: DataFrame) -> Data
 
 def run_discovery(
     responses: DataFrame, details: DataFrame, existing: DataFrame, candidates: DataFrame, run_date: date,
-    run_no: int, limits: Limits = Limits(), stored_keys: DataFrame | None = None,
+    run_no: int, limits: Limits = Limits(), stored_keys: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
 ) -> Discovery:
     """Collect, de-duplicate against history, score what is new.
 
     ``existing`` is the stored history. Running again on the same responses adds
     no posting and only sights the stored ones. A stored posting is never scored
-    again. With ``stored_keys``, the key rows written beside the postings, the
-    history itself is not read to find duplicates.
+    again. With ``stored_keys``, the key rows written beside the postings or a
+    function that finds those of the wanted keys, the history itself is not read
+    to find duplicates.
     """
     collected = collect_run(responses, details, candidates, run_date, run_no, limits)
     incoming = cut_lineage(collected.postings)

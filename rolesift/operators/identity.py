@@ -38,15 +38,22 @@ def identity_keys() -> Column:
         lambda k: k["key"].isNotNull())
 
 
+def _home(key: Column) -> Column:
+    """What precedes the first separator or '/' of a key: its source, host or company."""
+    return F.substring_index(F.substring_index(key, SEPARATOR, 1), "/", 1)
+
+
 def key_rows(postings: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """(ordinal, tier, key): up to three rows per posting, keys as 32-byte digests.
+    """(ordinal, tier, key, home): up to three rows per posting, keys as 32-byte digests.
 
-    ``scope`` columns are part of the key, e.g. to keep candidates apart.
+    ``scope`` columns are part of the key, e.g. to keep candidates apart. Equal
+    keys have equal homes, and keys of one source, host or company share theirs.
     """
     owner = [or_empty(F.col(c).cast("string")) for c in scope or []]
     digest = F.unhex(F.sha2(
         F.concat_ws(SEPARATOR, *owner, F.col("k.tier").cast("string"), F.col("k.key")), 256))
     return (
         postings.withColumn("k", F.explode(identity_keys()))
-        .select("ordinal", F.col("k.tier").alias("tier"), digest.alias("key"))
+        .select("ordinal", F.col("k.tier").alias("tier"), digest.alias("key"),
+                F.xxhash64(*owner, "k.tier", _home(F.col("k.key"))).alias("home"))
     )

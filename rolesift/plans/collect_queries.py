@@ -16,8 +16,8 @@ from rolesift.plans import views
 from rolesift.plans.text_queries import (
     KEYS_SQL, PHRASES, REQUIREMENT, html_sql, mode_sql, slug_sql, years_sql, _HI, _LO, _relevant_sql,
 )
-from rolesift.session import scratch_folder
-from rolesift.sources import landing, sinks
+from rolesift.session import cut_lineage, scratch_folder
+from rolesift.sources import key_store, landing, sinks
 from rolesift.sources.landing import explode_responses, parse_json_objects, parse_sources, response_pages
 from rolesift.streaming import incremental
 
@@ -407,7 +407,10 @@ def dedupe_in_batch(spark, sf):
     return verdicts.filter(~F.col("is_duplicate")).select("ordinal")
 
 
-@query("match_existing", f"""WITH {ROUNDS.replace('RECURSIVE ', 'RECURSIVE ', 1)} SELECT ordinal, min(tier) AS tier, arg_min(holder, tier) AS holder FROM inc WHERE holder IS NOT NULL GROUP BY 1""")
+MATCH_SQL = f"""WITH {ROUNDS} SELECT ordinal, min(tier) AS tier, arg_min(holder, tier) AS holder FROM inc WHERE holder IS NOT NULL GROUP BY 1"""
+
+
+@query("match_existing", MATCH_SQL)
 def match_existing(spark, sf):
     incoming, stored = split(spark, sf)
     keys = key_rows(incoming)
@@ -416,6 +419,20 @@ def match_existing(spark, sf):
         F.min("tier").alias("tier"), F.min_by("existing_ordinal", "tier").alias("holder"))
 
 
+@query("match_existing_store", MATCH_SQL)
+def match_existing_store(spark, sf):
+    """Stored keys of two runs, written in buckets with their filters; only buckets that may hold a wanted key are read."""
+    base = scratch_folder(spark, "keys")
+    incoming, stored = split(spark, sf)
+    place = F.struct(*[F.col("k.ordinal").alias(f.name) if f.name == "pos" else F.lit(None).alias(f.name) for f in schemas.ORDINAL.fields])
+    for run in (0, 1):
+        rows = key_rows(stored.filter(F.col("ordinal") % 2 == run)).alias("k").withColumn("ordinal", place.cast(schemas.ORDINAL))
+        sinks.append_run(spark.createDataFrame([], schemas.DISCOVERED), rows, spark.createDataFrame([], schemas.SIGHTINGS), base, run)
+    keys = cut_lineage(key_rows(incoming))
+    hits = keys.join(dedup.holders_of(key_store.matching_keys(spark, base, keys), keys), "key")
+    return hits.groupBy("ordinal").agg(F.min("tier").alias("tier"), F.min_by("existing_ordinal.pos", "tier").alias("holder"))
+
+
 @query("resolve_duplicates", f"""WITH {ROUNDS}, h AS (SELECT i.ordinal, i.tier, i.holder, n.ordinal AS earlier FROM inc i
     LEFT JOIN (SELECT f.key, f.ordinal FROM fresh f JOIN kept USING (ordinal)) n ON n.key = i.key AND n.ordinal < i.ordinal)
   SELECT i.ordinal, k.ordinal IS NULL AS is_duplicate, CASE WHEN k.ordinal IS NULL THEN min(tier) FILTER (WHERE holder IS NOT NULL OR earlier IS NOT NULL) END AS matched_tier,

@@ -88,7 +88,8 @@ DISCOVERED = T.StructType([
     T.StructField("status", _S),
 ])
 # Appended beside the postings: their identity keys, and when a run met a stored posting again.
-KEYS = T.StructType([T.StructField("ordinal", ORDINAL), T.StructField("tier", _I), T.StructField("key", T.BinaryType())])
+KEYS = T.StructType([T.StructField("ordinal", ORDINAL), T.StructField("tier", _I), T.StructField("key", T.BinaryType()),
+                     T.StructField("home", T.LongType())])
 SIGHTINGS = T.StructType([T.StructField("ordinal", ORDINAL), T.StructField("seen_at", T.DateType())])
 
 CAPABILITY = _struct(key=_S, strength=_S, evidence=_SA)

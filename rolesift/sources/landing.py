@@ -195,20 +195,26 @@ def complete_runs(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "version int")
 
 
-def read_runs(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, runs: DataFrame | None = None) -> DataFrame:
-    """Rows of all runs of an appended table, or of the runs before ``before``; with ``runs``, of those only."""
-    numbered = T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])
+def read_runs(
+    spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, runs: DataFrame | None = None, numbered: bool = False,
+) -> DataFrame:
+    """Rows of all runs of an appended table, or of the runs before ``before``; with ``runs``, of those only.
+
+    ``numbered`` adds the run as ``version``.
+    """
+    versioned = T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])
+    wanted = versioned.names if numbered else schema.names
     try:
-        rows = spark.read.schema(numbered).parquet(path)
+        rows = spark.read.schema(versioned).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], versioned).select(*wanted)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
     if runs is not None:
         rows = rows.join(runs, "version", "left_semi")
-    return rows.drop("version")
+    return rows.select(*wanted)
 
 
 def read_history(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -220,11 +226,6 @@ def read_history(spark: SparkSession, path: str, before: int | None = None) -> D
         "last_seen_at", F.greatest("last_seen_at", "seen_at")).select(*postings.columns)
 
 
-def read_keys(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Identity keys stored beside the postings, of complete runs."""
-    return read_runs(spark, f"{path}/keys", schemas.KEYS, before, complete_runs(spark, path))
-
-
 def latest_artifacts(records: DataFrame, keys: list[str], written: str = "written_at") -> DataFrame:
     """Newest record per key of an append-only artifact table."""
     record = F.struct(*[c for c in records.columns if c not in keys])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesift.functions.notes import shortlist_note
 from rolesift.operators.reviews import split_valid, validate_review
+from rolesift.sources.key_store import write_keys
 from rolesift.sources.landing import RUNS, RUNS_FOLDER
 
 
@@ -38,8 +39,9 @@ def append_run(new: DataFrame, keys: DataFrame, sightings: DataFrame, path: str,
     spark = new.sparkSession
     manifest = f"{path}/{RUNS_FOLDER}"
     write_version(spark.createDataFrame([], RUNS), manifest, run_no)
-    for name, rows in (("postings", new), ("keys", keys), ("sightings", sightings)):
+    for name, rows in (("postings", new), ("sightings", sightings)):
         write_version(rows, f"{path}/{name}", run_no)
+    write_keys(keys, path, run_no)
     write_version(spark.createDataFrame([(run_no,)], RUNS), manifest, run_no)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rolesift import schemas
 from rolesift.operators.discovery import Limits, run_discovery
-from rolesift.sources.landing import LANDING_KEYS, read_history, read_keys
+from rolesift.sources.key_store import matching_keys
+from rolesift.sources.landing import LANDING_KEYS, read_history
 from rolesift.sources.sinks import append_run, write_shortlist, write_version
 
 
@@ -34,7 +35,8 @@ def incremental_discovery(
         spark = batch.sparkSession
         stored = read_history(spark, postings_path, before=batch_id)
         result = run_discovery(
-            batch, details(), stored, candidates(), run_date(), batch_id, limits, read_keys(spark, postings_path, before=batch_id))
+            batch, details(), stored, candidates(), run_date(), batch_id, limits,
+            lambda wanted: matching_keys(spark, postings_path, wanted, before=batch_id))
         append_run(result.new, result.keys, result.sightings, postings_path, batch_id)
         write_version(result.stats, stats_path, batch_id)
         write_shortlist(result.new, f"{shortlist_path}/version={batch_id:010d}")

@@ -6,8 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rolesift.operators import dedup, joins
+from rolesift import schemas
+from rolesift.operators import components, dedup, joins
 from rolesift.operators.identity import key_rows
+from rolesift.session import cut_lineage
+from rolesift.sources import key_store, sinks
 
 SCHEMA = ("ordinal long, source string, source_job_id string, application_url string, company string, "
           "title string, location string, required_skills array<string>")
@@ -115,3 +118,129 @@ def test_history_dates(spark):
     got = {r["ordinal"]: (r["first_seen_at"], r["last_seen_at"], r["rediscovered"])
            for r in dedup.refresh_last_seen(filled, verdicts, day(9)).collect()}
     assert got == {1: (day(1), day(9), True), 2: (day(1), day(2), False), 3: (day(1), day(9), False), 4: (day(9), day(9), False)}
+
+
+def in_order(pairs):
+    """Rows kept of (ordinal, key) pairs by the first-come rule."""
+    taken, kept = set(), []
+    for row in sorted({r for r, _ in pairs}):
+        keys = {k for r, k in pairs if r == row}
+        if taken.isdisjoint(keys):
+            taken |= keys
+            kept.append(row)
+    return kept
+
+
+def rooted(pairs):
+    """{ordinal: smallest ordinal of its component}"""
+    root = {r: r for r, _ in pairs}
+    while True:
+        low = {}
+        for r, k in pairs:
+            low[k] = min(low.get(k, r), root[r])
+        after = {}
+        for r, k in pairs:
+            after[r] = min(after.get(r, root[r]), low[k])
+        if after == root:
+            return root
+        root = after
+
+
+def tangled(seed):
+    """Pairs, chains, one key of a third of all rows, and a dense part."""
+    rng = random.Random(seed)
+    rows = [(i, f"dense{rng.randrange(60)}") for i in range(60) for _ in range(2)]
+    rows += [(100 + i, f"c{i // 2 + j}") for i in range(80) for j in (0, 1)]
+    rows += [(200 + i, "hot") for i in range(90)] + [(200 + i, f"h{rng.randrange(70)}") for i in range(90)]
+    rows += [(300 + i, f"p{i // 2}") for i in range(40)]
+    moved = list(range(400))
+    rng.shuffle(moved)
+    return [(moved[r], k) for r, k in rows]
+
+
+@pytest.mark.parametrize("seed,at_once", [(1, 20), (2, 60), (3, 10_000)])
+def test_small_and_large_components(spark, seed, at_once):
+    pairs = tangled(seed)
+    kept = dedup.dedupe_in_batch(spark.createDataFrame(pairs, "ordinal long, key string"), at_once)
+    assert sorted(r[0] for r in kept.collect()) == in_order(pairs)
+
+
+@pytest.mark.parametrize("at_once", [20, 10_000])
+def test_components_of_shared_keys(spark, at_once):
+    pairs = tangled(5)
+    got = components.with_components(spark.createDataFrame(pairs, "ordinal long, key string"), at_once).collect()
+    assert len(got) == len(pairs)
+    want, label = rooted(pairs), {r["ordinal"]: r["component"] for r in got}
+    assert len({(label[r], want[r]) for r in want}) == len(set(want.values())) == len(set(label.values()))
+
+
+def test_a_long_chain_takes_a_fixed_number_of_jobs(spark):
+    def jobs(n):
+        group = f"chain-{n}"
+        rows = spark.range(n).select(F.col("id").alias("ordinal"), F.explode(F.array("id", F.col("id") + 1)).alias("key"))
+        spark.sparkContext.setJobGroup(group, group)
+        kept = dedup.dedupe_in_batch(rows)
+        assert kept.agg(F.sum("ordinal"), F.count("*")).first() == (sum(range(0, n, 2)), (n + 1) // 2)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    try:
+        assert jobs(10_000) <= jobs(100) + 4 <= 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def key_store_of(spark, path, runs):
+    for run_no, rows in enumerate(runs):
+        keys = key_rows(spark.createDataFrame(rows, SCHEMA)).withColumn("ordinal", F.struct(*[
+            (F.col("ordinal") if f.name == "pos" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.ORDINAL.fields]))
+        sinks.append_run(
+            spark.createDataFrame([], schemas.DISCOVERED), keys, spark.createDataFrame([], schemas.SIGHTINGS), path, run_no)
+
+
+def board(source, first, n):
+    return [(first + i, f"s{source}", str(first + i), f"https://h{source}.example.com/jobs/{first + i}", f"Company {source}",
+             f"title {first + i}", "x", []) for i in range(n)]
+
+
+def test_a_run_reads_its_buckets_of_the_key_store(spark, tmp_path):
+    """A run of one source in a hundred reads under a tenth of the store and reaches the same verdicts."""
+    path = str(tmp_path / "history")
+    key_store_of(spark, path, [[r for s in range(100) for r in board(s, 1000 * s + 100 * run, 20)] for run in (0, 1)])
+    everything = key_store.read_keys(spark, path)
+    assert everything.count() == 100 * 2 * 20 * 3
+    incoming = cut_lineage(key_rows(spark.createDataFrame(board(7, 7005, 20), SCHEMA)))
+    places = key_store.buckets_to_read(spark, path, incoming)
+    # Only the first run holds keys of these postings; the filters leave the second one out, or nearly.
+    assert 1 <= len(places[0]) <= 3 and len(places.get(1, [])) <= 2
+    near = key_store.matching_keys(spark, path, incoming)
+    assert 0 < near.count() < everything.count() / 10
+    assert near.select(F.input_file_name()).distinct().count() <= sum(len(b) for b in places.values())
+    scan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    verdicts = lambda stored: sorted(
+        (r["ordinal"], r["is_duplicate"], r["matched_tier"], r["matched_existing"]) for r in dedup.resolve_keys(incoming, stored).collect())
+    pruned = verdicts(lambda wanted: key_store.matching_keys(spark, path, wanted))
+    assert pruned == verdicts(everything)
+    assert sum(r[1] for r in pruned) == 15
+
+
+def test_filters_know_every_key(spark, tmp_path):
+    """No stored key is missed, strangers of known homes mostly are, and a repeated run replaces its filters."""
+    path = str(tmp_path / "history")
+    key_store_of(spark, path, [[r for s in range(5) for r in board(s, 1000 * s, 200)]])
+    key_store_of(spark, path, [[r for s in range(3) for r in board(s, 1000 * s, 200)]])
+    stored = key_store.read_keys(spark, path)
+    assert stored.count() == 3 * 200 * 3
+    for known in (0, 2):
+        wanted = key_rows(spark.createDataFrame(board(known, 1000 * known, 200), SCHEMA))
+        found = key_store.matching_keys(spark, path, wanted)
+        assert wanted.join(found, "key", "left_semi").count() == 600
+    assert key_store.matching_keys(spark, path, key_rows(spark.createDataFrame(board(4, 4000, 200), SCHEMA))).count() == 0
+    keys = key_rows(spark.createDataFrame(board(0, 500_000, 300), SCHEMA)).withColumn("bucket", key_store.bucket_of())
+    bits = spark.read.schema(key_store.FILTERS).parquet(f"{path}/{key_store.FILTERS_FOLDER}")
+    sizes = bits.select("bucket", "words").distinct()
+    passed = keys.join(sizes, "bucket").withColumns({"word": key_store._word(), "mask": key_store._mask()}).join(
+        bits.drop("words"), ["bucket", "word"]).filter("bits & mask = mask").count()
+    assert passed <= 45  # of 900
+    nothing = key_store.matching_keys(spark, str(tmp_path / "none"), keys)
+    assert nothing.count() == 0 and nothing.columns == schemas.KEYS.names

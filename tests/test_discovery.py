@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rolesift import schemas
 from rolesift.operators import collect
 from rolesift.operators.discovery import Limits, collect_run, run_discovery
-from rolesift.sources import landing, sinks
+from rolesift.sources import key_store, landing, sinks
 from rolesift.streaming.incremental import incremental_discovery, response_stream
 from tests.test_scoring import CANDIDATE
 
@@ -172,7 +172,7 @@ def test_streaming_run_is_idempotent(spark, inputs, tmp_path):
     responses.coalesce(1).write.mode("append").parquet(landed)
     drain()
     stored = landing.read_history(spark, paths["postings"])
-    assert stored.count() == 4 and landing.read_keys(spark, paths["postings"]).count() > 4
+    assert stored.count() == 4 and key_store.read_keys(spark, paths["postings"]).count() > 4
     responses.filter("connector = 'lever'").coalesce(1).write.mode("append").parquet(landed)
     drain()
     drain()
@@ -258,7 +258,7 @@ def test_a_broken_run_is_not_seen(spark, tmp_path, monkeypatch):
            for name, schema in (("new", schemas.DISCOVERED), ("keys", schemas.KEYS), ("sightings", schemas.SIGHTINGS))}
 
     def stored():
-        return landing.read_history(spark, path).count(), landing.read_keys(spark, path).count()
+        return landing.read_history(spark, path).count(), key_store.read_keys(spark, path).count()
 
     assert stored() == (0, 0)
     sinks.append_run(**one, path=path, run_no=0)
