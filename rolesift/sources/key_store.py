@@ -18,18 +18,36 @@ from rolesift import schemas
 from rolesift.sources.landing import complete_runs, read_runs
 
 KEYS_FOLDER, FILTERS_FOLDER = "keys", "key_filters"
-# Buckets of a run; stored runs keep the number, so it is fixed for a store.
-BUCKETS = 128
+# A run has as many buckets as its keys fill, a power of two that is written beside its filters.
+KEYS_PER_BUCKET = 10_000
+MOST_BUCKETS = 1024
 # 16 bits of a filter for each key: about 1 stranger in 100 passes.
 KEYS_PER_WORD = 4
 BITS_PER_KEY = 4
 FILTERS = T.StructType([
-    T.StructField("bucket", T.IntegerType()), T.StructField("words", T.LongType()),
+    T.StructField("buckets", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.LongType()),
     T.StructField("word", T.LongType()), T.StructField("bits", T.LongType())])
 
 
-def bucket_of() -> Column:
-    return F.coalesce(F.pmod("home", F.lit(BUCKETS)), F.lit(0)).cast("int")
+def buckets_for(keys: int) -> int:
+    filled = -(-keys // KEYS_PER_BUCKET)
+    return min(MOST_BUCKETS, 1 << max(filled - 1, 0).bit_length())
+
+
+def bucket_of(buckets: Column) -> Column:
+    return F.coalesce(F.pmod("home", buckets), F.lit(0)).cast("int")
+
+
+def _in_places(places: dict[int, list[int]], outer: str) -> Column:
+    return reduce(lambda a, b: a | b, [(F.col(outer) == n) & F.col("bucket").isin(buckets) for n, buckets in places.items()])
+
+
+def _places(rows: DataFrame, outer: str) -> dict[int, list[int]]:
+    """{outer: buckets} of the rows: bucket numbers only, at most MOST_BUCKETS for each outer value."""
+    found: dict[int, list[int]] = {}
+    for row in rows.select(outer, "bucket").distinct().collect():
+        found.setdefault(row[outer], []).append(row["bucket"])
+    return {n: sorted(buckets) for n, buckets in sorted(found.items())}
 
 
 def _word() -> Column:
@@ -42,17 +60,17 @@ def _mask() -> Column:
     return F.expr(" | ".join(bits))
 
 
-def bloom_filters(keys: DataFrame) -> DataFrame:
-    """(bucket, words, word, bits) of key rows with a bucket.
+def bloom_filters(keys: DataFrame, buckets: int) -> DataFrame:
+    """(buckets, bucket, words, word, bits) of key rows with a bucket.
 
     Words are combined before they are shuffled, so a bucket that holds most
-    keys has no task of its own. The table of sizes has at most BUCKETS rows.
+    keys has no task of its own. The table of sizes has a row per bucket.
     """
     sizes = keys.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / KEYS_PER_WORD).alias("words"))
     return (
         keys.join(F.broadcast(sizes), "bucket")
         .groupBy("bucket", "words", _word().alias("word")).agg(F.bit_or(_mask()).alias("bits"))
-        .select(*FILTERS.names)
+        .withColumn("buckets", F.lit(buckets)).select(*FILTERS.names)
     )
 
 
@@ -63,10 +81,12 @@ def write_keys(keys: DataFrame, path: str, run_no: int) -> None:
     """
     spark, run = keys.sparkSession, f"version={run_no:010d}"
     folder = f"{path}/{KEYS_FOLDER}/{run}"
-    rows = keys.select(*schemas.KEYS.names).withColumn("bucket", bucket_of())
+    rows = keys.select(*schemas.KEYS.names)
+    buckets = buckets_for(rows.count())
+    rows = rows.withColumn("bucket", bucket_of(F.lit(buckets)))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(folder)
     written = spark.read.schema(T.StructType([*schemas.KEYS.fields, FILTERS["bucket"]])).parquet(folder)
-    bloom_filters(written).sortWithinPartitions("bucket", "word").write.mode("overwrite").parquet(f"{path}/{FILTERS_FOLDER}/{run}")
+    bloom_filters(written, buckets).sortWithinPartitions("bucket", "word").write.mode("overwrite").parquet(f"{path}/{FILTERS_FOLDER}/{run}")
 
 
 def read_keys(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
@@ -77,19 +97,21 @@ def read_keys(spark: SparkSession, path: str, before: int | None = None) -> Data
 def buckets_to_read(spark: SparkSession, path: str, wanted: DataFrame, before: int | None = None) -> dict[int, list[int]]:
     """{run: buckets} that may hold a key of ``wanted(key, home)``; none that does is left out.
 
-    What comes to the driver are bucket numbers, at most BUCKETS for each run.
+    What comes to the driver are the numbers of buckets that occur, at most
+    eleven powers of two, and bucket numbers.
     """
-    asked = wanted.select(bucket_of().alias("bucket"), "key").distinct()
-    near = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
-    filters = read_runs(
-        spark, f"{path}/{FILTERS_FOLDER}", FILTERS, before, complete_runs(spark, path), numbered=True).filter(F.col("bucket").isin(near))
-    sizes = filters.select("version", "bucket", "words").distinct()
-    probes = asked.join(sizes, "bucket").select("version", "bucket", _word().alias("word"), _mask().alias("mask"))
+    filters = read_runs(spark, f"{path}/{FILTERS_FOLDER}", FILTERS, before, complete_runs(spark, path), numbered=True)
+    widths = sorted(r["buckets"] for r in filters.select("buckets").distinct().collect())
+    asked = wanted.select("home", "key").distinct().withColumn("buckets", F.explode(F.array(*[F.lit(n) for n in widths]).cast("array<int>")))
+    asked = asked.withColumn("bucket", bucket_of(F.col("buckets")))
+    near = _places(asked, "buckets")
+    if not near:
+        return {}
+    filters = filters.filter(_in_places(near, "buckets"))
+    sizes = filters.select("version", "buckets", "bucket", "words").distinct()
+    probes = asked.join(sizes, ["buckets", "bucket"]).select("version", "bucket", _word().alias("word"), _mask().alias("mask"))
     passed = probes.join(filters, ["version", "bucket", "word"]).filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-    found: dict[int, list[int]] = {}
-    for row in passed.select("version", "bucket").distinct().collect():
-        found.setdefault(row["version"], []).append(row["bucket"])
-    return {run: sorted(buckets) for run, buckets in sorted(found.items())}
+    return _places(passed, "version")
 
 
 def matching_keys(spark: SparkSession, path: str, wanted: DataFrame, before: int | None = None) -> DataFrame:
@@ -103,5 +125,4 @@ def matching_keys(spark: SparkSession, path: str, wanted: DataFrame, before: int
         return spark.createDataFrame([], schemas.KEYS)
     parts = T.StructType([*schemas.KEYS.fields, T.StructField("version", T.IntegerType()), FILTERS["bucket"]])
     rows = spark.read.schema(parts).parquet(f"{path}/{KEYS_FOLDER}")
-    chosen = reduce(lambda a, b: a | b, [(F.col("version") == run) & F.col("bucket").isin(buckets) for run, buckets in places.items()])
-    return rows.filter(chosen).select(*schemas.KEYS.names)
+    return rows.filter(_in_places(places, "version")).select(*schemas.KEYS.names)

@@ -202,8 +202,9 @@ def board(source, first, n):
              f"title {first + i}", "x", []) for i in range(n)]
 
 
-def test_a_run_reads_its_buckets_of_the_key_store(spark, tmp_path):
+def test_a_run_reads_its_buckets_of_the_key_store(spark, tmp_path, monkeypatch):
     """A run of one source in a hundred reads under a tenth of the store and reaches the same verdicts."""
+    monkeypatch.setattr(key_store, "KEYS_PER_BUCKET", 100)
     path = str(tmp_path / "history")
     key_store_of(spark, path, [[r for s in range(100) for r in board(s, 1000 * s + 100 * run, 20)] for run in (0, 1)])
     everything = key_store.read_keys(spark, path)
@@ -224,8 +225,10 @@ def test_a_run_reads_its_buckets_of_the_key_store(spark, tmp_path):
     assert sum(r[1] for r in pruned) == 15
 
 
-def test_filters_know_every_key(spark, tmp_path):
+def test_filters_know_every_key(spark, tmp_path, monkeypatch):
     """No stored key is missed, strangers of known homes mostly are, and a repeated run replaces its filters."""
+    monkeypatch.setattr(key_store, "KEYS_PER_BUCKET", 500)
+    assert [key_store.buckets_for(n) for n in (0, 500, 501, 1800, 10**9)] == [1, 1, 2, 4, 1024]
     path = str(tmp_path / "history")
     key_store_of(spark, path, [[r for s in range(5) for r in board(s, 1000 * s, 200)]])
     key_store_of(spark, path, [[r for s in range(3) for r in board(s, 1000 * s, 200)]])
@@ -235,8 +238,9 @@ def test_filters_know_every_key(spark, tmp_path):
         wanted = key_rows(spark.createDataFrame(board(known, 1000 * known, 200), SCHEMA))
         found = key_store.matching_keys(spark, path, wanted)
         assert wanted.join(found, "key", "left_semi").count() == 600
-    assert key_store.matching_keys(spark, path, key_rows(spark.createDataFrame(board(4, 4000, 200), SCHEMA))).count() == 0
-    keys = key_rows(spark.createDataFrame(board(0, 500_000, 300), SCHEMA)).withColumn("bucket", key_store.bucket_of())
+    gone = key_rows(spark.createDataFrame(board(4, 4000, 200), SCHEMA))
+    assert gone.join(key_store.matching_keys(spark, path, gone), "key", "left_semi").count() == 0
+    keys = key_rows(spark.createDataFrame(board(0, 500_000, 300), SCHEMA)).withColumn("bucket", key_store.bucket_of(F.lit(4)))
     bits = spark.read.schema(key_store.FILTERS).parquet(f"{path}/{key_store.FILTERS_FOLDER}")
     sizes = bits.select("bucket", "words").distinct()
     passed = keys.join(sizes, "bucket").withColumns({"word": key_store._word(), "mask": key_store._mask()}).join(
