@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rolesift.operators import artifacts
 from rolesift.operators.artifacts import KEY
 from rolesift.operators.browse import select_jobs
+from rolesift.operators.joins import look_up_long
 from rolesift.session import cut_lineage
 from rolesift.sources.landing import latest_artifacts
 
@@ -61,7 +62,10 @@ def run_artifacts(
     the same cache key make no request, so a repeated pass makes none.
     ``generated_at`` is the time every record and package carries.
     """
-    jobs = select_jobs(postings).withColumnRenamed("id", "job_id").join(people, "candidate_id")
+    chosen = select_jobs(postings).withColumnRenamed("id", "job_id")
+    # Facts are derived once, for candidates with a job only. One candidate may have most jobs.
+    owners = cut_lineage(people.join(chosen.select("candidate_id").distinct(), "candidate_id", "left_semi"))
+    jobs = look_up_long(chosen, owners, ["candidate_id"], F.col("job_id"))
     asked = cut_lineage(artifacts.analysis_requests(jobs, stored.analyses, force))
     replies = asked.select(*KEY, "cache_key").join(respond(asked).select(*KEY, "call_error", "raw"), KEY)
     analyses = cut_lineage(artifacts.intake_analysis(replies).withColumn("generated_at", generated_at))

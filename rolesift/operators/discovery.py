@@ -14,7 +14,7 @@ from rolesift.operators import collect, dedup
 from rolesift.operators.candidates import search_phrases
 from rolesift.operators.scoring import annotate_match
 from rolesift.operators.identity import key_rows
-from rolesift.operators.joins import look_up, union_all
+from rolesift.operators.joins import look_up_long, union_all
 from rolesift.session import cut_lineage
 from rolesift.sources.landing import LANDING_KEYS, entries_of, response_pages
 
@@ -67,8 +67,10 @@ def collect_run(
     Pages, limits and statistics come from that table.
     """
     raw = collect.with_ordinal(entries_of(response_pages(responses)), run_no)
-    wanted = search_phrases(candidates).select("candidate_id", "phrase_tokens", "places")
-    known = look_up(raw, wanted, ["candidate_id"], F.struct("source_key", "page_no", "pos"), "left")
+    # Most candidates may have no response in a run; only those that do are looked at.
+    owners = cut_lineage(candidates.join(responses.select("candidate_id").distinct(), "candidate_id", "left_semi"))
+    wanted = search_phrases(owners).select("candidate_id", "phrase_tokens", "places")
+    known = look_up_long(raw, wanted, ["candidate_id"], F.struct("source_key", "page_no", "pos"), "left")
     rows = collect.classify(known, F.col("phrase_tokens"), F.col("places"))
     passed = F.when(F.col("outcome") == "parsed", F.col("payload")).alias("payload")
     everything = cut_lineage(rows.filter(F.col("phrase_tokens").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)).select(
