@@ -18,7 +18,7 @@ from rolesift.functions import fit
 from rolesift.functions.roles import title_family
 from rolesift.functions.text import normalize, or_no_items, title_tokens
 from rolesift.operators.candidates import candidate_features, evidence_blob
-from rolesift.operators.joins import BROADCAST_ROWS, look_up, salted_join
+from rolesift.operators.joins import BROADCAST_ROWS, look_up, parted_join, salted_join, tasks_for
 from rolesift.operators.pair_rules import posting_features, setting_points, setting_status
 from rolesift.session import stored
 
@@ -84,19 +84,22 @@ def meetings(keyed: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return met.join(left, on[0]).join(right, on[1])
 
 
-def with_factor(rows: DataFrame, factor: DataFrame, on: list[str]) -> DataFrame:
+def with_factor(rows: DataFrame, factor: DataFrame, on: list[str], tasks: int | None = None) -> DataFrame:
     """``rows`` with the columns of a factor table, looked up by its two ids.
 
     A table of bounded size is sent to all executors. A larger one is joined by
-    its ids, and dealt over several tasks per key where one key has very many pairs.
+    its ids, and dealt over several tasks per key where one key has very many
+    pairs; ``tasks`` is the number of tasks that very many rows ask for.
     """
     table = stored(factor, f"factor-{on[0]}")
-    narrow = table.drop("n")
+    narrow, salt = table.drop("n"), F.struct("job_id", "candidate_id")
     if "n" not in table.columns or table.count() <= BROADCAST_ROWS:
-        return look_up(rows, narrow, on, F.struct("job_id", "candidate_id"), "left")
+        return look_up(rows, narrow, on, salt, "left")
+    if tasks is not None:
+        return parted_join(rows, narrow, on, salt, "left", table.select(*on, "n"), tasks)
     if table.agg(F.max("n")).first()[0] <= HOT_PAIRS:
         return rows.join(narrow, on, "left")
-    return salted_join(rows, narrow, on, F.struct("job_id", "candidate_id"), "left")
+    return salted_join(rows, narrow, on, salt, "left")
 
 
 def family_factor(persons: DataFrame) -> DataFrame:
@@ -164,8 +167,9 @@ def with_factors(keyed: DataFrame, postings: DataFrame, candidates: DataFrame) -
     """
     persons = people(candidates)
     keyed = stored(keyed, "pair-keys")
-    rows = with_factor(keyed, family_factor(persons), ["role_family", "wish_id"])
-    rows = with_factor(rows, capability_factor(persons), ["role_family", "power_id"])
-    rows = with_factor(rows, title_factor(keyed, postings, persons), ["title_id", "wish_id"])
-    rows = with_factor(rows, setting_factor(keyed, postings, persons), ["setting_id", "taste_id"])
-    return with_factor(rows, evidence_factor(keyed, postings, persons), ["skills_id", "proof_id"])
+    tasks = tasks_for(keyed.count())
+    rows = with_factor(keyed, family_factor(persons), ["role_family", "wish_id"], tasks)
+    rows = with_factor(rows, capability_factor(persons), ["role_family", "power_id"], tasks)
+    rows = with_factor(rows, title_factor(keyed, postings, persons), ["title_id", "wish_id"], tasks)
+    rows = with_factor(rows, setting_factor(keyed, postings, persons), ["setting_id", "taste_id"], tasks)
+    return with_factor(rows, evidence_factor(keyed, postings, persons), ["skills_id", "proof_id"], tasks)

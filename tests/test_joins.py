@@ -59,3 +59,27 @@ def test_candidates_are_not_sent_to_the_driver_in_parts(spark, tmp_path):
     assert not broadcasts_of_parts(rows)
     assert sorted((r["id"], r["title"], r["candidate_id"]) for r in rows.collect()) == [
         ("p0", POSTING["title"], "c1"), ("p1", POSTING["title"], "c1")]
+
+
+def test_many_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    candidates = spark.createDataFrame(
+        [tuple({**CANDIDATE, "candidate_id": c}.get(f.name) for f in schemas.CANDIDATES.fields) for c in ("c1", "c2")], schemas.CANDIDATES)
+    postings = spark.createDataFrame(
+        [tuple({**POSTING, "id": f"p{i}"}.get(f.name) for f in schemas.POSTINGS.fields) for i in range(6)], schemas.POSTINGS)
+    pairs = spark.createDataFrame([(f"p{i}", c) for i in range(6) for c in ("c1", "c2", "c3", None)], "job_id string, candidate_id string")
+    plain = sorted(map(str, scoring.score_pairs(postings, candidates, pairs).collect()))
+    for name, value in (("MANY_ROWS", 5), ("ROWS_PER_TASK", 2), ("ROWS_PER_PART", 2)):
+        monkeypatch.setattr(joins, name, value)
+    assert scoring.pair_rows(postings, candidates, pairs).rdd.getNumPartitions() == 12
+    assert sorted(map(str, scoring.score_pairs(postings, candidates, pairs).collect())) == plain
+    monkeypatch.setattr("rolesift.operators.factors.BROADCAST_ROWS", 0)
+    assert sorted(map(str, scoring.score_pairs_by_factors(postings, candidates, pairs).collect())) == plain
+    assert len(plain) == 12
+
+
+def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
+    from rolesift.plans import views
+    spark.range(10).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = views.spark_view(spark, str(tmp_path), "customer", [("k", "c_custkey")])
+    assert "Exchange RoundRobin" in plan_of(rows)
+    assert sorted(r["k"] for r in rows.collect()) == list(range(10))
