@@ -173,7 +173,8 @@ def candidate_context(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
     """Candidate, fingerprint, evidence, employers and verbatim profile sections.
 
     ``profiles(candidate_id, markdown)`` may lack candidates; their sections
-    are then empty.
+    are then empty. Profiles are texts, whose size Spark guesses far too low: both
+    sides are dealt by candidate and no profile goes through the driver.
     """
     facts = F.struct(*[F.col(c) for c in candidates.columns])
     return (
@@ -181,7 +182,7 @@ def candidate_context(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
             "profile_hash": profile_hash(facts),
             "evidence_blob": evidence_blob("skills", "capabilities"),
         })
-        .join(profiles.select("candidate_id", "markdown"), "candidate_id", "left")
+        .join(profiles.select("candidate_id", "markdown").hint("merge"), "candidate_id", "left")
         .withColumns({
             "verified_employers": profile_text.verified_employers("markdown"),
             "experience_section": profile_text.md_section("markdown", "Experience overview"),

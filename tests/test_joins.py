@@ -83,3 +83,16 @@ def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
     rows = views.spark_view(spark, str(tmp_path), "customer", [("k", "c_custkey")])
     assert "Exchange RoundRobin" in plan_of(rows)
     assert sorted(r["k"] for r in rows.collect()) == list(range(10))
+
+
+def test_profiles_are_parsed_once_and_not_broadcast(spark, tmp_path):
+    from rolesift.operators.candidates import candidate_context
+    text = "## Experience overview\n- Previous roles:\n  - Clerk, Acme Corp\n  - Clerk, ACME corp\n  - Analyst, Beta - Pune\n\n## Education\n- School\n"
+    profiles = on_disk(spark.createDataFrame([("c1", text), ("c2", None)], "candidate_id string, markdown string"), tmp_path / "profiles")
+    candidates = spark.createDataFrame(
+        [tuple({**CANDIDATE, "candidate_id": c}.get(f.name) for f in schemas.CANDIDATES.fields) for c in ("c1", "c2", "c3")], schemas.CANDIDATES)
+    rows = candidate_context(on_disk(candidates, tmp_path / "candidates"), profiles).select("candidate_id", "verified_employers")
+    assert "Broadcast" not in plan_of(rows)
+    assert plan_of(rows).count("regexp_extract_all") <= 3
+    found = {r["candidate_id"]: r["verified_employers"] for r in rows.collect()}
+    assert found == {"c1": ["Acme Corp", "Beta"], "c2": [], "c3": []}
