@@ -27,6 +27,23 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
 ROWS_PER_PART = 50_000
 
 
+# Buckets of keys that are counted first; a bucket of few rows holds no crowded key.
+KEY_BUCKETS = 65_536
+
+
+def crowded_counts(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(on, n) of the keys of more than ROWS_PER_PART rows.
+
+    Rows are counted per bucket of keys, so a task hands on KEY_BUCKETS numbers
+    at most and not its keys. Keys are counted where a bucket is full only.
+    ``rows`` are read twice.
+    """
+    bucket = F.pmod(F.xxhash64(*on), F.lit(KEY_BUCKETS)).alias("_bucket")
+    full = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROWS_PER_PART).select("_bucket")
+    near = rows.select(*on, bucket).join(F.broadcast(full), "_bucket", "left_semi")
+    return near.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROWS_PER_PART)
+
+
 def parted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how: str = "inner",
                 counts: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Equality join of a large side with one row per key, however many keys there are or however wide their rows.
@@ -54,7 +71,7 @@ def parted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
 
 # Wide rows that one task sorts at once; of more than MANY_ROWS, the number of tasks follows from them.
 ROWS_PER_TASK = 250_000
-MANY_ROWS = 10_000_000
+MANY_ROWS = 1_000_000
 
 
 def tasks_for(rows: int) -> int | None:

@@ -85,6 +85,19 @@ def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
     assert sorted(r["k"] for r in rows.collect()) == list(range(10))
 
 
+def test_crowded_keys_are_found_without_counting_every_key(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_PER_PART", 3)
+    rows = spark.createDataFrame(
+        [(k, i) for k, n in (("a", 10), ("b", 3), ("c", 1), (None, 7)) for i in range(n)], "k string, i int")
+    assert sorted(map(tuple, joins.crowded_counts(rows, ["k"]).collect()), key=str) == [("a", 10), (None, 7)]
+    monkeypatch.setattr(joins, "KEY_BUCKETS", 1)
+    assert sorted(map(tuple, joins.crowded_counts(rows, ["k"]).collect()), key=str) == [("a", 10), (None, 7)]
+
+
+def test_pairs_take_the_same_way_at_six_and_sixty_times_the_tables():
+    assert [joins.tasks_for(n) for n in (600_000, 3_600_000, 36_000_000)] == [None, 15, 144]
+
+
 def test_profiles_are_parsed_once_and_not_broadcast(spark, tmp_path):
     from rolesift.operators.candidates import candidate_context
     text = "## Experience overview\n- Previous roles:\n  - Clerk, Acme Corp\n  - Clerk, ACME corp\n  - Analyst, Beta - Pune\n\n## Education\n- School\n"
