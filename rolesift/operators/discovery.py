@@ -15,7 +15,7 @@ from rolesift.operators.candidates import search_phrases
 from rolesift.operators.scoring import annotate_match
 from rolesift.operators.identity import key_rows
 from rolesift.operators.joins import look_up_long, union_all
-from rolesift.session import cut_lineage
+from rolesift.session import cut_lineage, stored
 from rolesift.sources.landing import LANDING_KEYS, entries_of, response_pages
 
 SCOPE = ["candidate_id"]
@@ -62,9 +62,9 @@ def collect_run(
 ) -> Collected:
     """The landing is read, parsed and filtered in one pass without a shuffle.
 
-    What the pass leaves is checkpointed: keys, figures of the page and the
-    outcome of every raw row, and the payload of rows that passed the filter.
-    Pages, limits and statistics come from that table.
+    What the pass leaves is stored: keys, figures of the page and the outcome of
+    every raw row, and the payload of rows that passed the filter. Pages, limits
+    and statistics come from that table, each from the columns it needs.
     """
     raw = collect.with_ordinal(entries_of(response_pages(responses)), run_no)
     # Most candidates may have no response in a run; only those that do are looked at.
@@ -73,9 +73,9 @@ def collect_run(
     known = look_up_long(raw, wanted, ["candidate_id"], F.struct("source_key", "page_no", "pos"), "left")
     rows = collect.classify(known, F.col("phrase_tokens"), F.col("places"))
     passed = F.when(F.col("outcome") == "parsed", F.col("payload")).alias("payload")
-    everything = cut_lineage(rows.filter(F.col("phrase_tokens").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)).select(
+    everything = stored(rows.filter(F.col("phrase_tokens").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)).select(
         *LANDING_KEYS, "n_rows", "failed", "pos", "ordinal", "f_id", "outcome", passed,
-        (F.col("phrase_tokens").isNotNull() & F.col("pos").isNotNull()).alias("counted")))
+        (F.col("phrase_tokens").isNotNull() & F.col("pos").isNotNull()).alias("counted")), "entries")
 
     paged = F.col("connector").isin(list(rules.PAGE_SIZE))
     size = F.when(F.col("connector") == "workday", rules.PAGE_SIZE["workday"]).otherwise(rules.PAGE_SIZE["smartrecruiters"])

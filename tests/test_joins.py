@@ -85,6 +85,13 @@ def test_rows_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
     assert sorted(r["k"] for r in rows.collect()) == list(range(10))
 
 
+def test_rows_that_are_few_bytes_are_still_dealt_over_all_cores(spark, tmp_path):
+    from rolesift.plans import views
+    spark.range(1000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = views.spark_view(spark, str(tmp_path), "part", [("k", "p_partkey")])
+    assert rows.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
 def test_crowded_keys_are_found_without_counting_every_key(spark, monkeypatch):
     monkeypatch.setattr(joins, "ROWS_PER_PART", 3)
     rows = spark.createDataFrame(
