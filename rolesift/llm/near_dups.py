@@ -31,6 +31,7 @@ probability 1 - (1 - 0.8^4)^20, more than 0.9999.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolesift.llm.base import aside, held, released, row_key, slices, written
-from rolesift.operators.joins import look_up, salted_join
+from rolesift.operators.joins import look_up, look_up_long, salted_join
 
 TREES, PREFIX = 20, 4
 VALUES = TREES * PREFIX
@@ -59,6 +60,7 @@ EDGES_PER_TASK = 500_000
 RESULT = "a binary, b binary, ca binary, cb binary, similarity double, linked boolean"
 SETS = "doc_id long, key binary, n_shingles long, digest binary, signature binary, shingles binary"
 NODE = "tree int, root long, bits binary, digest binary, n long"
+CROWD = "tree int, root long, digest binary, n long, values binary"
 ORDER = ["tree", "root", "bits", "digest"]
 FIELDS = [("tree", pa.int32()), ("root", pa.int64()), ("bits", pa.binary()), ("digest", pa.binary()), ("n", pa.int64())]
 FOUND = "a binary, b binary, matches int, region struct<tree:int,root:long>, edge struct<tree:int,root:long,bits:binary,digest:binary,n:long>"
@@ -161,28 +163,91 @@ def tree_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _nodes(part, rows, np.full(len(rows), tree), root, low, np.full(len(rows), tree * PREFIX + PREFIX))
 
 
-def differing(low: np.ndarray, region: np.ndarray) -> np.ndarray:
-    """Which four-bit values of a set differ from most sets of its region, a run of rows; alone it differs in all."""
-    out = np.ones(low.shape, bool)
-    bounds = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
-    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if end - begin > 2:
-            counts = np.stack([(low[begin:end] == v).sum(axis=0) for v in range(16)])
-            out[begin:end] = low[begin:end] != counts.argmax(axis=0)
-    return out
-
-
-def differing_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per set and value in which it differs from its region, rooted in that value; sets of a region follow each other."""
+def crowd_values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of crowded regions with all their values instead of their shingles."""
     for part in slices(batches, "shingles"):
         sets = [_unpack(b) for b in part.column("shingles").to_pylist()]
         values = np.concatenate((signatures(sets), signatures(sets, MORE, 1 + 2 * VALUES)), axis=1)
-        low = (values & 15).astype(np.uint8)
-        region = _mix(part.column("root").to_numpy().view(np.uint64) + part.column("tree").to_numpy().astype(np.uint64))
-        rows, column = np.nonzero(differing(low, region))
-        for begin in range(0, len(rows), 20_000):
-            at, c = rows[begin:begin + 20_000], column[begin:begin + 20_000]
-            yield _nodes(part, at, TREES + c, _mix(values[at, c] + np.uint64(1)), low[:, :VALUES], np.where(c < VALUES, c + 1, 0))
+        yield pa.RecordBatch.from_arrays(
+            [*[part.column(c) for c in ("tree", "root", "digest", "n")], pa.array([v.tobytes() for v in values], pa.binary())],
+            names=["tree", "root", "digest", "n", "values"])
+
+
+def _low_values(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    values = np.frombuffer(b"".join(part.column("values").to_pylist()), np.uint32).reshape(part.num_rows, VALUES + MORE)
+    return values, (values & 15).astype(np.uint8)
+
+
+def _by_region(counted: Callable, result: Callable, name: str) -> Callable:
+    """``result`` of the summed counts of each region, whose rows follow each other; only one region's counts are held."""
+    def row(region: tuple[int, int], counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([region[0]], pa.int32()), pa.array([region[1]], pa.int64()), pa.array([result(counts)], pa.binary())],
+            names=["tree", "root", name])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, counts = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, root = batch.column("tree").to_numpy(), batch.column("root").to_numpy()
+            bounds = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (root[1:] != root[:-1]), [True])))
+            for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                here = (int(tree[begin]), int(root[begin]))
+                if here != region:
+                    if region is not None:
+                        yield row(region, counts)
+                    region, counts = here, np.zeros((16, VALUES + MORE), np.int64)
+                counts += counted(batch.slice(begin, end - begin))
+        if region is not None:
+            yield row(region, counts)
+
+    return run
+
+
+def _counts(part: pa.RecordBatch) -> np.ndarray:
+    """How many of the sets have each four-bit value, per place."""
+    low = _low_values(part)[1]
+    return np.stack([(low == v).sum(axis=0) for v in range(16)])
+
+
+def _counts_of_parts(part: pa.RecordBatch) -> np.ndarray:
+    return sum(np.frombuffer(zlib.decompress(b), np.int64).reshape(16, -1) for b in part.column("counts").to_pylist())
+
+
+def _most_frequent(counts: np.ndarray) -> bytes:
+    """The four-bit value of most sets per place; 16, which no set has, where a region has no more than two."""
+    usual = counts.argmax(axis=0) if counts[:, 0].sum() > 2 else np.full(counts.shape[1], 16)
+    return usual.astype(np.uint8).tobytes()
+
+
+def differing_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per set and value in which it differs from what is ``usual`` in its region, rooted in that value."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 2_000):
+            part = batch.slice(first, 2_000)
+            values, low = _low_values(part)
+            usual = np.frombuffer(b"".join(part.column("usual").to_pylist()), np.uint8).reshape(low.shape)
+            rows, column = np.nonzero(low != usual)
+            for begin in range(0, len(rows), 20_000):
+                at, c = rows[begin:begin + 20_000], column[begin:begin + 20_000]
+                yield _nodes(part, at, TREES + c, _mix(values[at, c] + np.uint64(1)), low[:, :VALUES], np.where(c < VALUES, c + 1, 0))
+
+
+def crowd_rows(crowds: DataFrame) -> DataFrame:
+    """What ``differing_rows`` makes of ``crowds`` (tree, root, digest, n, shingles), however their regions are cut over tasks.
+
+    What is usual is counted per region and task and summed, so the parts of a
+    region agree on it. The rows are written: a cut by range reads its input
+    twice, to find the cuts and to make them.
+    """
+    by = ["tree", "root", "digest"]
+    valued = written(
+        crowds.select(*by, "n", "shingles").repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(released(crowd_values), CROWD), "crowd-values")
+    counts = valued.mapInArrow(_by_region(_counts, lambda c: zlib.compress(c.tobytes(), 1), "counts"), "tree int, root long, counts binary")
+    usual = written(counts.repartition("tree", "root").sortWithinPartitions("tree", "root").mapInArrow(
+        _by_region(_counts_of_parts, _most_frequent, "usual"), "tree int, root long, usual binary"), "usual")
+    return written(look_up_long(valued, usual, ["tree", "root"], F.col("digest")).mapInArrow(released(differing_rows), NODE), "differing")
 
 
 def _neighbours(percent: int, with_edges: bool) -> Callable:
@@ -282,9 +347,7 @@ def candidate_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFram
     if not crowds.isEmpty():
         full = look_up(sets, crowds, ["digest"], F.col("doc_id")).dropDuplicates(["digest"]).withColumn(
             "n", (F.octet_length("shingles") / 6).cast("long"))
-        by = ["tree", "root", "digest"]
-        again = full.select(*by, "n", "shingles").repartitionByRange(*by).sortWithinPartitions(*by)
-        pairs = pairs.unionByName(_ordered_pairs(again.mapInArrow(released(differing_rows), NODE), percent))
+        pairs = pairs.unionByName(_ordered_pairs(crowd_rows(full), percent))
     return pairs.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("matches").alias("matches"))
 
 
