@@ -525,7 +525,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     copied = nodes.filter("copies > 1").select("digest", F.col("first_id").alias("least")).join(linked, "digest", "left_anti")
     ids = written(linked.unionByName(copied), "class-ids")
     narrow = rows.select("doc_id", "key", "n_shingles", "digest")
-    out = salted_join(narrow, ids.withColumn("found", F.lit(True)), ["digest"], F.col("key"), "left")
+    out = look_up(narrow, ids.withColumn("found", F.lit(True)), ["digest"], F.col("key"), "left")
     component = F.when(F.col("found"), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -15,12 +15,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
     """Equality join of a large side with one short row per key.
 
     ``salt`` deals the rows of ``left`` over SALTS parts of each key; ``right``
-    has at most one row per key and is repeated once per part. Keys compare as
-    Spark compares them: NULL meets nothing.
+    has at most one row per key and is repeated once per part. They meet in a
+    merge join: Spark takes the size of the repeated side for that of ``right``,
+    so a broadcast could bring SALTS times what it bears to the driver. Keys
+    compare as Spark compares them: NULL meets nothing.
     """
     left = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 # Rows of one key that one task takes; a key with more rows is cut into parts.

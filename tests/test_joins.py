@@ -116,3 +116,12 @@ def test_profiles_are_parsed_once_and_not_broadcast(spark, tmp_path):
     assert plan_of(rows).count("regexp_extract_all") <= 3
     found = {r["candidate_id"]: r["verified_employers"] for r in rows.collect()}
     assert found == {"c1": ["Acme Corp", "Beta"], "c2": [], "c3": []}
+
+
+def test_a_side_repeated_for_the_parts_of_a_key_is_not_sent_to_the_driver(spark, tmp_path):
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 40), ("b", 3), (None, 2)) for i in range(n)], "k string, i int")
+    right = on_disk(spark.createDataFrame([("a", 1), ("z", 2), (None, 3)], "k string, v int"), tmp_path / "right")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = joins.salted_join(left, right, ["k"], F.col("i"), how)
+        assert not broadcasts_of_parts(got)
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
