@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolesift import rules
 from rolesift.functions.text import (
-    col, contains_word, normalize, or_empty, or_no_items, sql_text, title_tokens,
+    col, contains_phrase, contains_word, let, normalize, or_empty, or_no_items, sql_text, title_tokens,
 )
 
 
-def _phrase_family(text: Column) -> Column:
+def _phrase_family(text: Column | str, contains: Callable = contains_word) -> Column:
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for family, phrases in rules.FAMILY_PHRASES:
-        chain = chain.when(contains_word(text, *phrases), F.lit(family))
+        chain = chain.when(contains(text, *phrases), F.lit(family))
     return chain
 
 
-def _token_family(tokens: Column) -> Column:
+def _token_family(tokens: Column | str) -> Column:
     def has(word: str) -> Column:
-        return F.array_contains(tokens, word)
+        return F.array_contains(col(tokens), word)
 
     return (
         F.when(has("product") & (has("analy") | has("manage") | has("own")), "PRODUCT")
@@ -52,6 +54,17 @@ def role_family(title: Column | str, description: Column | str, head_chars: int
     )
 
 
+def known_family(title_key: str, title_words: str) -> Column:
+    """Family of a title from columns that hold its normalised text and its words; NULL when it has none."""
+    return F.coalesce(_phrase_family(title_key, contains_phrase), _token_family(title_words))
+
+
+def family_in_text(title_key: str, description: Column | str) -> Column:
+    """Last step of :func:`role_family`, beside a column with the normalised title; NULL when it finds none."""
+    text = F.concat_ws(" ", col(title_key), normalize(description))
+    return F.when(or_empty(description) != "", let(text, lambda t: _phrase_family(t, contains_phrase)))
+
+
 def target_families(target: Column | str, secondary: Column | str) -> Column:
     """Families of the candidate's own titles, without UNKNOWN."""
     titles = F.concat(or_no_items(target), or_no_items(secondary))
@@ -60,11 +73,19 @@ def target_families(target: Column | str, secondary: Column | str) -> Column:
 
 def career_level(title: Column | str, min_years: Column | str) -> Column:
     """Title wording first, stated years second."""
-    text, years = normalize(title), col(min_years)
+    return _level(normalize(title), col(min_years), contains_word)
+
+
+def level_of_key(title_key: str, min_years: Column | str) -> Column:
+    """:func:`career_level` from a column that holds the normalised title."""
+    return _level(title_key, col(min_years), contains_phrase)
+
+
+def _level(text: Column | str, years: Column, contains: Callable) -> Column:
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
     for level, markers in rules.LEVEL_MARKERS:
-        chain = chain.when(contains_word(text, *markers), F.lit(level))
-    people_manager = contains_word(text, "manager") & ~contains_word(text, *rules.FUNCTION_TITLE_PHRASES)
+        chain = chain.when(contains(text, *markers), F.lit(level))
+    people_manager = contains(text, "manager") & ~contains(text, *rules.FUNCTION_TITLE_PHRASES)
     return (
         chain.when(people_manager, "MANAGER")
         .when(years < 1, "ENTRY_LEVEL")

@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from rolesift.functions import fit
-from rolesift.functions.roles import career_level, role_family, title_family
+from rolesift.functions.roles import family_in_text, known_family, level_of_key
 from rolesift.functions.text import col, normalize, or_no_items, title_tokens
 
 
 def posting_features(postings: DataFrame, *carried: Column | str) -> DataFrame:
-    """Posting-only part of the rules. The description is read here and dropped."""
-    return postings.select(
+    """Posting-only part of the rules. The description is read here and dropped.
+
+    The normalised title, its words and its family are columns of their own
+    before anything reads them, so each is derived once per row.
+    """
+    keyed = postings.select(
         *carried, col("id").alias("job_id"), "title", "location", "work_mode", "industry",
         normalize("title").alias("title_key"), normalize("location").alias("place_key"),
         normalize("work_mode").alias("mode_key"), normalize("industry").alias("industry_key"),
         normalize("company_size").alias("size_key"),
         "salary_min", "salary_max", "min_experience_years", "max_experience_years",
-        role_family("title", "description").alias("role_family"),
-        title_family("title").alias("title_family"),
         title_tokens("title").alias("title_words"),
-        career_level("title", "min_experience_years").alias("career_level"),
         fit.phrase_words(or_no_items("required_skills")).alias("required_words"),
         fit.phrase_words(or_no_items("preferred_skills")).alias("preferred_words"),
         fit.appears_legitimate("application_url", "description").alias("legitimate"),
+        col("description").alias("_description"),
     )
+    known = keyed.withColumn("_family", known_family("title_key", "title_words"))
+    return known.withColumns({
+        "role_family": F.coalesce("_family", family_in_text("title_key", "_description"), F.lit("UNKNOWN")),
+        "title_family": F.coalesce("_family", F.lit("UNKNOWN")),
+        "career_level": level_of_key("title_key", "min_experience_years"),
+    }).drop("_description", "_family")
 
 
 def setting_status() -> dict[str, Column]:

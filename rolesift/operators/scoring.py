@@ -180,13 +180,16 @@ def annotate_match(postings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Postings, each with the match columns for its own ``candidate_id``.
 
     No join on the posting id is involved, so equal ids cannot mix postings up.
+    ``postings`` are read twice: the rows of each candidate are counted first.
     """
     fields = [c for c in postings.columns if c != "candidate_id"]
+    counts = stored(postings.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n")), "owners")
+    tasks = tasks_for(counts.agg(F.sum("n")).first()[0] or 0)
     # Features of candidates without a posting are not derived. They go under names that no posting column has.
-    owners = candidates.join(postings.select("candidate_id").distinct(), "candidate_id", "left_semi")
+    owners = candidates.join(counts.select("candidate_id").hint("merge"), "candidate_id", "left_semi")
     features = candidate_features(owners, "candidate_id").withColumnsRenamed({n: f"_own_{n}" for n in FEATURES})
     # One candidate may own most postings. They are moved as they are; what follows from them is derived afterwards.
-    owned = parted_join(postings, features, ["candidate_id"], col("id"))
+    owned = parted_join(postings, features, ["candidate_id"], col("id"), counts=counts, tasks=tasks)
     rows = posting_features(
         owned.withColumn("posting", F.struct(*fields)), "posting", "candidate_id",
         *[F.col(f"_own_{n}").alias(n) for n in FEATURES])

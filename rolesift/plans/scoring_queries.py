@@ -324,7 +324,5 @@ def expand_target_titles_query(spark, sf):
        "SELECT candidate_id, job_id AS id, title, score, application_decision, "
        "CASE WHEN application_decision = 'SKIP' THEN 'discovered' ELSE 'shortlisted' END AS status FROM x7)")
 def annotate_match(spark, sf):
-    owned = views.postings(spark, sf).join(
-        views.pairs(spark, sf).select(F.col("job_id").alias("id"), "candidate_id"), "id")
-    return scoring.annotate_match(owned, views.candidates(spark, sf)).select(
+    return scoring.annotate_match(views.owned_postings(spark, sf), views.candidates(spark, sf)).select(
         "candidate_id", "id", "title", "score", "application_decision", "status")

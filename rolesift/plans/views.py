@@ -14,6 +14,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rolesift.session import stored
+
 SPARK_WORDS = {
     "ARR": "array", "NONE_LIST": "CAST(array() AS ARRAY<STRING>)", "TEXT": "STRING",
     "JSON_TEXT": "to_json",
@@ -212,6 +214,12 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def owned_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair's posting with its ``candidate_id``. The pairs are written: who reads these rows twice makes them once."""
+    owners = stored(pairs(spark, sf), "pairs").withColumnRenamed("job_id", "id")
+    return postings(spark, sf).join(owners, "id")
+
+
 POSTINGS_SQL = ansi_view("part", POSTINGS)
 CANDIDATES_SQL = ansi_view("customer", [*CANDIDATES, ("capabilities", capabilities("ansi"))])
 PAIRS_SQL = (

@@ -125,3 +125,17 @@ def test_a_side_repeated_for_the_parts_of_a_key_is_not_sent_to_the_driver(spark,
         got = joins.salted_join(left, right, ["k"], F.col("i"), how)
         assert not broadcasts_of_parts(got)
         assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_postings_of_many_pairs_are_dealt_by_their_number_to_their_candidates(spark, monkeypatch):
+    owned = T.StructType([*schemas.POSTINGS.fields, T.StructField("candidate_id", T.StringType())])
+    rows = [{**POSTING, "id": f"p{i}", "candidate_id": c} for i, c in enumerate(["c1"] * 5 + ["c2", "other", None])]
+    postings = spark.createDataFrame([tuple(r.get(f.name) for f in owned.fields) for r in rows], owned)
+    candidates = spark.createDataFrame(
+        [tuple({**CANDIDATE, "candidate_id": c}.get(f.name) for f in schemas.CANDIDATES.fields) for c in ("c1", "c2", "c3")], schemas.CANDIDATES)
+    plain = sorted(map(str, scoring.annotate_match(postings, candidates).collect()))
+    for name, value in (("MANY_ROWS", 5), ("ROWS_PER_TASK", 1), ("ROWS_PER_PART", 2)):
+        monkeypatch.setattr(joins, name, value)
+    dealt = scoring.annotate_match(postings, candidates)
+    assert dealt.rdd.getNumPartitions() == 8
+    assert sorted(map(str, dealt.collect())) == plain and len(plain) == 6

@@ -178,3 +178,28 @@ def test_profile_text(evaluate):
     assert evaluate(profile_text.verified_employers, [note, None, "x"]) == [["Acme LLP", "Beta Labs"], [], []]
     assert evaluate(lambda c: profile_text.md_section(c, "Contact"), [note, "## Contact\n## Next\nx", "none"]) == ["- Mail: x", "", ""]
     assert evaluate(lambda c: profile_text.md_section(c, "Education"), [note]) == ["- School, Town"]
+
+
+def test_a_plain_search_before_the_pattern_changes_no_family_and_no_level(spark):
+    from rolesift import rules
+    from rolesift.operators.pair_rules import posting_features
+    phrases = [p for _, listed in [*rules.FAMILY_PHRASES, *rules.LEVEL_MARKERS] for p in listed] + rules.FUNCTION_TITLE_PHRASES
+    assert all(c.isalnum() or c in " -" for p in phrases for c in p)
+    titles = [None, "", " ", "Product Managerial", "Manager - Accounts", "Leading hand", "Örsales", "sales lead", *[
+        f"{a}{p.title()}{b}" for p in phrases for a, b in (("", ""), ("x", ""), ("\tSr. ", " (EU) "))]]
+    rows = spark.createDataFrame(
+        [(t, d, y) for t in titles for d, y in ((None, None), ("", 3.0), ("We seek a DevOps or Sales person.", 1.0))],
+        "title string, description string, min_experience_years double")
+    for name in ("location", "work_mode", "industry", "company_size", "application_url", "id"):
+        rows = rows.withColumn(name, F.lit(None).cast("string"))
+    for name in ("required_skills", "preferred_skills"):
+        rows = rows.withColumn(name, F.lit(None).cast("array<string>"))
+    for name in ("salary_min", "salary_max", "max_experience_years"):
+        rows = rows.withColumn(name, F.lit(None).cast("double"))
+    features = posting_features(rows, "description")
+    plan = features.select("role_family", "title_family")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(coalesce(title#") == 1, plan
+    want = rows.select("title", "description", "min_experience_years", roles.role_family("title", "description"),
+                       roles.title_family("title"), roles.career_level("title", "min_experience_years"))
+    got = features.select("title", "description", "min_experience_years", "role_family", "title_family", "career_level")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
