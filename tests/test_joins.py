@@ -139,3 +139,18 @@ def test_postings_of_many_pairs_are_dealt_by_their_number_to_their_candidates(sp
     dealt = scoring.annotate_match(postings, candidates)
     assert dealt.rdd.getNumPartitions() == 8
     assert sorted(map(str, dealt.collect())) == plain and len(plain) == 6
+
+
+def test_the_shortlist_reads_a_finished_decision(spark):
+    owned = T.StructType([*schemas.POSTINGS.fields, T.StructField("candidate_id", T.StringType())])
+    rows = [{**POSTING, "id": i, "title": t, "candidate_id": "c1"} for i, t in (("p0", POSTING["title"]), ("p1", "Chief Counsel"))]
+    postings = spark.createDataFrame([tuple(r.get(f.name) for f in owned.fields) for r in rows], owned)
+    candidates = spark.createDataFrame([tuple(CANDIDATE.get(f.name) for f in schemas.CANDIDATES.fields)], schemas.CANDIDATES)
+    matches = scoring.annotate_match(postings, candidates)
+    kept = scoring.shortlisted(matches)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tests = [line for line in plan if "Filter" in line and "shortlisted" in line]
+    assert tests and not any("CASE" in line for line in tests)
+    assert kept.columns == matches.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in matches.collect() if r["status"] == "shortlisted")
+    assert kept.count() == 1
