@@ -84,16 +84,20 @@ def meetings(keyed: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return met.join(left, on[0]).join(right, on[1])
 
 
-def with_factor(rows: DataFrame, factor: DataFrame, on: list[str], tasks: int | None = None) -> DataFrame:
-    """``rows`` with the columns of a factor table, looked up by its two ids.
+def is_small(table: DataFrame) -> bool:
+    """Whether a factor table may be sent to all executors."""
+    return "n" not in table.columns or table.count() <= BROADCAST_ROWS
+
+
+def with_factor(rows: DataFrame, table: DataFrame, on: list[str], small: bool, tasks: int | None = None) -> DataFrame:
+    """``rows`` with the columns of a written factor table, looked up by its two ids.
 
     A table of bounded size is sent to all executors. A larger one is joined by
     its ids, and dealt over several tasks per key where one key has very many
     pairs; ``tasks`` is the number of tasks that very many rows ask for.
     """
-    table = stored(factor, f"factor-{on[0]}")
     narrow, salt = table.drop("n"), F.struct("job_id", "candidate_id")
-    if "n" not in table.columns or table.count() <= BROADCAST_ROWS:
+    if small:
         return look_up(rows, narrow, on, salt, "left")
     if tasks is not None:
         return parted_join(rows, narrow, on, salt, "left", table.select(*on, "n"), tasks)
@@ -163,13 +167,23 @@ def with_factors(keyed: DataFrame, postings: DataFrame, candidates: DataFrame) -
     """Key rows of pairs with the outcome of every rule that reads lists or texts.
 
     ``keyed`` holds :func:`posting_keys` and :func:`person_keys` side by side; it
-    is written once, since every factor table starts from the ids in it.
+    is written once, since every factor table starts from the ids in it. Tables
+    of many rows are met first, while pair rows hold ids and numbers only.
     """
     persons = people(candidates)
     keyed = stored(keyed, "pair-keys")
     tasks = tasks_for(keyed.count())
-    rows = with_factor(keyed, family_factor(persons), ["role_family", "wish_id"], tasks)
-    rows = with_factor(rows, capability_factor(persons), ["role_family", "power_id"], tasks)
-    rows = with_factor(rows, title_factor(keyed, postings, persons), ["title_id", "wish_id"], tasks)
-    rows = with_factor(rows, setting_factor(keyed, postings, persons), ["setting_id", "taste_id"], tasks)
-    return with_factor(rows, evidence_factor(keyed, postings, persons), ["skills_id", "proof_id"], tasks)
+    factors = [
+        (["role_family", "wish_id"], family_factor(persons)),
+        (["role_family", "power_id"], capability_factor(persons)),
+        (["title_id", "wish_id"], title_factor(keyed, postings, persons)),
+        (["setting_id", "taste_id"], setting_factor(keyed, postings, persons)),
+        (["skills_id", "proof_id"], evidence_factor(keyed, postings, persons)),
+    ]
+    tables = [(on, stored(factor, f"factor-{on[0]}")) for on, factor in factors]
+    tables = [(on, table, is_small(table)) for on, table in tables]
+    rows = keyed
+    # Rows are moved to a large table before they carry what they look up where they are.
+    for on, table, small in sorted(tables, key=lambda t: t[2]):
+        rows = with_factor(rows, table, on, small, tasks)
+    return rows

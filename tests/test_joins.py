@@ -154,3 +154,19 @@ def test_the_shortlist_reads_a_finished_decision(spark):
     assert kept.columns == matches.columns
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in matches.collect() if r["status"] == "shortlisted")
     assert kept.count() == 1
+
+
+def test_pairs_move_to_large_factor_tables_before_they_carry_texts(spark, monkeypatch):
+    from rolesift.operators import factors
+    candidates = spark.createDataFrame([tuple(CANDIDATE.get(f.name) for f in schemas.CANDIDATES.fields)], schemas.CANDIDATES)
+    postings = spark.createDataFrame(
+        [tuple({**POSTING, "id": f"p{i}", "required_skills": [f"Skill{i} writing"]}.get(f.name) for f in schemas.POSTINGS.fields)
+         for i in range(40)], schemas.POSTINGS)
+    pairs = spark.createDataFrame([(f"p{i}", "c1") for i in range(40)], "job_id string, candidate_id string")
+    plain = sorted(map(str, scoring.score_pairs(postings, candidates, pairs).collect()))
+    monkeypatch.setattr(joins, "MANY_ROWS", 5)
+    monkeypatch.setattr(factors, "BROADCAST_ROWS", 20)
+    moved = []
+    monkeypatch.setattr(factors, "parted_join", lambda left, *rest: moved.append(left.columns) or joins.parted_join(left, *rest))
+    assert sorted(map(str, scoring.score_pairs_by_factors(postings, candidates, pairs).collect())) == plain
+    assert len(moved) == 1 and not {"capability", "family_status", "location", "industry"} & set(moved[0])
