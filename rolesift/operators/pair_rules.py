@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesift.functions import fit
 from rolesift.functions.roles import family_in_text, known_family, level_of_key
-from rolesift.functions.text import col, normalize, or_no_items, title_tokens
+from rolesift.functions.text import col, normalize, or_no_items, text_array, title_tokens
 
 
 def posting_features(postings: DataFrame, *carried: Column | str) -> DataFrame:
@@ -36,6 +36,28 @@ def posting_features(postings: DataFrame, *carried: Column | str) -> DataFrame:
     }).drop("_description", "_family")
 
 
+# Features of a posting that follow from shorter columns beside them.
+PHRASE_LISTS = ["required_words", "preferred_words"]
+PLAIN_KEYS = {"place_key": "location", "mode_key": "work_mode", "industry_key": "industry"}
+
+
+def packed_features(features: DataFrame) -> DataFrame:
+    """Posting features as they travel with very many pairs: words in one text, no keys that are quickly made again."""
+    def packed(phrases: str) -> Column:
+        return F.transform(phrases, lambda p: F.struct(p["phrase"].alias("phrase"), F.array_join(p["words"], " ").alias("words")))
+
+    return features.withColumns({c: packed(c) for c in PHRASE_LISTS}).drop(*PLAIN_KEYS)
+
+
+def unpacked_features(rows: DataFrame) -> DataFrame:
+    """What :func:`packed_features` has packed; a word holds no blank."""
+    def unpacked(phrases: str) -> Column:
+        return F.transform(phrases, lambda p: F.struct(
+            p["phrase"].alias("phrase"), F.when(p["words"] == "", text_array([])).otherwise(F.split(p["words"], " ")).alias("words")))
+
+    return rows.withColumns({**{c: unpacked(c) for c in PHRASE_LISTS}, **{k: normalize(c) for k, c in PLAIN_KEYS.items()}})
+
+
 def setting_status() -> dict[str, Column]:
     """Statuses of work mode, place, industry and company size."""
     return {

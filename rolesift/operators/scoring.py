@@ -19,7 +19,9 @@ from rolesift.functions.text import col, or_empty, strip
 from rolesift.operators import factors
 from rolesift.operators.candidates import FEATURES, candidate_features
 from rolesift.operators.joins import crowded_counts, parted_join, tasks_for
-from rolesift.operators.pair_rules import posting_features, setting_points, setting_status
+from rolesift.operators.pair_rules import (
+    packed_features, posting_features, setting_points, setting_status, unpacked_features,
+)
 from rolesift.session import stored
 
 PARTS = list(rules.WEIGHTS)
@@ -38,7 +40,8 @@ def pair_rows(postings: DataFrame, candidates: DataFrame, pairs: DataFrame) -> D
     measured size allows it; otherwise it shuffles, and adaptive execution
     splits the partition of a posting or candidate that takes part in very many
     pairs. More pairs are dealt over tasks by their number, so what a task sorts
-    does not grow with them, and keys are not shuffled to be counted.
+    does not grow with them, and keys are not shuffled to be counted; posting
+    features go with them in their packed form.
     """
     pairs = stored(pairs.select("job_id", "candidate_id"), "pairs")
     tasks = tasks_for(pairs.count())
@@ -46,8 +49,9 @@ def pair_rows(postings: DataFrame, candidates: DataFrame, pairs: DataFrame) -> D
     if tasks is None:
         return pairs.join(postings, "job_id").join(candidates, "candidate_id")
     counts = lambda c: crowded_counts(pairs, [c])
-    rows = parted_join(pairs, postings, ["job_id"], F.col("candidate_id"), counts=counts("job_id"), tasks=tasks)
-    return parted_join(rows, candidates, ["candidate_id"], F.col("job_id"), counts=counts("candidate_id"), tasks=tasks)
+    rows = parted_join(pairs, packed_features(postings), ["job_id"], F.col("candidate_id"), counts=counts("job_id"), tasks=tasks)
+    return unpacked_features(
+        parted_join(rows, candidates, ["candidate_id"], F.col("job_id"), counts=counts("candidate_id"), tasks=tasks))
 
 
 def with_parts(rows: DataFrame) -> DataFrame:

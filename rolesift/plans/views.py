@@ -209,8 +209,8 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        .select("l_partkey", "o_custkey").distinct()
         .selectExpr("concat('P', l_partkey) AS job_id", "concat('C', o_custkey) AS candidate_id")
-        .distinct()
     )
 
 

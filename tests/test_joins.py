@@ -170,3 +170,26 @@ def test_pairs_move_to_large_factor_tables_before_they_carry_texts(spark, monkey
     monkeypatch.setattr(factors, "parted_join", lambda left, *rest: moved.append(left.columns) or joins.parted_join(left, *rest))
     assert sorted(map(str, scoring.score_pairs_by_factors(postings, candidates, pairs).collect())) == plain
     assert len(moved) == 1 and not {"capability", "family_status", "location", "industry"} & set(moved[0])
+
+
+def test_features_that_travel_with_very_many_pairs_are_packed(spark, monkeypatch):
+    from rolesift.operators import pair_rules
+    lists = [None, [], ["SQL"], ["The Lead, with writing reports", None, ""], ["Python programming", "Python programming"]]
+    postings = spark.createDataFrame(
+        [tuple({**POSTING, "id": f"p{i}", "required_skills": a, "preferred_skills": lists[-1 - i], "location": b, "industry": b}.get(f.name)
+               for f in schemas.POSTINGS.fields) for i, (a, b) in enumerate(zip(lists, [None, "", "\t Pune ", "REMOTE ", "İstanbul"], strict=True))],
+        schemas.POSTINGS)
+    features = pair_rules.posting_features(postings)
+    packed = pair_rules.packed_features(features)
+    assert not {"place_key", "mode_key", "industry_key"} & set(packed.columns)
+    assert packed.schema["required_words"].dataType.elementType["words"].dataType == T.StringType()
+    again = pair_rules.unpacked_features(packed).select(features.columns)
+    assert again.schema["required_words"].dataType.simpleString() == features.schema["required_words"].dataType.simpleString()
+    assert sorted(map(str, again.collect())) == sorted(map(str, features.collect()))
+    candidates = spark.createDataFrame([tuple(CANDIDATE.get(f.name) for f in schemas.CANDIDATES.fields)], schemas.CANDIDATES)
+    pairs = spark.createDataFrame([(f"p{i}", "c1") for i in range(5)], "job_id string, candidate_id string")
+    plain = sorted(map(str, scoring.score_pairs(postings, candidates, pairs).collect()))
+    monkeypatch.setattr(joins, "MANY_ROWS", 1)
+    rows = scoring.pair_rows(postings, candidates, pairs)
+    assert "array_join" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, scoring.score_pairs(postings, candidates, pairs).collect())) == plain and len(plain) == 5
